@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.session import ship
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -52,6 +54,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 def arrow_limits(spark: SparkSession, records: int = 1024, size: str = "8m") -> None:
     """Bounds what one Arrow batch takes, so that Python workers need little memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import chat, packing, sharding, urlfilter, warc
+from folioscan.llm import chat, langid, packing, quality, sharding, urlfilter, warc
 from folioscan.llm.common import new_path
 
 N_SHARDS = 24
@@ -21,6 +21,11 @@ def op1_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op4_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -29,6 +34,10 @@ def op4_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(talk.union(more), *vocabulary), *vocabulary)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.archive(_table(spark, sf_dir, "pages"), path)
