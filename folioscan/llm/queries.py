@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import chat, decontam, langid, packing, quality, sharding, urlfilter, warc
+from folioscan.llm import chat, decontam, jaccard, langid, packing, quality, sharding, urlfilter, warc
 from folioscan.llm.common import new_path
 
 N_SHARDS = 24
@@ -38,6 +38,10 @@ def op4_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(talk.union(more), *vocabulary), *vocabulary)
 
 
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
