@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import chat, decontam, jaccard, langid, packing, quality, sharding, urlfilter, warc
+from folioscan.llm import bm25, chat, decontam, jaccard, langid, packing, quality, sharding, urlfilter, warc
 from folioscan.llm.common import new_path
 
 N_SHARDS = 24
@@ -60,6 +60,11 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
 #: DuckDB SQL of the queries that SQL expresses.
 SQL: dict[str, str] = {}
 
