@@ -1,5 +1,54 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: five stages over documents, each written and read again."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscan.llm import decontam, jaccard, langid, packing, quality
+from folioscan.llm.common import arrow_limits, written
+
+#: A document goes if its quality score is below this.
+MIN_QUALITY = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those without any letter (``und``) go."""
+    model = langid.fit(docs)
+    arrow_limits(spark, 1024, "4m")
+    return docs.where(langid.predictor(model)(F.col("text")).lang_pred != langid.UNKNOWN)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labels of these documents, does not reject."""
+    model = quality.fit(quality.stats_of(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality.scorer(model)(F.col("text")) >= MIN_QUALITY)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8)."""
+    return jaccard.one_of_each(docs)
+
+
+def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in windows."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language ID", language), ("quality classifier", good), ("n-gram Jaccard join", distinct), ("benchmark decontamination", unleaked), ("packing", packed)]
+
+#: Learned models and edit matching are beyond SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return written(STAGES[-1][1](spark, docs, sf_dir), "stage")
