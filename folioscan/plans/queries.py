@@ -239,7 +239,7 @@ def align_fold(t: Inputs) -> DataFrame:
 _RANGES = """nn as (select tp.book, tp.chapter, tp.pos, topic, greatest(start_page, least(try_cast(trim(topic_page) as int) + case when toc_start > 0 then start_page - toc_start else 0 end, end_page)) as first_page, end_page
   from tp join ch on tp.book = ch.book and tp.chapter = ch.chapter where try_cast(trim(topic_page) as int) is not null),
 rg as (select book, chapter, pos, topic, first_page, coalesce(lead(first_page) over (partition by book, chapter order by first_page, pos), end_page) as last_page from nn)"""
-_CHUNKS = f"""{_RANGES}, ev as (select book, chapter, unnest(generate_series(start_page, end_page)) as page from ch),
+_CHUNKS = f"""{_RANGES}, ev as (select book, chapter, cast(unnest(generate_series(start_page, end_page)) as int) as page from ch),
 ft as (select book, chapter, min_by(topic, first_page * 100 + pos) as ft from rg group by all),
 ck as (select ev.book, ev.chapter, ev.page, coalesce(rg.topic, ft.ft) as topic, rg.topic is not null as covered, trim(coalesce(pg.text, '')) as text from ev
   left join rg on rg.book = ev.book and rg.chapter = ev.chapter and ev.page between rg.first_page and rg.last_page left join ft on ft.book = ev.book and ft.chapter = ev.chapter left join pg on pg.book = ev.book and pg.page = ev.page)"""
@@ -271,7 +271,7 @@ def boundary_pages(t: Inputs) -> DataFrame:
 @query(f"""with {_CHUNKS}, hv as (select book, page, count(*) as n, count_if(text = '') as empty, count(topic) as topics from ck where page % 7 <> 0 group by all),
     wt as (select distinct book, page from ev where page % 11 <> 0)
     select coalesce(wt.book, hv.book) as book, cast(coalesce(sum(n), 0) as bigint) as chunks, count(hv.page) as pages, cast(coalesce(sum(empty), 0) as bigint) as empty, cast(coalesce(sum(topics), 0) as bigint) as with_topic,
-    cast(coalesce(sum(n), 0) - coalesce(sum(topics), 0) as bigint) as without_topic, count_if(n > 1) as boundary, count_if(hv.page is null) as missing, count_if(wt.page is null) as extra
+    cast(coalesce(sum(n), 0) - coalesce(sum(topics), 0) as bigint) as without_topic, cast(count_if(n > 1) as bigint) as boundary, cast(count_if(hv.page is null) as bigint) as missing, cast(count_if(wt.page is null) as bigint) as extra
     from wt full join hv on wt.book = hv.book and wt.page = hv.page group by 1""")
 def chunk_coverage_qa(t: Inputs) -> DataFrame:
     """With every seventh page's chunks gone and every eleventh page unwanted."""
@@ -299,7 +299,7 @@ def flat_chunks(t: Inputs) -> DataFrame:
     return chunk.flat_chunks(t("pg")).select("book", "page", "seq", F.md5(F.col("content").cast("binary")).alias("content_md5"), "word_count")
 
 
-@query("select source, count_if(length(trim(text)) >= 50) as kept, count_if(length(trim(text)) < 50) as skipped, min(case when length(trim(text)) >= 50 then substring(text, 1, 200) end) as preview from documents group by source")
+@query("select source, cast(count_if(length(trim(text)) >= 50) as bigint) as kept, cast(count_if(length(trim(text)) < 50) as bigint) as skipped, min(case when length(trim(text)) >= 50 then substring(text, 1, 200) end) as preview from documents group by source")
 def min_length_split(t: Inputs) -> DataFrame:
     long = F.length(T.strip(F.col("text"))) >= 50
     return t("documents").groupBy("source").agg(F.count_if(long).alias("kept"), F.count_if(~long).alias("skipped"), F.min(F.when(long, F.substring("text", 1, 200))).alias("preview"))
@@ -321,7 +321,7 @@ def chapter_chunks(t: Inputs) -> DataFrame:
     return c.groupBy("book", "chapter", "first_page", "last_page").agg(F.count(F.lit(1)).alias("windows"))
 
 
-@query("select source, n_docs, hits, case when source = 'src1' then 'mineru' when hits >= 2 then 'structured' when n_docs > 10 then 'chapter' else 'flat' end as mode from (select source, count(*) as n_docs, count_if(contains(text, '$$')) as hits from documents group by source)")
+@query("select source, n_docs, hits, case when source = 'src1' then 'mineru' when hits >= 2 then 'structured' when n_docs > 10 then 'chapter' else 'flat' end as mode from (select source, count(*) as n_docs, cast(count_if(contains(text, '$$')) as bigint) as hits from documents group by source)")
 def chunk_mode(t: Inputs) -> DataFrame:
     g = t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.contains("text", F.lit("$$"))).alias("hits"))
     topics = F.when(F.col("hits") >= 2, 1).otherwise(0)
@@ -606,7 +606,7 @@ def cascade_delete(t: Inputs) -> DataFrame:
     return store.cascade(t("lineitem"), gone, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("select event_type, count(*) as total, count_if(value >= 20) as success, count_if(value < 20 and value >= 5) as skipped, count_if(value < 5) as error from events group by event_type")
+@query("select event_type, count(*) as total, cast(count_if(value >= 20) as bigint) as success, cast(count_if(value < 20 and value >= 5) as bigint) as skipped, cast(count_if(value < 5) as bigint) as error from events group by event_type")
 def status_rollup(t: Inputs) -> DataFrame:
     s = F.when(F.col("value") >= 20, "success").when(F.col("value") >= 5, "skipped").otherwise("error")
     return checks.rollup(t("events").withColumn("status", s), ["event_type"])
