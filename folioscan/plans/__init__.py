@@ -1,0 +1,15 @@
+"""The catalogue of queries, and SQL with the same rows."""
+
+
+def catalogue() -> dict:
+    from folioscan.plans import more, queries
+
+    assert more
+    return queries.queries()
+
+
+def sql() -> dict[str, str]:
+    from folioscan.plans import more, queries
+
+    assert more
+    return queries.oracle_sql()

@@ -78,3 +78,53 @@ def images_of_blocks(blocks: DataFrame) -> DataFrame:
 
 def extractor(subject: Column) -> Column:
     return F.when(F.lower(T.strip(subject)).isin(TEXT_SUBJECTS), "text").otherwise("layout")
+
+
+def first_output(manifests: DataFrame) -> DataFrame:
+    """book_stem, folder: the first folder whose manifest names a source with that
+    stem.  manifests: folder, source_pdf; unreadable manifests have a null source."""
+    stem = F.regexp_replace(F.regexp_extract("source_pdf", r"([^/\\]+)$", 1), r"\.[^.]*$", "")
+    return manifests.where("source_pdf is not null").select(stem.alias("book_stem"), "folder").groupBy("book_stem").agg(F.min("folder").alias("folder"))
+
+
+def resume_state(books: DataFrame, folders: DataFrame, blocks: DataFrame) -> DataFrame:
+    """book_stem, state: ``new`` without an output folder, ``partial`` without
+    extracted blocks, else ``done``: the only books to process again are not done."""
+    f = folders.select("book_stem", F.lit(True).alias("has_folder")).distinct()
+    b = blocks.select("book_stem", F.lit(True).alias("has_blocks")).distinct()
+    state = F.when(F.col("has_folder").isNull(), "new").when(F.col("has_blocks").isNull(), "partial").otherwise("done")
+    return books.select("book_stem").distinct().join(f, "book_stem", "left").join(b, "book_stem", "left").select("book_stem", state.alias("state"))
+
+
+def preview(pages: DataFrame, n: int = 5, chars: int = 200) -> DataFrame:
+    """The first pages of each book, with the beginning of their text."""
+    return pages.where(F.col("page") <= n).select("book", "page", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text_preview"))
+
+
+def page_images(files: DataFrame) -> DataFrame:
+    """Page images as base64 text, on one line."""
+    return files.select("path", F.translate(F.base64("content"), "\r\n", "").alias("image_b64"))
+
+
+def split_pages(files: DataFrame, make=None) -> DataFrame:
+    """(path, page, content) of each page of each PDF; ``make`` builds the splitter
+    (bytes -> list of bytes) once per worker.  None ships with this package."""
+    from folioscan.operators.adapters import NoModel
+
+    if make is None:
+        raise NoModel("no PDF library: pass a factory of a splitter")
+
+    def run(frames):
+        import pandas as pd
+
+        split = make()
+        for f in frames:
+            rows = [(p, i, page) for p, c in zip(f.path, f.content) for i, page in enumerate(split(bytes(c)), 1)]
+            yield pd.DataFrame(rows, columns=["path", "page", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, content binary")
+
+
+def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A table of an external database; its driver must be on the class path."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
