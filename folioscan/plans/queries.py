@@ -169,13 +169,13 @@ _NORM = "trim(regexp_replace(regexp_replace(upper({0}), '[^A-Z0-9.\\s]', ' ', 'g
 
 @query(f"""with l as (select book, page, cast(floor((page - 1) / 10.0) as int) + 1 as n, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from pg),
     o as (select book, page, n, coalesce(ls[1], '') as first, {_NORM.format("array_to_string(ls[1:20], ' ')")} as op, {_NORM.format("coalesce(ls[1], '')")} as fu, ls from l)
-    select book, page, case when regexp_matches(op, concat('\\b', n, '\\b')) then 1.0 else 0.0 end as chapter_number,
-    case when regexp_matches(op, concat('\\b', n, '\\.1\\b')) then 1.0 when regexp_matches(op, concat('\\b', n, '\\.\\d+\\b')) then 0.5 else 0.0 end as section_start,
-    case when contains(op, 'INTRODUCTION') then 1.0 else 0.0 end as introduction, case when contains(op, 'OBJECTIVES') or contains(op, 'AFTER STUDYING THIS UNIT') then 1.0 else 0.0 end as objectives,
-    case when len(list_filter(ls[2:4], lambda x: starts_with(x, 'v ') or starts_with(x, 'V ') or contains(x, ' - '))) > 0 then 1.0 else 0.0 end as quote,
-    case when length(regexp_replace(first, '[^\\pL]', '', 'g')) > 0 then round(length(regexp_replace(first, '[^\\p{{Lu}}]', '', 'g')) / length(regexp_replace(first, '[^\\pL]', '', 'g')), 6) else 0.0 end as uppercase_heading,
-    case when regexp_matches(fu, '^(EXERCISE|MISCELLANEOUS EXERCISE|SUMMARY|CONTENTS|FOREWORD|PREFACE|ACKNOWLEDGEMENT|RATIONALISATION|APPENDIX|ANSWERS)') then 1.0 else 0.0 end as negative,
-    case when contains(op, 'EXERCISES') or starts_with(fu, 'EXERCISE') or starts_with(fu, 'MISCELLANEOUS EXERCISE') then 1.0 else 0.0 end as exercise from o""")
+    select book, page, case when regexp_matches(op, concat('\\b', n, '\\b')) then 1e0 else 0e0 end as chapter_number,
+    case when regexp_matches(op, concat('\\b', n, '\\.1\\b')) then 1e0 when regexp_matches(op, concat('\\b', n, '\\.\\d+\\b')) then 5e-1 else 0e0 end as section_start,
+    case when contains(op, 'INTRODUCTION') then 1e0 else 0e0 end as introduction, case when contains(op, 'OBJECTIVES') or contains(op, 'AFTER STUDYING THIS UNIT') then 1e0 else 0e0 end as objectives,
+    case when len(list_filter(ls[2:4], lambda x: starts_with(x, 'v ') or starts_with(x, 'V ') or contains(x, ' - '))) > 0 then 1e0 else 0e0 end as quote,
+    case when length(regexp_replace(first, '[^\\pL]', '', 'g')) > 0 then round(length(regexp_replace(first, '[^\\p{{Lu}}]', '', 'g')) / length(regexp_replace(first, '[^\\pL]', '', 'g')), 6) else 0e0 end as uppercase_heading,
+    case when regexp_matches(fu, '^(EXERCISE|MISCELLANEOUS EXERCISE|SUMMARY|CONTENTS|FOREWORD|PREFACE|ACKNOWLEDGEMENT|RATIONALISATION|APPENDIX|ANSWERS)') then 1e0 else 0e0 end as negative,
+    case when contains(op, 'EXERCISES') or starts_with(fu, 'EXERCISE') or starts_with(fu, 'MISCELLANEOUS EXERCISE') then 1e0 else 0e0 end as exercise from o""")
 def structural_signals_sql(t: Inputs) -> DataFrame:
     n = (F.floor((F.col("page") - 1) / 10) + 1).cast("string")
     s = align.built_in_signals(F.col("text"), n)
