@@ -36,20 +36,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        sc = spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
-        with contextlib.suppress(Exception):
-            sc = spark.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", instead_of: DataFrame | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, whatever is
-    lost later, with column pruning for each reader."""
+    lost later, with column pruning for each reader.  ``instead_of``: a written table
+    that is not read any more; it is deleted, and the driver is asked to collect what it
+    dropped, so that shuffle files behind finished plans go as well."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if instead_of is not None:
+        _delete(spark, instead_of.written_to)
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def arrow_limits(spark: SparkSession, records: int = 1024, size: str = "8m") -> None:

@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         star = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(star.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = written(star.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", instead_of=e)
         now = _print(e)
         if now == last:
             break

@@ -17,8 +17,9 @@ from folioscan.llm.common import arrow_limits, broadcast_if_small, written
 from folioscan.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 80
-BAND, SUBS = 1.25, 3
+BAND, SUBS, SPARE = 1.25, 3, 35
 COLD, BLOCK, BROADCAST_ROWS = 16, 512, 1_000_000
+PART_KEYS, MERGE_ROWS = 750_000, 250_000
 _M = (1 << 64) - 1
 
 
@@ -43,14 +44,13 @@ def scheme(low: int, high: int, percent: int) -> tuple[int, int]:
     d = max_difference(high, high, percent)
     if not d:
         return 0, 0
-    spare = 0
-    for _ in range(64):
+    spare, most = 0, max(1, SPARE * (d // 2 + 1) // 100)
+    while spare < most:
         groups = d // 2 + 1 + spare
         dull = SUBS * math.exp(-low / groups * (SUBS - 1) / SUBS) * groups
-        need = math.ceil(dull + 4 * math.sqrt(dull)) if groups > 1 else 0
-        if need <= spare or need > 3 * d:
+        if spare >= dull + math.sqrt(dull):
             break
-        spare = need
+        spare += 1
     return d // 2 + 1 + spare, spare
 
 
@@ -70,11 +70,12 @@ def bands_of(n: int, percent: int) -> list[tuple[int, int, int]]:
 def class_of(s: np.ndarray) -> int:
     """Hash of a set; equal sets are one class."""
     with np.errstate(over="ignore"):
-        return int(textscan.mix(np.array([s.sum() + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15), ], np.uint64))[0].astype(np.int64))
+        return int(textscan.mix(np.array([s.sum() + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64))[0].astype(np.int64))
 
 
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of which any set linked to s (but not equal) has one too.
+def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which any set linked to s (but not equal) has some too, and with each
+    a tag: its band, and how many keys of that band a linked set has at least.
 
     A shingle hash sets one bit of a parity sketch: 64 bits for each of SUBS parts
     of each group.  Bits that differ between two sketches are no more than the
@@ -82,7 +83,7 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
     but one are equal: each way to leave one part out makes a key.  Ways that
     leave nothing are skipped, unless a set has more such groups than spare ones:
     then it gives all keys, so two such sets still meet."""
-    out = []
+    out, tags = [], []
     for band, low, high in bands_of(len(s), percent):
         groups, spare = scheme(low, high, percent)
         if not groups:
@@ -96,10 +97,14 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
         h = textscan.mix(textscan.mix(tag) + sketch).reshape(groups, SUBS)
         key = textscan.mix(h.sum(1, keepdims=True) - h + np.arange(SUBS, dtype=np.uint64))
         left = count.sum(1, keepdims=True) - count > 0
-        if (~left.all(1)).sum() > spare:
+        dull = int((~left.all(1)).sum())
+        if dull > spare:
             left[:] = True
         out.append(key[left])
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        tags.append(np.full(len(out[-1]), band << 16 | max(1, min(spare + 1 - dull, 0xFFFF)), np.int64))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(tags)
 
 
 def fold_bits(n: int) -> int:
@@ -128,31 +133,110 @@ def _sets(b: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     return textscan.shingle_sets(b.column(1), width)
 
 
-def _index(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _starred(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, leader row of each row, order): rows sorted by key, stable; the first
+    row of each key leads it."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    first = np.ones(len(k), bool)
+    np.not_equal(k[1:], k[:-1], out=first[1:])
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(k) else np.zeros(0, np.int64)
+    return first, lead, order
+
+
+def _edges(key: np.ndarray, cls: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """One row per key, and (key, leader, its tag, other, its tag) for the other classes of each key."""
+    first, lead, order = _starred(key)
+    k, c, t = key[order], cls[order], tag[order]
+    other = c != c[lead]
+    return k[first], c[first], t[first], [k[other].view(np.int64), c[lead[other]], t[lead[other]], c[other], t[other]]
+
+
+def _shared_keys(rows: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """(key, a, ta, b, tb): classes that have a key in common, as stars around one of them.
+
+    Equal keys that meet in one batch are joined there and go on as one row. Rows
+    go to ``parts`` streams by key, packed (six bytes of the key, class and tag once
+    for their keys), and each stream keeps one class per key it has seen, so a task's
+    memory follows the number of distinct keys and not that of a key's documents."""
+    blobs, ends = ["keys", "cls", "tags", "counts"], ["key", "a", "ta", "b", "tb"]
+    names = ["part", *blobs, *(f"e_{e}" for e in ends)]
+    low = np.uint64((1 << 48) - 1)
+
+    def batch(part: list[int], columns: list[list[bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, keys = [], []
+            keys, cls, tags = [], [], []
             for s in _sets(b, width):
-                k = keys_of(s, percent) if len(s) else s.view(np.int64)
+                k, t = keys_of(s, percent) if len(s) else (s, s)
                 if len(k):
-                    cls.append(class_of(s))
+                    cls.append(np.full(len(k), class_of(s), np.int64))
                     keys.append(k)
-            off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["cls", "keys"])
-
-    return rows.mapInArrow(run, "cls long, keys array<long>").select("cls", F.explode("keys").alias("key"))
-
+                    tags.append(t)
+            if not keys:
+                continue
+            key, c, t, edges = _edges(np.concatenate(keys), np.concatenate(cls), np.concatenate(tags))
+            if len(edges[0]):
+                edges[0] = (edges[0].view(np.uint64) & low).view(np.int64)
+                yield batch([int(edges[1][0]) & 0x3FFFFFFF], [[b""]] * 4 + [[e.tobytes()] for e in edges])
+            to = ((key >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+            order = np.lexsort((t, c, to))
+            key, c, t, to = key[order], c[order], t[order], to[order]
+            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+            part, out = [], [[], [], [], []]
+            for x, y in zip(cut[:-1], cut[1:]):
+                run = np.flatnonzero(np.concatenate([[True], (c[x + 1 : y] != c[x : y - 1]) | (t[x + 1 : y] != t[x : y - 1]), [True]]))
+                part.append(int(to[x]))
+                out[0].append(np.ascontiguousarray(key[x:y].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+                out[1].append(c[x:y][run[:-1]].tobytes())
+                out[2].append(t[x:y][run[:-1]].astype(np.uint32).tobytes())
+                out[3].append(np.diff(run).astype(np.uint16 if y - x < 65536 else np.uint32).tobytes())
+            yield batch(part, out + [[b""] * len(part)] * 5)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        waiting = 0
+
+        def table(e: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in e], ends)
+
+        def merge() -> pa.RecordBatch:
+            nonlocal held, waiting
+            *rest, e = _edges(*(np.concatenate(x) for x in zip(*held)))
+            held, waiting = [tuple(rest)], 0
+            return table(e)
 
-def _with_sets(rows: DataFrame, width: int) -> DataFrame:
-    """rows: rep, text -> rep, fold, hashes."""
+        for b in batches:
+            for row in zip(*b.columns[1:]):
+                k, c, t, n, *e = (x.as_py() for x in row)
+                if e[0]:
+                    yield table([np.frombuffer(x, np.int64) for x in e])
+                    continue
+                six = np.frombuffer(k, np.uint8).reshape(-1, 6)
+                eight = np.zeros((len(six), 8), np.uint8)
+                eight[:, :6] = six
+                times = np.frombuffer(n, np.uint16 if len(six) < 65536 else np.uint32)
+                held.append((eight.view(np.uint64).ravel(), np.repeat(np.frombuffer(c, np.int64), times), np.repeat(np.frombuffer(t, np.uint32), times)))
+                waiting += len(six)
+                if waiting >= MERGE_ROWS:
+                    yield merge()
+        yield merge()
+
+    packs = ", ".join(f"{n} binary" for n in names[1:])
+    return rows.mapInArrow(packed, f"part int, {packs}").repartition(parts, "part").mapInArrow(merged, ", ".join(f"{e} long" for e in ends))
+
+
+def _with_sets(rows: DataFrame, width: int, whole: bool) -> DataFrame:
+    """rows: rep, text -> rep and its set: the hashes (``whole``) or the folded sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(folded(s).tobytes(), s.tobytes()) for s in _sets(b, width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["rep", "fold", "hashes"])
+            got = [(s if whole else folded(s)).tobytes() for s in _sets(b, width)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["rep", "words"])
 
-    return rows.select("rep", "text").mapInArrow(run, "rep long, fold binary, hashes binary")
+    return rows.select("rep", "text").mapInArrow(run, "rep long, words binary")
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
@@ -216,36 +300,67 @@ def forest(reps: list[int], sets: list[np.ndarray], side: np.ndarray, percent: i
     return out
 
 
-def _hot_links(members: DataFrame, percent: int, shuffles: int) -> DataFrame:
-    """members: cluster, rep, hashes.  Each cluster is dealt into blocks of about
-    BLOCK sets, and each pair of blocks is a group of its own, so no task holds
-    more than two blocks however large a cluster is."""
+def partners(reps: list[int], size: np.ndarray, by: list[np.ndarray], side: np.ndarray, percent: int) -> list[int]:
+    """Those of reps whose folded sketch leaves a link to one of the other side
+    (of the one side, if there is one) possible."""
+    words = min(len(f) for f in by)
+    fold, hit = np.stack([refold(f, words) for f in by]), np.zeros(len(reps), bool)
+    lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+    for i in lefts.tolist():
+        js = rights[rights > i] if side.max() == 0 else rights
+        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+        near = js[np.bitwise_count(fold[js] ^ fold[i]).sum(1, dtype=np.int64) <= (100 - percent) * (size[js] + size[i]) // (100 + percent)]
+        if len(near):
+            hit[i] = True
+            hit[near] = True
+    return [r for r, h in zip(reps, hit.tolist()) if h]
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (cluster, rep, ...) once for each pair of blocks of about BLOCK that
+    their own block is in: each (cluster, lo, hi) is a group of at most two blocks,
+    so no task holds more however large a cluster is."""
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("g")).select("cluster", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     m = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = m.select("cluster", "rep", "hashes", "block", other).select("cluster", "rep", "hashes", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.col("block"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return m.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def _hopeful(members: DataFrame, percent: int) -> DataFrame:
+    """(cluster, rep) of members (cluster, rep, n, words) with a possible link in
+    their cluster, by sketches alone."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        side = (np.asarray(t.column("block")) != key[1].as_py()).astype(int)
+        out = partners(t.column("rep").to_pylist(), np.asarray(t.column("n")), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")], side, percent)
+        return pa.table({"cluster": pa.array([key[0].as_py()] * len(out), pa.int64()), "rep": pa.array(out, pa.int64())})
+
+    return _dealt(members).groupBy("cluster", "lo", "hi").applyInArrow(run, "cluster long, rep long").distinct()
+
+
+def _hot_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links that connect the members (cluster, rep, words) of each cluster."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
-        side = np.asarray(t.column("block")) != key[1].as_py()
-        out = forest(t.column("rep").to_pylist(), sets, side.astype(int), percent)
+        side = (np.asarray(t.column("block")) != key[1].as_py()).astype(int)
+        out = forest(t.column("rep").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")], side, percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return dealt.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
+    return _dealt(members).groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: documents whose sets of
     ``width``-word shingles have 100 * common >= percent * union are linked.
 
-    Equal sets are one class, found by hash, and take no part in the join more
-    than once.  Keys of parity sketches (keys_of) are aggregated to their least
-    and greatest class before they are shuffled, so a key of any number of
-    documents is one row per task; keys of two classes give a pair at once; rows of
-    the few keys with more are fetched again.  Keys of up to COLD classes give
-    all their pairs; classes that share a larger key form a cluster, which is
-    compared in blocks and gives no more links than connect it.  Every candidate is
+    Equal sets are one class, found by hash.  Keys of parity sketches (keys_of)
+    are joined within a batch before they are shuffled, and leave only classes
+    that share one (_shared_keys).  Keys of up to COLD classes give
+    the pairs that have as many in common as linked sets must; classes that share a larger key form a cluster, which is
+    compared in blocks, for each band of sizes: by sketches first, then those left by
+    their sets, which gives no more links than connect it.  Every candidate is
     decided on the whole sets, so no link is lost and none is made up (64-bit
     hashes stand for shingles and for sets).
 
@@ -254,7 +369,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
     their own; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    arrow_limits(spark, 512, "4m")
+    arrow_limits(spark, 512, "2m")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,40 +383,40 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
     sets = written(rows.mapInArrow(measure, "doc_id long, n long, cls long"), "sets")
     classes = written(sets.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
 
-    index = _index(rows, width, percent)
-    shared = written(index.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y"), "keys")
-    cx = classes.select(F.col("cls").alias("x"), F.col("rep").alias("rx"), F.col("n").alias("nx"), F.col("copies").alias("mx"))
-    cy = classes.select(F.col("cls").alias("y"), F.col("rep").alias("ry"), F.col("n").alias("ny"), F.col("copies").alias("my"))
-    known = written(shared.join(cx, "x").join(cy, "y"), "pairs")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_KEYS))
+    edges = written(_shared_keys(rows, width, percent, parts), "keys")
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    pairs = known.where(fits(F.col("nx"), F.col("ny"))).select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"))
-    more = known.where("m > mx + my").select("key")
-    n_more = more.count()
-    hot_links = None
-    if n_more:
-        some = index.join(broadcast_if_small(more, n_more, BROADCAST_ROWS), "key").distinct()
-        some = written(some.join(classes.select("cls", "rep", "n"), "cls").select("key", "rep", "n"), "members")
-        width_of = some.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.min("rep").alias("low"))
-        cold = some.join(width_of.where(F.col("w") <= COLD).select("key"), "key")
-        left, right = cold.select("key", F.col("rep").alias("a"), F.col("n").alias("na")), cold.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
-        pairs = pairs.union(left.join(right, "key").where("a < b").where(fits(F.col("na"), F.col("nb"))).select("a", "b"))
-        hot = some.join(width_of.where(F.col("w") > COLD).select("key", "low"), "key").select("rep", "low")
-        clusters = connected_components(hot, "rep", "low").select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
-        hot_links = clusters
-    pairs = written(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
-    if hot_links is not None:
-        wanted = wanted.union(hot_links.select("rep"))
-    wanted = written(wanted.distinct(), "wanted")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS), "rep")
-    held = written(_with_sets(texts, width).dropDuplicates(["rep"]), "held")
-    side = lambda c, *cols: held.select(F.col("rep").alias(c), *[F.col(x).alias(x[0] + c) for x in cols])
+    some = edges.select("key", F.col("a").alias("cls"), F.col("ta").alias("tag")).union(edges.select("key", "b", "tb")).distinct()
+    members = written(some.join(classes.select("cls", "rep", "n"), "cls").select("key", "rep", "n", "tag"), "members", instead_of=edges)
+    width_of = members.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.min(F.xxhash64("rep", F.shiftright("tag", 16))).alias("low"))
+    hot = members.join(width_of.where(F.col("w") > COLD).select("key", "low"), "key")
+    hot = written(hot.select(F.xxhash64("rep", F.shiftright("tag", 16)).alias("node"), "rep", "low").distinct(), "hot")  # a node is a class in a band
+    clusters = connected_components(hot, "node", "low").join(hot.select("node", "rep").distinct(), "node").select(F.col("component").alias("cluster"), "rep")
+    cold = written(members.join(width_of.where((F.col("w") <= COLD) & (F.col("w") > 1)).select("key"), "key"), "cold", instead_of=members)
+    half = lambda c: cold.select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("tag").alias(f"t{c}"))
+    pairs = half("a").join(half("b"), "key").where("a < b").where(fits(F.col("na"), F.col("nb")))
+    pairs = pairs.groupBy("a", "b", F.shiftright("ta", 16).alias("band")).agg(F.count(F.lit(1)).alias("common"), F.max(F.greatest("ta", "tb")).alias("t"))
+    pairs = written(pairs.where(F.col("common") >= F.col("t") % 65536).select("a", "b").distinct(), "candidates", instead_of=cold)
+    ids = sets.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+
+    def fetched(reps: DataFrame, whole: bool) -> DataFrame:
+        reps = written(reps.distinct(), "reps")
+        texts = rows.withColumnRenamed("doc_id", "rep").join(broadcast_if_small(reps, reps.count(), BROADCAST_ROWS), "rep")
+        got = _with_sets(texts, width, whole)
+        return written(got if ids.n == ids.d else got.dropDuplicates(["rep"]), "words")
+
+    side = lambda t, c, name: t.select(F.col("rep").alias(c), F.col("words").alias(f"{name}{c}"))
     n_of = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias("n" + c))
-    near = pairs.join(side("a", "fold"), "a").join(side("b", "fold"), "b").join(n_of("a"), "a").join(n_of("b"), "b")
-    near = written(_near(near, percent), "near")
-    links = _verified(near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b"), percent)
-    if hot_links is not None:
-        links = links.union(_hot_links(hot_links.join(held.select("rep", "hashes"), "rep"), percent, 0))
+    ends = lambda t: t.select(F.col("a").alias("rep")).union(t.select("b"))
+    clusters = written(clusters, "clusters")
+    folds = fetched(ends(pairs).union(clusters.select("rep")), whole=False)
+    hopeful = written(_hopeful(clusters.join(folds, "rep").join(classes.select("rep", "n"), "rep"), percent), "hopeful")
+    near = pairs.join(side(folds, "a", "f"), "a").join(n_of("a"), "a").join(side(folds, "b", "f"), "b").join(n_of("b"), "b")
+    near = written(_near(near, percent), "near", instead_of=folds)
+    held = fetched(ends(near).union(hopeful.select("rep")), whole=True)
+    links = _verified(near.join(side(held, "a", "h"), "a").join(side(held, "b", "h"), "b"), percent)
+    links = links.union(_hot_links(hopeful.join(held, "rep"), percent))
     found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     class_component = classes.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     out = sets.join(class_component, "cls", "left")
