@@ -63,13 +63,13 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 200) -> np.
     n = len(y)
     weight = np.where(y > 0, n / 2 / max(1, (y > 0).sum()), n / 2 / max(1, (y < 0).sum())) * c / n
     x1 = np.hstack([x, np.ones((n, 1), x.dtype)])
-    scale = (x1 * x1).sum(1)
+    scale = np.einsum("ij,ij->i", x1, x1)
     step = 1.0 / (1.0 + 2.0 * float((weight * scale).sum()))
     w = np.zeros(x1.shape[1])
     v, t = w.copy(), 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        grad = v - 2 * (x1.T @ (weight * slack * y))
+        slack = np.maximum(0, 1 - y * (x1 @ v.astype(x1.dtype)))
+        grad = v - 2 * (x1.T @ (weight * slack * y).astype(x1.dtype))
         grad[-1] -= v[-1]
         new = v - step * grad
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
