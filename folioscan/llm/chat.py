@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits
+from folioscan.session import ship
 
 #: Control strings of the template, in the order of their reserved ids.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ANS]", "<<ROLE>>", "<<TEXT>>", "<</ROLE>>"]
@@ -92,7 +92,7 @@ def format_turns(conversations: DataFrame, ranks: str, pattern: str) -> DataFram
     Null role and text are empty; a null turn sorts first; repeated rows stay
     repeated; an empty table gives no rows; other columns are ignored.
     """
-    arrow_limits(conversations.sparkSession, 1024, "4m")
+    ship(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

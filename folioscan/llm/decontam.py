@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import textscan
-from folioscan.llm.common import arrow_limits, written
+from folioscan.llm.common import written
+from folioscan.session import ship
 
 ERROR_RATE, MIN_BYTES, BLOCK_BYTES = 0.06, 24, 4 << 20
 _PLAIN = np.full(256, 0x20, np.uint8)
@@ -167,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_co
     texts and items match nothing; a repeated document has its rows each time; an
     item_id with several texts may give several rows; other columns are ignored.
     """
-    arrow_limits(docs.sparkSession, 1024, "4m")
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema, out = "doc_id long, item_id long, distance int, max_errors int", None
     blocks = item_blocks(benchmark)
@@ -205,7 +206,7 @@ def detector(items: list[tuple[int, str]], rate: float = ERROR_RATE) -> Callable
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, whose text holds no test item.  Null
     texts stay."""
-    arrow_limits(docs.sparkSession, 1024, "4m")
+    ship(docs.sparkSession)
     for items in item_blocks(benchmark):
         docs = docs.where(~detector(items, rate)(F.col(text_col)))
     return docs

@@ -9,18 +9,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm import textscan
-from folioscan.llm.common import arrow_limits, broadcast_if_small, written
+from folioscan.llm.common import Scratch, broadcast_if_small, written
 from folioscan.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 80
 BAND, SUBS, SPARE = 1.25, 3, 35
-COLD, BLOCK, BROADCAST_ROWS = 16, 512, 1_000_000
-PART_KEYS, MERGE_ROWS = 750_000, 250_000
-_M = (1 << 64) - 1
+#: A key of more than COLD classes can be dropped; what is left of one is compared pair by pair up to WARM classes.
+COLD, WARM, BROADCAST_ROWS = 16, 48, 1_000_000
+STREAM_SHINGLES, STREAMS_A_TASK, SEND_KEYS, MERGE_ROWS = 3_000_000, 64, 250_000, 500_000
+BLOCK_BYTES, PRUNINGS, GROUP_BITS = 8 << 20, 2, 10
+SHARED = np.int64(-1 << 63)
+_M, _GROUP = (1 << 64) - 1, np.uint64((1 << GROUP_BITS) - 1)
 
 
 @lru_cache(1 << 12)
@@ -75,14 +78,15 @@ def class_of(s: np.ndarray) -> int:
 
 def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of which any set linked to s (but not equal) has some too, and with each
-    a tag: its band, and how many keys of that band a linked set has at least.
+    a tag: the set's size, its band, and in how many groups a linked set meets it at least.
 
     A shingle hash sets one bit of a parity sketch: 64 bits for each of SUBS parts
     of each group.  Bits that differ between two sketches are no more than the
     symmetric difference.  In a group that differs in one bit or none, all parts
     but one are equal: each way to leave one part out makes a key.  Ways that
-    leave nothing are skipped, unless a set has more such groups than spare ones:
-    then it gives all keys, so two such sets still meet."""
+    leave no odd bit are skipped, unless a set has more groups with such ways than
+    spare ones: then it gives all keys, so two such sets still meet.  The lowest
+    bits of a key number its group (modulo 1 << GROUP_BITS)."""
     out, tags = [], []
     for band, low, high in bands_of(len(s), percent):
         groups, spare = scheme(low, high, percent)
@@ -90,18 +94,19 @@ def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
             continue
         parts = groups * SUBS
         at = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        count = np.bincount(at, minlength=parts).reshape(groups, SUBS)
         bits = np.bincount(at * 64 + (s & np.uint64(63)).astype(np.int64), minlength=parts * 64) & 1
         sketch = np.packbits(bits.astype(np.uint8)).view(np.uint64)
         tag = np.uint64((band << 44) & _M) + np.arange(parts, dtype=np.uint64)
         h = textscan.mix(textscan.mix(tag) + sketch).reshape(groups, SUBS)
         key = textscan.mix(h.sum(1, keepdims=True) - h + np.arange(SUBS, dtype=np.uint64))
-        left = count.sum(1, keepdims=True) - count > 0
+        key = key & ~_GROUP | (np.arange(groups, dtype=np.uint64) & _GROUP)[:, None]
+        odd = (sketch != 0).reshape(groups, SUBS)
+        left = odd.sum(1, keepdims=True) - odd > 0
         dull = int((~left.all(1)).sum())
         if dull > spare:
             left[:] = True
         out.append(key[left])
-        tags.append(np.full(len(out[-1]), band << 16 | max(1, min(spare + 1 - dull, 0xFFFF)), np.int64))
+        tags.append(np.full(len(out[-1]), len(s) << 32 | band << 16 | max(1, min(spare + 1 - dull, 0xFFFF)), np.int64))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(tags)
@@ -133,99 +138,106 @@ def _sets(b: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     return textscan.shingle_sets(b.column(1), width)
 
 
-def _starred(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, leader row of each row, order): rows sorted by key, stable; the first
-    row of each key leads it."""
+def _joined(key: np.ndarray, cls: np.ndarray, tag: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows (key, cls, tag) as one leading row for each key, the first, whose tag is
+    marked SHARED if the key has another class, and the rows of those other classes."""
     order = np.argsort(key, kind="stable")
-    k = key[order]
+    k, c, t = key[order], cls[order], tag[order]
     first = np.ones(len(k), bool)
     np.not_equal(k[1:], k[:-1], out=first[1:])
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(k) else np.zeros(0, np.int64)
-    return first, lead, order
-
-
-def _edges(key: np.ndarray, cls: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """One row per key, and (key, leader, its tag, other, its tag) for the other classes of each key."""
-    first, lead, order = _starred(key)
-    k, c, t = key[order], cls[order], tag[order]
-    other = c != c[lead]
-    return k[first], c[first], t[first], [k[other].view(np.int64), c[lead[other]], t[lead[other]], c[other], t[other]]
+    at = np.flatnonzero(first)
+    other = c != c[at][np.cumsum(first) - 1] if len(k) else first
+    shared = np.logical_or.reduceat(other | (t < 0), at) if len(k) else first
+    return [k[at], c[at], np.where(shared, t[at] | SHARED, t[at] & ~SHARED)], [k[other], c[other], t[other] & ~SHARED]
 
 
-def _shared_keys(rows: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    """(key, a, ta, b, tb): classes that have a key in common, as stars around one of them.
+def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partitions: int) -> DataFrame:
+    """(key, cls, tag) of all classes that have a key in common with another one;
+    rows may be repeated.
 
     Equal keys that meet in one batch are joined there and go on as one row. Rows
-    go to ``parts`` streams by key, packed (six bytes of the key, class and tag once
-    for their keys), and each stream keeps one class per key it has seen, so a task's
-    memory follows the number of distinct keys and not that of a key's documents."""
-    blobs, ends = ["keys", "cls", "tags", "counts"], ["key", "a", "ta", "b", "tb"]
-    names = ["part", *blobs, *(f"e_{e}" for e in ends)]
+    go to ``streams`` by key, packed (six bytes of the key, class and tag once for
+    their keys); a task takes its streams one after the other, sorted by Spark, and
+    keeps one class per key of the stream at hand, so its memory follows the number
+    of distinct keys in a stream and neither the input nor a key's documents."""
+    names, ends = ["part", "keys", "cls", "tags", "counts"], ["key", "cls", "tag"]
     low = np.uint64((1 << 48) - 1)
 
-    def batch(part: list[int], columns: list[list[bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names)
+    def named(key: np.ndarray, stream: np.ndarray | int) -> np.ndarray:
+        return (key & low | (np.asarray(stream).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)).view(np.int64)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(keys: list[np.ndarray], cls: list[np.ndarray], tags: list[np.ndarray]) -> pa.RecordBatch:
+            lead, other = _joined(*(np.concatenate(x) for x in (keys, cls, tags)))
+            part, out = [], [[], [], [], []]
+            for (key, c, t), done in ((lead, 0), (other, 1)):
+                to = ((key >> np.uint64(32)) * np.uint64(streams) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((t, c, to))
+                key, c, t, to = key[order], c[order], t[order], to[order]
+                cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, np.int64)
+                for x, y in zip(cut[:-1], cut[1:]):
+                    run = np.flatnonzero(np.concatenate([[True], (c[x + 1 : y] != c[x : y - 1]) | (t[x + 1 : y] != t[x : y - 1]), [True]]))
+                    part.append(int(to[x]) << 1 | done)
+                    out[0].append(np.ascontiguousarray(key[x:y].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+                    out[1].append(c[x:y][run[:-1]].tobytes())
+                    out[2].append(t[x:y][run[:-1]].tobytes())
+                    out[3].append(np.diff(run).astype(np.uint16 if y - x < 65536 else np.uint32).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names)
+
+        held: list[list[np.ndarray]] = [[], [], []]
         for b in batches:
-            keys, cls, tags = [], [], []
             for s in _sets(b, width):
                 k, t = keys_of(s, percent) if len(s) else (s, s)
                 if len(k):
-                    cls.append(np.full(len(k), class_of(s), np.int64))
-                    keys.append(k)
-                    tags.append(t)
-            if not keys:
-                continue
-            key, c, t, edges = _edges(np.concatenate(keys), np.concatenate(cls), np.concatenate(tags))
-            if len(edges[0]):
-                edges[0] = (edges[0].view(np.uint64) & low).view(np.int64)
-                yield batch([int(edges[1][0]) & 0x3FFFFFFF], [[b""]] * 4 + [[e.tobytes()] for e in edges])
-            to = ((key >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
-            order = np.lexsort((t, c, to))
-            key, c, t, to = key[order], c[order], t[order], to[order]
-            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-            part, out = [], [[], [], [], []]
-            for x, y in zip(cut[:-1], cut[1:]):
-                run = np.flatnonzero(np.concatenate([[True], (c[x + 1 : y] != c[x : y - 1]) | (t[x + 1 : y] != t[x : y - 1]), [True]]))
-                part.append(int(to[x]))
-                out[0].append(np.ascontiguousarray(key[x:y].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-                out[1].append(c[x:y][run[:-1]].tobytes())
-                out[2].append(t[x:y][run[:-1]].astype(np.uint32).tobytes())
-                out[3].append(np.diff(run).astype(np.uint16 if y - x < 65536 else np.uint32).tobytes())
-            yield batch(part, out + [[b""] * len(part)] * 5)
+                    for x, y in zip(held, (k, np.full(len(k), class_of(s), np.int64), t)):
+                        x.append(y)
+            if sum(map(len, held[0])) >= SEND_KEYS:
+                yield emit(*held)
+                held = [[], [], []]
+        if held[0]:
+            yield emit(*held)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))]
-        waiting = 0
+        now, held, waiting = -1, [], 0
 
-        def table(e: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in e], ends)
+        def table(e: list[np.ndarray], stream: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (named(e[0], stream), *e[1:])], ends)
 
-        def merge() -> pa.RecordBatch:
+        def merge() -> list[np.ndarray]:
             nonlocal held, waiting
-            *rest, e = _edges(*(np.concatenate(x) for x in zip(*held)))
-            held, waiting = [tuple(rest)], 0
-            return table(e)
+            lead, other = _joined(*(np.concatenate(x) for x in zip(*held)))
+            held, waiting = [lead], 0
+            return other
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held:
+                yield table(merge(), now)
+                shared = held[0][2] < 0
+                yield table([held[0][0][shared], held[0][1][shared], held[0][2][shared] & ~SHARED], now)
+                held = []
 
         for b in batches:
-            for row in zip(*b.columns[1:]):
-                k, c, t, n, *e = (x.as_py() for x in row)
-                if e[0]:
-                    yield table([np.frombuffer(x, np.int64) for x in e])
-                    continue
+            for part, k, c, t, n in zip(*(x.to_pylist() for x in b.columns)):
                 six = np.frombuffer(k, np.uint8).reshape(-1, 6)
                 eight = np.zeros((len(six), 8), np.uint8)
                 eight[:, :6] = six
                 times = np.frombuffer(n, np.uint16 if len(six) < 65536 else np.uint32)
-                held.append((eight.view(np.uint64).ravel(), np.repeat(np.frombuffer(c, np.int64), times), np.repeat(np.frombuffer(t, np.uint32), times)))
+                rows = [eight.view(np.uint64).ravel(), np.repeat(np.frombuffer(c, np.int64), times), np.repeat(np.frombuffer(t, np.int64), times)]
+                if part & 1:
+                    yield table(rows, part >> 1)
+                    continue
+                if part >> 1 != now:
+                    yield from close()
+                    now = part >> 1
+                held.append(rows)
                 waiting += len(six)
                 if waiting >= MERGE_ROWS:
-                    yield merge()
-        yield merge()
+                    yield table(merge(), now)
+        yield from close()
 
-    packs = ", ".join(f"{n} binary" for n in names[1:])
-    return rows.mapInArrow(packed, f"part int, {packs}").repartition(parts, "part").mapInArrow(merged, ", ".join(f"{e} long" for e in ends))
+    sent = rows.mapInArrow(packed, "part long, keys binary, cls binary, tags binary, counts binary")
+    return sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(merged, "key long, cls long, tag long")
 
 
 def _with_sets(rows: DataFrame, width: int, whole: bool) -> DataFrame:
@@ -239,6 +251,17 @@ def _with_sets(rows: DataFrame, width: int, whole: bool) -> DataFrame:
     return rows.select("rep", "text").mapInArrow(run, "rep long, words binary")
 
 
+def _folded(held: DataFrame) -> DataFrame:
+    """held (rep, words, n) with the folded sketch of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold = [folded(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fold, pa.binary())], ["rep", "n", "words", "fold"])
+
+    return held.select("rep", "n", "words").mapInArrow(run, "rep long, n long, words binary, fold binary")
+
+
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose folded sketches do not rule a link out."""
 
@@ -264,15 +287,33 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def forest(reps: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Verified links that connect the same sets as all links between the two
-    sides (within the one side, if there is one) do.  Pairs that are connected
-    already are not looked at; sketches rule most others out."""
-    n = len(reps)
-    size = np.array([len(s) for s in sets])
-    words = min(fold_bits(int(x)) for x in size) // 64
-    by = [folded(s) for s in sets]
-    root = list(range(n))
+def near_rows(size: np.ndarray, by: list[np.ndarray], side: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of side 0 with the rows of side 1 of another label that sizes and
+    sketches do not rule out, nearest first."""
+    length = np.array([len(f) for f in by])
+    rights = {int(n): np.flatnonzero((side == 1) & (length == n)) for n in np.unique(length[side == 1])}
+    folds: dict[tuple[int, int], np.ndarray] = {}
+    for i in np.flatnonzero(side == 0).tolist():
+        found, gaps = [], []
+        for n in (int(length[i]) // 2, int(length[i]), 2 * int(length[i])):
+            if n not in rights:
+                continue
+            js, w = rights[n], min(n, int(length[i]))
+            if (n, w) not in folds:
+                folds[n, w] = np.stack([refold(by[j], w) for j in js])
+            gap = np.bitwise_count(folds[n, w] ^ refold(by[i], w)).sum(1, dtype=np.int64)
+            fit = (label[js] != label[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))
+            fit &= gap <= (100 - percent) * (size[js] + size[i]) // (100 + percent)
+            found.append(js[fit])
+            gaps.append(gap[fit])
+        if found:
+            yield i, np.concatenate(found)[np.argsort(np.concatenate(gaps), kind="stable")]
+
+
+def forest(reps: list[int], sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Verified links between the two sides that connect the same labels as all
+    links between them do; pairs that are connected already are not looked at."""
+    root = {x: x for x in label.tolist()}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -280,96 +321,159 @@ def forest(reps: list[int], sets: list[np.ndarray], side: np.ndarray, percent: i
             x = root[x]
         return x
 
-    fold = np.stack([refold(f, words) for f in by])
     out = []
-    lefts, rights = (np.flatnonzero(side == 0), np.flatnonzero(side == side.max()))
-    for i in lefts.tolist():
-        js = rights[rights > i] if side.max() == 0 else rights
-        js = js[(100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
-        if not len(js):
-            continue
-        limit = (100 - percent) * (size[js] + size[i]) // (100 + percent)
-        gap = np.bitwise_count(fold[js] ^ fold[i]).sum(1, dtype=np.int64)
-        ok = gap <= limit
-        for j in js[ok][np.argsort(gap[ok], kind="stable")].tolist():
-            if find(i) != find(j):
-                w = min(len(by[i]), len(by[j]))
-                if int(np.bitwise_count(refold(by[i], w) ^ refold(by[j], w)).sum()) <= max_difference(size[i], size[j], percent) and linked(sets[i], sets[j], percent):
-                    root[find(j)] = find(i)
-                    out.append((reps[i], reps[j]))
+    for i, js in near_rows(np.array([len(s) for s in sets]), [folded(s) for s in sets], side, label, percent):
+        for j in js.tolist():
+            if (a := find(int(label[i]))) != (b := find(int(label[j]))) and linked(sets[i], sets[j], percent):
+                root[b] = a
+                out.append((reps[i], reps[j]))
     return out
 
 
-def partners(reps: list[int], size: np.ndarray, by: list[np.ndarray], side: np.ndarray, percent: int) -> list[int]:
-    """Those of reps whose folded sketch leaves a link to one of the other side
-    (of the one side, if there is one) possible."""
-    words = min(len(f) for f in by)
-    fold, hit = np.stack([refold(f, words) for f in by]), np.zeros(len(reps), bool)
-    lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
-    for i in lefts.tolist():
-        js = rights[rights > i] if side.max() == 0 else rights
-        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-        near = js[np.bitwise_count(fold[js] ^ fold[i]).sum(1, dtype=np.int64) <= (100 - percent) * (size[js] + size[i]) // (100 + percent)]
-        if len(near):
-            hit[i] = True
-            hit[near] = True
-    return [r for r, h in zip(reps, hit.tolist()) if h]
-
-
-def _dealt(members: DataFrame) -> DataFrame:
-    """members (cluster, rep, ...) once for each pair of blocks of about BLOCK that
-    their own block is in: each (cluster, lo, hi) is a group of at most two blocks,
-    so no task holds more however large a cluster is."""
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("g")).select("cluster", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-    m = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return m.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
-
-
-def _hopeful(members: DataFrame, percent: int) -> DataFrame:
-    """(cluster, rep) of members (cluster, rep, n, words) with a possible link in
-    their cluster, by sketches alone."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+def _dealt(members: DataFrame, size: Column) -> DataFrame:
+    """members (cluster, rep, label, ...): those outside the largest label of their
+    cluster (side 0) meet all of it (side 1) in groups (cluster, lo, hi) of a block
+    of each, both of about BLOCK_BYTES, so no task holds more however large a
+    cluster is.  A cluster of one label gives nothing."""
+    top = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
+    m = members.join(top, "cluster").withColumn("outside", F.col("label") != F.col("top")).drop("top")
+    blocks = lambda x: F.ceil(F.sum(x) / BLOCK_BYTES).cast("int")
+    count = m.groupBy("cluster").agg(blocks(size).alias("all"), blocks(F.when(F.col("outside"), size)).alias("out")).where("out is not null")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    m = m.join(count, "cluster")
+    left = m.where("outside").select("*", F.lit(0).alias("side"), own("out").alias("lo"), every("all").alias("hi"))
+    return left.union(m.select("*", F.lit(1).alias("side"), every("out").alias("lo"), own("all").alias("hi"))).drop("all", "out", "outside")
+
+
+def _compared(members: DataFrame, size: Column, percent: int, whole: bool) -> DataFrame:
+    """(a, b) of members (cluster, rep, label, n, words): links that connect the
+    labels of each cluster (``whole``: words are sets), or for each member that may
+    have one (words are sketches) a row with itself and its cluster."""
+
+    def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        side = (np.asarray(t.column("block")) != key[1].as_py()).astype(int)
-        out = partners(t.column("rep").to_pylist(), np.asarray(t.column("n")), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")], side, percent)
-        return pa.table({"cluster": pa.array([key[0].as_py()] * len(out), pa.int64()), "rep": pa.array(out, pa.int64())})
-
-    return _dealt(members).groupBy("cluster", "lo", "hi").applyInArrow(run, "cluster long, rep long").distinct()
+        reps, words = t.column("rep").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")]
+        side, label = np.asarray(t.column("side")), np.asarray(t.column("label"))
+        if whole:
+            out = forest(reps, words, side, label, percent)
+        else:
+            hit: set[int] = set()
+            for i, js in near_rows(np.asarray(t.column("n")), words, side, label, percent):
+                hit.update([i, *js.tolist()] if len(js) else [])
+            cluster = t.column("cluster")[0].as_py() if len(t) else 0
+            out = [(r, cluster) for r in sorted({reps[h] for h in hit})]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
+    return _dealt(members, size).groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
 
-def _hot_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links that connect the members (cluster, rep, words) of each cluster."""
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        side = (np.asarray(t.column("block")) != key[1].as_py()).astype(int)
-        out = forest(t.column("rep").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("words")], side, percent)
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+def _linkable(held: DataFrame, percent: int) -> DataFrame:
+    """held (rep, n, words) without the sets that share too few of their shingles with
+    any other of held to have a link there: shingles found once are counted for their
+    set, in rows of one long each."""
 
-    return _dealt(members).groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, words in zip(b.column(0).to_pylist(), b.column(1)):
+                s = np.frombuffer(words.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s)], ["rep", "s"])
+
+    single = held.select("rep", "words").mapInArrow(run, "rep long, s long").groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("rep")).where("df = 1")
+    own = single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return held.join(own, "rep", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).drop("own")
+
+
+def _hot_links(members: DataFrame, held: DataFrame, percent: int, tables: Scratch) -> DataFrame:
+    """Links that connect the sets held (rep, n, words, fold) of the members (key, rep, w)
+    of each key, w being the number of them.
+
+    Sets without enough shingles in common with all others are left out.  The set with the most company
+    leads each of its keys, and its links contract the key's members; then only those outside the
+    largest part of a cluster (keys that have members in common) are compared with the
+    cluster, by sketches first."""
+    for _ in range(PRUNINGS):
+        held = tables.written(_linkable(held, percent), "linkable")
+    m = members.join(held.select("rep", "n"), "rep")
+    m = m.join(m.groupBy("rep").agg(F.sum("w").alias("company")), "rep")
+    lead = m.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"), "n")).alias("l")).select("key", (-F.col("l.minus")).alias("a"), F.col("l.n").alias("na"))
+    stars = m.join(lead, "key").where("rep <> a").select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
+    stars = tables.written(stars, "stars")
+    side = lambda c: held.select(F.col("rep").alias(c), F.col("words").alias("h" + c))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    links = tables.written(_verified(stars.where(fits).join(side("a"), "a").join(side("b"), "b"), percent), "links", (256, "4m"))
+    label = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    cluster = connected_components(stars, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    m = held.join(cluster, "rep").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    m = tables.written(m, "members")
+    hopeful = _compared(m.select("cluster", "rep", "label", "n", F.col("fold").alias("words")), F.octet_length("words") + 64, percent, whole=False)
+    hopeful = tables.written(hopeful.distinct().select(F.col("a").alias("rep"), F.col("b").alias("cluster")), "hopeful")
+    return links.union(_compared(m.join(hopeful, ["rep", "cluster"], "left_semi").select("cluster", "rep", "label", "n", "words"), F.octet_length("words") + 64, percent, whole=True))
+
+
+def _bucketed(tokens: DataFrame, limit: int) -> DataFrame:
+    """(key, w, members) of tokens (key, cls, tag) that are dealt by key already: the w
+    classes of a key as one array, or a row each where they are more than limit."""
+    counted = tokens.withColumn("w", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("w > 1")
+    return counted.groupBy("key", F.when(F.col("w") > limit, F.col("cls")).alias("own")).agg(F.max("w").cast("int").alias("w"), F.collect_list(F.struct("cls", "tag")).alias("members")).drop("own")
+
+
+def _tag(tag: str) -> tuple[Column, Column, Column]:
+    """(size, band, required groups) of a tag."""
+    return F.shiftright(tag, 32), F.shiftright(tag, 16).bitwiseAND(0xFFFF), F.col(tag).bitwiseAND(0xFFFF)
+
+
+def droppable(required: Column) -> Column:
+    """How many groups a set may lose of those in which any linked set meets it."""
+    return F.floor((required - 1) * 2 / 3)
+
+
+def _without_hottest(hot: DataFrame, percent: int) -> DataFrame:
+    """hot (key, w, members) without the hottest keys of each set.
+
+    All sets rank keys alike, by (w, key), and drop their highest ones as long as these
+    are in no more than droppable groups.  Of two linked sets, the one that drops from
+    a lower rank on drops all that the other drops of their common keys, so as many
+    groups as are required less those droppable still meet."""
+    bounds = band_bounds(percent, 1 << 40)
+    wide = next((j for j in range(len(bounds) - 1) if scheme(-(-percent * bounds[j] // 100), bounds[j + 1] - 1, percent)[0] > 1 << GROUP_BITS), len(bounds))
+    t = hot.select("key", "w", F.col("members")[0].cls.alias("cls"), F.col("members")[0].tag.alias("tag")).repartition("cls")
+    _, band, required = _tag("tag")
+    group = F.when(band < wide, F.col("key").bitwiseAND(int(_GROUP))).otherwise(F.col("key"))
+    t = t.withColumns({"band": band, "group": group}).withColumn("top", F.max(F.struct("w", "key")).over(Window.partitionBy("cls", "band", "group")))
+    t = t.withColumn("nth", F.dense_rank().over(Window.partitionBy("cls", "band").orderBy(F.desc("top"))))
+    return t.where(F.col("nth") > droppable(required)).select("key", "cls", "tag")
+
+
+def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes with enough keys in common, of keys with few classes."""
+    t = buckets.select("members", F.explode("members").alias("p")).select("p", F.explode("members").alias("q")).where("p.cls < q.cls")
+    t = t.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), F.col("p.tag").alias("ta"), F.col("q.tag").alias("tb"))
+    (na, band, ra), (nb, _, rb) = _tag("ta"), _tag("tb")
+    required = F.greatest(ra, rb)
+    t = t.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb)).select("a", "b", F.shiftleft(band, 16).bitwiseOR(required - droppable(required)).cast("int").alias("need"))
+    return t.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= F.col("need").bitwiseAND(0xFFFF)).select("a", "b").distinct()
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: documents whose sets of
+    """(doc_id, n_shingles, component_id) for every row, written: documents whose sets of
     ``width``-word shingles have 100 * common >= percent * union are linked.
 
     Equal sets are one class, found by hash.  Keys of parity sketches (keys_of)
     are joined within a batch before they are shuffled, and leave only classes
-    that share one (_shared_keys).  Keys of up to COLD classes give
-    the pairs that have as many in common as linked sets must; classes that share a larger key form a cluster, which is
-    compared in blocks, for each band of sizes: by sketches first, then those left by
-    their sets, which gives no more links than connect it.  Every candidate is
-    decided on the whole sets, so no link is lost and none is made up (64-bit
-    hashes stand for shingles and for sets).
+    that share one (_shared_keys).  Each set drops some of the keys that most
+    classes share (_without_hottest).  Keys of few classes then give the pairs that
+    have as many in common as linked sets must, and larger ones, which are left where
+    many sets are much alike, are contracted around leading sets before anything is
+    compared within them (_hot_links).  Every candidate is decided on the whole
+    sets, so no link is lost and none is made up (64-bit hashes stand for shingles
+    and for sets).
 
     Null, empty and wordless texts have no shingles and their own id as component;
     a text of fewer words than ``width`` has one shingle; repeated ids are rows of
     their own; other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    arrow_limits(spark, 512, "2m")
+    spark, batch = docs.sparkSession, (512, "2m")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,53 +484,53 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
                 cls.append(class_of(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"])
 
-    sets = written(rows.mapInArrow(measure, "doc_id long, n long, cls long"), "sets")
-    classes = written(sets.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
-
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_KEYS))
-    edges = written(_shared_keys(rows, width, percent, parts), "keys")
-    fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    some = edges.select("key", F.col("a").alias("cls"), F.col("ta").alias("tag")).union(edges.select("key", "b", "tb")).distinct()
-    members = written(some.join(classes.select("cls", "rep", "n"), "cls").select("key", "rep", "n", "tag"), "members", instead_of=edges)
-    width_of = members.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.min(F.xxhash64("rep", F.shiftright("tag", 16))).alias("low"))
-    hot = members.join(width_of.where(F.col("w") > COLD).select("key", "low"), "key")
-    hot = written(hot.select(F.xxhash64("rep", F.shiftright("tag", 16)).alias("node"), "rep", "low").distinct(), "hot")  # a node is a class in a band
-    clusters = connected_components(hot, "node", "low").join(hot.select("node", "rep").distinct(), "node").select(F.col("component").alias("cluster"), "rep")
-    cold = written(members.join(width_of.where((F.col("w") <= COLD) & (F.col("w") > 1)).select("key"), "key"), "cold", instead_of=members)
-    half = lambda c: cold.select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("tag").alias(f"t{c}"))
-    pairs = half("a").join(half("b"), "key").where("a < b").where(fits(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy("a", "b", F.shiftright("ta", 16).alias("band")).agg(F.count(F.lit(1)).alias("common"), F.max(F.greatest("ta", "tb")).alias("t"))
-    pairs = written(pairs.where(F.col("common") >= F.col("t") % 65536).select("a", "b").distinct(), "candidates", instead_of=cold)
-    ids = sets.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-
-    def fetched(reps: DataFrame, whole: bool) -> DataFrame:
-        reps = written(reps.distinct(), "reps")
-        texts = rows.withColumnRenamed("doc_id", "rep").join(broadcast_if_small(reps, reps.count(), BROADCAST_ROWS), "rep")
-        got = _with_sets(texts, width, whole)
-        return written(got if ids.n == ids.d else got.dropDuplicates(["rep"]), "words")
-
-    side = lambda t, c, name: t.select(F.col("rep").alias(c), F.col("words").alias(f"{name}{c}"))
-    n_of = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias("n" + c))
-    ends = lambda t: t.select(F.col("a").alias("rep")).union(t.select("b"))
-    clusters = written(clusters, "clusters")
-    folds = fetched(ends(pairs).union(clusters.select("rep")), whole=False)
-    hopeful = written(_hopeful(clusters.join(folds, "rep").join(classes.select("rep", "n"), "rep"), percent), "hopeful")
-    near = pairs.join(side(folds, "a", "f"), "a").join(n_of("a"), "a").join(side(folds, "b", "f"), "b").join(n_of("b"), "b")
-    near = written(_near(near, percent), "near", instead_of=folds)
-    held = fetched(ends(near).union(hopeful.select("rep")), whole=True)
-    links = _verified(near.join(side(held, "a", "h"), "a").join(side(held, "b", "h"), "b"), percent)
-    links = links.union(_hot_links(hopeful.join(held, "rep"), percent))
-    found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    class_component = classes.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(class_component, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    with Scratch(spark) as tables:
+        sets = tables.written(rows.mapInArrow(measure, "doc_id long, n long, cls long"), "sets", batch)
+        classes = tables.written(sets.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        streams = max(least, -(-(classes.agg(F.sum("n")).first()[0] or 0) // STREAM_SHINGLES))
+        shared = tables.written(_shared_keys(rows, width, percent, streams, max(least, -(-streams // STREAMS_A_TASK))), "keys", batch)
+        once = shared.repartition("key").groupBy("key", "cls").agg(F.first("tag").alias("tag"))
+        buckets = tables.written(_bucketed(once, COLD), "buckets")
+        tables.drop(shared)
+        warm = tables.written(_bucketed(_without_hottest(buckets.where(F.col("w") > COLD), percent).repartition("key"), WARM), "warm")
+        pairs = tables.written(_pairs(buckets.where(F.col("w") <= COLD).union(warm.where(F.col("w") <= WARM)), percent), "candidates")
+        tables.drop(buckets)
+        ids = sets.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+
+        def fetched(reps: DataFrame, whole: bool) -> DataFrame:
+            reps = tables.written(reps.distinct(), "reps")
+            texts = rows.withColumnRenamed("doc_id", "rep").join(broadcast_if_small(reps, reps.count(), BROADCAST_ROWS), "rep")
+            got = _with_sets(texts, width, whole)
+            return tables.written(got if ids.n == ids.d else got.dropDuplicates(["rep"]), "words", batch)
+
+        side = lambda t, c, name: t.select(F.col("rep").alias(c), F.col("words").alias(f"{name}{c}"))
+        ends = lambda t: t.select(F.col("a").alias("rep")).union(t.select("b"))
+        of = lambda c: classes.select(F.col("cls").alias(c), F.col("rep").alias("r" + c), F.col("n").alias("n" + c))
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb")
+        pairs = tables.written(pairs, "pairs")
+        folds = fetched(ends(pairs), whole=False)
+        near = tables.written(_near(pairs.join(side(folds, "a", "f"), "a").join(side(folds, "b", "f"), "b"), percent), "near", batch)
+        tables.drop(folds)
+        held = fetched(ends(near), whole=True)
+        links = tables.written(_verified(near.join(side(held, "a", "h"), "a").join(side(held, "b", "h"), "b"), percent), "links", (256, "4m"))
+        tables.drop(held)
+
+        hot = tables.written(warm.where(F.col("w") > WARM).select("key", "w", F.col("members")[0].cls.alias("cls")).join(classes, "cls").select("key", "w", "rep"), "hot")
+        if not hot.isEmpty():
+            held = fetched(hot.select("rep"), whole=True)
+            held = tables.written(_folded(held.withColumn("n", (F.octet_length("words") / 8).cast("long"))), "held", batch)
+            links = links.union(_hot_links(hot, held, percent, tables))
+        found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+        class_component = classes.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
+        out = sets.join(class_component, "cls", "left")
+        return written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "components")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, with the smallest id of each component;
     of repeated rows of that id one stays.  Rows with a null id stay."""
-    found = written(components(docs, width, percent, id_col, text_col), "components")
+    found = components(docs, width, percent, id_col, text_col)
     total = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = broadcast_if_small(gone, total.n, BROADCAST_ROWS)

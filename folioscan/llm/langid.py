@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import textscan
-from folioscan.llm.common import arrow_limits
+from folioscan.session import ship
 
 #: Families of ISO 639-1 codes (fixed values); any other code is a family of its own.
 FAMILIES = {
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     of the id; at most 2 * sample rows reach the driver, as features.  Rows with
     null language, id or text do not count; without any, all texts are ``und``."""
     spark = docs.sparkSession
-    arrow_limits(spark, 256, "4m")
+    ship(spark)
     rows = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").where((F.crc32(F.col("k").cast("string").cast("binary")) % 4) != 2)
     count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     if not count:
@@ -194,7 +194,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, held_out, lang_pred, score for every row, in one pass without a
     shuffle.  A null text or one without a letter is ``und`` with score 0; a null
     id is not held out; repeated rows and clashing other columns do not matter."""
-    arrow_limits(docs.sparkSession, 1024, "4m")
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     said = rows.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), predictor(model)(F.col("text")).alias("p"))
     return said.select("doc_id", "held_out", "p.lang_pred", "p.score")

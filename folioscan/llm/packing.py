@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits
+from folioscan.session import ship
 
 CAPACITY, END_ID, BLOCK = 2048, 1, 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     packed each time; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    arrow_limits(spark, 512, "4m")
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import textscan
-from folioscan.llm.common import arrow_limits, written
+from folioscan.llm.common import written
 from folioscan.llm.langid import remainder
+from folioscan.session import ship
 
 N_FOURIER, FOLDS, BINS, PARTIALS, SEED = 256, 3, 2048, 16, 7
 RIDGE = [1e-5, 1e-4, 1e-3, 1e-2, 1e-1]
@@ -212,7 +213,7 @@ def scorer(model: Model) -> Callable[[Column], Column]:
 
 def stats_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats) of every row, written: one pass over the texts."""
-    arrow_limits(docs.sparkSession, 1024, "4m")
+    ship(docs.sparkSession)
     return written(docs.select(F.col(id_col).alias("doc_id"), statistics_column(F.col(text_col)).alias("stats")), "stats")
 
 

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, written
+from folioscan.llm.common import written
 from folioscan.llm.components import connected_components
+from folioscan.session import ship
 
 #: (verdict, host, path)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -79,7 +80,7 @@ def targets(url: str, markup: str) -> list[str]:
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst): all canonical links and refreshes in the pages' markup, as absolute
     urls; only pages that name one leave the JVM."""
-    arrow_limits(pages.sparkSession, 256, "4m")
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

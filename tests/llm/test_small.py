@@ -204,10 +204,10 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("width, percent, cold", [(3, 90, 16), (5, 80, 16), (3, 80, 2)])
-def test_components_against_brute_force(spark, monkeypatch, width, percent, cold):
-    monkeypatch.setattr(jaccard, "COLD", cold)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+@pytest.mark.parametrize("width, percent, cold, warm", [(3, 90, 16, 48), (5, 80, 2, 3), (2, 70, 1, 1)])
+def test_components_against_brute_force(spark, monkeypatch, width, percent, cold, warm):
+    for name, value in (("COLD", cold), ("WARM", warm), ("BLOCK_BYTES", 20_000), ("STREAM_SHINGLES", 3000), ("STREAMS_A_TASK", 3), ("SEND_KEYS", 2000), ("MERGE_ROWS", 500)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(width * percent)
     word = lambda: "".join(rng.choices("abcdefghij", k=3))
     passage = [word() for _ in range(55)]
@@ -216,9 +216,9 @@ def test_components_against_brute_force(spark, monkeypatch, width, percent, cold
         base = [word() for _ in range(rng.choice([1, 2, 4, 6, 12, 30, 80, 200, 400]))]
         if g % 3 == 0:
             base += passage
-        for _ in range(rng.choice([1, 1, 2, 5, 24])):
+        for _ in range(rng.choice([1, 1, 2, 5, 24, 60])):
             w = list(base)
-            for _ in range(rng.randint(0, 1 + len(w) // 50)):
+            for _ in range(rng.randint(0, 1 + len(w) // rng.choice([50, 20]))):
                 k = rng.randrange(len(w))
                 w[k : k + 1] = rng.choice([[], [word()], [w[k].upper()], [w[k], word()]])
             rows.append((len(rows), " ".join(w)))
@@ -239,8 +239,8 @@ def test_keys_meet_for_all_linked_sets():
         if len(t) and not np.array_equal(s, t) and jaccard.linked(s, t, 80):
             (a, x), (b, y) = jaccard.keys_of(s, 80), jaccard.keys_of(t, 80)
             shared, i, j = np.intersect1d(a, b, return_indices=True)
-            bands = {int(v) >> 16 for v in x} & {int(v) >> 16 for v in y}
-            assert bands and any(sum(x[i] >> 16 == v) >= max(max(z[z >> 16 == v] & 0xFFFF) for z in (x, y)) for v in bands)
+            bands = {int(v) >> 16 & 0xFFFF for v in x} & {int(v) >> 16 & 0xFFFF for v in y}
+            assert bands and any(len({int(k) & 1023 for k in shared[(x[i] >> 16 & 0xFFFF) == v]}) >= max(max(z[(z >> 16 & 0xFFFF) == v] & 0xFFFF) for z in (x, y)) for v in bands)
 
 
 def test_components_edges(docs, empty):
