@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioscan.session import ship
 
 #: Shuffle files of a finished write are deleted at once: written tables are read instead.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,7 +62,7 @@ def written(df: DataFrame, name: str = "table", batch: tuple[int, str] | None =
     bytes of an Arrow batch during this write, so that Python workers need little memory."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     ship(spark)
-    conf = {_CLEANUP: "true"}
+    conf = {CLEANUP: "true"}
     if batch:
         conf |= {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch[0]), "spark.sql.execution.arrow.maxBytesPerBatch": batch[1]}
     with settings(spark, conf):

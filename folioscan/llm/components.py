@@ -13,8 +13,8 @@ def _print(e: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node, component), written: the smallest id reachable from each node of an edge.
+def connected_components(edges: DataFrame, a: str, b: str, into: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
+    """(node, component), written (``into``: by that scope): the smallest id reachable from each node of an edge.
 
     Only (node, node) pairs are shuffled; the minimum of a node's neighbours is
     aggregated before the shuffle, and the join back to its edges is one that
@@ -47,4 +47,4 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             if last[0]:
                 raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-        return written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+        return (into.written if into else written)(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import textscan
-from folioscan.llm.common import written
+from folioscan.llm.common import broadcast_if_small, written
 from folioscan.session import ship
 
-ERROR_RATE, MIN_BYTES, BLOCK_BYTES = 0.06, 24, 4 << 20
+#: Items below LONG_BYTES allow no error; test items are matched in blocks of BLOCK_BYTES.
+ERROR_RATE, LONG_BYTES, BLOCK_BYTES, BROADCAST_ROWS = 0.06, 24, 16 << 20, 1_000_000
 _PLAIN = np.full(256, 0x20, np.uint8)
 for _r in ((48, 58), (97, 123), (128, 256)):
     _PLAIN[_r[0] : _r[1]] = np.arange(*_r)
@@ -76,16 +77,11 @@ def myers(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-class Matcher:
-    """Pieces of test items by the hash of their first bytes."""
+class Pieces:
+    """Pieces of test items (key, normalised text, errors allowed) by the hash of their first bytes."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, min_bytes: int = MIN_BYTES):
-        b, off = normalised(pa.array([t for _, t in items], pa.large_string()))
-        self.items = []
-        for (key, _), s, e in zip(items, off[:-1], off[1:]):
-            text = b[s:e].tobytes().strip()
-            if len(text) >= min_bytes:
-                self.items.append((key, text, int(rate * len(text))))
+    def __init__(self, items: list[tuple[int, bytes, int]]):
+        self.items = items
         pieces = []
         for i, (_, text, k) in enumerate(self.items):
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
@@ -110,42 +106,69 @@ class Matcher:
         h ^= h >> np.uint64(29)
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
-    def matches(self, arr: pa.Array) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, distance, errors allowed) of every pair within the budget."""
-        if not self.items or not len(arr):
+    def matches(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, distance, errors allowed) of every pair within the budget, for
+        normalised texts raw[off[i]:off[i + 1]]."""
+        if not self.items:
             return
-        _, offsets, _ = textscan.buffers(arr)
-        for lo, hi in textscan.runs(offsets):
-            raw, off = normalised(arr.slice(lo, hi - lo))
-            h = self._grams(raw)
-            at = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-            first, last = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            found: dict[tuple[int, int], list[int]] = {}
-            hit = np.flatnonzero(last > first)
-            doc = np.searchsorted(off, at[hit], "right") - 1
-            for d, p, a, z in zip(doc.tolist(), at[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
-                for i, shift, size in self.piece[a:z].tolist():
-                    text = self.items[i][1]
-                    if p + size <= off[d + 1] and raw[p : p + size].tobytes() == text[shift : shift + size]:
-                        found.setdefault((d, i), []).append(p - shift)
-            for (d, i), starts in sorted(found.items()):
-                if (best := self._verify(raw, int(off[d]), int(off[d + 1]), i, starts)) is not None:
-                    yield lo + d, self.items[i][0], best, self.items[i][2]
+        h = self._grams(raw)
+        at = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
+        first, last = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
+        found: dict[tuple[int, int], list[int]] = {}
+        hit = np.flatnonzero(last > first)
+        doc = np.searchsorted(off, at[hit], "right") - 1
+        for d, p, a, z in zip(doc.tolist(), at[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
+            for i, shift, size in self.piece[a:z].tolist():
+                text = self.items[i][1]
+                if p + size <= off[d + 1] and raw[p : p + size].tobytes() == text[shift : shift + size]:
+                    found.setdefault((d, i), []).append(p - shift)
+        for (d, i), starts in sorted(found.items()):
+            if (best := self._verify(raw, int(off[d]), int(off[d + 1]), i, starts)) is not None:
+                yield d, self.items[i][0], best, self.items[i][2]
 
     def _verify(self, raw: np.ndarray, lo: int, hi: int, i: int, starts: list[int]) -> int | None:
         _, text, k = self.items[i]
-        m, best, done = len(text), k + 1, -1
+        m = len(text)
         for s in sorted(set(starts)):
             if s >= lo and raw[s : s + m].tobytes() == text:
                 return 0
+        if not k:
+            return None
+        spans: list[list[int]] = []  # windows that overlap are read once
         for s in sorted(set(starts)):
             a, z = max(lo, s - k), min(hi, s + m + k)
-            if z <= done:
-                continue
-            best, done = min(best, myers(text, raw[a:z].tobytes())[0]), z
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], z)
+            else:
+                spans.append([a, z])
+        best = min(myers(text, raw[a:z].tobytes())[0] for a, z in spans)
         return best if best <= k else None
 
 
+class Matcher:
+    """Test items: those of LONG_BYTES normalised bytes and more within floor(rate * bytes)
+    edits, shorter ones exactly and between word borders."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, long_bytes: int | None = None):
+        b, off = normalised(pa.array([t for _, t in items], pa.large_string()))
+        texts = [(key, b[s:e].tobytes().strip()) for (key, _), s, e in zip(items, off[:-1], off[1:])]
+        least = LONG_BYTES if long_bytes is None else long_bytes
+        self.parts = [Pieces([(k, t, int(rate * len(t))) for k, t in texts if len(t) >= least])]
+        for lo, hi in ((1, 5), (5, least)):  # the shortest piece sets how many bytes are hashed
+            self.parts.append(Pieces([(k, b" " + t + b" ", 0) for k, t in texts if lo <= len(t) < min(hi, least)]))
+
+    def matches(self, arr: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, distance, errors allowed) of every pair within the budget."""
+        if not len(arr):
+            return
+        _, offsets, _ = textscan.buffers(arr)
+        for lo, hi in textscan.runs(offsets):
+            raw, off = normalised(arr.slice(lo, hi - lo))
+            for part in self.parts:
+                for d, *rest in part.matches(raw, off):
+                    yield lo + d, *rest
+
+
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The test items in blocks of about block_bytes, one at a time in the driver."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
@@ -164,8 +187,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_co
     texts are scanned where they are read; no row is shuffled.  Test items beyond
     BLOCK_BYTES go in blocks, each with a scan of its own.
 
-    Items shorter than MIN_BYTES when normalised are too common to count; null
-    texts and items match nothing; a repeated document has its rows each time; an
+    Items shorter than LONG_BYTES when normalised are found exactly, between word
+    borders; null texts and items, and items without a letter or digit, match nothing; a repeated document has its rows each time; an
     item_id with several texts may give several rows; other columns are ignored.
     """
     ship(docs.sparkSession)
@@ -204,9 +227,23 @@ def detector(items: list[tuple[int, str]], rate: float = ERROR_RATE) -> Callable
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, whose text holds no test item.  Null
-    texts stay."""
+    """The rows of docs, all columns kept, whose text holds no test item.
+
+    One block of test items filters in place.  With more, each block writes the two
+    hashes of the texts it finds, one block in memory at a time, and rows with these
+    hashes go at the end.  Null and empty texts stay; repeated rows stay or go together;
+    with no items, or an empty table, docs comes back as it is; other columns, of
+    whatever name, are not looked at."""
     ship(docs.sparkSession)
-    for items in item_blocks(benchmark):
-        docs = docs.where(~detector(items, rate)(F.col(text_col)))
-    return docs
+    text = docs[text_col]
+    hashes = [F.xxhash64(text).alias("__a"), F.xxhash64(text, F.lit(1)).alias("__b")]
+    blocks, found = item_blocks(benchmark), None
+    block = next(blocks, [])
+    while (after := next(blocks, None)) is not None or found is not None:
+        part = written(docs.where(detector(block, rate)(text)).select(*hashes).distinct(), "leaks")
+        found = part if found is None else found.union(part)
+        if after is None:
+            found = found.distinct()
+            return docs.join(broadcast_if_small(found, found.count(), BROADCAST_ROWS), (hashes[0] == F.col("__a")) & (hashes[1] == F.col("__b")), "left_anti")
+        block = after
+    return docs.where(~detector(block, rate)(text)) if block else docs

@@ -384,26 +384,28 @@ def _linkable(held: DataFrame, percent: int) -> DataFrame:
     return held.join(own, "rep", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).drop("own")
 
 
-def _hot_links(members: DataFrame, held: DataFrame, percent: int, tables: Scratch) -> DataFrame:
-    """Links that connect the sets held (rep, n, words, fold) of the members (key, rep, w)
-    of each key, w being the number of them.
-
-    Sets without enough shingles in common with all others are left out.  The set with the most company
-    leads each of its keys, and its links contract the key's members; then only those outside the
-    largest part of a cluster (keys that have members in common) are compared with the
-    cluster, by sketches first."""
+def _stars(hot: DataFrame) -> DataFrame:
+    """(a, b): of each key of hot (key, cls, w) the class with the most company leads (a)
+    the others (b); w is the number of the key's classes."""
+    company = F.sum("w").over(Window.partitionBy("cls"))
+    lead = F.max(F.struct("company", "cls")).over(Window.partitionBy("key"))
+    return hot.withColumn("company", company).select(lead.cls.alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
+
+
+def _hot_links(stars: DataFrame, held: DataFrame, percent: int, tables: Scratch) -> DataFrame:
+    """Links that connect the sets held (rep, n, words, fold), which meet in keys that many
+    have: stars (a, b) join a key's leading set to each other set of it.
+
+    Sets without enough shingles in common with all others are left out.  The links of the
+    leading sets contract the keys' members; then only those outside the largest part of a
+    cluster (of keys that have members in common) are compared with the cluster, by sketches first."""
     for _ in range(PRUNINGS):
         held = tables.written(_linkable(held, percent), "linkable")
-    m = members.join(held.select("rep", "n"), "rep")
-    m = m.join(m.groupBy("rep").agg(F.sum("w").alias("company")), "rep")
-    lead = m.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"), "n")).alias("l")).select("key", (-F.col("l.minus")).alias("a"), F.col("l.n").alias("na"))
-    stars = m.join(lead, "key").where("rep <> a").select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = tables.written(stars, "stars")
-    side = lambda c: held.select(F.col("rep").alias(c), F.col("words").alias("h" + c))
+    side = lambda c: held.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("words").alias("h" + c))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    links = tables.written(_verified(stars.where(fits).join(side("a"), "a").join(side("b"), "b"), percent), "links", (256, "4m"))
-    label = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    cluster = connected_components(stars, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    links = tables.written(_verified(stars.join(side("a"), "a").join(side("b"), "b").where(fits), percent), "links", (256, "4m"))
+    label = connected_components(links, "a", "b", tables).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    cluster = connected_components(stars, "a", "b", tables).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     m = held.join(cluster, "rep").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     m = tables.written(m, "members")
     hopeful = _compared(m.select("cluster", "rep", "label", "n", F.col("fold").alias("words")), F.octet_length("words") + 64, percent, whole=False)
@@ -516,12 +518,14 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
         links = tables.written(_verified(near.join(side(held, "a", "h"), "a").join(side(held, "b", "h"), "b"), percent), "links", (256, "4m"))
         tables.drop(held)
 
-        hot = tables.written(warm.where(F.col("w") > WARM).select("key", "w", F.col("members")[0].cls.alias("cls")).join(classes, "cls").select("key", "w", "rep"), "hot")
-        if not hot.isEmpty():
-            held = fetched(hot.select("rep"), whole=True)
+        stars = tables.written(_stars(warm.where(F.col("w") > WARM).select("key", "w", F.col("members")[0].cls.alias("cls"))), "stars")
+        tables.drop(warm)
+        stars = tables.written(stars.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), "stars")
+        if not stars.isEmpty():
+            held = fetched(ends(stars), whole=True)
             held = tables.written(_folded(held.withColumn("n", (F.octet_length("words") / 8).cast("long"))), "held", batch)
-            links = links.union(_hot_links(hot, held, percent, tables))
-        found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+            links = links.union(_hot_links(stars, held, percent, tables))
+        found = connected_components(links, "a", "b", tables).select(F.col("node").alias("rep"), "component")
         class_component = classes.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
         out = sets.join(class_component, "cls", "left")
         return written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "components")

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm import textscan
@@ -25,7 +25,10 @@ FAMILIES = {
 UNKNOWN = "und"
 BIGRAM_BITS, TRIGRAM_BITS = 10, 11
 DIMS = (1 << BIGRAM_BITS) + (1 << TRIGRAM_BITS)
-PER_LANGUAGE, SAMPLE = 400, 4000
+#: Rows fitted on: PER_LANGUAGE of a language, SAMPLE in all; more languages than MAX_LANGUAGES are an error.
+PER_LANGUAGE, SAMPLE, MAX_LANGUAGES = 400, 4000, 200
+#: Scores below this are no evidence of a language (see README: labelled documents score above it).
+MIN_SCORE = 0.25
 _LETTERISH = np.full(256, 0x20, np.uint8)
 _LETTERISH[97:123] = np.arange(97, 123)
 _LETTERISH[128:] = np.arange(128, 256)
@@ -153,28 +156,40 @@ def remainder(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
-    """Fits on labelled rows whose crc32(id) mod 4 is not 2, a sample of about
-    min(per_language, sample / languages) rows for each language, drawn by a hash
-    of the id; at most 2 * sample rows reach the driver, as features.  Rows with
-    null language, id or text do not count; without any, all texts are ``und``."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").where((F.crc32(F.col("k").cast("string").cast("binary")) % 4) != 2)
-    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    """Fits on labelled rows whose crc32(id) mod 4 is not 2: for each language, of its
+    distinct texts min(per_language, sample // languages) drawn by a hash of id and
+    text, so at most ``sample`` rows reach the driver, as features.  Rows with null
+    language, id or text do not count; repeated rows count once; without any, all
+    texts are ``und``.  Every language is drawn from; more than MAX_LANGUAGES of them
+    raise ValueError, since each pair within a family is a machine of its own."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").where(remainder("k") != 2)
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(count) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
     if not count:
         return Model()
-    each = min(per_language, sample // len(count))
-    share = F.lit(0)
-    for lang, n in count.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, each / n) * (1 << 31))).otherwise(share)
+    each = max(1, min(per_language, sample // len(count)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vectors = [v.tobytes() for block in features(b.column(1)) for v in block.astype(np.float16)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.binary())], ["lang", "x"])
 
-    drawn = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 31)) < share).select("lang", "text").mapInArrow(run, "lang string, x binary")
-    got = sorted((r.lang, bytes(r.x)) for r in drawn.limit(2 * sample).collect())
+    def drawn(part: dict[str, float]) -> list[tuple[str, bytes]]:
+        """Features of the texts of these languages with the least hashes, out of about these shares."""
+        share = F.lit(0)
+        for lang, p in part.items():
+            share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, p) * (1 << 31)))).otherwise(share)
+        t = rows.withColumn("h", F.pmod(F.xxhash64("k", "text"), F.lit(1 << 31))).where(F.col("h") < share)
+        t = t.groupBy("lang", F.xxhash64("text").alias("same")).agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h"))
+        t = t.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "same"))).where(F.col("nth") <= each)
+        return [(r.lang, bytes(r.x)) for r in t.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()]
+
+    got = drawn({lang: 2 * each / n for lang, n in count.items()})
+    if few := {lang: 1.0 for lang in count if lang not in {a for a, _ in got}}:  # many rows, but few that differ
+        got += drawn(few)
+    got.sort()
     x = np.stack([np.frombuffer(v, np.float16) for _, v in got]).astype(np.float32)
     return train(x, [a for a, _ in got])
 
@@ -198,3 +213,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     said = rows.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), predictor(model)(F.col("text")).alias("p"))
     return said.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def spoken(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, all columns kept, whose text is in a language: it has a letter and
+    its predicted language scores at least ``min_score``.  Null, empty and letterless texts
+    go.  A model of no language rejects only those.  Repeated rows go or stay together;
+    very long texts count whole; an empty table stays empty; other columns are not looked at."""
+    ship(docs.sparkSession)
+    text = docs[text_col]
+    if not model.families:
+        return docs.where(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    said = predictor(model)(text)
+    return docs.where((said.lang_pred != UNKNOWN) & (said.score >= min_score))

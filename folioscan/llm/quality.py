@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from folioscan.llm import textscan
 from folioscan.llm.common import written
 from folioscan.llm.langid import remainder
-from folioscan.session import ship
 
 N_FOURIER, FOLDS, BINS, PARTIALS, SEED = 256, 3, 2048, 16, 7
 RIDGE = [1e-5, 1e-4, 1e-3, 1e-2, 1e-1]
@@ -202,19 +201,18 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 
 
 def scorer(model: Model) -> Callable[[Column], Column]:
-    """A column function text -> score in 0 to 1; the text is all it sees."""
+    """A column function statistics -> score in 0 to 1."""
 
     @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(statistics(text)) if len(text) else [], pa.float64())
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(x)) if len(x) else [], pa.float64())
 
     return score
 
 
 def stats_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats) of every row, written: one pass over the texts."""
-    ship(docs.sparkSession)
-    return written(docs.select(F.col(id_col).alias("doc_id"), statistics_column(F.col(text_col)).alias("stats")), "stats")
+    return written(docs.select(F.col(id_col).alias("doc_id"), statistics_column(F.col(text_col)).alias("stats")), "stats", (1024, "4m"))
 
 
 def score_all(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,11 +220,19 @@ def score_all(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col
     their statistics; null and empty texts have those of an empty text; a null id
     is not held out; repeated rows and clashing other columns do not matter."""
     stats = stats_of(docs, id_col, text_col)
-    model = fit(stats, labels)
+    score = scorer(fit(stats, labels))
+    out = stats.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), score(F.col("stats")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    @F.arrow_udf("double")
-    def score(x: pa.Array) -> pa.Array:
-        return pa.array(model.score(_matrix(x)) if len(x) else [], pa.float64())
 
-    out = stats.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), score("stats").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def kept(docs: DataFrame, labels: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns kept, that score at least ``min_score`` by a model
+    fitted on the labels of these rows.  Texts are measured once; the statistics go with
+    the rows.  Null and empty texts score as an empty text; repeated rows go or stay
+    together; without labels every score is 0.5; an empty table stays empty."""
+    name = "stats"
+    while name in docs.columns:
+        name += "_"
+    rows = written(docs.withColumn(name, statistics_column(docs[text_col])), "measured", (1024, "4m"))
+    model = fit(rows.select(F.col(id_col).alias("doc_id"), F.col(name).alias("stats")), labels)
+    return rows.where(scorer(model)(F.col(name)) >= min_score).drop(name)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioscan.llm import bm25, chat, components, decontam, jaccard, langid, packing, quality, sharding, textscan, urlfilter, warc
@@ -72,6 +74,15 @@ def test_language_edges(docs, empty):
     assert out[3].lang_pred == "en" and 0 <= out[3].score <= 1
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
     assert langid.identify(empty, langid.fit(empty)).count() == 0
+    same = docs.limit(0).unionByName(docs.sparkSession.createDataFrame([(4, "All one text.", "xx", None, None, None, None)] * 500 + [(8, "Other words here", "en", None, None, None, None)], DOCS))
+    assert langid.fit(same).families.keys() <= {"germanic", "xx"} and langid.spoken(same, langid.fit(same)).count() == 501
+    assert langid.spoken(docs, langid.fit(empty)).columns == docs.columns
+    assert sorted(str(r.doc_id) for r in langid.spoken(docs, langid.fit(empty)).collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id not in (0, 1, 2, 8))
+    many = docs.sparkSession.range(1000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError):
+        langid.fit(many)
+    few = langid.fit(many.selectExpr("doc_id", "text", "concat('l', doc_id % 30) as lang"))
+    assert len(few.families) == 30
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(empty)).collect()} == {"und"}
 
 
@@ -110,9 +121,9 @@ def test_myers_against_table():
 def test_leaks_against_brute_force(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(8, 30)))) for i in range(12)] + [(50, "tiny"), (51, None), (52, "")]
-    texts = []
-    for i in range(120):
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 30)))) for i in range(12)] + [(50, "tiny"), (51, None), (52, ""), (53, "q"), (54, "two words!"), (55, "?!")]
+    texts = ["A tiny.", "tinyer", "Two-words", "two wordsy", "q", "qq"]
+    for i in range(114):
         t = " ".join(word() for _ in range(rng.randint(0, 60)))
         if i % 3 == 0:
             b = list(items[i % 12][1])
@@ -129,12 +140,13 @@ def test_leaks_against_brute_force(spark):
     for j, it in items:
         p = norm(it or "")
         k = int(decontam.ERROR_RATE * len(p))
-        if len(p) < decontam.MIN_BYTES:
-            continue
         for i, t in enumerate(texts):
-            d = distance(p, b" " + norm(t) + b" ")
-            if d <= k:
+            if len(p) < decontam.LONG_BYTES:
+                if p and b" " + p + b" " in b" " + norm(t) + b" ":
+                    want[i, j] = 0
+            elif (d := distance(p, b" " + norm(t) + b" ")) <= k:
                 want[i, j] = d
+    assert {(0, 50), (2, 54), (4, 53)} <= set(want) and not any(i in (1, 3, 5) for i, _ in want)
     assert set(got) == set(want) and len(want) > 15
     assert all(got[k] >= want[k] for k in want) and sum(got[k] != want[k] for k in want) <= 2
     kept = {r.doc_id for r in decontam.without_leaks(df, bench).collect()}
@@ -146,6 +158,8 @@ def test_leaks_in_blocks_and_empties(spark, docs, empty, monkeypatch):
     whole = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
     monkeypatch.setattr(decontam.item_blocks, "__defaults__", ("item_id", "text", 300))
     assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == whole and (6, 9) in [w[:2] for w in whole]
+    kept = decontam.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id != 6)
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
@@ -276,6 +290,10 @@ def test_quality_learns_and_handles_edges(spark, docs, empty):
     assert np.mean([(r.score > 0.5) == (r.doc_id % 4 != 0) for r in held]) > 0.97
     assert quality.score_all(docs, labels).count() == docs.count()
     assert {r.score for r in quality.score_all(docs, labels.limit(0)).collect()} == {0.5}
+    wanted = {r.doc_id for r in out if r.score >= 0.5}
+    kept = quality.kept(df.withColumn("stats", F.lit(1)).withColumn("score", F.lit("x")), labels, 0.5)
+    assert kept.columns == ["doc_id", "text", "stats", "score"] and {r.doc_id for r in kept.collect()} == wanted
+    assert quality.kept(empty, labels, 0.5).count() == 0 and quality.kept(docs, labels.limit(0), 0.5).count() == docs.count()
     assert quality.score_all(empty, labels).count() == 0
 
 
@@ -302,8 +320,15 @@ def test_archive_round_trip(spark, tmp_path):
     rec = {r.page_id: (bytes(r.record), bytes(r.payload).decode()) for r in warc.reconstruct(spark, at).collect()}
     assert all(rec[i][1] == text[i] for i in text)
     head, body = rec[2][0].split(b"\r\n\r\n", 1)
-    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and b"Content-Length: 999" in head and body == small.encode() + b"\r\n\r\n"
-    assert rec[5][0].count(b"\r\nX:") == 0 and rec[1][0].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and f"Content-Length: {999 + len(warc.HTTP)}".encode() in head and body == (warc.HTTP + small + "\r\n\r\n").encode()
+    assert rec[5][0].count(b"\r\nX:") == 0 and b"http://e%0D%0AX: y\r\n" in rec[5][0]
+    assert f"WARC-Profile: {warc.PROFILE}".encode() in rec[1][0] and rec[1][0].endswith((warc.HTTP + "\r\n\r\n").encode())
+    ids = {i: re.search(rb"WARC-Record-ID: <urn:uuid:([0-9a-f]{8}-[0-9a-f]{4}-3[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12})>\r\n", rec[i][0])[1] for i in rec}
+    assert len(set(ids.values())) == len(rec) and b"WARC-Refers-To: <urn:uuid:" + ids[9] + b">" in rec[1][0]
+    blobs = spark.read.parquet(f"{at}/blobs")
+    blobs.selectExpr("address", "cast(if(octet_length(payload) = 1000, concat('z', substring(cast(payload as string), 2)), cast(payload as string)) as binary) as payload").write.parquet(str(tmp_path / "bad" / "blobs"))
+    spark.read.parquet(f"{at}/headers").write.parquet(str(tmp_path / "bad" / "headers"))
+    assert {r.page_id for r in warc.read_back(spark, str(tmp_path / "bad")).where("not verified").collect()} == {1, 4, 7, 8, 9}
     warc.archive(df.limit(0), str(tmp_path / "e"))
     assert warc.read_back(spark, str(tmp_path / "e")).count() == 0
 
@@ -382,12 +407,14 @@ def test_differencing_is_tight():
 
 
 def test_search_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(bm25, "SHARD_TOKENS", 900)
-    monkeypatch.setattr(bm25, "QUERY_TERMS", 150)
+    for name, value in (("SHARD_TOKENS", 900), ("SHARD_DOCS", 20), ("BLOCK_DOCS", 4), ("RUN_BLOCKS", 1), ("COMMON_SHARE", 0.2), ("QUERIES", 2), ("FIRST_SHARE", 3), ("QUERY_TERMS", 150)):
+        monkeypatch.setattr(bm25, name, value)
     rng = random.Random(9)
     vocab = ["the", "of"] * 30 + ["w" + "".join(rng.choices("abcdef", k=4)) for _ in range(150)]
     texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 60))) for _ in range(240)]
     texts[10] = texts[60] = texts[50]
+    texts[150] = " ".join(vocab * 40)
+    texts[70:95] = [texts[100]] * 25
     rows = [*enumerate(texts), (240, None), (250, "!!"), (None, "the of")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, rank int")
     got = {}
