@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscan.llm import decontam, jaccard, langid, packing, quality
 from folioscan.llm.common import written
@@ -14,29 +13,30 @@ MIN_QUALITY = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without any letter (``und``) go."""
-    model = langid.fit(docs)
-    return docs.where(langid.predictor(model)(F.col("text")).lang_pred != langid.UNKNOWN)
+    """Documents in a language by a model fitted on those that say theirs: others score below
+    ``langid.MIN_SCORE`` or have no letter, and go, null and empty texts among them."""
+    return langid.spoken(docs, langid.fit(docs))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labels of these documents, does not reject."""
-    model = quality.fit(quality.stats_of(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(quality.scorer(model)(F.col("text")) >= MIN_QUALITY)
+    """Documents that the classifier, fitted on labels of these documents, scores at least
+    MIN_QUALITY.  Null and empty texts score as an empty text."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIN_QUALITY)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8)."""
+    """One document, of the smallest id, of each group of near duplicates (five words, 0.8).
+    Texts without words are near to nothing; of repeated ids one row stays, null ids all stay."""
     return jaccard.one_of_each(docs)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.  Null and empty texts stay."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in windows."""
+    """Pieces of the documents' tokens in windows; a null or empty text has its end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
