@@ -1,4 +1,4 @@
-"""Fuzzy matching: sequence ratios need Python, in Arrow batches."""
+"""Sequence ratios: the one measure that built-in functions lack, in pandas batches."""
 
 from __future__ import annotations
 
@@ -10,64 +10,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _KEEP, _SPACES = re.compile(r"[^A-Z0-9.\s]"), re.compile(r"\s+")
-_CHAPTER_WORD, _NUMBERED = re.compile(r"^chapter\s+\w+\s*", re.IGNORECASE), re.compile(r"^(\d+)\s*\.\s*(\d+)")
+TITLE_LINES, TITLE_CHARS = 12, 400
+
+
+def normalised(text: str) -> str:
+    return _SPACES.sub(" ", _KEEP.sub(" ", text.upper())).strip()
 
 
 def ratio(a: str | None, b: str | None) -> float:
     """Similarity of two texts after normalisation; none if either is empty."""
-    if not a or not b:
-        return 0.0
-    a, b = (_SPACES.sub(" ", _KEEP.sub(" ", x.upper())).strip() for x in (a, b))
-    return SequenceMatcher(None, a, b).ratio()
-
-
-def title_match(name: str, opener: list[str]) -> float:
-    """Best ratio of a chapter name to the first 12 lines or to 400 characters of the opener."""
-    return max([ratio(name, line) for line in opener[:12]] + [ratio(name, " ".join(opener)[:400])])
-
-
-def undouble(text: str) -> str:
-    """A heading that recognition printed twice, once."""
-    t = text.strip()
-    for cut in range(len(t) // 2, 3, -1):
-        head, rest = t[:cut], t[cut:]
-        if rest == head or rest and head.upper().startswith(rest.upper()[:4]):
-            return head
-    return t
-
-
-def match_topic(text: str, topics: dict[str, str], least: float = 0.75) -> str | None:
-    """Number of the topic a heading names: its own number, else the closest name."""
-    m = _NUMBERED.match(text.strip())
-    if m and f"{m[1]}.{m[2]}" in topics:
-        return f"{m[1]}.{m[2]}"
-    said = re.sub(r"^\d+\.\d+\s*", "", text.strip()).lower()
-    scored = [(SequenceMatcher(None, said, name.lower()).ratio(), number) for number, name in topics.items() if name]
-    best = max(scored, key=lambda x: x[0], default=(0.0, None))
-    return best[1] if best[0] >= least else None
-
-
-def match_chapter(text: str, chapters: dict[str, str], least: float = 0.62) -> str | None:
-    """Number of the chapter a heading names: a long name inside it, else the
-    closest name to the whole, else a window close to a name."""
-    raw = _CHAPTER_WORD.sub("", text.strip())
-    forms = sorted({raw.upper(), undouble(raw).upper()})
-    names = [(n, c.upper()) for n, c in chapters.items() if c]
-    for form in forms:
-        for number, name in names:
-            if len(name) >= 12 and name in form:
-                return number
-    scored = [(SequenceMatcher(None, form, name).ratio(), number) for form in forms for number, name in names]
-    best = max(scored, key=lambda x: x[0], default=(0.0, None))
-    if best[0] >= least:
-        return best[1]
-    for number, name in names:
-        size = len(name)
-        for form in forms if size >= 5 else []:
-            for at in range(0, max(1, len(form) - size + 1), max(1, size // 3)):
-                if SequenceMatcher(None, form[at : at + size], name).ratio() >= 0.82:
-                    return number
-    return None
+    return SequenceMatcher(None, normalised(a), normalised(b)).ratio() if a and b else 0.0
+
+
+def title_match(name: str | None, opener: list[str] | None) -> float:
+    """Best ratio of a chapter name to the first lines or the first characters of a
+    page's opener.  Two lengths bound a ratio, so lines that cannot be better are not compared."""
+    lines = list(opener) if opener is not None else []
+    best, a = 0.0, normalised(name or "")
+    if not name:
+        return best
+    shown = [x for x in [*lines[:TITLE_LINES], " ".join(lines)[:TITLE_CHARS]] if x]
+    texts = sorted({normalised(x) for x in shown}, key=lambda b: abs(len(a) - len(b)))
+    for b in texts:
+        if not a and not b:
+            return 1.0
+        if 2 * min(len(a), len(b)) > best * (len(a) + len(b)):
+            m = SequenceMatcher(None, a, b)
+            if m.quick_ratio() > best:
+                best = max(best, m.ratio())
+    return best
 
 
 def ratio_column(a: Column, b: Column) -> Column:
@@ -78,34 +49,19 @@ def ratio_column(a: Column, b: Column) -> Column:
     return f(a, b)
 
 
-def title_match_column(name: Column, opener: Column) -> Column:
-    @F.pandas_udf("double")
-    def f(name: pd.Series, opener: pd.Series) -> pd.Series:
-        return pd.Series([title_match(n or "", list(o) if o is not None else []) for n, o in zip(name, opener)], dtype=float)
-
-    return f(name, opener)
-
-
-def undouble_column(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def f(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else undouble(t))
-
-    return f(text)
-
-
-def _matched(match, text: Column, names: Column) -> Column:
-    @F.pandas_udf("string")
-    def f(text: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else match(t, dict(n or {})) for t, n in zip(text, names)], dtype=object)
+def ratios_column(texts: Column, name: Column) -> Column:
+    """Ratio of each of an array of texts to a name, as they stand."""
 
-    return f(text, names)
+    @F.pandas_udf("array<double>")
+    def f(texts: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([[SequenceMatcher(None, x, n).ratio() for x in t] for t, n in zip(texts, name)], dtype=object)
 
+    return f(texts, name)
 
-def match_topic_column(text: Column, topics: Column) -> Column:
-    """topics: map of number to name."""
-    return _matched(match_topic, text, topics)
 
+def title_match_column(name: Column, opener: Column) -> Column:
+    @F.pandas_udf("double")
+    def f(name: pd.Series, opener: pd.Series) -> pd.Series:
+        return pd.Series([title_match(n, o) for n, o in zip(name, opener)], dtype=float)
 
-def match_chapter_column(text: Column, chapters: Column) -> Column:
-    return _matched(match_chapter, text, chapters)
+    return f(name, opener)

@@ -12,8 +12,12 @@ WS = r"(?U)[\s\x1c-\x1f]+"
 #: Roman numerals and number words that stand for chapter and class numbers (fixed values).
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]
 NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
-#: Patterns of figure references and headings (fixed values).
-FIGURE = r"(?i)\bfig(?:ure)?\.?\s*([\d][\d.]*(?:\([a-z]\))?)"
+#: Patterns of figure references, cut replies, equations and headings (fixed values).
+FIGURE = r"(?i)(?:Fig\.?|Figure)\s*(\d+[\.\d]*(?:\([a-z]\))?)"
+SALVAGE = r'(?s)\{\s*"chapter_number"\s*:.*?"topics"\s*:\s*\[.*?\]\s*\}'
+BLOCK_EQUATION = r"(?s)\$\$(.+?)\$\$"
+INLINE_EQUATION = r"(?d)(?<!\$)\$(?!\$)(.+?)(?<!\$)\$(?!\$)"
+NUMBERED = r"^(\d+)\s*\.\s*(\d+)"
 TOPIC_HEADING = r"^(\d+)\.(\d+)\s+(\S.*)"
 EXERCISE_HEADING = r"(?i)^\s*(EXERCISES?|ADDITIONAL\s+EXERCISES?)(\s+\d+\.\d+)?\s*$"
 INTEXT_HEADING = r"(?i)^\s*Intext\s+Questions?\s*$"
@@ -23,7 +27,7 @@ CHAPTER_NUMBER = r"(?i)^chapter\s+(\d+)\b"
 UNIT_HEADER = r"(?i)^unit\s+"
 
 
-def strip(c: Column) -> Column:
+def strip(c: Column | str) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
@@ -81,9 +85,22 @@ def strip_fences(c: Column) -> Column:
 
 
 def salvage_chapters(c: Column) -> Column:
-    """Chapter objects that are complete in a truncated JSON reply."""
-    flat = F.regexp_extract_all(c, F.lit(r"(?s)\{[^{}]*\"chapter_number\"[^{}]*(?:\[[^\[\]]*\][^{}]*)?\}"), F.lit(0))
-    return F.filter(F.transform(flat, lambda x: F.from_json(x, schemas.CHAPTER)), lambda x: x.chapter_number.isNotNull())
+    """struct(chapters, _truncated) of the chapter objects that are complete, topics and all,
+    in a truncated JSON reply; null where there is none.  A chapter's number comes first
+    in it and its list of topics last; what is not valid JSON is passed over."""
+    one = lambda x: F.from_json(x, schemas.CHAPTER_CHECKED, {"columnNameOfCorruptRecord": "corrupt"})
+    sound = F.filter(F.transform(F.regexp_extract_all(c, F.lit(SALVAGE), F.lit(0)), one), lambda x: x["corrupt"].isNull())
+    chapters = F.transform(sound, lambda x: F.struct(*[x[f].alias(f) for f in schemas.CHAPTER.names]))
+    return F.when(F.size(chapters) > 0, F.struct(chapters.alias("chapters"), F.lit(True).alias("_truncated")))
+
+
+def json_reply(c: Column, schema: str) -> Column:
+    """struct(whole, salvaged) of a model's reply without its fence: parsed by ``schema`` (DDL), or,
+    where it is not valid JSON, what salvage_chapters finds.  Both are null where neither helps."""
+    text = strip_fences(c)
+    whole = F.from_json(text, f"{schema}, corrupt string", {"columnNameOfCorruptRecord": "corrupt"})
+    valid = whole["corrupt"].isNull() & whole.isNotNull()
+    return F.struct(F.when(valid, whole.dropFields("corrupt")).alias("whole"), F.when(~F.coalesce(valid, F.lit(False)), salvage_chapters(text)).alias("salvaged"))
 
 
 def identity(c: Column) -> Column:
@@ -137,13 +154,12 @@ def word_windows(c: Column, target: int = 400, least: int = 80, overlap: float =
 
 
 def equations(c: Column) -> Column:
-    """struct(equations, text): display equations first, then inline ones; what is
-    left has no runs of over two newlines."""
-    block = F.regexp_extract_all(c, F.lit(r"(?s)\$\$(.+?)\$\$"), F.lit(1))
-    rest = F.regexp_replace(c, r"(?s)\$\$(.+?)\$\$", "")
-    inline = F.regexp_extract_all(rest, F.lit(r"(?<!\$)\$(?!\$)([^$\n]+?)(?<!\$)\$(?!\$)"), F.lit(1))
-    rest = F.regexp_replace(rest, r"(?<!\$)\$(?!\$)([^$\n]+?)(?<!\$)\$(?!\$)", "")
-    return F.struct(F.transform(F.concat(block, inline), strip).alias("equations"), strip(F.regexp_replace(rest, r"\n{3,}", "\n\n")).alias("text"))
+    """struct(equations, text): display equations first, then inline ones, with their
+    dollar signs; what is left has no runs of over two newlines."""
+    rest = F.regexp_replace(c, BLOCK_EQUATION, "")
+    found = F.concat(F.regexp_extract_all(c, F.lit(BLOCK_EQUATION), F.lit(0)), F.regexp_extract_all(rest, F.lit(INLINE_EQUATION), F.lit(0)))
+    rest = F.regexp_replace(rest, INLINE_EQUATION, "")
+    return F.struct(F.transform(found, strip).alias("equations"), strip(F.regexp_replace(rest, r"\n{3,}", "\n\n")).alias("text"))
 
 
 def file_name(c: Column) -> Column:

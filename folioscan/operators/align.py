@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from folioscan.functions import fuzzy
 from folioscan.functions import text as T
 
+log = logging.getLogger(__name__)
+
 TOP_K, WINDOW, MARGIN, W_STRUCTURE, MAX_SHOWN = 15, 30, 0.18, 0.85, 8
 #: Names of front matter that are not aligned (fixed values).
 FRONT_MATTER = [
@@ -22,8 +25,8 @@ NEGATIVE = ["EXERCISE", "MISCELLANEOUS EXERCISE", "SUMMARY", "CONTENTS", "FOREWO
 #: Dashes before the name under a quotation, in the encoding in which they are met (fixed values).
 QUOTE_DASHES = [" - ", " â€” ", " â€“ "]
 WEIGHTS = {
-    "title_match": 0.30, "chapter_number": 0.20, "section_start": 0.16, "introduction": 0.10, "objectives": 0.20,
-    "quote": 0.08, "uppercase_heading": 0.08, "negative": -0.55, "exercise": -0.45,
+    "title_match": 0.30, "chapter_number": 0.20, "section_start": 0.16, "introduction": 0.10, "objectives_marker": 0.20,
+    "quote_marker": 0.08, "uppercase_heading": 0.08, "negative_marker": -0.55, "exercise_marker": -0.45,
 }
 
 
@@ -44,45 +47,62 @@ def anchor_window(previous: Column, toc: Column, total: Column) -> tuple[Column,
     return low, high
 
 
-def built_in_signals(text: Column, number: Column) -> dict[str, Column]:
-    """The eight signals of a chapter start that need no fuzzy matching."""
-    lines = T.solid_lines(F.coalesce(text, F.lit("")))
-    first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
-    opener = T.normalise(F.array_join(F.slice(lines, 1, 20), " "))
-    first_up = T.normalise(first)
+def page_features(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """What a page's text says by itself, once a page: ``keep`` and lines (the first 20),
+    opener, tokens and sections (numbers like 2.1) of the opener, and the six signals that need no chapter."""
+    up = F.col("first_up")
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    starts = lambda words: F.lit(False) if not words else up.startswith(words[0]) | starts(words[1:])
+    letters, upper = (F.length(F.regexp_replace("first", rx, "")) for rx in (r"\P{L}", r"\P{Lu}"))
+    quoted = F.exists(F.slice("lines", 2, 3), lambda x: x.startswith("v ") | x.startswith("V ") | x.contains(QUOTE_DASHES[0]) | x.contains(QUOTE_DASHES[1]) | x.contains(QUOTE_DASHES[2]))
+    p = pages.select(*keep, F.slice(T.solid_lines(F.coalesce("text", F.lit(""))), 1, 20).alias("lines"))
+    p = p.withColumns({"first": F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("")), "opener": T.normalise(F.array_join("lines", " "))})
+    p = p.withColumn("first_up", T.normalise(F.col("first")))
+    return p.select(
+        *keep, "lines", "opener", F.split("opener", "[. ]+").alias("tokens"), F.regexp_extract_all("opener", F.lit(r"(?U)(?=\b(\d+\.\d+)\b)"), F.lit(1)).alias("sections"),
+        one(F.contains("opener", F.lit("INTRODUCTION"))).alias("introduction"), one(F.contains("opener", F.lit("OBJECTIVES")) | F.contains("opener", F.lit("AFTER STUDYING THIS UNIT"))).alias("objectives_marker"),
+        one(quoted).alias("quote_marker"), F.when(letters > 0, upper / letters).otherwise(0.0).alias("uppercase_heading"), one(starts(NEGATIVE)).alias("negative_marker"),
+        one(F.contains("opener", F.lit("EXERCISES")) | starts(["EXERCISE", "MISCELLANEOUS EXERCISE"])).alias("exercise_marker"),
+    )
+
+
+def number_signals(number: Column, page: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """The two signals of a chapter's number on a page with page_features (``page`` gives
+    its columns by name): membership, for numbers of letters and digits; other numbers
+    are searched as they are."""
     n = T.strip(number.cast("string"))
     quoted = F.concat(F.lit("\\Q"), n, F.lit("\\E"))
-    says = lambda *parts: F.regexp_like(opener, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
-    one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    letters = F.length(F.regexp_replace(first, r"\P{L}", ""))
-    upper = F.length(F.regexp_replace(first, r"\P{Lu}", ""))
-    quote = F.exists(F.slice(lines, 2, 3), lambda x: x.startswith("v ") | x.startswith("V ") | F.lit(False) | x.contains(QUOTE_DASHES[0]) | x.contains(QUOTE_DASHES[1]) | x.contains(QUOTE_DASHES[2]))
-    starts = lambda words: F.lit(False) if not words else first_up.startswith(words[0]) | starts(words[1:])
-    return {
-        "chapter_number": one(says("(?U)\\b", quoted, "\\b|\\bCHAPTER\\s+", quoted, "\\b|\\b", quoted, "\\s*UNIT\\b|\\bUNIT\\s*", quoted, "\\b")),
-        "section_start": F.when(n.rlike(r"(?U)^\d+$"), F.when(says("(?U)\\b", n, "\\.1\\b"), 1.0).when(says("(?U)\\b", n, "\\.\\d+\\b"), 0.5).otherwise(0.0)).otherwise(0.0),
-        "introduction": one(opener.contains("INTRODUCTION")),
-        "objectives": one(opener.contains("OBJECTIVES") | opener.contains("AFTER STUDYING THIS UNIT")),
-        "quote": one(quote),
-        "uppercase_heading": F.when(letters > 0, upper / letters).otherwise(0.0),
-        "negative": one(starts(NEGATIVE)),
-        "exercise": one(opener.contains("EXERCISES") | starts(["EXERCISE", "MISCELLANEOUS EXERCISE"])),
-    }
-
-
-def structural(pairs: DataFrame, text: str = "text", number: str = "chapter_number", name: str = "chapter_name") -> DataFrame:
-    """Adds ``signals`` (a map) and ``structural`` to (chapter, page) rows; a missing text scores 0."""
-    opener = F.slice(T.solid_lines(F.coalesce(F.col(text), F.lit(""))), 1, 20)
-    signals = {"title_match": fuzzy.title_match_column(F.col(name), opener)} | built_in_signals(F.col(text), F.col(number))
-    named = pairs.withColumns({f"__{k}": v for k, v in signals.items()})
-    total = sum((F.col(f"__{k}") * WEIGHTS[k] for k in signals), F.lit(0.0))
-    there = F.col(text).isNotNull()
-    packed = F.create_map(*[x for k in signals for x in (F.lit(k), F.round(f"__{k}", 4))])
-    return named.withColumns({"structural": F.when(there, total).otherwise(0.0), "signals": F.when(there, packed).otherwise(F.create_map().cast("map<string,double>"))}).drop(*[f"__{k}" for k in signals])
+    plain = F.arrays_overlap(page("tokens"), F.array(n, F.concat(n, F.lit("UNIT")), F.concat(F.lit("UNIT"), n)))
+    said = F.when(n.rlike("^[A-Za-z0-9]+$"), plain).otherwise(F.regexp_like(page("opener"), F.concat(F.lit("(?U)\\b"), quoted, F.lit("\\b|\\b"), quoted, F.lit("\\s*UNIT\\b|\\bUNIT\\s*"), quoted, F.lit("\\b"))))
+    section = F.when(F.array_contains(page("sections"), F.concat(n, F.lit(".1"))), 1.0).when(F.exists(page("sections"), lambda x: x.startswith(F.concat(n, F.lit(".")))), 0.5).otherwise(0.0)
+    return {"chapter_number": F.when(said, 1.0).otherwise(0.0), "section_start": F.when(n.rlike(r"(?U)^\d+$"), section).otherwise(0.0)}
+
+
+def weighed(signals: dict[str, Column]) -> Column:
+    return sum((c * WEIGHTS[k] for k, c in signals.items()), F.lit(0.0))
+
+
+def structural(pairs: DataFrame, pages: DataFrame, on: list[str], number: str = "chapter_number", name: str = "chapter_name") -> DataFrame:
+    """Adds ``structural`` and ``signals`` (a map, structural_score with them) to (chapter, page)
+    rows; a page that is missing or has no text scores 0 and has no signals.  pages: ``on``, text."""
+    f = page_features(pages.where("text is not null"), on)
+    f = f.select(*on, F.struct(*[c for c in f.columns if c not in on]).alias("__page"))
+    joined = pairs.join(f, on, "left")
+    page = lambda c: joined["__page"][c]
+    signals = {k: page(k) for k in WEIGHTS if k not in ("title_match", "chapter_number", "section_start")} | number_signals(F.col(number), page)
+    signals = {"title_match": fuzzy.title_match_column(F.col(name), page("lines"))} | signals
+    named = joined.select(*pairs.columns, page("opener").isNotNull().alias("__there"), F.struct(*[c.alias(k) for k, c in signals.items()]).alias("__s"))
+    score = F.when(F.col("__there"), weighed({k: F.col("__s")[k] for k in signals})).otherwise(0.0)
+    named = named.withColumn("structural", score)
+    packed = F.create_map(*[x for k in signals for x in (F.lit(k), F.round(F.col("__s")[k], 4))], F.lit("structural_score"), F.round("structural", 4))
+    return named.select(*pairs.columns, "structural", F.when(F.col("__there"), packed).otherwise(F.create_map().cast("map<string,double>")).alias("signals"))
 
 
 def rerank(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("total", F.col("score") + W_STRUCTURE * F.col("structural"))
+    """Adds ``total`` to rows with score (hybrid), structural and signals, and both totals to the signals."""
+    total = scored.withColumn("total", F.col("score") + W_STRUCTURE * F.col("structural"))
+    more = F.create_map(F.lit("hybrid_score"), F.round("score", 4), F.lit("total_score"), F.round("total", 4))
+    return total.withColumn("signals", F.map_concat("signals", more))
 
 
 def decision(gap: Column, negative: Column) -> Column:
@@ -114,26 +134,38 @@ def chapter_ends(starts: DataFrame) -> DataFrame:
     return starts.selectExpr("*", "coalesce(lead(start_page) over (partition by book order by pos) - 1, total_pages) as end_page")
 
 
-def fold(candidates: DataFrame, resolver: Callable[[list[tuple[float, int]], int], int] | None = None) -> DataFrame:
+def _choose(c: pd.DataFrame, after: int, resolver: Callable[[list[tuple[float, int]], int], int] | None) -> int:
+    """A page of the candidates c (best first) after ``after``: what the resolver says if it
+    is one of them, else the best of them; the best of all where none is after."""
+    valid = c[c.page > after] if after > 0 else c
+    if valid.empty:
+        return int(c.page.iloc[0])
+    if resolver:
+        try:
+            said = resolver(list(zip(valid.total, valid.page))[:MAX_SHOWN], after)
+            if said is not None and int(said) in set(valid.page):
+                return int(said)
+        except Exception as e:  # whatever a model's client raises: the best page stands in
+            log.warning("resolver failed: %s", e)
+    return int(valid.page.iloc[0])
+
+
+def fold(candidates: DataFrame, openers: DataFrame | None = None, resolver: Callable[[list[tuple[float, int]], int], int] | None = None) -> DataFrame:
     """Picks a page for each chapter, in order.
 
     candidates: book, pos, page, hybrid, total, negative, toc_page, total_pages: the
     scores of all pages, which do not depend on one another.  Only membership does:
     a page takes part if it is among the TOP_K by hybrid or in the window after the
-    last pick.  A clear lead decides, else the resolver over at most MAX_SHOWN pages
-    after the last pick (by default the best of them); starts that do not rise are
-    picked again.  A book's chapters meet in one group, of its candidate pages.
-    """
+    last pick.  A clear lead decides, else the resolver, from any of at most MAX_SHOWN pages;
+    starts that do not rise are then picked again from the pages after the one before.
+    A chapter without candidates is left out.
 
-    def choose(c: pd.DataFrame, after: int) -> int:
-        ok = c[c.page > after] if after > 0 else c
-        if ok.empty:
-            return int(c.page.iloc[0])
-        if resolver:
-            return int(resolver(list(zip(ok.total, ok.page))[:MAX_SHOWN], after))
-        return int(ok.page.iloc[0])
+    With ``openers`` (book, page, lines) candidates also have a name, and ``total`` lacks the
+    share of title_match, which is compared only where a page takes part.  A book's
+    chapters meet in one group, of its candidate pages.
+    """
 
-    def run(book: pd.DataFrame) -> pd.DataFrame:
+    def picks(book: pd.DataFrame, lines: dict[int, list[str]] | None) -> pd.DataFrame:
         out, previous = [], 0
         for pos, c in book.groupby("pos", sort=True):
             total, toc = int(c.total_pages.iloc[0]), int(c.toc_page.iloc[0] or 0)
@@ -144,16 +176,22 @@ def fold(candidates: DataFrame, resolver: Callable[[list[tuple[float, int]], int
             else:
                 low, high = 1, min(total, WINDOW)
             rank = c.sort_values(["hybrid", "page"], ascending=[False, True]).head(TOP_K).page
-            c = c[c.page.isin(rank) | c.page.between(low, high)].sort_values(["total", "page"], ascending=[False, True])
+            c = c[c.page.isin(rank) | c.page.between(low, high)]
+            if lines is not None:
+                match = [fuzzy.title_match(n, lines.get(p)) for n, p in zip(c.name, c.page)]
+                c = c.assign(total=c.total + W_STRUCTURE * WEIGHTS["title_match"] * pd.Series(match, c.index))
+            c = c.sort_values(["total", "page"], ascending=[False, True])
             best = c.iloc[0]
             lead = best.total - (c.total.iloc[1] if len(c) > 1 else -999.0)
             clear = lead >= MARGIN and best.negative == 0
-            pick = int(best.page) if clear else choose(c, previous)
-            out.append([best.book, int(pos), pick, float(lead), "best" if clear else "resolver", c])
-            previous = pick
+            previous = int(best.page) if clear else _choose(c, 0, resolver)
+            out.append([best.book, int(pos), previous, float(lead), "best" if clear else "resolver", c])
         for a, b in zip(out, out[1:]):
             if b[2] <= a[2]:
-                b[2], b[4] = choose(b[5], a[2]), "repaired"
+                b[2], b[4] = _choose(b[5], a[2], resolver), "repaired"
         return pd.DataFrame([r[:5] for r in out], columns=["book", "pos", "start_page", "lead", "decided_by"])
 
-    return candidates.groupBy("book").applyInPandas(run, "book string, pos int, start_page int, lead double, decided_by string")
+    schema = "book string, pos int, start_page int, lead double, decided_by string"
+    if openers is None:
+        return candidates.groupBy("book").applyInPandas(lambda c: picks(c, None), schema)
+    return candidates.groupBy("book").cogroup(openers.groupBy("book")).applyInPandas(lambda c, o: picks(c, dict(zip(o.page, o.lines))), schema)

@@ -60,7 +60,8 @@ def chapter_chunks(pages: DataFrame, chapters: DataFrame, target: int = 400, lea
     named = pages.select("book", "page", line).join(chapters.select("book", "chapter", F.upper(T.strip("name")).alias("line")), ["book", "line"])
     named = named.select("book", "page", "chapter").distinct().selectExpr("*", "count(*) over (partition by book, page) > 1 as many")
     starts = named.selectExpr("*", "row_number() over (partition by book, chapter order by many, page) as rn").where("rn = 1")
-    ranges = starts.selectExpr("book", "chapter", "page as first_page", "coalesce(lead(page) over (partition by book order by page, chapter), 9999) as next_page")
+    last = pages.groupBy("book").agg(F.max("page").alias("last"))
+    ranges = starts.join(last, "book").selectExpr("book", "chapter", "page as first_page", "coalesce(lead(page) over (partition by book order by page, chapter), last + 1) as next_page")
     placed = ranges.where("next_page > first_page").select("book", "chapter", "first_page", F.explode(F.expr("sequence(first_page, next_page - 1)")).alias("page")).join(pages, ["book", "page"])
     ordered = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
     whole = placed.groupBy("book", "chapter", "first_page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), F.max("page").alias("last_page"))

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions import fuzzy
 from folioscan.functions import text as T
+from folioscan.operators import headings
 
 _OUT = "book string, seg int, chapter string, topic string, topic_name string, kind string, page_start int, page_end int, pages array<int>, content string"
 NOISE = ["header", "footer", "page_number", "page_footnote"]
 FIGURES = ["image", "chart", "table"]
+#: Headings of level 1 and 2 that may begin a chapter: length at most, ratio at least.
+LONGEST, LEAST = {1: 100, 2: 60}, {1: 0.62, 2: 0.72}
 
 
 @dataclass
@@ -66,7 +68,6 @@ class BlockFold:
 
     def __init__(self, chapters: dict[str, str], topics: dict[str, tuple[str, str]]):
         self.chapters, self.topics = chapters, topics
-        self.names = {n: name for n, (_, name) in topics.items()}
         self.done: list[Segment] = []
         self.now: Segment | None = None
         self.seen: set[str] = set()
@@ -91,10 +92,8 @@ class BlockFold:
         flat = "\n" not in b.text
         if flat and b.said_chapter and b.said_chapter in self.chapters and fresh(b.said_chapter):
             return b.said_chapter if b.rest else None
-        longest, least = {1: (100, 0.62), 2: (60, 0.72)}.get(b.level, (0, 1.0))
-        if flat and 0 < len(b.text) <= longest:
-            c = fuzzy.match_chapter(b.text, self.chapters, least)
-            return c if fresh(c) else None
+        if b.near_chapter:
+            return b.near_chapter if fresh(b.near_chapter) else None
         return None
 
     def enter(self, chapter: str, page: int) -> None:
@@ -144,8 +143,8 @@ class BlockFold:
 
     def body(self, b) -> None:
         if b.level == 2:
-            t = fuzzy.match_topic(b.text, self.names)
-            if t is None:
+            t = b.near_topic
+            if t not in self.topics:
                 if self.now:
                     self.now.add(b.page, b.text)
                 return
@@ -169,14 +168,25 @@ class BlockFold:
 
 
 def _contents(toc: pd.DataFrame) -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
-    """Names by number; of repeated numbers the last counts."""
+    """Names by number; of repeated numbers the greatest name counts."""
+    toc = toc.fillna("").sort_values(["chapter", "chapter_name", "topic", "topic_name"])
     chapters = {r.chapter: r.chapter_name for r in toc.itertuples() if r.chapter}
-    return chapters, {r.topic: (r.chapter, r.topic_name or "") for r in toc.itertuples() if r.topic}
+    return chapters, {r.topic: (r.chapter, r.topic_name) for r in toc.itertuples() if r.topic}
 
 
 def block_segments(blocks: DataFrame, toc: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """blocks: book, pos, page, type, level, text; toc: book, chapter, chapter_name,
-    topic, topic_name.  One book's rows meet in one group."""
+    topic, topic_name.  Which chapter or topic a heading names is decided for all
+    headings by joins; one book's rows then meet in one group."""
+    c = classify(blocks, skip).withColumn("id", F.struct("book", "pos"))
+    flat = ~F.contains("text", F.lit("\n")) & (F.col("text") != "")
+    near = c.where(flat & ((F.col("level") == 1) & (F.length("text") <= LONGEST[1]) | (F.col("level") == 2) & (F.length("text") <= LONGEST[2])))
+    near = near.select("id", "book", "text", F.when(F.col("level") == 1, LEAST[1]).otherwise(LEAST[2]).alias("least"))
+    chapters = headings.chapter_matches(near, toc.select("book", "chapter", F.col("chapter_name").alias("name"))).withColumnRenamed("chapter", "near_chapter")
+    topics = headings.topic_matches(c.where("level = 2 and text <> ''").select("id", "book", "text"), toc).withColumnRenamed("topic", "near_topic")
+    c = c.join(chapters, "id", "left").join(topics, "id", "left").drop("id")
+    for name in ("near_chapter", "near_topic"):
+        c = c.withColumn(name, F.coalesce(name, F.lit("")))
 
     def run(key: tuple, rows: pd.DataFrame, toc: pd.DataFrame) -> pd.DataFrame:
         f = BlockFold(*_contents(toc))
@@ -185,7 +195,7 @@ def block_segments(blocks: DataFrame, toc: DataFrame, skip: DataFrame | None = N
         f.close()
         return _table(key[0], f.done)
 
-    return classify(blocks, skip).groupBy("book").cogroup(toc.groupBy("book")).applyInPandas(run, _OUT)
+    return c.groupBy("book").cogroup(toc.groupBy("book")).applyInPandas(run, _OUT)
 
 
 def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.operators import adapters, align, checks, knowledge, layout, store
-from folioscan.plans.queries import _CK, _dot, _hits_of, _images, _label_scores, query
+from folioscan.plans.queries import _CK, _FIG, _dot, _images, _label_scores, query
 from folioscan.plans.standins import Inputs
 from folioscan.sources import tables
 from folioscan.streaming import incremental
@@ -52,9 +52,9 @@ def page_previews(t: Inputs) -> DataFrame:
     return tables.preview(t("pg"))
 
 
-@query("select doc_id, base64(encode(substring(text, 1, 60))) as image_b64 from documents where lang = 'en'")
+@query("select doc_id, base64(encode(text)) as image_b64 from documents")
 def page_base64(t: Inputs) -> DataFrame:
-    d = t("documents").where("lang = 'en'").select(F.col("doc_id").alias("path"), F.substring("text", 1, 60).cast("binary").alias("content"))
+    d = t("documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
     return tables.page_images(d).withColumnRenamed("path", "doc_id")
 
 
@@ -116,10 +116,10 @@ def chunk_totals(t: Inputs) -> DataFrame:
     return t("pg").groupBy("book").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size(T.words(F.col("text")))).alias("words"), F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\$\$"), F.lit(0)))).alias("marks"))
 
 
-@query("select doc_id, doc_id % 10 < 7 as cached from documents where doc_id % 2 = 0")
+@query("select doc_id, doc_id % 10 < 7 as cached from documents")
 def cached_embeddings(t: Inputs) -> DataFrame:
     """Texts whose vector was cached within seven days, and those left to embed."""
-    d = t("documents").where("doc_id % 2 = 0").withColumn("cache_key", T.cache_key("m1", F.concat("doc_id", F.lit(":"), "text")))
+    d = t("documents").withColumn("cache_key", T.cache_key("m1", F.concat("doc_id", F.lit(":"), "text")))
     now = F.lit("2026-01-10 00:00:00").cast("timestamp")
     age = F.when(F.col("doc_id") % 10 < 7, F.col("doc_id") % 10).otherwise(9)
     cache = d.select("cache_key", (now - F.make_dt_interval(age.cast("int"))).alias("cached_at"), F.array(F.lit(1.0)).alias("embedding"))
@@ -159,13 +159,13 @@ def vector_dimension(t: Inputs) -> DataFrame:
     return store.check_dimension(t("embeddings"), 64).agg(F.count(F.lit(1)).alias("bad"))
 
 
-@query("select image_id, fig_number, page from (select image_id, page, nullif(regexp_extract(caption, '(?i)\\bfig(?:ure)?\\.?\\s*([\\d][\\d.]*(?:\\([a-z]\\))?)', 1), '') as fig_number from im) where image_id in ('1', '2', '8', '11', '16')")
+@query(f"select image_id, fig_number, page from (select image_id, page, nullif(regexp_extract(caption, '{_FIG}', 1), '') as fig_number from im) where image_id in ('1', '2', '8', '11', '16')")
 def images_by_id(t: Inputs) -> DataFrame:
     return _images(t).where(F.col("image_id").isin("1", "2", "8", "11", "16")).select("image_id", "fig_number", "page")
 
 
-@query("select q, count(*) as hits, count(distinct book) as books, min(rank) as best from ht where q = 1 group by q")
+@query("select q, count(*) as hits, count(distinct book) as books, min(rank) as best from ht group by q")
 def hit_summary(t: Inputs) -> DataFrame:
-    return _hits_of(t).groupBy("q").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("book").alias("books"), F.min("rank").alias("best"))
+    return t("ht").groupBy("q").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("book").alias("books"), F.min("rank").alias("best"))
 
 

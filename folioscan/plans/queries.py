@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.functions import fuzzy
 from folioscan.functions import text as T
-from folioscan.operators import align, checks, chunk, dense, layout, lexical, retrieve, segment, store
+from folioscan.operators import align, checks, chunk, dense, headings, layout, lexical, retrieve, segment, store
 from folioscan.plans.standins import Inputs, oracle
 from folioscan.session import ship
 from folioscan.sources import tables
@@ -46,10 +45,10 @@ def _query_vectors(t: Inputs, where: str) -> DataFrame:
 
 @query(f"""select q_id, vec_id, label, rank, round(score, 9) as score from (select q.vec_id as q_id, e.vec_id, e.label, {_dot('e.embedding', 'q.embedding')} as score,
     cast(row_number() over (partition by q.vec_id order by {_dot('e.embedding', 'q.embedding')} desc, e.vec_id) as int) as rank
-    from embeddings e join embeddings q on e.label = q.label and e.vec_id <> q.vec_id where q.vec_id < 20) where rank <= 5""")
+    from embeddings e join embeddings q on e.label = q.label and e.vec_id <> q.vec_id where q.vec_id % 50 = 0) where rank <= 5""")
 def topk_filtered_cosine(t: Inputs) -> DataFrame:
     """k-NN among the vectors with the query's label."""
-    s = dense.scores(_query_vectors(t, "vec_id < 20"), t("embeddings"), ["label"]).where("vec_id <> q_id")
+    s = dense.scores(_query_vectors(t, "vec_id % 50 = 0"), t("embeddings"), ["label"]).where("vec_id <> q_id")
     return dense.top_k(s, 5, ["q_id"], "vec_id").select("q_id", "vec_id", "label", "rank", F.round("score", 9).alias("score"))
 
 
@@ -63,11 +62,11 @@ def topk_per_label(t: Inputs) -> DataFrame:
 
 _HITS = f"""select q_id, vec_id, rank, score from (select q.vec_id as q_id, e.vec_id, {_dot('e.embedding', 'q.embedding')} as score,
     cast(row_number() over (partition by q.vec_id order by {_dot('e.embedding', 'q.embedding')} desc, e.vec_id) as int) as rank
-    from embeddings e join embeddings q on e.label = q.label where q.vec_id < 20) where rank <= 5"""
+    from embeddings e join embeddings q on e.label = q.label where q.vec_id % 50 = 0) where rank <= 5"""
 
 
 def _hits(t: Inputs) -> DataFrame:
-    s = dense.scores(_query_vectors(t, "vec_id < 20"), t("embeddings"), ["label"])
+    s = dense.scores(_query_vectors(t, "vec_id % 50 = 0"), t("embeddings"), ["label"])
     return dense.top_k(s, 5, ["q_id"], "vec_id").select("q_id", F.col("vec_id").alias("doc_id"), "rank", "score")
 
 
@@ -171,31 +170,34 @@ _NORM = "trim(regexp_replace(regexp_replace(upper({0}), '[^A-Z0-9.\\s]', ' ', 'g
     o as (select book, page, n, coalesce(ls[1], '') as first, {_NORM.format("array_to_string(ls[1:20], ' ')")} as op, {_NORM.format("coalesce(ls[1], '')")} as fu, ls from l)
     select book, page, case when regexp_matches(op, concat('\\b', n, '\\b')) then 1e0 else 0e0 end as chapter_number,
     case when regexp_matches(op, concat('\\b', n, '\\.1\\b')) then 1e0 when regexp_matches(op, concat('\\b', n, '\\.\\d+\\b')) then 5e-1 else 0e0 end as section_start,
-    case when contains(op, 'INTRODUCTION') then 1e0 else 0e0 end as introduction, case when contains(op, 'OBJECTIVES') or contains(op, 'AFTER STUDYING THIS UNIT') then 1e0 else 0e0 end as objectives,
-    case when len(list_filter(ls[2:4], lambda x: starts_with(x, 'v ') or starts_with(x, 'V ') or contains(x, ' - '))) > 0 then 1e0 else 0e0 end as quote,
+    case when contains(op, 'INTRODUCTION') then 1e0 else 0e0 end as introduction, case when contains(op, 'OBJECTIVES') or contains(op, 'AFTER STUDYING THIS UNIT') then 1e0 else 0e0 end as objectives_marker,
+    case when len(list_filter(ls[2:4], lambda x: starts_with(x, 'v ') or starts_with(x, 'V ') or contains(x, ' - '))) > 0 then 1e0 else 0e0 end as quote_marker,
     case when length(regexp_replace(first, '[^\\pL]', '', 'g')) > 0 then round(length(regexp_replace(first, '[^\\p{{Lu}}]', '', 'g')) / length(regexp_replace(first, '[^\\pL]', '', 'g')), 6) else 0e0 end as uppercase_heading,
-    case when regexp_matches(fu, '^(EXERCISE|MISCELLANEOUS EXERCISE|SUMMARY|CONTENTS|FOREWORD|PREFACE|ACKNOWLEDGEMENT|RATIONALISATION|APPENDIX|ANSWERS)') then 1e0 else 0e0 end as negative,
-    case when contains(op, 'EXERCISES') or starts_with(fu, 'EXERCISE') or starts_with(fu, 'MISCELLANEOUS EXERCISE') then 1e0 else 0e0 end as exercise from o""")
+    case when regexp_matches(fu, '^(EXERCISE|MISCELLANEOUS EXERCISE|SUMMARY|CONTENTS|FOREWORD|PREFACE|ACKNOWLEDGEMENT|RATIONALISATION|APPENDIX|ANSWERS)') then 1e0 else 0e0 end as negative_marker,
+    case when contains(op, 'EXERCISES') or starts_with(fu, 'EXERCISE') or starts_with(fu, 'MISCELLANEOUS EXERCISE') then 1e0 else 0e0 end as exercise_marker from o""")
 def structural_signals_sql(t: Inputs) -> DataFrame:
     n = (F.floor((F.col("page") - 1) / 10) + 1).cast("string")
-    s = align.built_in_signals(F.col("text"), n)
-    return t("pg").select("book", "page", *[(F.round(c, 6) if k == "uppercase_heading" else c).alias(k) for k, c in s.items()])
+    f = align.page_features(t("pg"), ["book", "page"]).withColumns(align.number_signals(n))
+    return f.select("book", "page", *[(F.round(k, 6) if k == "uppercase_heading" else F.col(k)).alias(k) for k in align.WEIGHTS if k != "title_match"])
 
 
-def _chapter_pages(t: Inputs) -> DataFrame:
-    c = t("ch").where("chapter <= 5").select("book", "chapter", F.col("chapter").cast("string").alias("chapter_number"), F.col("name").alias("chapter_name"), "toc_start")
-    return c.join(t("pg"), "book")
+def _chapters(t: Inputs) -> DataFrame:
+    return t("cv").select("book", "chapter", F.col("chapter").cast("string").alias("chapter_number"), F.col("name").alias("chapter_name"), "toc_start")
 
 
 @query()
 def structural_score_full(t: Inputs) -> DataFrame:
-    return align.structural(_chapter_pages(t).where("page between (chapter - 1) * 10 + 1 and chapter * 10")).select("book", "chapter", "page", "structural", "signals")
+    """Every chapter on every page of its book."""
+    pairs = _chapters(t).join(t("pv").select("book", "page"), "book")
+    return align.structural(pairs, t("pv"), ["book", "page"]).select("book", "chapter", "page", "structural", "signals")
 
 
 @query()
 def rerank(t: Inputs) -> DataFrame:
-    pairs = _hybrid(t).join(t("pg").select("book", "page", "text"), ["book", "page"]).join(t("qs").select("q_id", F.col("q_text").alias("chapter_name")), "q_id")
-    return align.rerank(align.structural(pairs.withColumn("chapter_number", F.lit("1")))).select("q_id", "book", "page", "total", "signals")
+    """Candidates (best 15 and the window after page 7) by hybrid and structural score."""
+    c = anchor_window_candidates(t).select("q_id", "book", "page").join(_hybrid(t).select("q_id", "book", "page", "score"), ["q_id", "book", "page"])
+    pairs = c.join(t("qs").select("q_id", F.col("q_text").alias("chapter_name")), "q_id").withColumn("chapter_number", F.lit("1"))
+    return align.rerank(align.structural(pairs, t("pg"), ["book", "page"])).select("q_id", "book", "page", "total", "signals")
 
 
 @query("""with c as (select *, try_cast(trim(start_page) as int) as n from bt), w as (select *, n > total_pages as beyond from c),
@@ -223,15 +225,24 @@ def alignment_qa(t: Inputs) -> DataFrame:
 
 @query()
 def align_fold(t: Inputs) -> DataFrame:
-    """Chapters to pages: all scores set-wise, then the ordered picks of each book."""
-    q = t("ch").select("book", "chapter", align.query_text(F.col("chapter").cast("string"), F.col("name")).alias("q_text"), F.concat_ws(":", "book", "chapter").alias("q_id"))
-    size = t("pg").groupBy("book").agg(F.count(F.lit(1)).cast("int").alias("total_pages"))
-    text = dense.by_max(lexical.bm25(t("pg"), q), ["q_id"], guarded=True).select("q_id", "page", F.col("score").alias("lexical"))
-    pairs = t("ch").select("book", "chapter", F.concat_ws(":", "book", "chapter").alias("q_id"), F.col("name").alias("chapter_name"), F.col("chapter").cast("string").alias("chapter_number"), "toc_start").join(t("pg"), "book").join(text, ["q_id", "page"], "left")
-    signals = align.built_in_signals(F.col("text"), F.col("chapter_number"))
-    structure = sum((c * align.WEIGHTS[k] for k, c in signals.items()), F.lit(0.0))
-    scored = pairs.withColumn("hybrid", 0.5 * F.coalesce("lexical", F.lit(0.0))).withColumn("total", F.col("hybrid") + align.W_STRUCTURE * structure).withColumn("negative", signals["negative"])
-    return align.fold(scored.join(size, "book").select("book", F.col("chapter").alias("pos"), "page", "hybrid", "total", "negative", F.col("toc_start").alias("toc_page"), "total_pages"))
+    """Chapters to pages: all scores set-wise, each page read once, then the ordered picks of
+    each book.  A chapter's vector is that of its first page that has one; pages without
+    a vector are not found."""
+    vec = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    pages = t("pv").join(vec, "doc_id")
+    size = t("pv").groupBy("book").agg(F.count(F.lit(1)).cast("int").alias("total_pages"))
+    own = pages.groupBy("book", (F.floor((F.col("page") - 1) / 10) + 1).cast("int").alias("chapter")).agg(F.min_by("embedding", "page").alias("q_vec"))
+    ch = _chapters(t).withColumn("q_id", F.concat_ws(":", "book", "chapter"))
+    d = dense.scores(ch.join(own, ["book", "chapter"]).select("q_id", "book", "q_vec"), pages.select("book", "page", "embedding"), ["book"]).select("q_id", "book", "page", "score")
+    q = ch.select("q_id", "book", align.query_text(F.col("chapter_number"), F.col("chapter_name")).alias("q_text"))
+    lex = dense.by_max(lexical.bm25(pages, q), ["q_id"], guarded=True)
+    h = lexical.hybrid(dense.by_max(d, ["q_id"]), lex, ["q_id", "book", "page"]).select("q_id", "book", "page", F.col("score").alias("hybrid"))
+    f = align.page_features(pages, ["book", "page"])
+    s = h.join(f.drop("lines"), ["book", "page"]).join(ch.drop("book"), "q_id").join(size, "book")
+    signals = {k: F.col(k) for k in align.WEIGHTS if k != "title_match"} | align.number_signals(F.col("chapter_number"))
+    total = F.col("hybrid") + align.W_STRUCTURE * align.weighed(signals)
+    c = s.select("book", F.col("chapter").alias("pos"), "page", "hybrid", total.alias("total"), F.col("negative_marker").alias("negative"), F.col("toc_start").alias("toc_page"), "total_pages", F.col("chapter_name").alias("name"))
+    return align.fold(c, f.select(*[F.col(x).alias(x) for x in ("book", "page", "lines")]))
 
 
 # ---- chunks
@@ -384,13 +395,13 @@ def context_assembly(t: Inputs) -> DataFrame:
     return retrieve.context(h, ["q_id"], "rank", "head", "text").select("q_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
-@query(f"""with q as (select f.conv_id, f.turn, f.search_text, e.label, e.embedding from ({_FOLLOW}) f join embeddings e on e.vec_id = f.conv_id * 7 % 500 where f.conv_id < 60),
+@query(f"""with q as (select f.conv_id, f.turn, f.search_text, e.label, e.embedding from ({_FOLLOW}) f join embeddings e on e.vec_id = f.conv_id * 7 % (select count(*) from embeddings)),
     h as (select * from (select q.conv_id, q.turn, v.vec_id, row_number() over (partition by q.conv_id, q.turn order by {_dot('v.embedding', 'q.embedding')} desc, v.vec_id) as rank from q join embeddings v on v.label = q.label) where rank <= 5)
     select h.conv_id, h.turn, q.search_text as question, count(*) as blocks, md5(string_agg(concat('[', {_HEAD}, ']', chr(10), substring(d.text, 1, 1000)), concat(chr(10), chr(10), '---', chr(10), chr(10)) order by h.rank)) as context_md5
     from h join q on h.conv_id = q.conv_id and h.turn = q.turn join documents d on d.doc_id = h.vec_id group by all""")
 def retrieve_end_to_end(t: Inputs) -> DataFrame:
     """Question, filter, k-NN, rows, context, for all questions in one plan."""
-    q = retrieve.search_queries(t("conversations").where("conv_id < 60"), short=20).withColumn("vec_id", F.col("conv_id") * 7 % 500)
+    q = retrieve.search_queries(t("conversations"), short=20).withColumn("vec_id", F.col("conv_id") * 7 % t("embeddings").count())
     q = q.join(t("embeddings"), "vec_id").select("conv_id", "turn", "search_text", "label", F.col("embedding").alias("q_vec"))
     hits = dense.top_k(dense.scores(q, t("embeddings"), ["label"]), 5, ["conv_id", "turn"], "vec_id").withColumnRenamed("vec_id", "doc_id")
     h = _headed(retrieve.hydrate(hits.drop("embedding", "q_vec"), t("documents"), "doc_id"))
@@ -408,21 +419,17 @@ def chat_prompt(t: Inputs) -> DataFrame:
 
 # ---- figures
 
-_FIG = "(?i)\\bfig(?:ure)?\\.?\\s*([\\d][\\d.]*(?:\\([a-z]\\))?)"
+_FIG = "(?i)(?:Fig\\.?|Figure)\\s*(\\d+[\\.\\d]*(?:\\([a-z]\\))?)"
 _REFS = f"list_distinct(list_transform(regexp_extract_all(text, '{_FIG}', 1), lambda x: regexp_replace(x, '(?i)\\([a-z]\\)$', '')))"
-_IMG = f"imf as (select image_id, book, page, caption, nullif(regexp_extract(caption, '{_FIG}', 1), '') as fig_number from im), h1 as (select * from ht where q = 1)"
-_J2 = f"{_IMG}, rf as (select distinct unnest({_REFS}) as f from h1), j2 as (select imf.* from imf where fig_number in (select f from rf) and book in (select book from h1))"
-_J3 = f"{_J2}, j3 as (select * from imf where (caption is null or regexp_matches(trim(caption), '^\\([a-z]\\)$')) and book in (select book from h1) and page in (select page from j2))"
+_IMG = f"imf as (select image_id, book, page, caption, nullif(regexp_extract(caption, '{_FIG}', 1), '') as fig_number from im), hb as (select distinct q, book from ht)"
+_J2 = f"{_IMG}, rf as (select distinct q, unnest({_REFS}) as f from ht), j2 as (select hb.q, imf.* from imf join hb on imf.book = hb.book join rf on rf.q = hb.q and rf.f = imf.fig_number)"
+_J3 = f"{_J2}, j3 as (select hb.q, imf.* from imf join hb on imf.book = hb.book join (select distinct q, page from j2) p on p.q = hb.q and p.page = imf.page where caption is null or regexp_full_match(caption, '\\([a-z]+\\)'))"
 
 
 def _images(t: Inputs) -> DataFrame:
     return t("im").withColumn("fig_number", T.figure_number(F.col("caption")))
 
 
-def _hits_of(t: Inputs, q: int = 1) -> DataFrame:
-    return t("ht").where(F.col("q") == q)
-
-
 @query(f"select q, rank, array_to_string(list_sort({_REFS}), ',') as refs from ht")
 def figure_refs(t: Inputs) -> DataFrame:
     return t("ht").select("q", "rank", F.array_join(F.array_sort(T.figure_refs(F.col("text"))), ",").alias("refs"))
@@ -433,21 +440,22 @@ def fig_number_from_caption(t: Inputs) -> DataFrame:
     return _images(t).select("image_id", "fig_number")
 
 
-@query(f"with {_J2} select image_id, fig_number from j2")
+@query(f"with {_J2} select q, image_id, page from j2")
 def images_by_ref(t: Inputs) -> DataFrame:
-    return retrieve.images_by_reference(_images(t), _hits_of(t)).select("image_id", "fig_number")
+    return retrieve.images_by_reference(_images(t), t("ht")).select("q", "image_id", "page")
 
 
-@query(f"with {_J3} select image_id, page from j3")
+@query(f"with {_J3} select q, image_id, page from j3")
 def images_subparts(t: Inputs) -> DataFrame:
-    i, h = _images(t), _hits_of(t)
-    return retrieve.sub_parts(i, h, retrieve.images_by_reference(i, h)).select("image_id", "page")
+    i, h = _images(t), t("ht")
+    return retrieve.sub_parts(i, h, retrieve.images_by_reference(i, h)).select("q", "image_id", "page")
 
 
-@query(f"""with {_J3}, fo as (select image_id, min(s) as source from (select image_id, 1 as s from j2 union all select image_id, 2 as s from j3) group by image_id),
-    bk as (select image_id, 3 as source from imf where (book, page) in (select (book, page) from h1 where rank = 1) and not exists (select 1 from fo)) select * from fo union all select * from bk""")
+@query(f"""with {_J3}, fo as (select q, image_id, min(s) as source from (select q, image_id, 1 as s from j2 union all select q, image_id, 2 as s from j3) group by all),
+    bk as (select ht.q, image_id, 3 as source from imf join ht on ht.book = imf.book and ht.page = imf.page where rank = 1 and not exists (select 1 from fo where fo.q = ht.q)) select * from fo union all select * from bk""")
 def images_fallback(t: Inputs) -> DataFrame:
-    return retrieve.images_for(_images(t), _hits_of(t)).select("image_id", "source")
+    """All questions at once; the fallback is each question's own."""
+    return retrieve.images_for(_images(t), t("ht"))
 
 
 # ---- manifests, tables of contents, blocks
@@ -513,10 +521,16 @@ def fence_strip(t: Inputs) -> DataFrame:
     return t("js").select("event_id", s.alias("reply"), F.from_json(s, "k int")["k"].alias("k"))
 
 
-@query("select event_id, 1 as n, cast(event_id % 9 as string) as chapter_number, event_type as chapter_name, cast(user_id as string) as start_page from events")
+_SALVAGE = r'(?s)\{\s*"chapter_number"\s*:.*?"topics"\s*:\s*\[.*?\]\s*\}'
+
+
+@query(f"""with m as (select event_id, list_filter(regexp_extract_all(cut, '{_SALVAGE}'), lambda x: json_valid(x)) as l from js)
+    select event_id, cast(len(l) as int) as n, json_extract_string(l[1], '$.chapter_number') as chapter_number, json_extract_string(l[1], '$.chapter_name') as chapter_name,
+    json_extract_string(l[1], '$.topics[0].topic_name') as topic_name, true as truncated from m where len(l) > 0""")
 def json_salvage(t: Inputs) -> DataFrame:
-    c = T.salvage_chapters(F.col("cut"))
-    return t("js").select("event_id", F.size(c).alias("n"), F.explode(c).alias("c")).select("event_id", "n", "c.chapter_number", "c.chapter_name", "c.start_page")
+    s = t("js").select("event_id", T.salvage_chapters(F.col("cut")).alias("s")).where("s is not null")
+    first = F.col("s.chapters")[0]
+    return s.select("event_id", F.size("s.chapters").alias("n"), first["chapter_number"].alias("chapter_number"), first["chapter_name"].alias("chapter_name"), F.try_element_at(first["topics"], F.lit(1))["topic_name"].alias("topic_name"), F.col("s._truncated").alias("truncated"))
 
 
 @query("select event_id, case event_id % 5 when 0 then event_type when 1 then event_type else 'Unknown' end as subject, case event_id % 5 when 1 then '2' end as part, case event_id % 5 when 0 then '12' when 1 then '9' else 'Unknown' end as class_number from events")
@@ -524,13 +538,15 @@ def identity_parse(t: Inputs) -> DataFrame:
     return t("js").select("event_id", T.identity(F.col("who")).alias("i")).select("event_id", "i.*")
 
 
-_BLOCK_EQ = "select doc_id, regexp_extract_all(text, '(?s)\\$\\$(.+?)\\$\\$', 1) as e from documents"
+_MATHS = "concat(text, ' $$a', doc_id, chr(10), '+1$$ and $x$ ', case when doc_id % 3 = 0 then '$$ b $$' else '' end)"
 
 
-@query(f"select doc_id, cast(len(e) as int) as n, array_to_string(list_transform(e, lambda x: trim(x, ' ' || chr(10))), '|') as equations from ({_BLOCK_EQ}) where len(e) > 0")
+@query(f"select doc_id, cast(len(e) as int) as n, array_to_string(list_transform(e, lambda x: trim(x)), '|') as equations from (select doc_id, regexp_extract_all({_MATHS}, '(?s)\\$\\$(.+?)\\$\\$') as e from documents)")
 def equations_block(t: Inputs) -> DataFrame:
-    e = F.regexp_extract_all("text", F.lit(r"(?s)\$\$(.+?)\$\$"), F.lit(1))
-    return t("documents").select("doc_id", F.size(e).alias("n"), F.array_join(F.transform(e, T.strip), "|").alias("equations")).where("n > 0")
+    """The display equations, dollar signs and all."""
+    text = F.concat("text", F.lit(" $$a"), "doc_id", F.lit("\n+1$$ and $x$ "), F.when(F.col("doc_id") % 3 == 0, "$$ b $$").otherwise(""))
+    e = F.filter(T.equations(text)["equations"], lambda x: x.startswith("$$"))
+    return t("documents").select("doc_id", F.size(e).alias("n"), F.array_join(e, "|").alias("equations"))
 
 
 @query()
@@ -619,24 +635,30 @@ def chapter_files(t: Inputs) -> DataFrame:
     return t("part").select(T.chapter_file(number, name).alias("chapter_file")).distinct()
 
 
-# ---- fuzzy matching and segmentation (Python folds; rows only)
+# ---- fuzzy matching and segmentation
+
+
+def _headed_parts(t: Inputs, text: F.Column) -> DataFrame:
+    return t("part").select(F.col("p_partkey").alias("id"), F.lit("b").alias("book"), text.alias("text"))
 
 
 @query()
 def fuzzy_topic(t: Inputs) -> DataFrame:
-    topics = F.create_map(*[F.lit(x) for n, name in enumerate(["red widget", "small ring", "blue gear", "large bolt"], 1) for x in (f"1.{n}", name)])
-    return t("part").select("p_partkey", fuzzy.match_topic_column(F.col("p_name"), topics).alias("topic"))
+    topics = t.spark.createDataFrame([("b", f"1.{n}", name) for n, name in enumerate(["red widget", "small ring", "blue gear", "large bolt"], 1)], "book string, topic string, topic_name string")
+    text = F.concat(F.when(F.col("p_partkey") % 5 == 0, "1 . 2 ").otherwise(""), "p_name")
+    return headings.topic_matches(_headed_parts(t, text), topics)
 
 
 @query()
 def fuzzy_chapter(t: Inputs) -> DataFrame:
-    chapters = F.create_map(*[F.lit(x) for n, name in enumerate(["red widget", "small ring", "economy anodised parts"], 1) for x in (str(n), name)])
-    return t("part").select("p_partkey", fuzzy.match_chapter_column(F.concat_ws(" ", F.lit("Chapter 1"), "p_name"), chapters).alias("chapter"))
+    chapters = t.spark.createDataFrame([("b", str(n), name) for n, name in enumerate(["red widget", "small ring", "economy anodised parts"], 1)], "book string, chapter string, name string")
+    return headings.chapter_matches(_headed_parts(t, F.concat(F.lit("Chapter 1 "), "p_name")).withColumn("least", F.lit(0.62)), chapters)
 
 
-@query()
+@query("select p_partkey, trim(p_name) as name from part where length(trim(p_name)) >= 4")
 def ocr_dedup(t: Inputs) -> DataFrame:
-    return t("part").select("p_partkey", fuzzy.undouble_column(F.concat("p_name", "p_name")).alias("name"))
+    name = T.strip(F.col("p_name"))
+    return t("part").where(F.length(name) >= 4).select("p_partkey", headings.undoubled(F.concat(name, name)).alias("name"))
 
 
 @query()
@@ -680,7 +702,11 @@ def stream_incremental_merge(t: Inputs) -> DataFrame:
     from folioscan.streaming import incremental
 
     sc = t.spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="folioscan-")
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="folioscan-")
     at = f"{root}/stream-{uuid.uuid4().hex}"
     events = t("events")
     sink = incremental.latest_merge(f"{at}/table", ["user_id"], "event_id")

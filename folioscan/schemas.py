@@ -18,6 +18,7 @@ BLOCK = _struct(type=_S, text=_S, text_level=T.IntegerType(), page_idx=T.Integer
 BLOCKS = T.ArrayType(BLOCK)
 IDENTITY = _struct(subject=_S, part=_S, class_number=_S)
 CHAPTER = _struct(chapter_number=_S, chapter_name=_S, start_page=_S, topics=T.ArrayType(_struct(topic_number=_S, topic_name=_S, start_page=_S)))
+CHAPTER_CHECKED = T.StructType([*CHAPTER.fields, T.StructField("corrupt", _S)])
 
 #: DDL of the stored tables, the union of what every phase writes.
 TABLES = {

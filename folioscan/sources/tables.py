@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from folioscan.functions import text as T
 
 #: Headings of a table of contents (fixed values).
 TOC_KEYWORDS = ["CONTENTS", "CONTENT", "TABLE OF CONTENTS", "INDEX", "CHAPTER INDEX", "CONTENTS PART I", "CONTENTS PART II", "CONTENTS OF"]
+#: What counts without a file of them (fixed values).
+TOC_BUILT_IN = ["CONTENTS", "CONTENT", "TABLE OF CONTENTS"]
 #: Subjects whose pages are read as plain text (fixed values).
 TEXT_SUBJECTS = ["english", "hindi", "sanskrit", "history", "geography", "political science", "sociology"]
 
@@ -31,12 +34,21 @@ def json_documents(spark: SparkSession, paths: str | list[str], schema) -> DataF
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(paths).withColumn("path", F.input_file_name())
 
 
-def keywords(spark: SparkSession, path: str | None = None) -> list[str]:
-    """Upper-cased lines that are neither blank nor comments; a short built-in list without a file."""
+def keywords(spark: SparkSession, path: str | None = None, most: int = 100_000) -> list[str]:
+    """Upper-cased lines that are neither blank nor comments; a short built-in list where
+    there is no file.  They become one literal, so more than ``most`` raise ValueError."""
     if path is None:
-        return list(TOC_KEYWORDS)
-    rows = spark.read.text(path).select(F.upper(T.strip("value")).alias("k")).where("k <> '' and k not like '#%'")
-    return [r.k for r in rows.limit(10_000).collect()]
+        return list(TOC_BUILT_IN)
+    try:
+        rows = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return list(TOC_BUILT_IN)
+    found = rows.select(F.upper(T.strip("value")).alias("k")).where("k <> '' and k not like '#%'").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} keywords in {path}")
+    return [r.k for r in found]
 
 
 def text_or_ocr(native: Column, ocr: Column) -> Column:

@@ -1,10 +1,13 @@
 import hashlib
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import fuzzy
 from folioscan.functions import text as T
+from folioscan.operators import headings
 
 
 def one(spark, make, *values):
@@ -45,16 +48,31 @@ def test_normalise_and_lines(spark):
 
 def test_json_replies(spark):
     assert one(spark, T.strip_fences, '```json\n{"a": 1}\n```', " plain ") == ['{"a": 1}', "plain"]
-    cut = '{"chapters": [{"chapter_number": 1, "chapter_name": "A", "topics": [{"topic_number": "1.1"}]}, {"chapter_number": "2", "chapter_na'
-    got = one(spark, T.salvage_chapters, cut, "nothing")
-    assert [(c.chapter_number, c.chapter_name) for c in got[0]] == [("1", "A")] and got[1] == []
+    cut = '{"chapters": [{"chapter_number": 1, "chapter_name": "A", "topics": [{"topic_number": "1.1"}, {"topic_number": "1.2"}]}, { "chapter_number" : "2", "chapter_name": "B", "topics": [] }, {"chapter_number": "3", "chapter_na'
+    flat = '{"chapters": [{"chapter_number": "1", "chapter_name": "A"}, {"chapter_na'
+    late = '{"chapters": [{"chapter_name": "A", "chapter_number": "1", "topics": []}'
+    bad = '{"chapter_number": oops, "topics": []}{"chapter_number": "5", "topics": []}'
+    got = one(spark, T.salvage_chapters, cut, flat, late, "nothing", None, bad)
+    assert [(c.chapter_number, c.chapter_name, [t.topic_number for t in c.topics]) for c in got[0].chapters] == [("1", "A", ["1.1", "1.2"]), ("2", "B", [])] and got[0]._truncated
+    assert got[1:5] == [None] * 4 and [c.chapter_number for c in got[5].chapters] == ["5"]
+    toc = "chapters array<struct<chapter_number:string,chapter_name:string>>"
+    got = one(spark, lambda c: T.json_reply(c, toc), '```json\n{"chapters": [{"chapter_number": 4}]}\n```', cut, "no")
+    assert got[0].whole.chapters[0].chapter_number == "4" and got[0].salvaged is None
+    assert got[1].whole is None and len(got[1].salvaged.chapters) == 2 and got[2].whole is None and got[2].salvaged is None
     got = one(spark, T.identity, '{"subject": "Biology", "part": "null", "class_number": "XII"}', 'ok {"subject": "", "part": "2", "class_number": "9"}', "none")
     assert [(g.subject, g.part, g.class_number) for g in got] == [("Biology", None, "12"), ("Unknown", "2", "9"), ("Unknown", None, "Unknown")]
 
 
 def test_equations(spark):
-    got = one(spark, T.equations, "a $$x\n+1$$ b $y$ c\n\n\n\nd")[0]
-    assert got.equations == ["x\n+1", "y"] and got.text == "a  b  c\n\nd"
+    got = one(spark, T.equations, "a $$x\n+1$$ b $y$ c\n\n\n\nd", "$a\nb$ $ c $ $$", None)
+    assert got[0].equations == ["$$x\n+1$$", "$y$"] and got[0].text == "a  b  c\n\nd"
+    assert got[1].equations == ["$ $"] and got[1].text == "$a\nb c $ $$"
+
+
+def test_figures(spark):
+    said = ["Fig. 1.2 and FIGURE 3(a), figures 5, Fig.4.", "Figure. 3 and Config 4.1", "fig7"]
+    assert one(spark, T.figure_refs, *said) == [["1.2", "3", "4."], ["4.1"], ["7"]]
+    assert one(spark, T.figure_number, "Figure 2.1(b) x", "none", None) == ["2.1(b)", None, None]
 
 
 def test_names(spark):
@@ -62,18 +80,30 @@ def test_names(spark):
     assert one(spark, lambda c: T.point_id(c, F.lit(3)), "bio") == [int(hashlib.sha256(b"bio:3").hexdigest()[:15], 16)]
 
 
-@pytest.mark.parametrize("text, want", [("ElectrochemistryElectrochemistry", "Electrochemistry"), ("Cells", "Cells"), ("", "")])
-def test_undouble(text, want):
-    assert fuzzy.undouble(text) == want
+def test_undoubled(spark):
+    said = ["ElectrochemistryElectrochemistry", "Cells", "", " abcABCDabcd ", "Haloalkanes andHaloalkanes and HaloarenesHaloarenes", None]
+    assert one(spark, headings.undoubled, *said) == ["Electrochemistry", "Cells", "", "abcABCDabcd", "Haloalkanes and", None]
+
+
+def ratio_of(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def test_headings(spark):
+    topics = spark.createDataFrame([("b", "7.1", "Introduction"), ("b", "7.2", "Integration as an Inverse Process"), ("b", "7.3", None), ("c", "1.1", "Something")], "book string, topic string, topic_name string")
+    said = ["7 . 2 Other words", "Integration as Inverse Process", "Something else", "9.9 introduction", None, ""]
+    rows = spark.createDataFrame([(i, "b", t) for i, t in enumerate(said)], "id int, book string, text string")
+    assert {r.id: r.topic for r in headings.topic_matches(rows, topics).collect()} == {0: "7.2", 1: "7.2", 3: "7.1"}
+    chapters = spark.createDataFrame([("b", "1", "Electrochemistry"), ("b", "2", "Amines"), ("b", "10", "Photosynthesis Basics"), ("b", "11", None)], "book string, chapter string, name string")
+    said = ["Chapter 1 ElectrochemistryElectrochemistry", "Aminess", "Quantum gravity", "the amines today are here and there", "UNIT ON PHOTOSYNTHESIS BASICS and more", None]
+    rows = spark.createDataFrame([(i, "b", t, 0.62) for i, t in enumerate(said)], "id int, book string, text string, least double")
+    assert {r.id: r.chapter for r in headings.chapter_matches(rows, chapters).collect()} == {0: "1", 1: "2", 3: "2", 4: "10"}
 
 
-def test_fuzzy_matching():
-    topics = {"7.1": "Introduction", "7.2": "Integration as an Inverse Process"}
-    assert fuzzy.match_topic("7 . 2 Integration", topics) == "7.2"
-    assert fuzzy.match_topic("Integration as Inverse Process", topics) == "7.2"
-    assert fuzzy.match_topic("Something else", topics) is None
-    chapters = {"1": "Electrochemistry", "2": "Amines"}
-    assert fuzzy.match_chapter("Chapter 1 ElectrochemistryElectrochemistry", chapters) == "1"
-    assert fuzzy.match_chapter("Aminess", chapters) == "2"
-    assert fuzzy.match_chapter("Photosynthesis in plants", chapters) is None
+def test_title_match():
     assert fuzzy.ratio("", "x") == 0 and fuzzy.ratio("The Cell!", "the cell") == 1
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abCD .1!", k=rng.randint(0, 12)))
+    for _ in range(300):
+        name, lines = word() + word(), [word() for _ in range(rng.randint(0, 20))]
+        assert fuzzy.title_match(name, lines) == max([fuzzy.ratio(name, x) for x in [*lines[:12], " ".join(lines)[:400]]])

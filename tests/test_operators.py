@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,18 +60,84 @@ def test_chapter_ends(spark):
 
 def test_structural_score(spark):
     text = "CHAPTER 3\nCELLS AND TISSUES\n3.1 Introduction\nObjectives: after reading"
-    df = spark.createDataFrame([("3", "Cells and Tissues", text), ("3", "Cells and Tissues", "EXERCISES\n3.1 question"), ("3", "x", None)], "chapter_number string, chapter_name string, text string")
-    a, b, c = align.structural(df).collect()
-    assert a.signals["title_match"] == 1 and a.signals["section_start"] == 1 and a.signals["objectives"] == 1 and a.signals["uppercase_heading"] == 1
-    assert b.signals["negative"] == 1 and b.signals["exercise"] == 1 and b.structural < 0 < a.structural
-    assert c.structural == 0 and c.signals == {}
-
-
-def test_ordered_picks(spark):
-    cand = [("b", pos, page, h, h, 0.0, 0, 100) for pos, best in ((1, 40), (2, 20)) for page in range(1, 101) for h in [1.0 if page == best else 0.5 if page == 60 and pos == 2 else 0.0]]
-    df = spark.createDataFrame(cand, "book string, pos int, page int, hybrid double, total double, negative double, toc_page int, total_pages int")
-    got = [(r.pos, r.start_page, r.decided_by) for r in align.fold(df).orderBy("pos").collect()]
-    assert got == [(1, 40, "best"), (2, 60, "repaired")]
+    pages = spark.createDataFrame([(1, text), (2, "EXERCISES\n3.1 question"), (3, None), (5, "UNIT3\n13.1 x 3.2"), (6, "Xiv 2-1 chapter")], "page int, text string")
+    pairs = spark.createDataFrame([("3", "Cells and Tissues", 1), ("3", "Cells and Tissues", 2), ("3", "x", 3), ("3", "x", 4), ("3", "x", 5), ("13", "x", 5), ("iv", "x", 6), ("2-1", "x", 6)], "chapter_number string, chapter_name string, page int")
+    got = {(r.page, r.chapter_number): r for r in align.structural(pairs, pages, ["page"]).collect()}
+    a, b = got[1, "3"], got[2, "3"]
+    assert a.signals["title_match"] == 1 and a.signals["section_start"] == 1 and a.signals["objectives_marker"] == 1 and a.signals["uppercase_heading"] == 1 and a.signals["chapter_number"] == 1
+    assert a.signals["structural_score"] == round(a.structural, 4) and b.signals["negative_marker"] == 1 and b.signals["exercise_marker"] == 1 and b.structural < 0 < a.structural
+    assert all(got[p, "3"].structural == 0 and got[p, "3"].signals == {} for p in (3, 4))
+    number = lambda p, n: (got[p, n].signals["chapter_number"], got[p, n].signals["section_start"])
+    assert number(5, "3") == (1, 0.5) and number(5, "13") == (1, 1) and number(6, "iv") == (0, 0) and number(6, "2-1") == (0, 0)
+    r = align.rerank(align.structural(pairs.where("page = 1").withColumn("score", F.lit(0.5)), pages, ["page"])).first()
+    assert r.total == 0.5 + 0.85 * r.structural and r.signals["hybrid_score"] == 0.5 and r.signals["total_score"] == round(r.total, 4)
+
+
+def plain_picks(chapters, resolver=None):
+    """chapters: for each [(hybrid, total, negative, page)], toc page, pages of the book."""
+
+    def pick(cands, after):
+        valid = [p for _, p in cands if after <= 0 or p > after]
+        if not valid:
+            return cands[0][1]
+        if resolver:
+            try:
+                said = resolver([(s, p) for s, p in cands if p in valid][:8], after)
+                if said in valid:
+                    return said
+            except ValueError:
+                pass
+        return valid[0]
+
+    out, previous = [], 0
+    for rows, toc, total in chapters:
+        top = {p for *_, p in sorted(rows, key=lambda r: (-r[0], r[3]))[:15]}
+        low, high = (previous + 1, previous + 30) if previous else (max(1, toc - 5), toc + 30) if 0 < toc <= 0.8 * total else (1, 30)
+        kept = sorted((r for r in rows if r[3] in top or low <= r[3] <= min(high, total)), key=lambda r: (-r[1], r[3]))
+        cands = [(r[1], r[3]) for r in kept]
+        gap = kept[0][1] - (kept[1][1] if len(kept) > 1 else -999)
+        clear = gap >= 0.18 and kept[0][2] == 0
+        previous = kept[0][3] if clear else pick(cands, 0)
+        out.append([previous, "best" if clear else "resolver", cands])
+    for i in range(1, len(out)):
+        if out[i][0] <= out[i - 1][0]:
+            out[i][:2] = pick(out[i][2], out[i - 1][0]), "repaired"
+    return [tuple(o[:2]) for o in out]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_ordered_picks(spark, odd):
+    def answer(shown, after):
+        best = max(p for _, p in shown)
+        if best % 7 == 0:
+            raise ValueError("no answer")
+        return 10_000 if best % 5 == 0 else best
+
+    resolver = answer if odd else None
+    rng = random.Random(11)
+    books, rows = {}, []
+    for b in range(12):
+        total = rng.choice([5, 40, 120])
+        books[f"b{b}"] = chapters = []
+        for pos in range(1, rng.randint(2, 7)):
+            pages = rng.sample(range(1, total + 1), rng.randint(1, total))
+            cands = [(h, h + rng.choice([0, 0.1, 0.5]), float(rng.random() < 0.2), p) for p in pages for h in [round(rng.random(), 2)]]
+            chapters.append((cands, rng.choice([0, 3, 20, total]), total))
+            rows += [(f"b{b}", pos, p, h, s, n, chapters[-1][1], total) for h, s, n, p in cands]
+    df = spark.createDataFrame(rows, "book string, pos int, page int, hybrid double, total double, negative double, toc_page int, total_pages int")
+    got = {}
+    for r in align.fold(df, resolver=resolver).orderBy("book", "pos").collect():
+        got.setdefault(r.book, []).append((r.start_page, r.decided_by))
+    assert got == {b: plain_picks(c, resolver) for b, c in books.items()}
+    assert any(d == "repaired" for g in got.values() for _, d in g)
+
+
+def test_titles_count_where_a_page_takes_part(spark):
+    rows = [("b", 1, p, 0.1, 0.1, 0.0, 0, 40, "Living Cells") for p in range(1, 41)]
+    df = spark.createDataFrame(rows, "book string, pos int, page int, hybrid double, total double, negative double, toc_page int, total_pages int, name string")
+    lines = spark.createDataFrame([("b", p, ["Living cells" if p in (17, 35) else "other"]) for p in range(1, 41)], "book string, page int, lines array<string>")
+    got = align.fold(df, lines).first()
+    assert (got.start_page, got.decided_by) == (17, "best") and 0.18 < got.lead < 0.2550001
 
 
 def test_dense_plan_and_ties(spark, plan_of):
@@ -101,10 +169,18 @@ def test_follow_up_questions(spark):
 
 
 def test_image_chain(spark):
-    im = spark.createDataFrame([("a", "B", 3, "Fig 1.2 x", "1.2"), ("b", "B", 3, "(a)", None), ("c", "B", 4, None, None), ("d", "C", 3, None, None)], "image_id string, book string, page int, caption string, fig_number string")
-    hit = lambda text: spark.createDataFrame([("B", 4, 1, text)], "book string, page int, rank int, text string")
-    assert [(r.image_id, r.source) for r in retrieve.images_for(im, hit("see fig 1.2 here")).orderBy("image_id").collect()] == [("a", 1), ("b", 2)]
-    assert [(r.image_id, r.source) for r in retrieve.images_for(im, hit("see nothing")).collect()] == [("c", 3)]
+    im = spark.createDataFrame([("a", "B", 3, "Fig 1.2 x", "1.2"), ("b", "B", 3, "(a)", None), ("r", "B", 3, "(ii)", None), ("s", "B", 3, " (a)", None), ("t", "B", 3, "(a)\n", None), ("c", "B", 4, None, None), ("d", "C", 3, None, None), ("e", "D", 9, "Fig 1.2", "1.2")], "image_id string, book string, page int, caption string, fig_number string")
+    hits = spark.createDataFrame([(1, "B", 4, 1, "see fig 1.2 here"), (2, "B", 4, 1, "see nothing"), (2, "C", 3, 2, "nor here"), (3, "Z", 1, 1, "fig 1.2"), (4, "C", 3, 1, "fig 1.2"), (4, "B", 7, 2, "x")], "q int, book string, page int, rank int, text string")
+    got = sorted((r.q, r.image_id, r.source) for r in retrieve.images_for(im, hits).collect())
+    assert got == [(1, "a", 1), (1, "b", 2), (1, "r", 2), (2, "c", 3), (4, "a", 1), (4, "b", 2), (4, "d", 2), (4, "r", 2)]
+
+
+def test_keywords(spark, tmp_path):
+    (tmp_path / "k.txt").write_text(" contents \n# no\n\nIndex\n")
+    assert tables.keywords(spark, str(tmp_path / "k.txt")) == ["CONTENTS", "INDEX"]
+    assert tables.keywords(spark, str(tmp_path / "none.txt")) == tables.keywords(spark) == ["CONTENTS", "CONTENT", "TABLE OF CONTENTS"]
+    with pytest.raises(ValueError):
+        tables.keywords(spark, str(tmp_path / "k.txt"), most=1)
 
 
 def test_prompt(spark):

@@ -53,7 +53,7 @@ def test_entry(spark):
         assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["bm25_scores", "topic_page_chunks", "chunk_image_range_join", "retrieve_end_to_end", "hybrid_top15"])
+@pytest.mark.parametrize("name", ["bm25_scores", "topic_page_chunks", "chunk_image_range_join", "retrieve_end_to_end", "hybrid_top15", "images_fallback", "images_subparts", "align_fold"])
 def test_no_crossed_joins(spark, plan_of, name):
     plan = plan_of(entry.queries()[name](spark, str(DATA)))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
