@@ -50,6 +50,8 @@ def classify(blocks: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """Adds what each block is: role, chapter number said, topic number said."""
     b = blocks.join(skip, ["book", "page"], "left_anti") if skip is not None else blocks
     text = T.strip(F.coalesce("text", F.lit("")))
+    code = F.col("code_body") if "code_body" in b.columns else F.lit(None).cast("string")
+    inline = F.coalesce(T.falsy(F.col("text")), code, F.lit(""))  # formulas and code stay as they are
     topic = F.regexp_extract(text, r"^(\d+)\s*\.\s*(\d+)", 0)
     role = (
         F.when(F.col("type").isin(NOISE), "noise").when(F.col("type").isin(FIGURES), "figure").when(F.col("type").isin("equation", "code"), "inline")
@@ -57,7 +59,7 @@ def classify(blocks: DataFrame, skip: DataFrame | None = None) -> DataFrame:
         .when(text.rlike(r"(?i)^Example\s+(\d+)[.\s]"), "example").otherwise("body")
     )
     return b.select(
-        "book", "pos", "page", F.coalesce("level", F.lit(0)).alias("level"), role.alias("role"), text.alias("text"),
+        "book", "pos", "page", F.coalesce("level", F.lit(0)).alias("level"), role.alias("role"), F.when(role == "inline", inline).otherwise(text).alias("text"),
         F.regexp_extract(text, T.CHAPTER_NUMBER, 1).alias("said_chapter"), T.strip(F.regexp_replace(text, T.CHAPTER_NUMBER, "")).alias("rest"),
         F.regexp_replace(topic, r"\s", "").alias("said_topic"), text.rlike(T.UNIT_HEADER).alias("unit"),
     )
@@ -259,9 +261,26 @@ def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
     return marked.groupBy("book").cogroup(toc.groupBy("book")).applyInPandas(run, _OUT)
 
 
-def windows(segments: DataFrame, target: int = 400, least: int = 80, overlap: float = 0.15) -> DataFrame:
-    """Chunks of segments with ids numbered through the book."""
-    w = segments.select("*", F.posexplode(T.word_windows(F.col("content"), target, least, overlap)).alias("part", "piece"))
+def windows(segments: DataFrame, target: int = 400, least: int = 80, overlap: float = 0.15, images: DataFrame | None = None, chapters: DataFrame | None = None, mode: str = "mineru") -> DataFrame:
+    """Chunks of segments with ids numbered through the book.
+
+    With ``images`` (book, page, image_id) a chunk has image_refs, the images on the pages of
+    its segment, page by page, and has_images; with ``chapters`` (book, chapter, chapter_name)
+    the name of its chapter."""
+    refs = F.array().cast("array<string>")
+    s = segments
+    if images is not None:
+        on = segments.select("book", "seg", F.posexplode("pages").alias("nth", "page")).join(images.select("book", "page", F.col("image_id").cast("string").alias("image_id")), ["book", "page"])
+        got = on.groupBy("book", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "image_id"))), lambda x: x["image_id"]).alias("image_refs"))
+        s, refs = s.join(got, ["book", "seg"], "left"), F.coalesce("image_refs", refs)
+    name = F.lit(None).cast("string")
+    if chapters is not None:
+        names = chapters.groupBy("book", "chapter").agg(F.max("chapter_name").alias("chapter_name"))
+        s, name = s.join(names, ["book", "chapter"], "left"), F.col("chapter_name")
+    w = s.select("*", F.posexplode(T.word_windows(F.col("content"), target, least, overlap)).alias("part", "piece"))
     n = w.selectExpr("*", "row_number() over (partition by book order by seg, part) as n")
     cid = F.concat("book", F.lit("_ch"), "chapter", F.lit("_t"), "topic", F.lit("_"), F.lpad(F.col("n").cast("string"), 4, "0"))
-    return n.select("book", cid.alias("chunk_id"), "chapter", "topic", "topic_name", "kind", "page_start", "page_end", F.col("piece").alias("content"), F.size(T.words(F.col("piece"))).alias("word_count"))
+    return n.select(
+        "book", cid.alias("chunk_id"), "chapter", name.alias("chapter_name"), "topic", "topic_name", "kind", "page_start", "page_end", F.col("piece").alias("content"), F.size(T.words(F.col("piece"))).alias("word_count"),
+        refs.alias("image_refs"), (F.size(refs) > 0).alias("has_images"), F.lit(mode).alias("mode"), F.col("n").alias("seq"),
+    )

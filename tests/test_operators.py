@@ -1,10 +1,12 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan import schemas
-from folioscan.operators import adapters, align, checks, chunk, dense, layout, lexical, retrieve, segment, store
+from folioscan.operators import adapters, align, checks, chunk, dense, layout, lexical, outputs, retrieve, segment, store
+from folioscan.plans import books
 from folioscan.sources import tables
 from folioscan.streaming import incremental
 
@@ -260,6 +262,82 @@ def test_block_segments(spark):
     assert got == [("1.0", "content", "before any topic"), ("1.1", "content", "1.1 Cell wall\nbody\n$$x$$"), ("ex_1.1", "example", "Example 1.1 do it"), ("1.5", "exercise", "1.5 Why?"), ("2.1", "content", "2.1 Transport\nend")]
 
 
+def test_chunk_columns(spark):
+    b = spark.createDataFrame([("b", 0, 1, "text", 2, "1.1 Cell wall", None), ("b", 1, 2, "image", None, None, None), ("b", 2, 2, "code", None, "", " print(1) "), ("b", 3, 3, "text", None, "end", None), ("b", 4, 4, "text", 2, "1.2 Nucleus", None)], "book string, pos int, page int, type string, level int, text string, code_body string")
+    images = spark.createDataFrame([("b", 2, "i2"), ("b", 1, "i1"), ("b", 9, "i9"), ("b", 2, "i1b")], "book string, page int, image_id string")
+    got = segment.windows(segment.block_segments(b, _toc(spark)), images=images, chapters=_toc(spark)).orderBy("seq").collect()
+    assert [(r.chapter_name, r.image_refs, r.has_images, r.mode) for r in got] == [("Living Cells and Tissues", ["i1", "i1b", "i2"], True, "mineru"), ("Living Cells and Tissues", [], False, "mineru")]
+    assert got[0].content == "1.1 Cell wall print(1) end" and got[0].page_end == 3
+
+
+def test_books_from_blocks(spark):
+    said = [("text", 1, 0, "Contents", None), ("text", None, 0, "1.1 Cell wall", None), ("text", 1, 1, "Chapter 1 Living Cells and Tissues", None), ("text", 2, 1, "1.1 Cell wall", None), ("text", None, 1, "has $x$ in it", None), ("image", None, 1, None, "i.png"), ("text", 1, 2, "Plant Physiology Basics", None), ("text", 2, 2, "2.1 Transport", None)]
+    blocks = spark.createDataFrame([("b", i, p + 1, t, x, l, f, None, None) for i, (t, l, p, x, f) in enumerate(said)], "book_stem string, pos int, page_number int, type string, text string, text_level int, img_path string, image_caption array<string>, code_body string")
+    pages, contents, images = books.extracted(blocks, ["CONTENTS"])
+    assert {r.page for r in contents.where("page < 2").collect()} == {1}
+    chunks, base, files = books.chunked(blocks, _toc(spark), contents.where("page < 2"), images)
+    assert [(r.topic, r.image_refs, r.page_start) for r in chunks.orderBy("seq").collect()] == [("1.1", ["b_2_1"], 2), ("2.1", [], 3)]
+    assert [(r.total_chunks, r.total_images, r.total_equations) for r in base.collect()] == [(2, 1, 1)]
+    assert sorted(r.chapter_file for r in files.collect()) == ["chapter_01_Living_Cells_and_Tissues", "chapter_02_Plant_Physiology_Basics"]
+
+
+def test_outputs(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 2, "page_0002.pdf", "page_0002.txt"), ("a", 1, "page_0001.pdf", "page_0001.txt")], "book_stem string, page int, pdf string, txt string")
+    src = spark.createDataFrame([("a", "a.pdf", "text"), ("z", "z.pdf", "layout")], "book_stem string, source_pdf string, extractor string")
+    m = outputs.manifests(pages, src)
+    new = outputs.with_identity(m, spark.createDataFrame([("a", "Bio", None, "12")], "book_stem string, subject string, part string, class_number string"))
+    got = {r.book_stem: r for r in new.collect()}
+    assert [p.page for p in got["a"].pages] == [1, 2] and (got["a"].subject, got["a"].part, got["a"].class_number) == ("Bio", None, "12") and got["z"].pages == [] and got["z"].subject is None
+    at = str(tmp_path / "m")
+    outputs.write_json(m, at, ["book_stem"])
+    outputs.write_json(new.where("book_stem = 'a'"), at, ["book_stem"])
+    back = {r.book_stem: r.subject for r in spark.read.json(at).collect()}
+    assert back == {"a": "Bio", "z": None}
+    ch = spark.createDataFrame([("a", 2, "2", "B", "9", 9, 20, 0.5, {"x": 1.0}), ("a", 1, "1", "A", None, 3, 8, 0.7, {})], "book_stem string, pos int, chapter_number string, chapter_name string, toc_start_page string, confirmed_start_page int, end_page int, confidence double, signals map<string,double>")
+    r = outputs.alignment_maps(ch, new).first()
+    assert r.subject == "Bio" and [(c["chapter_number"], c["end_page"]) for c in json.loads(r.chapters)] == [("1", 8), ("2", 20)]
+    folder = spark.range(1).select(outputs.subject_folder(F.lit(' Bi/o:"'), F.lit(None).cast("string"))).first()[0]
+    assert folder == "Bi_o___ClassUnknown"
+    chunks = spark.createDataFrame([("b", 1, None, None), ("b", 2, "iv", "Four"), ("b", 3, "3", "Three/3"), ("b", 4, "vi", "Six"), ("b", 5, "3", "other")], "book string, seq int, chapter_number string, chapter_name string")
+    assert rows(outputs.chapter_documents(chunks)) == [("b", "chapter_00_Unknown", "00", "Unknown", 1), ("b", "chapter_00_front_matter", "vi", "Six", 1), ("b", "chapter_03_Three_3", "3", "Three/3", 2)]
+    assert {r.seq for r in outputs.chapter_chunks(chunks).collect()} == {1, 3, 4, 5}
+    assert outputs.columns_of({"t": chunks})[1] == ("t", 2, "seq", "int", True) and outputs.sample_row(chunks).count() == 1
+
+
+def test_models_read_books(spark):
+    images = spark.createDataFrame([("a", p, f"i{p}") for p in range(1, 9)], "book string, page int, image_b64 string")
+    some = spark.createDataFrame([("a",), ("b",)], "book string")
+
+    def seen():
+        def f(prompt):
+            import json
+
+            q = json.loads(prompt)
+            return json.dumps({"subject": "+".join(q["images"]), "part": "null", "class_number": "XII"})
+
+        return f
+
+    got = {r.book: (r.subject, r.part, r.class_number) for r in adapters.identify_subjects(images, some, seen, "who?").collect()}
+    assert got == {"a": ("i1+i2+i3+i4+i5", None, "12"), "b": ("Unknown", None, "Unknown")}
+    pages = spark.createDataFrame([("a", 2, "two"), ("a", 1, "Contents"), ("b", 1, "Contents bad"), ("c", 1, "Contents cut")], "book string, page int, text string")
+
+    def reader():
+        def f(prompt):
+            if "bad" in prompt:
+                return "sorry"
+            if "cut" in prompt:
+                return '{"chapters": [{"chapter_number": "1", "chapter_name": "A", "topics": []}, {"chap'
+            return '```json\n{"chapters": [{"chapter_number": 7, "chapter_name": "' + ("ok" if "Contents\\n\\ntwo" in prompt else "no") + '"}]}\n```'
+
+        return f
+
+    out = adapters.extract_contents(pages, images, reader, "Read: ")
+    got = {r.book: ([(c.chapter_number, c.chapter_name) for c in r.chapters], r.truncated, r.error) for r in out.collect()}
+    assert got == {"a": ([("7", "ok")], False, None), "b": ([], False, "Response not valid JSON:\nsorry"), "c": ([("1", "A")], True, None)}
+    again = adapters.reread_contents("a", out.withColumn("error", F.lit(None).cast("string")).withColumn("chapters", F.slice("chapters", 1, 0)), pages, images, reader, "Read: ", ["CONTENTS"])
+    assert {r.book: len(r.chapters) for r in again.collect()} == {"a": 1, "b": 0, "c": 0}
+
+
 def test_line_segments(spark):
     pages = [(1, "preface"), (2, "1.1 Cell wall\nbody\nExample 1.1 do\nmore"), (3, "still"), (4, "EXERCISES\n1.2 Why\nAnswers to all\nsecret"), (5, "2.1 Transport\nend")]
     p = spark.createDataFrame([("b", *x) for x in pages], "book string, page int, text string")
