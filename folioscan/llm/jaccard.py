@@ -19,11 +19,11 @@ from folioscan.llm.components import connected_components
 WIDTH, PERCENT = 5, 80
 BAND, SUBS, SPARE = 1.25, 3, 35
 #: A key of more than COLD classes can be dropped; what is left of one is compared pair by pair up to WARM classes.
-COLD, WARM, BROADCAST_ROWS = 16, 48, 1_000_000
-STREAM_SHINGLES, STREAMS_A_TASK, SEND_KEYS, MERGE_ROWS = 3_000_000, 64, 250_000, 500_000
-BLOCK_BYTES, PRUNINGS, GROUP_BITS = 8 << 20, 2, 10
+COLD, WARM, BROADCAST_ROWS = 12, 32, 1_000_000
+STREAM_SHINGLES, STREAMS_A_TASK, SEND_KEYS, MERGE_ROWS = 2_000_000, 64, 250_000, 250_000
+BLOCK_BYTES, PRUNINGS, GROUP_BITS, KEY_BYTES = 8 << 20, 2, 10, 5
 SHARED = np.int64(-1 << 63)
-_M, _GROUP = (1 << 64) - 1, np.uint64((1 << GROUP_BITS) - 1)
+_M, _GROUP, _ODD = (1 << 64) - 1, np.uint64((1 << GROUP_BITS) - 1), np.uint64(1 << GROUP_BITS)
 
 
 @lru_cache(1 << 12)
@@ -76,9 +76,10 @@ def class_of(s: np.ndarray) -> int:
         return int(textscan.mix(np.array([s.sum() + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64))[0].astype(np.int64))
 
 
-def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of which any set linked to s (but not equal) has some too, and with each
-    a tag: the set's size, its band, and in how many groups a linked set meets it at least.
+def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of which any set linked to s (but not equal) has some too, and a tag: the
+    set's size, and in how many groups of an even and of an odd band a linked set
+    meets it at least, in 16 bits each.
 
     A shingle hash sets one bit of a parity sketch: 64 bits for each of SUBS parts
     of each group.  Bits that differ between two sketches are no more than the
@@ -86,8 +87,8 @@ def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     but one are equal: each way to leave one part out makes a key.  Ways that
     leave no odd bit are skipped, unless a set has more groups with such ways than
     spare ones: then it gives all keys, so two such sets still meet.  The lowest
-    bits of a key number its group (modulo 1 << GROUP_BITS)."""
-    out, tags = [], []
+    GROUP_BITS of a key number its group (modulo), the next one says whether its band is odd."""
+    out, tag = [], len(s) << 32
     for band, low, high in bands_of(len(s), percent):
         groups, spare = scheme(low, high, percent)
         if not groups:
@@ -96,20 +97,18 @@ def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         at = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         bits = np.bincount(at * 64 + (s & np.uint64(63)).astype(np.int64), minlength=parts * 64) & 1
         sketch = np.packbits(bits.astype(np.uint8)).view(np.uint64)
-        tag = np.uint64((band << 44) & _M) + np.arange(parts, dtype=np.uint64)
-        h = textscan.mix(textscan.mix(tag) + sketch).reshape(groups, SUBS)
+        seed = np.uint64((band << 44) & _M) + np.arange(parts, dtype=np.uint64)
+        h = textscan.mix(textscan.mix(seed) + sketch).reshape(groups, SUBS)
         key = textscan.mix(h.sum(1, keepdims=True) - h + np.arange(SUBS, dtype=np.uint64))
-        key = key & ~_GROUP | (np.arange(groups, dtype=np.uint64) & _GROUP)[:, None]
+        key = key & ~(_GROUP | _ODD) | (np.arange(groups, dtype=np.uint64) & _GROUP)[:, None] | np.uint64((band & 1) << GROUP_BITS)
         odd = (sketch != 0).reshape(groups, SUBS)
         left = odd.sum(1, keepdims=True) - odd > 0
         dull = int((~left.all(1)).sum())
         if dull > spare:
             left[:] = True
         out.append(key[left])
-        tags.append(np.full(len(out[-1]), len(s) << 32 | band << 16 | max(1, min(spare + 1 - dull, 0xFFFF)), np.int64))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(tags)
+        tag |= max(1, min(spare + 1 - dull, 0xFFFF)) << (0 if band & 1 else 16)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), tag
 
 
 def fold_bits(n: int) -> int:
@@ -156,15 +155,15 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
     rows may be repeated.
 
     Equal keys that meet in one batch are joined there and go on as one row. Rows
-    go to ``streams`` by key, packed (six bytes of the key, class and tag once for
+    go to ``streams`` by key, packed (KEY_BYTES of the key, class and tag once for
     their keys); a task takes its streams one after the other, sorted by Spark, and
     keeps one class per key of the stream at hand, so its memory follows the number
     of distinct keys in a stream and neither the input nor a key's documents."""
     names, ends = ["part", "keys", "cls", "tags", "counts"], ["key", "cls", "tag"]
-    low = np.uint64((1 << 48) - 1)
+    low = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
     def named(key: np.ndarray, stream: np.ndarray | int) -> np.ndarray:
-        return (key & low | (np.asarray(stream).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)).view(np.int64)
+        return (key & low | np.asarray(stream).astype(np.uint64) << np.uint64(8 * KEY_BYTES)).view(np.int64)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(keys: list[np.ndarray], cls: list[np.ndarray], tags: list[np.ndarray]) -> pa.RecordBatch:
@@ -178,7 +177,7 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
                 for x, y in zip(cut[:-1], cut[1:]):
                     run = np.flatnonzero(np.concatenate([[True], (c[x + 1 : y] != c[x : y - 1]) | (t[x + 1 : y] != t[x : y - 1]), [True]]))
                     part.append(int(to[x]) << 1 | done)
-                    out[0].append(np.ascontiguousarray(key[x:y].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+                    out[0].append(np.ascontiguousarray(key[x:y].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes())
                     out[1].append(c[x:y][run[:-1]].tobytes())
                     out[2].append(t[x:y][run[:-1]].tobytes())
                     out[3].append(np.diff(run).astype(np.uint16 if y - x < 65536 else np.uint32).tobytes())
@@ -187,9 +186,9 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
         held: list[list[np.ndarray]] = [[], [], []]
         for b in batches:
             for s in _sets(b, width):
-                k, t = keys_of(s, percent) if len(s) else (s, s)
-                if len(k):
-                    for x, y in zip(held, (k, np.full(len(k), class_of(s), np.int64), t)):
+                if len(s):
+                    k, t = keys_of(s, percent)
+                    for x, y in zip(held, (k, np.full(len(k), class_of(s), np.int64), np.full(len(k), t, np.int64))):
                         x.append(y)
             if sum(map(len, held[0])) >= SEND_KEYS:
                 yield emit(*held)
@@ -219,10 +218,10 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
 
         for b in batches:
             for part, k, c, t, n in zip(*(x.to_pylist() for x in b.columns)):
-                six = np.frombuffer(k, np.uint8).reshape(-1, 6)
-                eight = np.zeros((len(six), 8), np.uint8)
-                eight[:, :6] = six
-                times = np.frombuffer(n, np.uint16 if len(six) < 65536 else np.uint32)
+                few = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
+                eight = np.zeros((len(few), 8), np.uint8)
+                eight[:, :KEY_BYTES] = few
+                times = np.frombuffer(n, np.uint16 if len(few) < 65536 else np.uint32)
                 rows = [eight.view(np.uint64).ravel(), np.repeat(np.frombuffer(c, np.int64), times), np.repeat(np.frombuffer(t, np.int64), times)]
                 if part & 1:
                     yield table(rows, part >> 1)
@@ -231,7 +230,7 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
                     yield from close()
                     now = part >> 1
                 held.append(rows)
-                waiting += len(six)
+                waiting += len(few)
                 if waiting >= MERGE_ROWS:
                     yield table(merge(), now)
         yield from close()
@@ -370,17 +369,44 @@ def _compared(members: DataFrame, size: Column, percent: int, whole: bool) -> Da
 
 def _linkable(held: DataFrame, percent: int) -> DataFrame:
     """held (rep, n, words) without the sets that share too few of their shingles with
-    any other of held to have a link there: shingles found once are counted for their
-    set, in rows of one long each."""
+    any other of held to have a link there.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rep, words in zip(b.column(0).to_pylist(), b.column(1)):
-                s = np.frombuffer(words.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s)], ["rep", "s"])
+    Shingles go to streams packed, each stream keeps one number per shingle (its set, or
+    that there are several), and says how many each set has to itself."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = -(1 << 63)
 
-    single = held.select("rep", "words").mapInArrow(run, "rep long, s long").groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("rep")).where("df = 1")
-    own = single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    def once(s: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(s, kind="stable")
+        s, rep = s[order], rep[order]
+        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        many = np.diff(np.append(at, len(s))) > 1
+        return s[at], np.where(many, several, rep[at])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(1)]
+            if not sets:
+                continue
+            s, rep = once(np.concatenate(sets), np.repeat(np.asarray(b.column(0)), [len(x) for x in sets]))
+            to = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
+            cut = np.searchsorted(to, np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()) for x in (s, rep))], ["part", "s", "rep"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, rep, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        for b in batches:
+            waiting += [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            if sum(len(x) for x, _ in waiting) >= MERGE_ROWS:
+                s, rep = once(*(np.concatenate(x) for x in zip((s, rep), *waiting)))
+                waiting = []
+        s, rep = once(*(np.concatenate(x) for x in zip((s, rep), *waiting)))
+        own, n = np.unique(rep[rep != several], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["rep", "own"])
+
+    own = held.select("rep", "words").mapInArrow(packed, "part long, s binary, rep binary").repartition(parts, "part").mapInArrow(counted, "rep long, own long")
+    own = own.groupBy("rep").agg(F.sum("own").alias("own"))
     return held.join(own, "rep", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).drop("own")
 
 
@@ -400,7 +426,7 @@ def _hot_links(stars: DataFrame, held: DataFrame, percent: int, tables: Scratch)
     leading sets contract the keys' members; then only those outside the largest part of a
     cluster (of keys that have members in common) are compared with the cluster, by sketches first."""
     for _ in range(PRUNINGS):
-        held = tables.written(_linkable(held, percent), "linkable")
+        held = tables.written(_linkable(held, percent), "linkable", (512, "2m"))
     side = lambda c: held.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("words").alias("h" + c))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     links = tables.written(_verified(stars.join(side("a"), "a").join(side("b"), "b").where(fits), percent), "links", (256, "4m"))
@@ -420,9 +446,10 @@ def _bucketed(tokens: DataFrame, limit: int) -> DataFrame:
     return counted.groupBy("key", F.when(F.col("w") > limit, F.col("cls")).alias("own")).agg(F.max("w").cast("int").alias("w"), F.collect_list(F.struct("cls", "tag")).alias("members")).drop("own")
 
 
-def _tag(tag: str) -> tuple[Column, Column, Column]:
-    """(size, band, required groups) of a tag."""
-    return F.shiftright(tag, 32), F.shiftright(tag, 16).bitwiseAND(0xFFFF), F.col(tag).bitwiseAND(0xFFFF)
+def _tag(tag: str, key: str = "key") -> tuple[Column, Column, Column]:
+    """(size, whether the key's band is odd, groups required in that band)."""
+    odd = F.shiftright(key, GROUP_BITS).bitwiseAND(1)
+    return F.shiftright(tag, 32), odd, F.when(odd == 1, F.col(tag)).otherwise(F.shiftright(tag, 16)).bitwiseAND(0xFFFF)
 
 
 def droppable(required: Column) -> Column:
@@ -438,23 +465,25 @@ def _without_hottest(hot: DataFrame, percent: int) -> DataFrame:
     a lower rank on drops all that the other drops of their common keys, so as many
     groups as are required less those droppable still meet."""
     bounds = band_bounds(percent, 1 << 40)
-    wide = next((j for j in range(len(bounds) - 1) if scheme(-(-percent * bounds[j] // 100), bounds[j + 1] - 1, percent)[0] > 1 << GROUP_BITS), len(bounds))
+    lows = [-(-percent * x // 100) for x in bounds]
+    wide = next((low for low, high in zip(lows, bounds[1:]) if scheme(low, high - 1, percent)[0] > 1 << GROUP_BITS), 1 << 62)
     t = hot.select("key", "w", F.col("members")[0].cls.alias("cls"), F.col("members")[0].tag.alias("tag")).repartition("cls")
-    _, band, required = _tag("tag")
-    group = F.when(band < wide, F.col("key").bitwiseAND(int(_GROUP))).otherwise(F.col("key"))
-    t = t.withColumns({"band": band, "group": group}).withColumn("top", F.max(F.struct("w", "key")).over(Window.partitionBy("cls", "band", "group")))
-    t = t.withColumn("nth", F.dense_rank().over(Window.partitionBy("cls", "band").orderBy(F.desc("top"))))
+    size, odd, required = _tag("tag")
+    group = F.when(size < wide, F.col("key").bitwiseAND(int(_GROUP))).otherwise(F.col("key"))  # in the latter each key counts as a group
+    t = t.withColumns({"odd": odd, "group": group}).withColumn("top", F.max(F.struct("w", "key")).over(Window.partitionBy("cls", "odd", "group")))
+    t = t.withColumn("nth", F.dense_rank().over(Window.partitionBy("cls", "odd").orderBy(F.desc("top"))))
     return t.where(F.col("nth") > droppable(required)).select("key", "cls", "tag")
 
 
 def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
     """(a, b): classes with enough keys in common, of keys with few classes."""
-    t = buckets.select("members", F.explode("members").alias("p")).select("p", F.explode("members").alias("q")).where("p.cls < q.cls")
-    t = t.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), F.col("p.tag").alias("ta"), F.col("q.tag").alias("tb"))
-    (na, band, ra), (nb, _, rb) = _tag("ta"), _tag("tb")
+    t = buckets.select("key", "members", F.explode("members").alias("p")).select("key", "p", F.explode("members").alias("q")).where("p.cls < q.cls")
+    t = t.select("key", F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), F.col("p.tag").alias("ta"), F.col("q.tag").alias("tb"))
+    (na, odd, ra), (nb, _, rb) = _tag("ta"), _tag("tb")
     required = F.greatest(ra, rb)
-    t = t.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb)).select("a", "b", F.shiftleft(band, 16).bitwiseOR(required - droppable(required)).cast("int").alias("need"))
-    return t.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= F.col("need").bitwiseAND(0xFFFF)).select("a", "b").distinct()
+    need = F.shiftleft(required - droppable(required), 1).bitwiseOR(odd).cast("int").alias("need")
+    t = t.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb)).select("a", "b", need)
+    return t.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= F.shiftright("need", 1)).select("a", "b").distinct()
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -227,12 +227,9 @@ def score_all(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col
 
 def kept(docs: DataFrame, labels: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, that score at least ``min_score`` by a model
-    fitted on the labels of these rows.  Texts are measured once; the statistics go with
-    the rows.  Null and empty texts score as an empty text; repeated rows go or stay
-    together; without labels every score is 0.5; an empty table stays empty."""
-    name = "stats"
-    while name in docs.columns:
-        name += "_"
-    rows = written(docs.withColumn(name, statistics_column(docs[text_col])), "measured", (1024, "4m"))
-    model = fit(rows.select(F.col(id_col).alias("doc_id"), F.col(name).alias("stats")), labels)
-    return rows.where(scorer(model)(F.col(name)) >= min_score).drop(name)
+    fitted on the labels of these rows.  Texts are measured for the fit and once more where
+    rows are kept, which costs less than a copy of all texts beside their statistics.
+    Null and empty texts score as an empty text; repeated rows go or stay together;
+    without labels every score is 0.5; an empty table stays empty."""
+    model = fit(stats_of(docs, id_col, text_col), labels)
+    return docs.where(scorer(model)(statistics_column(docs[text_col])) >= min_score)

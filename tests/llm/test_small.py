@@ -252,9 +252,11 @@ def test_keys_meet_for_all_linked_sets():
         t = np.unique(np.concatenate([np.delete(s, drop), rng.integers(0, 1 << 63, int(rng.integers(0, d + 1)), dtype=np.uint64)]))
         if len(t) and not np.array_equal(s, t) and jaccard.linked(s, t, 80):
             (a, x), (b, y) = jaccard.keys_of(s, 80), jaccard.keys_of(t, 80)
-            shared, i, j = np.intersect1d(a, b, return_indices=True)
-            bands = {int(v) >> 16 & 0xFFFF for v in x} & {int(v) >> 16 & 0xFFFF for v in y}
-            assert bands and any(len({int(k) & 1023 for k in shared[(x[i] >> 16 & 0xFFFF) == v]}) >= max(max(z[(z >> 16 & 0xFFFF) == v] & 0xFFFF) for z in (x, y)) for v in bands)
+            assert (x >> 32, y >> 32) == (len(s), len(t))
+            shared = [int(k) for k in np.intersect1d(a, b)]
+            groups = lambda odd: len({k & 1023 for k in shared if k >> 10 & 1 == odd})
+            needed = lambda odd: max(z >> (0 if odd else 16) & 0xFFFF for z in (x, y))
+            assert any(needed(odd) and groups(odd) >= needed(odd) for odd in (0, 1))
 
 
 def test_components_edges(docs, empty):
