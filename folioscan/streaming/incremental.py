@@ -16,28 +16,62 @@ def run_available(spark: SparkSession, source: str, schema: StructType, sink: Ca
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_merge(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the newest row of each key.  Each micro-batch writes a
-    version of its own, derived from the version before it, so a batch that runs
-    again after a failure gives the same table."""
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """For each bucket its (epoch, folder), newest first, of versions that are complete."""
+    fs, root = _files(spark, path)
+    out: dict[int, list[tuple[int, str]]] = {}
+    for v in fs.listStatus(root) if fs.exists(root) else []:
+        name = v.getPath().getName()
+        if not name[1:].isdigit() or before is not None and int(name[1:]) >= before or not fs.exists(_files(spark, f"{path}/{name}/_SUCCESS")[1]):
+            continue
+        for f in fs.listStatus(v.getPath()):
+            if f.getPath().getName().startswith("bucket="):
+                out.setdefault(int(f.getPath().getName()[7:]), []).append((int(name[1:]), f.getPath().toString()))
+    return {b: sorted(found, reverse=True) for b, found in out.items()}
+
+
+def latest_merge(path: str, keys: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest row of each key.
+
+    Keys are dealt to ``buckets``.  A micro-batch rewrites only the buckets that its rows
+    fall in, as a version of its own made from the versions before it, so one that runs
+    again after a failure gives the same table.  Of a bucket the version before the newest
+    is kept for readers that began with it; older ones are removed."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch)
-        rest = [c for c in rows.columns if c not in keys]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("r"))
-        newest.select(*keys, "r.*").write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        old = _versions(spark, path, before=epoch)
+        paths = [old[b][0][1] for b in touched if b in old]
+        rows = dealt
+        if paths:
+            before = spark.read.schema(batch.schema).parquet(*paths)
+            rows = before.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).unionByName(dealt)
+        rest = [c for c in batch.columns if c not in keys]
+        newest = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("r"))
+        newest.select("bucket", *keys, "r.*").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{epoch}")
+        for b in touched:
+            for _, folder in old.get(b, [])[1:]:
+                fs, where = _files(spark, folder)
+                fs.delete(where, True)
 
     return sink
 
 
 def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [int(f.getPath().getName()[1:]) for f in fs.listStatus(fs_path) if f.getPath().getName()[1:].isdigit()]
-    return spark.read.parquet(f"{path}/v{max(found)}")
+    """The newest complete version of each bucket; FileNotFoundError if nothing was written."""
+    paths = [found[0][1] for found in _versions(spark, path).values()]
+    if not paths:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(*paths)
 
 
 def event_time(events: DataFrame, col: str = "ts", late: str = "1 day") -> DataFrame:

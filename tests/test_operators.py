@@ -381,6 +381,16 @@ def test_stream_merge(spark, tmp_path):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
         incremental.run_available(spark, src, spark.createDataFrame([], schema).schema, sink, str(tmp_path / "cp")).awaitTermination()
     assert rows(incremental.newest_version(spark, out).select("k", "v")) == [(1, "A"), (2, "b"), (3, "c")]
+    again = spark.createDataFrame([(1, 2, "A"), (3, 1, "c")], schema)
+    sink(again, 1)  # a batch that runs again gives the same table
+    assert rows(incremental.newest_version(spark, out).select("k", "v")) == [(1, "A"), (2, "b"), (3, "c")]
+    for epoch in (2, 3):
+        sink(spark.createDataFrame([(2, 5 + epoch, f"b{epoch}")], schema), epoch)
+    (tmp_path / "out" / "v9" / "bucket=0").mkdir(parents=True)  # one that is still being written
+    assert rows(incremental.newest_version(spark, out).select("k", "v")) == [(1, "A"), (2, "b3"), (3, "c")]
+    assert all(len(v) <= 2 for v in incremental._versions(spark, out).values())
+    with pytest.raises(FileNotFoundError):
+        incremental.newest_version(spark, str(tmp_path / "none"))
 
 
 def test_schemas_parse_numbers_and_words(spark):
