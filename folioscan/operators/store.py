@@ -13,8 +13,16 @@ def ensure_tables(spark: SparkSession, prefix: str = "") -> None:
         spark.sql(f"create table if not exists {prefix}{name} ({ddl}) using parquet")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
-    """New rows replace old ones of their key; ``keep`` columns stay as they were."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """New rows replace old ones of their key; ``keep`` columns stay as they were.  Of new rows
+    with the same key the last by ``order`` counts, or else the greatest."""
+    rest = [c for c in new.columns if c not in keys]
+    if rest:
+        first = [F.col(order).alias("__o")] if order else []
+        one = new.groupBy(*keys).agg(F.max(F.struct(*first, *rest)).alias("__r"))
+        new = one.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in new.columns])
+    else:
+        new = new.distinct()
     rest = old.join(new.select(*keys), keys, "left_anti")
     if keep:
         was = old.select(*keys, *[F.col(c).alias(f"__{c}") for c in keep])
@@ -33,8 +41,8 @@ def replaced(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
 
 
 def write_back(table: DataFrame, values: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """UPDATE ... FROM: values fill ``col`` where they have the row's key."""
-    v = values.select(*keys, F.col(col).alias("__v"))
+    """UPDATE ... FROM: values fill ``col`` where they have the row's key; of several the greatest."""
+    v = values.groupBy(*keys).agg(F.max(col).alias("__v"))
     return table.join(v, keys, "left").withColumn(col, F.coalesce("__v", col)).drop("__v")
 
 
@@ -67,4 +75,4 @@ def archive(books: DataFrame, files: DataFrame, images: DataFrame, documents: Da
     filled = images.withColumn("file", F.regexp_extract("image_path", r"([^/]+)$", 1)).join(found, ["book_stem", "file"], "left")
     filled = filled.withColumns({"image_data": F.coalesce("content", "image_data"), "fig_number": F.coalesce(figure_number(F.col("caption")), "fig_number"), "has_data": F.col("content").isNotNull() | F.col("has_data")}).drop("content", "file")
     kept = documents.where(F.col("file_name").isin("manifest.json", "toc.json", "chapter_page_map.json", "chunks.json"))
-    return write_back(books, pdf, ["book_stem"], "pdf_data"), filled, kept.groupBy("book_id", "book_stem", "file_name").agg(F.last("content").alias("content"))
+    return write_back(books, pdf, ["book_stem"], "pdf_data"), filled, kept.groupBy("book_id", "book_stem", "file_name").agg(F.max("content").alias("content"))

@@ -338,6 +338,14 @@ def test_models_read_books(spark):
     assert {r.book: len(r.chapters) for r in again.collect()} == {"a": 1, "b": 0, "c": 0}
 
 
+def test_repeated_keys_in_merges(spark):
+    old = spark.createDataFrame([(1, "a", 9), (2, "b", 8)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "x", 1), (1, "c", 2), (3, "d", 3), (3, "d", 3)], "k int, v string, n int")
+    assert rows(store.upsert(old, new, ["k"], order="n")) == [(1, "c", 2), (2, "b", 8), (3, "d", 3)]
+    assert rows(store.upsert(old, new, ["k"], keep=["n"])) == [(1, "x", 9), (2, "b", 8), (3, "d", 3)]
+    assert rows(store.write_back(old, new, ["k"], "v")) == [(1, "x", 9), (2, "b", 8)]
+
+
 def test_line_segments(spark):
     pages = [(1, "preface"), (2, "1.1 Cell wall\nbody\nExample 1.1 do\nmore"), (3, "still"), (4, "EXERCISES\n1.2 Why\nAnswers to all\nsecret"), (5, "2.1 Transport\nend")]
     p = spark.createDataFrame([("b", *x) for x in pages], "book string, page int, text string")
