@@ -435,7 +435,7 @@ def _hot_links(stars: DataFrame, held: DataFrame, percent: int, tables: Scratch)
     m = held.join(cluster, "rep").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     m = tables.written(m, "members")
     hopeful = _compared(m.select("cluster", "rep", "label", "n", F.col("fold").alias("words")), F.octet_length("words") + 64, percent, whole=False)
-    hopeful = tables.written(hopeful.distinct().select(F.col("a").alias("rep"), F.col("b").alias("cluster")), "hopeful")
+    hopeful = tables.written(hopeful.distinct().select(F.col("a").alias("rep"), F.col("b").alias("cluster")), "hopeful", (512, "2m"))
     return links.union(_compared(m.join(hopeful, ["rep", "cluster"], "left_semi").select("cluster", "rep", "label", "n", "words"), F.octet_length("words") + 64, percent, whole=True))
 
 
