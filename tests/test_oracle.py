@@ -17,7 +17,7 @@ SQL = entry.oracle_sql()
 def duck():
     c = duckdb.connect()
     for p in DATA.iterdir():
-        c.execute(f"create view {p.stem} as select * from '{p}'")
+        c.execute(f"create view {p.stem} as select * from '{p if p.is_file() else p / "*.parquet"}'")
     return c
 
 
