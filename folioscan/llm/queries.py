@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import bm25, chat, decontam, jaccard, langid, merkle, packing, quality, sharding, urlfilter, warc
+from folioscan.llm import bm25, chat, decontam, fingerprint, jaccard, langid, merkle, negatives, packing, quality, sharding, urlfilter, warc
 from folioscan.llm.common import new_path
 
 N_SHARDS = 24
@@ -65,10 +65,18 @@ def op10_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, docs.where("doc_id % 50 = 0"), k=10)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 #: DuckDB SQL of the queries that SQL expresses.
 SQL: dict[str, str] = {"op12_merkle_manifest": merkle.oracle()}
 

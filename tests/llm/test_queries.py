@@ -174,6 +174,39 @@ def test_op10(spark, docs):
         assert len(mine) == len(best) and all(abs(a[1] + b[0]) < 2e-5 for a, b in zip(mine, best)) and all(abs(score[d] - s) < 2e-5 for d, s in mine)
 
 
+def test_op11(spark):
+    from test_small import mined
+
+    assert sorted(map(tuple, run(spark, "op11"))) == mined([(i, l, v) for i, v, l in table("embeddings")])
+
+
+def test_op12(spark):
+    from test_small import merkle_rows
+
+    names = [c[0] for c in duckdb.sql(f"describe select * from '{DATA}/documents.parquet'").fetchall()]
+    rows = [tuple(r[names.index(c)] for c in ("doc_id", "source", "lang", "n_chars", "text")) for r in table("documents")]
+    got = [(r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in run(spark, "op12")]
+    assert sorted(got) == sorted(merkle_rows(rows)) and {r[6] for r in got} == {True, False}
+
+
+def test_op13(spark, docs):
+    from test_small import bag
+
+    rows, got = sorted((i, t or "") for i, t, _ in docs), {r.doc_id: r for r in run(spark, "op13")}
+    off = []
+    for k, (i, t) in enumerate(rows):
+        u, r = rows[(k + 1) % len(rows)][1], got[i]
+        new = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        like = lambda x: sum((bag(t) & bag(x)).values()) / max(1, sum((bag(t) | bag(x)).values()))  # noqa: B023, E731
+        off += [r.near_edited - like(new), r.near_next - like(u)]
+    assert len(got) == len(rows) and abs(np.mean(off)) < 0.01 and np.std(off) < 0.06
+    by = {}
+    for i, t in rows:
+        by.setdefault(t, set()).add(got[i].fingerprint)
+    assert all(len(x) == 1 for x in by.values())
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, stats int, gone string, key int, score double"
 
 

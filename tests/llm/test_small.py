@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioscan.llm import bm25, chat, components, decontam, jaccard, langid, packing, quality, sharding, textscan, urlfilter, warc
+from folioscan.llm import bm25, chat, components, decontam, fingerprint, jaccard, langid, merkle, negatives, packing, quality, sharding, textscan, urlfilter, warc
 
 VOCAB = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 RANKS = VOCAB[1:]
@@ -448,3 +448,166 @@ def test_words_and_nulls_in_slices():
     assert got == [0, 3, 0, 1]
     a, b = (list(textscan.shingle_sets(pa.array([t]), 3))[0] for t in ("A B C d", "a b c D"))
     assert np.array_equal(a, b)
+
+
+# ---- op11
+
+
+def mined(rows, every=50):
+    rows = [(i, (l + 1) % 10 if i % 7 == 0 else l, v) for i, l, v in rows if i is not None and l is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    width = max((len(v) for *_, v in rows), default=1)
+    m = np.array([[math.floor(256 * float(x)) for x in v] + [0] * (width - len(v)) for *_, v in rows], np.int64).reshape(len(rows), width)
+    ids, labels, out = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), []
+    for a in np.flatnonzero(ids % every == 0):
+        s = m @ m[a]
+        order = [x for x in np.lexsort((ids, -s)) if x != a]
+        for p in [x for x in order if labels[x] == labels[a]][:5]:
+            fit = [q for q in order if labels[q] != labels[a] and 50 * s[p] <= 100 * s[q] <= 95 * s[p]][:3]
+            out += [(int(ids[a]), int(ids[p]), k + 1, int(ids[q]), int(s[p]), int(s[q])) for k, q in enumerate(fit)]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, score double, n int, lo string"
+
+
+@pytest.mark.parametrize("case", ["spread", "ties", "odd"])
+def test_hard_negatives(spark, case, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(negatives, "ROWS", 64)
+    monkeypatch.setattr(negatives, "ANCHORS", 8)
+    if case == "spread":
+        rows = [(i, (rng.normal(size=16) * np.linspace(2, 0.1, 16)).tolist(), int(rng.integers(10))) for i in range(900)]
+    elif case == "ties":
+        rows = [(i % 300, rng.integers(-1, 2, 6).astype(float).tolist(), int(rng.integers(3))) for i in range(600)]
+        rows += rows[:60] + [(100, [1.0] * 6, 4)] * 3
+    else:
+        rows = [(i, [float(i % 3), 1.0, -float(i % 5)][: i % 4], i % 2) for i in range(-100, 200)] + [(50, None, 1), (50, [1.0, 2.0], None), (None, [1.0], 1), (100, [float("nan"), 1.0], 1), (150, [float("inf")], 1), (200, [1.0, None], 0), (250, [1e5, 1.0], 1)]
+    df = spark.createDataFrame([(i, v, l, 1.0, 2, "x") for i, v, l in rows], VECTORS).repartition(5)
+    want = mined([(r.vec_id, r.label, r.embedding) for r in df.collect()])
+    assert want and sorted(map(tuple, negatives.mine(df).collect())) == want
+    if case == "spread":
+        monkeypatch.setattr(negatives, "BROADCAST", 0)
+        assert sorted(map(tuple, negatives.mine(df).collect())) == want
+        left = {(r.search, r.look): r.pairs for r in negatives.mine(df, counts=True).collect()}
+        assert max(v for (s, k), v in left.items() if k == max(k for _, k in left)) < 0.2 * left["negatives", 0]
+
+
+def test_hard_negatives_of_little(spark):
+    none = spark.createDataFrame([], VECTORS)
+    assert negatives.mine(none).count() == 0
+    one = spark.createDataFrame([(0, [1.0], 1, None, None, None), (7, [], 2, None, None, None)], VECTORS)
+    assert negatives.mine(one).count() == 0
+    with pytest.raises(ValueError):
+        negatives.mine(spark.createDataFrame([(0, [1e9], 1, None, None, None)], VECTORS))
+
+
+# ---- op12
+
+
+def merkle_rows(rows):
+    """rows: (doc_id, source, lang, n_chars, text); by recursion over Python lists."""
+    sha = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    low = str.maketrans({c: c + 32 for c in range(65, 91)})
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha(*out[-1][k : k + 16]) for k in range(0, len(out[-1]), 16)])
+        return out
+
+    def way(tree, i):
+        for nodes in tree[:-1]:
+            run = i - i % 16
+            yield "".join(nodes[run:i]), "".join(nodes[i + 1 : run + 16])
+            i //= 16
+
+    trees = {}
+    for s in {r[1] for r in rows}:
+        mine = sorted(((r[0] is not None, r[0] or 0, sha(*map(enc, r))), r) for r in rows if r[1] == s)
+        trees[s] = mine, levels([k[2] for k, _ in mine])
+    names = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    top, out = levels([trees[s][1][-1][0] for s in names]), []
+    for n, s in enumerate(names):
+        mine, tree = trees[s]
+        for i, ((*_, leaf), r) in enumerate(mine):
+            path = [*way(tree, i), *way(top, n)]
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            h = sha(*map(enc, r[:4]), enc(r[4] if r[4] is None else r[4].translate(low))) if hit else leaf
+            for a, b in path:
+                h = sha(a, h, b)
+            out.append((r[0], leaf, tree[-1][0], top[-1][0], sha(*(a + b for a, b in path)), h, h == top[-1][0]))
+    return out
+
+
+MERKLE = "doc_id long, source string, lang string, n_chars long, text string, leaf int, hash string, key string, pos int"
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 16, "b": 17, None: 1}, {"a": 300, "B": 1, "é": 256, "": 257, None: 33}, {f"s{i}": 1 + i % 3 for i in range(300)}])
+def test_merkle(spark, sizes):
+    rows = []
+    for s, n in sizes.items():
+        rows += [(len(rows) + k, s, None if k % 3 else "en", k if k % 4 else None, [None, "", "Über ABC xyz", "low", "It's\nA"][k % 5]) for k in range(n)]
+    if len(rows) > 100:
+        rows += [rows[3], (rows[3][0], *rows[3][1:4], "other"), (None, "a", None, None, "no id A"), (None, "a", None, None, None), (-7, "a", "de", -1, "X" * 100000)]
+    df = spark.createDataFrame([(*r, 1, "x", "y", 2) for r in rows], MERKLE).repartition(3)
+    out = merkle.audit(df).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, merkle_rows(rows)))
+
+
+def test_merkle_of_nothing(spark):
+    assert merkle.audit(spark.createDataFrame([], MERKLE)).count() == 0
+
+
+def test_merkle_in_three_rounds(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "HEIGHT", 1)
+    monkeypatch.setattr(merkle, "BLOCK", 16)
+    rows = [(i, "a" if i % 9 else "b", "en", i, f"T {i}") for i in range(600)]
+    out = merkle.audit(spark.createDataFrame([(*r, 1, "x", "y", 2) for r in rows], MERKLE)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()
+    assert sorted(map(tuple, out)) == sorted(merkle_rows(rows))
+
+
+# ---- op13
+
+
+def bag(text):
+    return Counter(re.findall("[^\x20\t-\r]+", text.translate({c: c + 32 for c in range(65, 91)})))
+
+
+def test_samples_agree_as_often_as_jaccard_says():
+    rng = random.Random(4)
+    pairs = [("a a a b", "a b b c"), ("a b c", "d e f"), ("x y", "Y X")]
+    pairs += [(" ".join(rng.choices("abcdefghij", k=40)), " ".join(rng.choices("abcdefghij", k=25))) for _ in range(6)]
+    for a, b in pairs:
+        s = fingerprint.signatures(pa.array([a, b]), 3000)
+        like = sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values())
+        assert abs((s[0] == s[1]).mean() - like) < 4 * (max(like * (1 - like), 0.0001) / 3000) ** 0.5 + 0.001
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=k)) for k in range(200)]
+    whole = fingerprint.signatures(pa.array(texts))
+    assert all((fingerprint.signatures(pa.array([t])) == w).all() for t, w in zip(texts[::20], whole[::20]))
+
+
+def test_pieces_of_a_long_text_give_its_samples(monkeypatch):
+    text = " ".join(f"w{i * i % 977}" for i in range(5000)) + " " + "漢字" * 400
+    want = fingerprint.signatures(pa.array([text, None, "", "a"]))
+    monkeypatch.setattr(fingerprint, "PIECE", 100)
+    assert (fingerprint.signatures(pa.array([text, None, "", "a"])) == want).all() and not want[1:3].any()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fingerprints(spark, docs, empty, parts):
+    rows = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect())
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        out = fingerprint.fingerprints(docs).collect()
+        assert fingerprint.fingerprints(empty).count() == 0
+        assert [(r.near_next, r.n_chars) for r in fingerprint.fingerprints(docs.where("doc_id = 8")).collect()] == [(1.0, 7)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = []
+    for k, (known, i, t) in enumerate(rows):
+        u = rows[(k + 1) % len(rows)][2]
+        new = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
+        a, b, c = (fingerprint.signatures(pa.array([x]))[0] for x in (t, new, u))
+        want.append((i if known else None, len(t), hashlib.sha256(new.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), (a == b).mean(), (a == c).mean()))
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [(*w[:5], float(w[5]), float(w[6])) for w in want]))
