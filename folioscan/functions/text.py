@@ -80,8 +80,18 @@ def word_to_digit(c: Column) -> Column:
 
 
 def strip_fences(c: Column) -> Column:
-    """A reply without the code fence around it."""
-    return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+    """A reply that opens with a code fence, without its first line and a last line that is the fence; stripped."""
+    all_ = lines(strip(c))
+    end = F.when(strip(F.try_element_at(all_, F.lit(-1))) == "```", F.size(all_) - 1).otherwise(F.size(all_))
+    inner = F.array_join(F.slice(all_, F.lit(2), F.greatest(end - 1, F.lit(0))), "\n")
+    return F.when(strip(c).startswith("```"), strip(inner)).otherwise(strip(c))
+
+
+def valid_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it, which the parsers let pass."""
+    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    at = lambda i: F.try_variant_get(v, f"$[{i}]", "variant")
+    return F.coalesce(at(0).isNotNull() & at(1).isNull(), F.lit(False))
 
 
 def salvage_chapters(c: Column) -> Column:
@@ -99,17 +109,20 @@ def json_reply(c: Column, schema: str) -> Column:
     where it is not valid JSON, what salvage_chapters finds.  Both are null where neither helps."""
     text = strip_fences(c)
     whole = F.from_json(text, f"{schema}, corrupt string", {"columnNameOfCorruptRecord": "corrupt"})
-    valid = whole["corrupt"].isNull() & whole.isNotNull()
-    return F.struct(F.when(valid, whole.dropFields("corrupt")).alias("whole"), F.when(~F.coalesce(valid, F.lit(False)), salvage_chapters(text)).alias("salvaged"))
+    valid = F.coalesce(whole["corrupt"].isNull() & whole.isNotNull(), F.lit(False)) & valid_json(text)
+    return F.struct(F.when(valid, whole.dropFields("corrupt")).alias("whole"), F.when(~valid, salvage_chapters(text)).alias("salvaged"))
 
 
 def identity(c: Column) -> Column:
-    """struct(subject, part, class_number) of a reply: its JSON, else its first
-    object, with Unknown for what is missing, null-like parts as null."""
-    whole = F.from_json(strip_fences(c), schemas.IDENTITY)
-    first = F.from_json(F.regexp_extract(c, r"(?s)\{.*?\}", 0), schemas.IDENTITY)
-    got = lambda f: F.coalesce(whole[f], first[f])
-    part = F.when(~F.lower(strip(got("part"))).isin("null", "none", ""), strip(got("part")))
+    """struct(subject, part, class_number) of a reply without its fence: its JSON or, where it isn't valid,
+    the first object in it that holds no other; Unknown for what is missing, null-like parts as
+    null, Roman numbers as digits."""
+    parsed = lambda t: F.from_json(t, f"{schemas.IDENTITY.simpleString()[7:-1].replace(':', ' ')}, corrupt string", {"columnNameOfCorruptRecord": "corrupt"})
+    text = strip_fences(c)
+    whole, inner = parsed(text), parsed(F.regexp_extract(text, r"\{[^{}]+\}", 0))
+    valid = F.coalesce(whole["corrupt"].isNull() & whole.isNotNull(), F.lit(False)) & valid_json(text)
+    got = lambda f: F.when(valid, whole[f]).otherwise(inner[f])
+    part = F.when(~F.lower(strip(got("part"))).isin("null", "none", ""), roman_to_arabic(got("part")))
     return F.struct(
         F.coalesce(falsy(strip(got("subject"))), F.lit("Unknown")).alias("subject"),
         part.alias("part"),

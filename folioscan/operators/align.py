@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,41 +136,74 @@ def chapter_ends(starts: DataFrame) -> DataFrame:
     return starts.selectExpr("*", "coalesce(lead(start_page) over (partition by book order by pos) - 1, total_pages) as end_page")
 
 
-def _choose(c: pd.DataFrame, after: int, resolver: Callable[[list[tuple[float, int]], int], int] | None) -> int:
-    """A page of the candidates c (best first) after ``after``: what the resolver says if it
-    is one of them, else the best of them; the best of all where none is after."""
+#: Characters of a page that a resolver is shown.
+SNIPPET = 300
+
+
+@dataclass
+class Question:
+    """What a resolver is asked: the page on which a chapter starts, of the best pages after ``after`` (0: of any).
+    shown: (page, beginning of its text) of at most MAX_SHOWN pages, in the order of pages."""
+
+    number: str | None
+    name: str | None
+    after: int
+    shown: list[tuple[int, str]]
+
+    def prompt(self) -> str:
+        """The question for a chat model, which answers with a page number."""
+        chapter = f'chapter {self.number}: "{self.name}"'
+        parts = [f"On which of the pages below does {chapter} of a textbook start?", "A chapter starts on the page that shows its title or number as a heading, a motto with an introduction, or its objectives."]
+        parts.append("Exercises, examples, solutions, summaries, contents and front matter start no chapter.")
+        if self.after > 0:
+            parts.append(f"The chapter before it starts on page {self.after}, so the number must be greater than {self.after}.")
+        parts += [f"PAGE {page}:\n{text}" for page, text in self.shown]
+        return "\n\n".join([*parts, f"Answer with the page number of the start of {chapter} and nothing else."])
+
+
+def _choose(c: pd.DataFrame, after: int, resolver: Callable[[Question], int | str | None] | None, snippets: dict[int, str]) -> int:
+    """A page of the candidates c (best first) after ``after``: the number that the resolver says
+    first, if it is one of them, else the best of them; the best of all where none is after."""
     valid = c[c.page > after] if after > 0 else c
     if valid.empty:
         return int(c.page.iloc[0])
     if resolver:
+        shown = [(p, snippets.get(p) or "(no text)") for p in sorted({int(p) for p in valid.page.iloc[:MAX_SHOWN]})]
+        told = {k: c[k].iloc[0] if k in c else None for k in ("number", "name")}
         try:
-            said = resolver(list(zip(valid.total, valid.page))[:MAX_SHOWN], after)
-            if said is not None and int(said) in set(valid.page):
-                return int(said)
+            said = re.search(r"\d+", str(resolver(Question(told["number"], told["name"], after, shown))))
+            if said and int(said[0]) in set(valid.page):
+                return int(said[0])
         except Exception as e:  # whatever a model's client raises: the best page stands in
             log.warning("resolver failed: %s", e)
     return int(valid.page.iloc[0])
 
 
-def fold(candidates: DataFrame, openers: DataFrame | None = None, resolver: Callable[[list[tuple[float, int]], int], int] | None = None) -> DataFrame:
+def snippet(text: str) -> Column:
+    """The beginning of a page's text that a resolver is shown."""
+    return F.substring(T.strip(F.col(text)), 1, SNIPPET)
+
+
+def fold(candidates: DataFrame, openers: DataFrame | None = None, resolver: Callable[[Question], int | str | None] | None = None) -> DataFrame:
     """Picks a page for each chapter, in order.
 
     candidates: book, pos, page, hybrid, total, negative, toc_page, total_pages: the
     scores of all pages, which do not depend on one another.  Only membership does:
     a page takes part if it is among the TOP_K by hybrid or in the window after the
-    last pick.  A clear lead decides, else the resolver, from any of at most MAX_SHOWN pages;
+    last pick.  A clear lead decides, else the resolver, which is shown the best MAX_SHOWN pages (see ``Question``);
     starts that do not rise are then picked again from the pages after the one before.
     A chapter without candidates is left out.
 
-    With ``openers`` (book, page, lines) candidates also have a name, and ``total`` lacks the
-    share of title_match, which is compared only where a page takes part.  A book's
-    chapters meet in one group, of its candidate pages.
+    With ``openers`` (book, page, lines, and for a resolver snippet: see ``snippet``) candidates also have a
+    name, and ``total`` lacks the share of title_match, which is compared only where a page takes part;
+    ``number``, if candidates have it, is told to the resolver.  A null toc_page is an unknown one (0).
+    A book's chapters meet in one group, of its candidate pages.
     """
 
-    def picks(book: pd.DataFrame, lines: dict[int, list[str]] | None) -> pd.DataFrame:
+    def picks(book: pd.DataFrame, lines: dict[int, list[str]] | None, snippets: dict[int, str]) -> pd.DataFrame:
         out, previous = [], 0
         for pos, c in book.groupby("pos", sort=True):
-            total, toc = int(c.total_pages.iloc[0]), int(c.toc_page.iloc[0] or 0)
+            total, toc = int(c.total_pages.iloc[0]), int(c.toc_page.iloc[0])
             if previous > 0:
                 low, high = previous + 1, min(total, previous + WINDOW)
             elif 0 < toc <= total and toc <= 0.8 * total:
@@ -184,14 +219,15 @@ def fold(candidates: DataFrame, openers: DataFrame | None = None, resolver: Call
             best = c.iloc[0]
             lead = best.total - (c.total.iloc[1] if len(c) > 1 else -999.0)
             clear = lead >= MARGIN and best.negative == 0
-            previous = int(best.page) if clear else _choose(c, 0, resolver)
+            previous = int(best.page) if clear else _choose(c, 0, resolver, snippets)
             out.append([best.book, int(pos), previous, float(lead), "best" if clear else "resolver", c])
         for a, b in zip(out, out[1:]):
             if b[2] <= a[2]:
-                b[2], b[4] = _choose(b[5], a[2], resolver), "repaired"
+                b[2], b[4] = _choose(b[5], a[2], resolver, snippets), "repaired"
         return pd.DataFrame([r[:5] for r in out], columns=["book", "pos", "start_page", "lead", "decided_by"])
 
     schema = "book string, pos int, start_page int, lead double, decided_by string"
+    candidates = candidates.withColumn("toc_page", F.coalesce("toc_page", F.lit(0)))
     if openers is None:
-        return candidates.groupBy("book").applyInPandas(lambda c: picks(c, None), schema)
-    return candidates.groupBy("book").cogroup(openers.groupBy("book")).applyInPandas(lambda c, o: picks(c, dict(zip(o.page, o.lines))), schema)
+        return candidates.groupBy("book").applyInPandas(lambda c: picks(c, None, {}), schema)
+    return candidates.groupBy("book").cogroup(openers.groupBy("book")).applyInPandas(lambda c, o: picks(c, dict(zip(o.page, o.lines)), dict(zip(o.page, o.snippet)) if "snippet" in o else {}), schema)

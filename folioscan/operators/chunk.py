@@ -51,13 +51,21 @@ def flat_chunks(pages: DataFrame, target: int = 400, least: int = 80, overlap: f
     return w.select("book", "page", (F.col("i") + 1).alias("seq"), "content", F.size(T.words(F.col("content"))).alias("word_count"))
 
 
-def chapter_chunks(pages: DataFrame, chapters: DataFrame, target: int = 400, least: int = 80, overlap: float = 0.15) -> DataFrame:
-    """Windows over whole chapters: a chapter starts at the first page with its name
-    on a line of its own (pages naming several chapters count only where no other
-    does) and ends before the next; the last runs to the end.
-    chapters: book, chapter, name."""
-    line = F.explode(F.array_distinct(F.transform(T.solid_lines(F.coalesce("text", F.lit(""))), F.upper))).alias("line")
-    named = pages.select("book", "page", line).join(chapters.select("book", "chapter", F.upper(T.strip("name")).alias("line")), ["book", "line"])
+# Fixed value: a line that gives a chapter's number and title.
+CHAPTER_TITLE = r"(?idU)^chapter\s+\d+\s+(.+)"
+
+
+def chapter_chunks(pages: DataFrame, chapters: DataFrame, target: int = 400, least: int = 80, overlap: float = 0.15, skipped: DataFrame | None = None) -> DataFrame:
+    """Windows over whole chapters: a chapter starts at the first page with its name on a line of its own,
+    alone or after the word chapter and a number (pages naming several chapters count only where no other
+    does) and ends before the next; the last runs to the end.  Pages up to the last of ``skipped``
+    (book, page), those of the contents, start none.  chapters: book, chapter, name."""
+    text = F.transform(T.solid_lines(F.coalesce("text", F.lit(""))), lambda x: F.array(x, T.strip(F.regexp_extract(x, CHAPTER_TITLE, 1))))
+    line = F.explode(F.array_distinct(F.transform(F.flatten(text), F.upper))).alias("line")
+    said = pages
+    if skipped is not None:
+        said = pages.join(skipped.groupBy("book").agg(F.max("page").alias("contents_end")), "book", "left").where("contents_end is null or page > contents_end")
+    named = said.select("book", "page", line).where("line <> ''").join(chapters.select("book", "chapter", F.upper(F.coalesce("name", F.lit(""))).alias("line")), ["book", "line"])
     named = named.select("book", "page", "chapter").distinct().selectExpr("*", "count(*) over (partition by book, page) > 1 as many")
     starts = named.selectExpr("*", "row_number() over (partition by book, chapter order by many, page) as rn").where("rn = 1")
     last = pages.groupBy("book").agg(F.max("page").alias("last"))

@@ -18,6 +18,7 @@ from folioscan.functions import text as T
 from folioscan.operators import headings
 
 _OUT = "book string, seg int, chapter string, topic string, topic_name string, kind string, page_start int, page_end int, pages array<int>, content string"
+# Kinds of layout blocks.
 NOISE = ["header", "footer", "page_number", "page_footnote"]
 FIGURES = ["image", "chart", "table"]
 #: Headings of level 1 and 2 that may begin a chapter: length at most, ratio at least.
@@ -170,10 +171,15 @@ class BlockFold:
 
 
 def _contents(toc: pd.DataFrame) -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
-    """Names by number; of repeated numbers the greatest name counts."""
-    toc = toc.fillna("").sort_values(["chapter", "chapter_name", "topic", "topic_name"])
-    chapters = {r.chapter: r.chapter_name for r in toc.itertuples() if r.chapter}
-    return chapters, {r.topic: (r.chapter, r.topic_name) for r in toc.itertuples() if r.topic}
+    """Names by number, of rows that ``_numbers`` gave."""
+    toc = toc.fillna("")
+    return {r.chapter: r.name for r in toc.itertuples() if not r.topic}, {r.topic: (r.chapter, r.name) for r in toc.itertuples() if r.topic}
+
+
+def _numbers(toc: DataFrame) -> DataFrame:
+    """book, chapter, topic, name: a row for each chapter (topic '') and topic of the contents."""
+    chapters, topics = headings.numbered(toc)
+    return chapters.select("book", "chapter", F.lit("").alias("topic"), F.col("chapter_name").alias("name")).unionByName(topics.select("book", "chapter", "topic", F.col("topic_name").alias("name")))
 
 
 def block_segments(blocks: DataFrame, toc: DataFrame, skip: DataFrame | None = None) -> DataFrame:
@@ -184,7 +190,7 @@ def block_segments(blocks: DataFrame, toc: DataFrame, skip: DataFrame | None = N
     flat = ~F.contains("text", F.lit("\n")) & (F.col("text") != "")
     near = c.where(flat & ((F.col("level") == 1) & (F.length("text") <= LONGEST[1]) | (F.col("level") == 2) & (F.length("text") <= LONGEST[2])))
     near = near.select("id", "book", "text", F.when(F.col("level") == 1, LEAST[1]).otherwise(LEAST[2]).alias("least"))
-    chapters = headings.chapter_matches(near, toc.select("book", "chapter", F.col("chapter_name").alias("name"))).withColumnRenamed("chapter", "near_chapter")
+    chapters = headings.chapter_matches(near, toc).withColumnRenamed("chapter", "near_chapter")
     topics = headings.topic_matches(c.where("level = 2 and text <> ''").select("id", "book", "text"), toc).withColumnRenamed("topic", "near_topic")
     c = c.join(chapters, "id", "left").join(topics, "id", "left").drop("id")
     for name in ("near_chapter", "near_topic"):
@@ -197,7 +203,7 @@ def block_segments(blocks: DataFrame, toc: DataFrame, skip: DataFrame | None = N
         f.close()
         return _table(key[0], f.done)
 
-    return c.groupBy("book").cogroup(toc.groupBy("book")).applyInPandas(run, _OUT)
+    return c.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT)
 
 
 def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
@@ -258,7 +264,7 @@ def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
             put(now or (carried and Segment(carried.chapter, carried.topic, carried.name, mode)), page, text)
         return _table(key[0], done)
 
-    return marked.groupBy("book").cogroup(toc.groupBy("book")).applyInPandas(run, _OUT)
+    return marked.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT)
 
 
 def windows(segments: DataFrame, target: int = 400, least: int = 80, overlap: float = 0.15, images: DataFrame | None = None, chapters: DataFrame | None = None, mode: str = "mineru") -> DataFrame:

@@ -64,15 +64,30 @@ def check_dimension(vectors: DataFrame, dim: int, col: str = "embedding") -> Dat
     return vectors.where(F.size(col) != dim)
 
 
+def below_book(path: F.Column, stem: F.Column) -> F.Column:
+    """A file's path below the folder of its book; as it is, if the folder isn't in it."""
+    whole, folder = F.concat(F.lit("/"), path), F.concat(F.lit("/"), stem, F.lit("/"))
+    at = F.instr(whole, folder)
+    return F.when(at > 0, F.substring(whole, at + F.length(folder), F.length(whole))).otherwise(path)
+
+
 def archive(books: DataFrame, files: DataFrame, images: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(books with pdf_data, images with bytes and figure number, JSON documents).
-    Files that are missing leave rows untouched; sources are not deleted."""
+
+    files: book_stem, path, content.  An image's file is the one of its path below the book's
+    folder, so images keep one row each whatever ``files`` repeats; an image whose file is missing stays
+    as it was.  A book's PDF is one at the root of its folder that isn't a page.  Documents that
+    aren't JSON are left out.  Sources are not deleted."""
     from folioscan.functions.text import figure_number
 
-    pdf = files.where("path like '%.pdf'").where(~F.regexp_extract("path", r"([^/]+)$", 1).startswith("page_"))
+    placed = files.withColumn("file", below_book(F.col("path"), F.col("book_stem")))
+    pdf = placed.where(F.col("file").endswith(".pdf") & ~F.contains("file", F.lit("/")) & ~F.col("file").startswith("page_"))
     pdf = pdf.groupBy("book_stem").agg(F.min_by("content", "path").alias("pdf_data"))
-    found = files.select("book_stem", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
-    filled = images.withColumn("file", F.regexp_extract("image_path", r"([^/]+)$", 1)).join(found, ["book_stem", "file"], "left")
-    filled = filled.withColumns({"image_data": F.coalesce("content", "image_data"), "fig_number": F.coalesce(figure_number(F.col("caption")), "fig_number"), "has_data": F.col("content").isNotNull() | F.col("has_data")}).drop("content", "file")
-    kept = documents.where(F.col("file_name").isin("manifest.json", "toc.json", "chapter_page_map.json", "chunks.json"))
+    found = placed.groupBy("book_stem", F.col("file").alias("image_path")).agg(F.min_by("content", "path").alias("content"))
+    there = F.col("content").isNotNull()
+    filled = images.join(found, ["book_stem", "image_path"], "left").withColumns({
+        "image_data": F.coalesce("content", "image_data"), "has_data": there | F.col("has_data"),
+        "fig_number": F.when(there, figure_number(F.col("caption"))).otherwise(F.col("fig_number")),
+    }).select(*images.columns)
+    kept = documents.where(F.col("file_name").isin("manifest.json", "toc.json", "chapter_page_map.json", "chunks.json")).where(F.expr("try_parse_json(content) is not null"))
     return write_back(books, pdf, ["book_stem"], "pdf_data"), filled, kept.groupBy("book_id", "book_stem", "file_name").agg(F.max("content").alias("content"))

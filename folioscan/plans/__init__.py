@@ -2,14 +2,14 @@
 
 
 def catalogue() -> dict:
-    from folioscan.plans import more, queries
+    from folioscan.plans import more, queries, stored
 
-    assert more
+    assert more and stored
     return queries.queries()
 
 
 def sql() -> dict[str, str]:
-    from folioscan.plans import more, queries
+    from folioscan.plans import more, queries, stored
 
-    assert more
+    assert more and stored
     return queries.oracle_sql()

@@ -23,11 +23,16 @@ def image_scan(t: Inputs) -> DataFrame:
     return tables.images_of_blocks(tables.blocks_of_json(docs)).select("book_stem", "page_number", "image_seq", "image_path", "caption")
 
 
-@query("""with i as (select book, page, image_id, caption, row_number() over (partition by book, page order by image_id) as image_seq, regexp_replace(nullif(regexp_extract(caption, '(?i)^\\s*(?:Fig(?:ure)?\\.?)\\s*(\\d+)\\.(\\d+)'), ''), '^[^\\d]*', '') as fig from im),
+_SAID = "case when cast(image_id as int) % 6 = 1 then concat('seen in Fig. ', page % 5 + 1, '.', page % 9, ' here') when cast(image_id as int) % 6 = 2 then concat('Fig.', page % 5 + 1, '.', page % 9) else caption end"
+
+
+@query(f"""with i as (select book, page, image_id, row_number() over (partition by book, page order by image_id) as image_seq, regexp_extract({_SAID}, '(?i)\\b(?:FIGURE|Figure|Fig\\.?)\\s+(\\d+\\.\\d+)', 1) as said from im),
     tc as (select distinct book, topic, chapter from tp)
-    select i.book, i.page, cast(image_seq as int) as image_seq, fig, case when tc.topic is not null then fig else concat('t', i.page % 4) end as topic, coalesce(cast(tc.chapter as string), cast(i.page % 3 as string)) as chapter from i left join tc on tc.book = i.book and tc.topic = i.fig""")
+    select i.book, i.page, cast(image_seq as int) as image_seq, nullif(said, '') as fig, case when tc.topic is not null then said else concat('t', i.page % 4) end as topic, coalesce(cast(tc.chapter as string), cast(i.page % 3 as string)) as chapter
+    from i left join tc on tc.book = i.book and tc.topic = said and tc.chapter = try_cast(split_part(said, '.', 1) as int)""")
 def image_index(t: Inputs) -> DataFrame:
-    i = t("im").selectExpr("book", "page", "caption", "cast(row_number() over (partition by book, page order by image_id) as int) as image_seq")
+    """Numbers anywhere in captions, with a space; those without one are none."""
+    i = t("im").selectExpr("book", "page", f"{_SAID} as caption", "cast(row_number() over (partition by book, page order by image_id) as int) as image_seq")
     topics = t("im").select("book", "page").distinct().withColumns({"topic": F.concat(F.lit("t"), F.col("page") % 4), "chapter": (F.col("page") % 3).cast("string")})
     return layout.image_index(i, topics, t("tp").select("book", "topic", F.col("chapter").cast("string").alias("chapter"))).select("book", "page", "image_seq", "fig", "topic", "chapter")
 

@@ -410,16 +410,21 @@ def retrieve_end_to_end(t: Inputs) -> DataFrame:
     return n.join(c, ["conv_id", "turn"]).select("conv_id", "turn", "question", "blocks", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
-@query()
+@query("""with s as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as back from conversations where role <> 'system'),
+    g as (select conv_id, cast(least(count(*), 6) + 2 as int) as n, string_agg(concat(role, ':', text), chr(10) order by turn, role, text) filter (where back <= 6) as said, max_by(text, (turn, text)) as question from s group by conv_id)
+    select conv_id, n as messages, md5(concat('system:Answer from the context.', chr(10), chr(10), chr(10), said, chr(10), 'user:', question)) as prompt_md5 from g""")
 def chat_prompt(t: Inputs) -> DataFrame:
+    """Each conversation's last turns and last question as messages."""
     h = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
-    g = t("conversations").where("role <> 'system'").groupBy("conv_id").agg(h.alias("history"), F.max_by("text", "turn").alias("question"))
-    return g.select("conv_id", retrieve.prompt(F.lit("Answer from the context."), F.lit(""), F.col("history"), F.col("question")).alias("messages"))
+    g = t("conversations").where("role <> 'system'").groupBy("conv_id").agg(h.alias("history"), F.max_by("text", F.struct("turn", "text")).alias("question"))
+    m = g.select("conv_id", retrieve.prompt(F.lit("Answer from the context."), F.lit(""), F.col("history"), F.col("question")).alias("m"))
+    told = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n")
+    return m.select("conv_id", F.size("m").alias("messages"), F.md5(told.cast("binary")).alias("prompt_md5"))
 
 
 # ---- figures
 
-_FIG = "(?i)(?:Fig\\.?|Figure)\\s*(\\d+[\\.\\d]*(?:\\([a-z]\\))?)"
+_FIG = T.FIGURE
 _REFS = f"list_distinct(list_transform(regexp_extract_all(text, '{_FIG}', 1), lambda x: regexp_replace(x, '(?i)\\([a-z]\\)$', '')))"
 _IMG = f"imf as (select image_id, book, page, caption, nullif(regexp_extract(caption, '{_FIG}', 1), '') as fig_number from im), hb as (select distinct q, book from ht)"
 _J2 = f"{_IMG}, rf as (select distinct q, unnest({_REFS}) as f from ht), j2 as (select hb.q, imf.* from imf join hb on imf.book = hb.book join rf on rf.q = hb.q and rf.f = imf.fig_number)"
@@ -515,16 +520,20 @@ def layout_page_text(t: Inputs) -> DataFrame:
     return tables.page_of_layout(b).select("book_stem", "page_number", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("select event_id, regexp_replace(regexp_replace(trim(reply), '^```[a-zA-Z]*\\s*', ''), '\\s*```$', '') as reply, cast(json_extract_string(props, '$.k') as int) as k from (select js.*, props from js join events on js.event_id = events.event_id)")
-def fence_strip(t: Inputs) -> DataFrame:
-    s = T.strip_fences(F.col("reply"))
-    return t("js").select("event_id", s.alias("reply"), F.from_json(s, "k int")["k"].alias("k"))
+_REPLY = "case event_id % 4 when 0 then reply when 1 then concat('``` json of it', chr(10), props, chr(10), ' ``` ') when 2 then concat(trim(reply), chr(10), '```') else concat('```', chr(10), reply, chr(10), 'end') end"
 
 
-_SALVAGE = r'(?s)\{\s*"chapter_number"\s*:.*?"topics"\s*:\s*\[.*?\]\s*\}'
+@query(f"""with r as (select event_id, props, trim({_REPLY}, ' ' || chr(10)) as r from (select js.*, props from js join events on js.event_id = events.event_id)), l as (select *, string_split(r, chr(10)) as l from r),
+    o as (select event_id, props, case when starts_with(r, '```') then trim(array_to_string(l[2:len(l) - case when trim(l[-1]) = '```' then 1 else 0 end], chr(10)), ' ' || chr(10)) else r end as reply from l)
+    select event_id, reply, case when json_valid(reply) then cast(json_extract_string(props, '$.k') as int) end as k from o""")
+def fence_strip(t: Inputs) -> DataFrame:
+    """Fences with and without words after them, at the end alone, and not closed."""
+    r = t("js").join(t("events").select("event_id", "props"), "event_id").select("event_id", F.expr(_REPLY.replace("chr(10)", "char(10)")).alias("reply"))
+    s = T.strip_fences(F.col("reply"))
+    return r.select("event_id", s.alias("reply"), F.when(T.valid_json(s), F.from_json(s, "k int")["k"]).alias("k"))
 
 
-@query(f"""with m as (select event_id, list_filter(regexp_extract_all(cut, '{_SALVAGE}'), lambda x: json_valid(x)) as l from js)
+@query(f"""with m as (select event_id, list_filter(regexp_extract_all(cut, '{T.SALVAGE}'), lambda x: json_valid(x)) as l from js)
     select event_id, cast(len(l) as int) as n, json_extract_string(l[1], '$.chapter_number') as chapter_number, json_extract_string(l[1], '$.chapter_name') as chapter_name,
     json_extract_string(l[1], '$.topics[0].topic_name') as topic_name, true as truncated from m where len(l) > 0""")
 def json_salvage(t: Inputs) -> DataFrame:
@@ -533,9 +542,17 @@ def json_salvage(t: Inputs) -> DataFrame:
     return s.select("event_id", F.size("s.chapters").alias("n"), first["chapter_number"].alias("chapter_number"), first["chapter_name"].alias("chapter_name"), F.try_element_at(first["topics"], F.lit(1))["topic_name"].alias("topic_name"), F.col("s._truncated").alias("truncated"))
 
 
-@query("select event_id, case event_id % 5 when 0 then event_type when 1 then event_type else 'Unknown' end as subject, case event_id % 5 when 1 then '2' end as part, case event_id % 5 when 0 then '12' when 1 then '9' else 'Unknown' end as class_number from events")
+_WHO = """case when event_id % 7 = 0 then concat('Here: {"result": {"subject": "', event_type, '", "part": "II", "class_number": "xi"}, "note": 1} as asked') when event_id % 7 = 1 then '{"result": {"subject": "Physics"}}'
+    when event_id % 7 = 2 then concat('{"part": "none", "class_number": ', event_id % 12, ', "subject": " ', event_type, ' "}') else who end"""
+
+
+@query("""select event_id, case when event_id % 7 in (0, 2) then event_type when event_id % 7 = 1 then 'Unknown' when event_id % 5 < 2 then event_type else 'Unknown' end as subject,
+    case when event_id % 7 = 0 then '2' when event_id % 7 < 3 then null when event_id % 5 = 1 then '2' end as part,
+    case when event_id % 7 = 0 then '11' when event_id % 7 = 1 then 'Unknown' when event_id % 7 = 2 then cast(event_id % 12 as string) when event_id % 5 = 0 then '12' when event_id % 5 = 1 then '9' else 'Unknown' end as class_number from events""")
 def identity_parse(t: Inputs) -> DataFrame:
-    return t("js").select("event_id", T.identity(F.col("who")).alias("i")).select("event_id", "i.*")
+    """Replies that are JSON, that hold a nested object in words, and that hold none."""
+    j = t("js").join(t("events").select("event_id", "event_type"), "event_id").select("event_id", F.expr(_WHO).alias("who"))
+    return j.select("event_id", T.identity(F.col("who")).alias("i")).select("event_id", "i.*")
 
 
 _MATHS = "concat(text, ' $$a', doc_id, chr(10), '+1$$ and $x$ ', case when doc_id % 3 = 0 then '$$ b $$' else '' end)"
@@ -549,9 +566,15 @@ def equations_block(t: Inputs) -> DataFrame:
     return t("documents").select("doc_id", F.size(e).alias("n"), F.array_join(e, "|").alias("equations"))
 
 
-@query()
+_DISPLAY = "(?s)\\$\\$(.+?)\\$\\$"
+
+
+@query(f"""with d as (select doc_id, concat(text, ' $x+1$ and $$y$$ $', doc_id, '$', case when doc_id % 3 = 0 then ' or $$z' else '' end) as t from documents), b as (select doc_id, len(regexp_extract_all(t, '{_DISPLAY}')) as n, regexp_replace(t, '{_DISPLAY}', '', 'g') as r from d),
+    m as (select doc_id, n, replace(replace(r, '$$$', repeat(chr(1), 3)), '$$', repeat(chr(1), 2)) as r from b), i as (select doc_id, n + len(regexp_extract_all(r, '\\$([^$\\n]+)\\$')) as n, regexp_replace(r, '\\$([^$\\n]+)\\$', '', 'g') as r from m)
+    select doc_id, cast(n as int) as n, cast(length(regexp_replace(regexp_replace(r, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) as int) as chars from i""")
 def equations_inline(t: Inputs) -> DataFrame:
-    e = T.equations(F.concat("text", F.lit(" $x+1$ and $$y$$")))
+    """Display and inline equations of a text, and what is left of it."""
+    e = T.equations(F.concat("text", F.lit(" $x+1$ and $$y$$ $"), "doc_id", F.lit("$"), F.when(F.col("doc_id") % 3 == 0, " or $$z").otherwise("")))
     return t("documents").select("doc_id", e.alias("e")).select("doc_id", F.size("e.equations").alias("n"), F.length("e.text").alias("chars"))
 
 
@@ -651,7 +674,7 @@ def fuzzy_topic(t: Inputs) -> DataFrame:
 
 @query()
 def fuzzy_chapter(t: Inputs) -> DataFrame:
-    chapters = t.spark.createDataFrame([("b", str(n), name) for n, name in enumerate(["red widget", "small ring", "economy anodised parts"], 1)], "book string, chapter string, name string")
+    chapters = t.spark.createDataFrame([("b", str(n), name) for n, name in enumerate(["red widget", "small ring", "economy anodised parts"], 1)], "book string, chapter string, chapter_name string")
     return headings.chapter_matches(_headed_parts(t, F.concat(F.lit("Chapter 1 "), "p_name")).withColumn("least", F.lit(0.62)), chapters)
 
 
@@ -661,16 +684,49 @@ def ocr_dedup(t: Inputs) -> DataFrame:
     return t("part").where(F.length(name) >= 4).select("p_partkey", headings.undoubled(F.concat(name, name)).alias("name"))
 
 
-@query()
-def page_topic_map(t: Inputs) -> DataFrame:
-    toc = t("tp").select("book", "topic", F.col("chapter").cast("string").alias("chapter"))
-    pages = t("pg").join(t("tp").select("book", "chapter", F.expr("(chapter - 1) * 10 + pos + 1").alias("page"), "topic"), ["book", "page"], "left")
-    return layout.page_topics(pages.select("book", "page", F.concat_ws("\n", F.concat("topic", F.lit(" Heading")), "text").alias("text")), toc)
+_MAPPED = """concat_ws(chr(10), case when pg.page % 6 = 5 then concat(' ', tp.topic, ' Indented') when pg.page % 6 = 4 then concat(tp.topic, ' ') else concat(tp.topic, ' Heading of it') end,
+    case when pg.page % 10 = 9 then concat('Chapter ', pg.page % 13, ' of it') when pg.page % 10 = 6 then 'as in chapter Two before' when pg.page % 10 = 3 then concat('chapter ', pg.page % 7) end, text)"""
 
 
-@query()
+@query(f"""with p as (select pg.book, pg.page, {_MAPPED} as text from pg left join tp on tp.book = pg.book and tp.page_at = pg.page),
+    l as (select book, page, regexp_extract_all(text, '(?m)^(\\d+\\.\\d+)\\s+\\S.*', 1) as l, lower(regexp_extract(text, '(?i)Chapter\\s+(\\w+)\\s+(.+)', 1)) as word from p),
+    h as (select book, page, unnest(l) as topic, generate_subscripts(l, 1) as nr from l), f as (select h.book, h.page, min_by(h.topic, nr) as topic, min_by(tp.chapter, nr) as chapter from h join tp on tp.book = h.book and tp.topic = h.topic group by all),
+    w as (select l.book, l.page, coalesce(cast(list_position({T.NUMBER_WORDS}, word) as string), word) as n from l),
+    o as (select w.book, w.page, case when f.topic is not null then struct_pack(topic := f.topic, chapter := cast(f.chapter as string)) when c.chapter is not null then struct_pack(topic := null, chapter := c.chapter) end as own
+      from w left join f on f.book = w.book and f.page = w.page left join (select distinct book, cast(chapter as string) as chapter from tp) c on c.book = w.book and c.chapter = w.n),
+    g as (select book, page, last_value(own ignore nulls) over (partition by book order by page rows between unbounded preceding and current row) as got from o) select book, page, got.topic as topic, got.chapter as chapter from g""".replace("tp on tp.book = pg.book and tp.page_at = pg.page", "(select *, (chapter - 1) * 10 + pos + 1 as page_at from tp) tp on tp.book = pg.book and tp.page_at = pg.page"))
+def page_topic_map(t: Inputs) -> DataFrame:
+    """Topic and chapter of each page by headings: some indented, some with nothing after the number, chapters in
+    words and digits, in a sentence, some that the contents lack, some without a title."""
+    toc = t("tp").select("book", "topic", F.col("chapter").cast("string").alias("chapter"))
+    at = t("tp").select("book", F.expr("cast((chapter - 1) * 10 + pos + 1 as int)").alias("page"), "topic")
+    pages = t("pg").alias("pg").join(at.alias("tp"), ["book", "page"], "left").select("book", "page", F.expr(_MAPPED.replace("chr(10)", "char(10)").replace("pg.page", "page").replace("tp.topic", "topic")).alias("text"))
+    return layout.page_topics(pages, toc)
+
+
+_BLOCKS = """select book, page, cast(image_id as int) as pos, cast(image_id as int) % 700 + 20.0e0 as y0, cast(image_id as int) % 700 + 20.0e0 + case when cast(image_id as int) % 6 = 0 then 30.0e0 else 12.0e0 end as y1,
+    case when cast(image_id as int) % 5 = 1 then concat(cast(image_id as int) % 4 + 1, '.', cast(image_id as int) % 9, case when cast(image_id as int) % 2 = 0 then '  ' else ' ' end, 'Heading') when cast(image_id as int) % 5 = 2 then concat(' In FIGURE ', cast(image_id as int) % 5 + 1, '.', cast(image_id as int) % 8, ' below')
+    when cast(image_id as int) % 5 = 3 then 'Fig.1.2 has no space' else coalesce(caption, 'plain text') end as text from im"""
+
+
+@query(f"""with b0 as ({_BLOCKS}), b as (select * replace (trim(text) as text) from b0), tc as (select distinct book, topic, cast(chapter as string) as chapter from tp), kc as (select distinct book, chapter from tc),
+    hd as (select b.*, tc.topic, coalesce(tc.chapter, kc.chapter) as chapter from (select *, regexp_extract(text, '^(\\d+)\\.(\\d+)\\s{{2,}}\\S', 1) as hc, regexp_extract(text, '^(\\d+)\\.(\\d+)\\s{{2,}}\\S', 2) as ht from b) b
+      left join tc on tc.book = b.book and tc.topic = concat(hc, '.', ht) left join kc on kc.book = b.book and kc.chapter = hc where hc <> '' and (tc.topic is not null or kc.chapter is not null)),
+    c0 as (select *, regexp_extract(text, '(?i)\\b(?:FIGURE|Figure|Fig\\.?)\\s+(\\d+)\\.(\\d+)', 1) as c, regexp_extract(text, '(?i)\\b(?:FIGURE|Figure|Fig\\.?)\\s+(\\d+)\\.(\\d+)', 2) as s from b),
+    c1 as (select *, concat(c, '.', s) as fig, row_number() over (partition by book, page, c, s order by y0, pos) as nth from c0 where c <> ''), cp as (select * from c1 where nth = 1),
+    up as (select f.book, f.page, f.pos, max_by(o.y1, (o.y0, o.pos)) as up from cp f join b o on o.book = f.book and o.page = f.page and o.y1 < f.y0 and (f.y0 - o.y1 > 500 or o.text <> f.text) group by all),
+    ab as (select f.book, f.page, f.pos, max_by(struct_pack(topic := h.topic, chapter := h.chapter), (h.y0, h.pos)) as above from cp f join hd h on h.book = f.book and h.page = f.page and h.y0 < f.y0 group by all),
+    r0 as (select cp.*, above, tc.chapter as own, kc.chapter as known, least(842, y1 + 5) as bottom, case when y0 - up <= 500 then greatest(40, up + 2) else 40 end as top from cp left join up on up.book = cp.book and up.page = cp.page and up.pos = cp.pos
+      left join ab on ab.book = cp.book and ab.page = cp.page and ab.pos = cp.pos left join tc on tc.book = cp.book and tc.topic = fig left join kc on kc.book = cp.book and kc.chapter = c),
+    r1 as (select * replace (case when bottom - top < 80 then greatest(40, bottom - 80) else top end as top) from r0),
+    r2 as (select *, case when own is not null then 'caption' when known is not null and above is not null then 'caption_chapter+y_position' when known is not null then 'caption_chapter_only' when above.topic is not null then 'y_position' when above is not null then 'y_position_chapter_only' else 'page_only' end as method,
+      case when own is not null then fig else above.topic end as topic, coalesce(own, above.chapter, known) as chapter from r1 where 555 * (bottom - top) * (150 / 72.0) * (150 / 72.0) >= 5000),
+    r3 as (select *, last_value(case when topic is not null then struct_pack(topic := topic, chapter := chapter) end ignore nulls) over (partition by book order by page, y0, pos rows between unbounded preceding and current row) as last from r2)
+    select book, page, fig, substring(text, 1, 120) as caption, round(top, 1) as y0, round(bottom, 1) as y1, case when method = 'page_only' and last is not null then 'carry_forward' else method end as mapping_method,
+    case when method = 'page_only' and last is not null then last.topic else topic end as topic, case when method = 'page_only' and last is not null then last.chapter else chapter end as chapter from r3""")
 def figure_regions(t: Inputs) -> DataFrame:
-    b = t("im").select("book", "page", F.col("image_id").cast("int").alias("pos"), (F.col("image_id").cast("int") % 700 + 20.0).alias("y0"), F.coalesce("caption", F.lit("plain text")).alias("text")).withColumn("y1", F.col("y0") + 12)
+    """Parts as blocks: captions within sentences, without a space, headings with one space and with two."""
+    b = t.sql(_BLOCKS)
     pages = b.select("book", "page", F.lit(595.0).alias("width"), F.lit(842.0).alias("height")).distinct()
     return layout.figure_regions(b, pages, t("tp").select("book", "topic", F.col("chapter").cast("string").alias("chapter")))
 

@@ -9,8 +9,6 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Rows and bytes of an Arrow batch (Spark's own value, ours): what a Python worker holds at once.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def session(app: str = "folioscan", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -26,11 +24,7 @@ def session(app: str = "folioscan", master: str = "local[*]", **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> None:
-    """Prepares a session: this package's source for the Python workers, once for an
-    application, and small Arrow batches where the session has Spark's own values."""
-    for key, (theirs, ours) in ARROW.items():
-        if spark.conf.get(key) == theirs:
-            spark.conf.set(key, ours)
+    """This package's source for the Python workers, once for an application; no setting changes."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

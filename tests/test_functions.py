@@ -48,6 +48,9 @@ def test_normalise_and_lines(spark):
 
 def test_json_replies(spark):
     assert one(spark, T.strip_fences, '```json\n{"a": 1}\n```', " plain ") == ['{"a": 1}', "plain"]
+    said = ["``` json please\n{}\n ``` \n", "{}\n```", "```\nno end", "```", "```a\r\nb\r\n```\r\n", None]  # what opens with no fence keeps its end
+    assert one(spark, T.strip_fences, *said) == ["{}", "{}\n```", "no end", "", "b", None]
+    assert one(spark, T.valid_json, '{"a": 1}', '{"a": 1} ok', '{"a": 1}\n```', "", "no", None, "[1, 2]", '{"a": {"b": []}}, 1') == [True, False, False, False, False, False, True, False]
     cut = '{"chapters": [{"chapter_number": 1, "chapter_name": "A", "topics": [{"topic_number": "1.1"}, {"topic_number": "1.2"}]}, { "chapter_number" : "2", "chapter_name": "B", "topics": [] }, {"chapter_number": "3", "chapter_na'
     flat = '{"chapters": [{"chapter_number": "1", "chapter_name": "A"}, {"chapter_na'
     late = '{"chapters": [{"chapter_name": "A", "chapter_number": "1", "topics": []}'
@@ -61,6 +64,8 @@ def test_json_replies(spark):
     assert got[1].whole is None and len(got[1].salvaged.chapters) == 2 and got[2].whole is None and got[2].salvaged is None
     got = one(spark, T.identity, '{"subject": "Biology", "part": "null", "class_number": "XII"}', 'ok {"subject": "", "part": "2", "class_number": "9"}', "none")
     assert [(g.subject, g.part, g.class_number) for g in got] == [("Biology", None, "12"), ("Unknown", "2", "9"), ("Unknown", None, "Unknown")]
+    got = one(spark, T.identity, 'Sure: {"result": {"subject": "Physics", "part": "II", "class_number": "xi"}} ok', '{"result": {"subject": "Physics"}}', '```json\n{"subject": " Art ", "part": " iv ", "class_number": 7}\n```', '{"subject": "A", "part": "None"} {"subject": "B"}')
+    assert [(g.subject, g.part, g.class_number) for g in got] == [("Physics", "2", "11"), ("Unknown", None, "Unknown"), ("Art", "4", "7"), ("A", None, "Unknown")]
 
 
 def test_equations(spark):
@@ -94,12 +99,65 @@ def test_headings(spark):
     said = ["7 . 2 Other words", "Integration as Inverse Process", "Something else", "9.9 introduction", None, ""]
     rows = spark.createDataFrame([(i, "b", t) for i, t in enumerate(said)], "id int, book string, text string")
     assert {r.id: r.topic for r in headings.topic_matches(rows, topics).collect()} == {0: "7.2", 1: "7.2", 3: "7.1"}
-    chapters = spark.createDataFrame([("b", "1", "Electrochemistry"), ("b", "2", "Amines"), ("b", "10", "Photosynthesis Basics"), ("b", "11", None)], "book string, chapter string, name string")
+    chapters = spark.createDataFrame([("b", "1", "Electrochemistry"), ("b", "2", "Amines"), ("b", "10", "Photosynthesis Basics"), ("b", "11", None)], "book string, chapter string, chapter_name string")
     said = ["Chapter 1 ElectrochemistryElectrochemistry", "Aminess", "Quantum gravity", "the amines today are here and there", "UNIT ON PHOTOSYNTHESIS BASICS and more", None]
     rows = spark.createDataFrame([(i, "b", t, 0.62) for i, t in enumerate(said)], "id int, book string, text string, least double")
     assert {r.id: r.chapter for r in headings.chapter_matches(rows, chapters).collect()} == {0: "1", 1: "2", 3: "2", 4: "10"}
 
 
+def test_headings_in_the_order_of_the_contents(spark):
+    """Of repeated numbers the last entry counts; of equal names the first of the contents."""
+    toc = spark.createDataFrame([("b", "2", "Zebras", "2.10", "Same name", 1), ("b", "2", "Zebras", "2.9", "Same name", 2), ("b", "1", "Apes", "1.1", "Old", 3), ("b", "1", "Aardvarks", "1.1", "A newer", 4), ("b", "3", "Bare", None, None, 5)], "book string, chapter string, chapter_name string, topic string, topic_name string, pos int")
+    chapters, topics = headings.numbered(toc)
+    assert {r.chapter: r.chapter_name for r in chapters.collect()} == {"2": "Zebras", "1": "Aardvarks", "3": "Bare"}
+    assert {r.topic: (r.chapter, r.topic_name) for r in topics.collect()} == {"2.10": ("2", "Same name"), "2.9": ("2", "Same name"), "1.1": ("1", "A newer")}
+    rows = spark.createDataFrame([(0, "b", "same name")], "id int, book string, text string")
+    assert headings.topic_matches(rows, toc).first().topic == "2.10"
+    assert headings.topic_matches(rows, toc.drop("pos")).first().topic == "2.9"  # by number, where the contents say no order
+
+
+def test_few_pairs_are_compared(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    names = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    said = [(lambda n: n[: rng.randint(3, len(n))] + word())(rng.choice(names)) if rng.random() < 0.6 else " ".join(word() for _ in range(3)) for _ in range(200)]
+    topics = spark.createDataFrame([("b", f"1.{k}", n, k) for k, n in enumerate(names)], "book string, topic string, topic_name string, pos int")
+    rows = spark.createDataFrame([(i, "b", t) for i, t in enumerate(said)], "id int, book string, text string")
+    best = {i: max((ratio_of(t.lower().strip(), n), -k) for k, n in enumerate(names)) for i, t in enumerate(said)}
+    got = {r.id: r.topic for r in headings.topic_matches(rows, topics).collect()}
+    assert got == {i: f"1.{-k}" for i, (s, k) in best.items() if s >= 0.75} and len(got) > 20
+    assert headings.topic_pairs(rows, topics)[1].count() < 0.1 * len(names) * len(said)
+    chapters = topics.select("book", F.col("topic").alias("chapter"), F.col("topic_name").alias("chapter_name"), "pos")
+    r = rows.withColumn("least", F.lit(0.62))
+    got = {r.id: r.chapter for r in headings.chapter_matches(r, chapters).collect()}
+
+    def plain(t):
+        up = t.strip().upper()
+        forms = sorted({up, *[h for h in [undoubled_of(t.strip()).upper()]]})
+        inside = [(f, k) for f in forms for k, n in enumerate(names) if len(n) >= 12 and n.upper() in f]
+        if inside:
+            return min(inside)[1]
+        top = max((ratio_of(f, n.upper()), [-ord(c) for c in f], -k) for f in forms for k, n in enumerate(names))
+        if top[0] >= 0.62:
+            return -top[2]
+        for k, n in enumerate(names):
+            size = len(n)
+            for f in forms:
+                if size >= 5 and any(ratio_of(f[x : x + size], n.upper()) >= 0.82 for x in range(0, max(len(f) - size, 0) + 1, max(size // 3, 1))):
+                    return k
+        return None
+
+    assert got == {i: f"1.{k}" for i, t in enumerate(said) if (k := plain(t)) is not None}
+    assert headings.chapter_pairs(r, chapters)[1].count() < 0.25 * len(names) * len(said)
+
+
+def undoubled_of(t):
+    for k in range(len(t) // 2, 3, -1):
+        if t[k:] == t[:k] or t[:k].upper().startswith(t[k:].upper()[:4]):
+            return t[:k]
+    return t
+
+
 def test_title_match():
     assert fuzzy.ratio("", "x") == 0 and fuzzy.ratio("The Cell!", "the cell") == 1
     rng = random.Random(3)

@@ -75,6 +75,35 @@ def test_structural_score(spark):
     assert r.total == 0.5 + 0.85 * r.structural and r.signals["hybrid_score"] == 0.5 and r.signals["total_score"] == round(r.total, 4)
 
 
+def test_topics_of_pages(spark):
+    """What counts as a heading: at the line's start, with text after it, in the contents."""
+    toc = spark.createDataFrame([("b", "1", "1.1"), ("b", "1", "1.2"), ("b", "2", None), ("b", "9", "9.1")], "book string, chapter string, topic string")
+    pages = ["nothing yet", "  1.2 indented", "1.1 Cells\n1.2 Walls", "1.2", "chapter Two Motion", "chapter three Unknown, Chapter 1 Later", "Chapter 9 in digits", "Chapter nine", "9.1\n and its text", "4.4 Unknown\n1.2 Known"]
+    df = spark.createDataFrame([("b", p, t) for p, t in enumerate(pages)] + [("c", 0, "1.1 Cells")], "book string, page int, text string")
+    got = {r.page: (r.topic, r.chapter) for r in layout.page_topics(df, toc).where("book = 'b'").collect()}
+    assert got == {0: (None, None), 1: (None, None), 2: ("1.1", "1"), 3: ("1.1", "1"), 4: (None, "2"), 5: (None, "2"), 6: (None, "9"), 7: (None, "9"), 8: ("9.1", "9"), 9: ("1.2", "1")}
+
+
+def test_captions_of_images(spark):
+    said = [(["See Figure 1.2 here", " "], []), (["Fig.1.2"], None), (["no number"], ["FIGURE 1.3 in a footnote"]), ([], ["Fig. 2.1"]), (None, None), (["CONFIG 1.2"], [])]
+    i = spark.createDataFrame([("b", 1, k, c, f) for k, (c, f) in enumerate(said)], "book string, page int, image_seq int, image_caption array<string>, image_footnote array<string>").withColumn("caption", layout.caption_of())
+    toc = spark.createDataFrame([("b", "1", "1.2"), ("b", "1", "1.3"), ("b", "1", "2.1")], "book string, chapter string, topic string")
+    topics = spark.createDataFrame([("b", 1, "t", "c")], "book string, page int, topic string, chapter string")
+    got = [(r.fig, r.topic, r.chapter) for r in layout.image_index(i, topics, toc).orderBy("image_seq").collect()]
+    assert got == [("1.2", "1.2", "1"), (None, "t", "c"), ("1.3", "1.3", "1"), ("2.1", "t", "c"), (None, "t", "c"), (None, "t", "c")]
+
+
+def test_chapters_with_their_number_on_a_line(spark):
+    pages = ["contents\nMotion\nLight", "preface", "Chapter 1 Motion\nbody", "more", "  LIGHT ", "chapter 12   Heat", "Chapter x Sound"]
+    p = spark.createDataFrame([("b", k + 1, t) for k, t in enumerate(pages)], "book string, page int, text string")
+    c = spark.createDataFrame([("b", n, n) for n in ("Motion", "Light", "Heat", "Sound")], "book string, chapter string, name string")
+    skipped = spark.createDataFrame([("b", 1)], "book string, page int")
+    starts = lambda s: {r.chapter: (r.first_page, r.last_page) for r in chunk.chapter_chunks(p, c, skipped=s).collect()}
+    assert starts(skipped) == starts(None) == {"Motion": (3, 4), "Light": (5, 5), "Heat": (6, 7)}
+    alone = spark.createDataFrame([("b", 1, "Motion"), ("b", 2, "x"), ("b", 3, "Chapter 1 Motion")], "book string, page int, text string")
+    assert [(r.first_page, r.last_page) for r in chunk.chapter_chunks(alone, c, skipped=skipped).collect()] == [(3, 3)]
+
+
 def plain_picks(chapters, resolver=None):
     """chapters: for each [(hybrid, total, negative, page)], toc page, pages of the book."""
 
@@ -84,7 +113,7 @@ def plain_picks(chapters, resolver=None):
             return cands[0][1]
         if resolver:
             try:
-                said = resolver([(s, p) for s, p in cands if p in valid][:8], after)
+                said = resolver(align.Question("1", "n", after, sorted((p, "") for _, p in [c for c in cands if c[1] in valid][:8])))
                 if said in valid:
                     return said
             except ValueError:
@@ -109,8 +138,8 @@ def plain_picks(chapters, resolver=None):
 
 @pytest.mark.parametrize("odd", [False, True])
 def test_ordered_picks(spark, odd):
-    def answer(shown, after):
-        best = max(p for _, p in shown)
+    def answer(q):
+        best = max(p for p, _ in q.shown)
         if best % 7 == 0:
             raise ValueError("no answer")
         return 10_000 if best % 5 == 0 else best
@@ -134,6 +163,24 @@ def test_ordered_picks(spark, odd):
     assert any(d == "repaired" for g in got.values() for _, d in g)
 
 
+def test_resolver_is_shown_pages_in_order(spark):
+    """The best eight pages, by page, with 300 characters each; unknown contents pages; replies in words."""
+    asked = []
+    rows = [("b", pos, p, 0.1, 1.0 - p / 100, 0.0, None, 40, "Motion", "iv") for pos in (1, 2) for p in range(1, 41)]
+    df = spark.createDataFrame(rows, "book string, pos int, page int, hybrid double, total double, negative double, toc_page int, total_pages int, name string, number string")
+    pages = spark.createDataFrame([("b", p, f" page {p} " + "x" * 400) for p in range(1, 40)], "book string, page int, text string")
+    opened = pages.select("book", "page", F.array(F.lit("z")).alias("lines"), align.snippet("text").alias("snippet"))
+
+    def resolver(q):
+        text = q.prompt()
+        assert [p for p, _ in q.shown] == sorted(p for p, _ in q.shown) and len(q.shown) <= 8 and all(len(t) == 300 for p, t in q.shown if p < 40)
+        assert 'chapter iv: "Motion"' in text and f"PAGE {q.shown[0][0]}:" in text and ("greater than" in text) == (q.after > 0)
+        return f"It is page {q.shown[3][0]}."
+
+    got = [(r.pos, r.start_page, r.decided_by) for r in align.fold(df, opened, resolver).orderBy("pos").collect()]
+    assert got == [(1, 4, "resolver"), (2, 8, "repaired")] and not asked
+
+
 def test_titles_count_where_a_page_takes_part(spark):
     rows = [("b", 1, p, 0.1, 0.1, 0.0, 0, 40, "Living Cells") for p in range(1, 41)]
     df = spark.createDataFrame(rows, "book string, pos int, page int, hybrid double, total double, negative double, toc_page int, total_pages int, name string")
@@ -241,12 +288,13 @@ def test_partition_overwrite_is_idempotent(spark, tmp_path):
 
 def test_archive(spark):
     books = spark.createDataFrame([("a", None), ("b", None)], "book_stem string, pdf_data binary")
-    files = spark.createDataFrame([("a", "x/a.pdf", bytearray(b"P")), ("a", "x/page_0001.pdf", bytearray(b"Q")), ("a", "x/i.png", bytearray(b"I"))], "book_stem string, path string, content binary")
-    images = spark.createDataFrame([("a", "img/i.png", "Fig 2.1", None, None, False), ("a", "img/j.png", None, None, None, False)], "book_stem string, image_path string, caption string, image_data binary, fig_number string, has_data boolean")
-    docs = spark.createDataFrame([("1", "a", "toc.json", "{}"), ("1", "a", "other.json", "{}")], "book_id string, book_stem string, file_name string, content string")
+    names = [("x/a/a.pdf", b"P"), ("x/a/page_0001.pdf", b"Q"), ("x/a/pdfs/whole.pdf", b"R"), ("x/a/img/i.png", b"I"), ("x/a/img/i.png", b"I"), ("y/a/img/i.png", b"J"), ("x/a/other/i.png", b"K")]
+    files = spark.createDataFrame([("a", n, bytearray(c)) for n, c in names], "book_stem string, path string, content binary")
+    images = spark.createDataFrame([("a", "img/i.png", "Fig 2.1", None, "0", False), ("a", "img/j.png", "Fig 3", None, None, False), ("a", "other/i.png", "none", None, "9", False)], "book_stem string, image_path string, caption string, image_data binary, fig_number string, has_data boolean")
+    docs = spark.createDataFrame([("1", "a", "toc.json", "{}"), ("1", "a", "other.json", "{}"), ("1", "a", "chunks.json", "{cut")], "book_id string, book_stem string, file_name string, content string")
     b, i, d = store.archive(books, files, images, docs)
     assert [(r.book_stem, r.pdf_data) for r in b.orderBy("book_stem").collect()] == [("a", b"P"), ("b", None)]
-    assert [(r.image_path, r.image_data, r.fig_number, r.has_data) for r in i.orderBy("image_path").collect()] == [("img/i.png", b"I", "2.1", True), ("img/j.png", None, None, False)]
+    assert [(r.image_path, r.image_data, r.fig_number, r.has_data) for r in i.orderBy("image_path").collect()] == [("img/i.png", b"I", "2.1", True), ("img/j.png", None, None, False), ("other/i.png", b"K", None, True)]
     assert d.count() == 1
 
 
