@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -84,6 +85,12 @@ class Codec:
         return role, text, unescape(self.decode(ids[mask == 1])), chars
 
 
+@functools.lru_cache(2)
+def codec_of(ranks: str, pattern: str) -> Codec:
+    """One for each vocabulary in a worker process, whatever the number of its tasks."""
+    return Codec(ranks, pattern)
+
+
 def format_turns(conversations: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(conv_id, turn, role, ids, mask): one row of token ids per turn.
 
@@ -96,7 +103,7 @@ def format_turns(conversations: DataFrame, ranks: str, pattern: str) -> DataFram
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks, pattern)
+        codec = codec_of(ranks, pattern)
         for b in batches:
             done = [codec.turn(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([i.tobytes() for i, _ in done], pa.binary()), pa.array([m.tobytes() for _, m in done], pa.binary())], ["conv_id", "turn", "role", "ids", "mask"])
@@ -110,14 +117,15 @@ def digests(formatted: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     Rows of a conversation meet in order in one partition, since the digests are
     sequential, and pass through it as a stream: a conversation of any length
-    needs the memory of one batch.
+    needs the memory of one batch.  A null conv_id is a conversation of its own; empty turns count as
+    turns; repeated rows are turns each; an empty table gives no rows.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [c.split()[0] for c in schema.split(", ")]
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids").select("conv_id", "ids", "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, now, open_ = Codec(ranks, pattern), None, False
+        codec, now, open_ = codec_of(ranks, pattern), None, False
         turns = loss = None
         n = loss_chars = chars = 0
         done: list[tuple] = []

@@ -1,104 +1,13 @@
-"""Shared folder, tables cut from their lineage, settings that hold for one write."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscan.session import ship
-
-#: Shuffle files of a finished write are deleted at once: written tables are read instead.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.  Where
-    none is named, a temporary folder is set if the master is local; a cluster must name one."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioscan-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def _at(spark: SparkSession, path: str) -> tuple:
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, where = _at(spark, path)
-    fs.deleteOnExit(where)
-    return path
-
-
-@contextlib.contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
-    """Session settings that hold inside the block and are put back after it."""
-    before = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def written(df: DataFrame, name: str = "table", batch: tuple[int, str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, whatever is
-    lost later, with column pruning for each reader.  ``batch`` bounds the rows and
-    bytes of an Arrow batch during this write, so that Python workers need little memory."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    ship(spark)
-    conf = {CLEANUP: "true"}
-    if batch:
-        conf |= {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch[0]), "spark.sql.execution.arrow.maxBytesPerBatch": batch[1]}
-    with settings(spark, conf):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-class Scratch:
-    """Written tables that go when the block ends, or before by ``drop``."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.tables = spark, {}
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def written(self, df: DataFrame, name: str = "table", batch: tuple[int, str] | None = None) -> DataFrame:
-        out = written(df, name, batch)
-        self.tables[out.written_to] = out
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            fs, where = _at(self.spark, t.written_to)
-            fs.delete(where, True)
-            self.tables.pop(t.written_to, None)
-
-    def __exit__(self, *_: object) -> None:
-        self.drop(*self.tables.values())
-
+from folioscan.shared import BATCH, CLEANUP, Scratch, broadcast_if_small, new_path, settings, shared_dir, written
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """A broadcast hint only where the counted rows keep within limit."""
-    return F.broadcast(df) if rows <= limit else df
+__all__ = ["BATCH", "CLEANUP", "Scratch", "broadcast_if_small", "new_path", "settings", "shared_dir", "text_of", "written"]
 
 
 def text_of(col: str | Column) -> Column:

@@ -14,8 +14,8 @@ from folioscan.llm import textscan
 from folioscan.llm.common import broadcast_if_small, written
 from folioscan.session import ship
 
-#: Items below LONG_BYTES allow no error; test items are matched in blocks of BLOCK_BYTES.
-ERROR_RATE, LONG_BYTES, BLOCK_BYTES, BROADCAST_ROWS = 0.06, 24, 16 << 20, 1_000_000
+#: Errors allowed for a byte of an item; test items are matched in blocks of BLOCK_BYTES.
+ERROR_RATE, BLOCK_BYTES, BROADCAST_ROWS = 0.06, 16 << 20, 1_000_000
 _PLAIN = np.full(256, 0x20, np.uint8)
 for _r in ((48, 58), (97, 123), (128, 256)):
     _PLAIN[_r[0] : _r[1]] = np.arange(*_r)
@@ -146,16 +146,18 @@ class Pieces:
 
 
 class Matcher:
-    """Test items: those of LONG_BYTES normalised bytes and more within floor(rate * bytes)
-    edits, shorter ones exactly and between word borders."""
+    """Test items within floor(rate * bytes) edits of their normalised bytes; those so short that this
+    is none, exactly and between word borders."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, long_bytes: int | None = None):
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         b, off = normalised(pa.array([t for _, t in items], pa.large_string()))
         texts = [(key, b[s:e].tobytes().strip()) for (key, _), s, e in zip(items, off[:-1], off[1:])]
-        least = LONG_BYTES if long_bytes is None else long_bytes
-        self.parts = [Pieces([(k, t, int(rate * len(t))) for k, t in texts if len(t) >= least])]
-        for lo, hi in ((1, 5), (5, least)):  # the shortest piece sets how many bytes are hashed
-            self.parts.append(Pieces([(k, b" " + t + b" ", 0) for k, t in texts if lo <= len(t) < min(hi, least)]))
+        budget = lambda t: int(rate * len(t))
+        self.parts = []
+        for lo, hi in ((1, 5), (5, 24), (24, 1 << 62)):  # the shortest piece sets how many bytes are hashed
+            some = [(k, t) for k, t in texts if lo <= len(t) < hi]
+            self.parts.append(Pieces([(k, b" " + t + b" ", 0) for k, t in some if not budget(t)]))
+            self.parts.append(Pieces([(k, t, budget(t)) for k, t in some if budget(t)]))
 
     def matches(self, arr: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, distance, errors allowed) of every pair within the budget."""
@@ -187,11 +189,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_co
     texts are scanned where they are read; no row is shuffled.  Test items beyond
     BLOCK_BYTES go in blocks, each with a scan of its own.
 
-    Items shorter than LONG_BYTES when normalised are found exactly, between word
+    Items of so few normalised bytes that the budget is none (under 17) are found exactly, between word
     borders; null texts and items, and items without a letter or digit, match nothing; a repeated document has its rows each time; an
-    item_id with several texts may give several rows; other columns are ignored.
+    item_id with several texts may give several rows; very long texts are scanned whole; other columns are
+    ignored; an empty table of either gives no rows.
     """
-    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema, out = "doc_id long, item_id long, distance int, max_errors int", None
     blocks = item_blocks(benchmark)
@@ -205,8 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_co
                 got = list(zip(*matcher.matches(b.column(1)))) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(got[0], pa.int64())), pa.array(got[1], pa.int64()), pa.array(got[2], pa.int32()), pa.array(got[3], pa.int32())], ["doc_id", "item_id", "distance", "max_errors"])
 
-        part = rows.mapInArrow(run, schema)
-        part = written(part, "leaks") if after is not None or out is not None else part
+        part = written(rows.mapInArrow(run, schema), "leaks")
         out = part if out is None else out.union(part)
         if after is None:
             return out

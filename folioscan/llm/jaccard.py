@@ -239,13 +239,14 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
     return sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(merged, "key long, cls long, tag long")
 
 
-def _with_sets(rows: DataFrame, width: int, whole: bool) -> DataFrame:
-    """rows: rep, text -> rep and its set: the hashes (``whole``) or the folded sketch."""
+def _with_sets(rows: DataFrame, width: int, whole: bool, of_class: bool = False) -> DataFrame:
+    """rows: rep, text -> rep and its set: the hashes (``whole``) or the folded sketch.
+    ``of_class``: only of texts whose class is rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(s if whole else folded(s)).tobytes() for s in _sets(b, width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["rep", "words"])
+            got = [(rep, (s if whole else folded(s)).tobytes()) for rep, s in zip(b.column(0).to_pylist(), _sets(b, width)) if not of_class or class_of(s) == rep]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], ["rep", "words"])
 
     return rows.select("rep", "text").mapInArrow(run, "rep long, words binary")
 
@@ -486,24 +487,10 @@ def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return t.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= F.shiftright("need", 1)).select("a", "b").distinct()
 
 
-def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row, written: documents whose sets of
-    ``width``-word shingles have 100 * common >= percent * union are linked.
-
-    Equal sets are one class, found by hash.  Keys of parity sketches (keys_of)
-    are joined within a batch before they are shuffled, and leave only classes
-    that share one (_shared_keys).  Each set drops some of the keys that most
-    classes share (_without_hottest).  Keys of few classes then give the pairs that
-    have as many in common as linked sets must, and larger ones, which are left where
-    many sets are much alike, are contracted around leading sets before anything is
-    compared within them (_hot_links).  Every candidate is decided on the whole
-    sets, so no link is lost and none is made up (64-bit hashes stand for shingles
-    and for sets).
-
-    Null, empty and wordless texts have no shingles and their own id as component;
-    a text of fewer words than ``width`` has one shingle; repeated ids are rows of
-    their own; other columns are ignored; an empty table gives an empty result.
-    """
+def _classified(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """((doc_id, text_hash, n, part, component_id) of every row, written; whether ids are unique).  part tells
+    components apart: null without words, else the smallest node, which is a class's smallest id, or its hash
+    where ids repeat (then one id may stand for several classes)."""
     spark, batch = docs.sparkSession, (512, "2m")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -513,11 +500,14 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
             for s in _sets(b, width):
                 n.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "text_hash", "n", "cls"])
 
     with Scratch(spark) as tables:
-        sets = tables.written(rows.mapInArrow(measure, "doc_id long, n long, cls long"), "sets", batch)
-        classes = tables.written(sets.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+        sets = tables.written(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(measure, "doc_id long, text_hash long, n long, cls long"), "sets", batch)
+        ids = sets.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+        unique = ids.n == ids.d
+        classes = sets.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+        classes = tables.written(classes.withColumn("rep", F.col("least" if unique else "cls")), "classes")
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         streams = max(least, -(-(classes.agg(F.sum("n")).first()[0] or 0) // STREAM_SHINGLES))
         shared = tables.written(_shared_keys(rows, width, percent, streams, max(least, -(-streams // STREAMS_A_TASK))), "keys", batch)
@@ -527,13 +517,14 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
         warm = tables.written(_bucketed(_without_hottest(buckets.where(F.col("w") > COLD), percent).repartition("key"), WARM), "warm")
         pairs = tables.written(_pairs(buckets.where(F.col("w") <= COLD).union(warm.where(F.col("w") <= WARM)), percent), "candidates")
         tables.drop(buckets)
-        ids = sets.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
 
         def fetched(reps: DataFrame, whole: bool) -> DataFrame:
-            reps = tables.written(reps.distinct(), "reps")
-            texts = rows.withColumnRenamed("doc_id", "rep").join(broadcast_if_small(reps, reps.count(), BROADCAST_ROWS), "rep")
-            got = _with_sets(texts, width, whole)
-            return tables.written(got if ids.n == ids.d else got.dropDuplicates(["rep"]), "words", batch)
+            reps = tables.written(reps.distinct() if unique else reps.distinct().join(classes, "rep").select("rep", "least"), "reps")
+            reps = broadcast_if_small(reps, reps.count(), BROADCAST_ROWS)
+            if unique:
+                return tables.written(_with_sets(rows.withColumnRenamed("doc_id", "rep").join(reps, "rep"), width, whole), "words", batch)
+            texts = rows.join(reps, F.col("doc_id") == F.col("least"))
+            return tables.written(_with_sets(texts, width, whole, of_class=True).dropDuplicates(["rep"]), "words", batch)  # rows of a class have the same set
 
         side = lambda t, c, name: t.select(F.col("rep").alias(c), F.col("words").alias(f"{name}{c}"))
         ends = lambda t: t.select(F.col("a").alias("rep")).union(t.select("b"))
@@ -555,19 +546,50 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
             held = tables.written(_folded(held.withColumn("n", (F.octet_length("words") / 8).cast("long"))), "held", batch)
             links = links.union(_hot_links(stars, held, percent, tables))
         found = connected_components(links, "a", "b", tables).select(F.col("node").alias("rep"), "component")
-        class_component = classes.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-        out = sets.join(class_component, "cls", "left")
-        return written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "components")
+        parts = classes.join(found, "rep", "left").select("cls", "least", F.coalesce("component", "rep").alias("part"))
+        if unique:
+            parts = parts.select("cls", "part", F.col("part").alias("component_id"))
+        else:
+            parts = parts.join(parts.groupBy("part").agg(F.min("least").alias("component_id")), "part").drop("least")
+        out = sets.join(parts, "cls", "left").select("doc_id", "text_hash", "n", "part", F.coalesce("component_id", "doc_id").alias("component_id"))
+        return written(out, "components"), unique
+
+
+def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row, written: documents whose sets of
+    ``width``-word shingles have 100 * common >= percent * union are linked.
+
+    Equal sets are one class, found by hash.  Keys of parity sketches (keys_of)
+    are joined within a batch before they are shuffled, and leave only classes
+    that share one (_shared_keys).  Each set drops some of the keys that most
+    classes share (_without_hottest).  Keys of few classes then give the pairs that
+    have as many in common as linked sets must, and larger ones, which are left where
+    many sets are much alike, are contracted around leading sets before anything is
+    compared within them (_hot_links).  Every candidate is decided on the whole
+    sets, so no link is lost and none is made up (64-bit hashes stand for shingles
+    and for sets).
+
+    Null, empty and wordless texts have no shingles and their own id as component;
+    a text of fewer words than ``width`` has one shingle.  Links are between texts: of rows that
+    repeat an id with other texts, each is in the component of its own text, named by the smallest id of
+    any of its rows.  Rows of a null id link nothing and take the component of their text, if others have
+    it.  Other columns are ignored; an empty table gives an empty result.
+    """
+    return _classified(docs, width, percent, id_col, text_col)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, with the smallest id of each component;
-    of repeated rows of that id one stays.  Rows with a null id stay."""
-    found = components(docs, width, percent, id_col, text_col)
-    total = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = broadcast_if_small(gone, total.n, BROADCAST_ROWS)
-    kept = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    if total.n == total.d:
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    """One row of each component, all columns kept: that of the smallest id, and of that id's
+    texts in the component that of the smallest hash.  Texts without words all stay, and so do rows of
+    a null id.  Of rows that repeat both id and text, one stays (the smallest hash of all columns)."""
+    found, unique = _classified(docs, width, percent, id_col, text_col)
+    if unique:
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+        return docs.join(broadcast_if_small(gone, found.count(), BROADCAST_ROWS), docs[id_col] == F.col("__gone"), "left_anti")
+    known = found.where("doc_id is not null")
+    first = known.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")).union(known.where("part is null").select("doc_id", "text_hash").distinct())
+    mine = docs.where(F.col(id_col).isNotNull()).withColumn("__text", F.xxhash64(text_col))
+    mine = mine.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    one = mine.groupBy(id_col, "__text").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*docs.columns)).alias("__row"))
+    return one.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
@@ -12,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.session import ship
+from folioscan.llm.common import written
 
 CAPACITY, END_ID, BLOCK = 2048, 1, 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+#: Sequences of rests that met no full block in their partition are numbered from here.
+LATE = 1 << 60
 
 #: Texts of these characters alone are split alike by both libraries; others take the slower one.
 _PLAIN = re.compile("[\x00-ɏ‐-‧€]*\\Z")
@@ -48,6 +52,12 @@ class Encoder:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@functools.lru_cache(2)
+def encoder(path: str, ranks: str | None = None, pattern: str | None = None) -> Encoder:
+    """One for each vocabulary in a worker process, whatever the number of its tasks."""
+    return Encoder(path, ranks, pattern)
+
+
 def differencing(sizes: list[int], k: int) -> tuple[list[list[int]], int]:
     """Items dealt to k windows, and the largest sum.  Partial partitions with the
     widest spread are merged first, the largest sums of the one upon the smallest
@@ -104,45 +114,47 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return []
 
 
+def placed(sizes: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
+    """(item, window, offset) of each item."""
+    out = []
+    for k, group in enumerate(windows(sizes, capacity)):
+        at = 0
+        for i in group:
+            out.append((i, k, at))
+            at += sizes[i]
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """One row per piece of a document's ids (its end id included).
 
     Each document fills whole windows with full pieces; the rest, shorter than a
     window, is cut into equal pieces of at most a quarter of a window, which go to
-    windows shared with other rests of their block.  A block is ``block`` rests met in one
-    partition, so the plan is one pass without a shuffle, memory is bounded by a
-    block whatever the input, and a task that runs again gives the same rows.
-    Sequence ids hold the partition in their upper bits.
+    windows shared with other rests of their block of ``block`` rests.  Blocks are filled
+    in each partition; the rests left over there are numbered through all partitions and make
+    blocks of their own, so that one block in all is not full, however the input is partitioned.
+    Texts are read once and never shuffled; of the rests left over, less than a block a
+    partition, sizes and checksums are.  Memory is bounded by a block; a task that
+    runs again gives the same rows.  Sequence ids of the first kind hold the partition in their upper bits.
 
     A null text is an empty one and yields its end id; repeated documents are
-    packed each time; an empty table gives no rows; other columns are ignored.
+    packed each time; very long texts are encoded whole; an empty table gives no rows; other
+    columns are ignored.
     """
     spark = docs.sparkSession
-    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(tokenizer, ranks, pattern)
-        sequence = TaskContext.get().partitionId() << 36
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        encode, part = encoder(tokenizer, ranks, pattern), TaskContext.get().partitionId()
+        sequence = part << 36
         full: list[tuple] = []
         rests: list[tuple] = []
 
-        def flush() -> None:
-            nonlocal sequence, rests
-            for group in windows([r[2] for r in rests], capacity):
-                at = 0
-                for i in group:
-                    full.append((*rests[i], sequence, at))
-                    at += rests[i][2]
-                sequence += 1
-            rests = []
-
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*full)) if full else [()] * 7
+            cols = list(zip(*full)) if full else [()] * 9
             full.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [*NAMES, "part", "nth"])
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -155,15 +167,34 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                 for s, e in zip(cuts, [*cuts[1:], n]):
                     row = (doc, s, e - s, zlib.crc32(ids[s:e].tobytes()), n)
                     if e - s == capacity:
-                        full.append((*row, sequence, 0))
+                        full.append((*row, sequence, 0, None, None))
                         sequence += 1
-                    else:
-                        rests.append(row)
-                        if len(rests) >= block:
-                            flush()
+                        continue
+                    rests.append(row)
+                    if len(rests) == block:
+                        for i, k, at in placed([r[2] for r in rests], capacity):
+                            full.append((*rests[i], sequence + k, at, None, None))
+                        sequence, rests = sequence + block, []
             if len(full) >= 4096:
                 yield batch()
-        flush()
+        full += [(*r, None, None, part, k) for k, r in enumerate(rests)]
         yield batch()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    def deal(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("part", "ascending"), ("nth", "ascending")])
+        at = placed(t["length"].to_pylist(), capacity)
+        t = t.take(pa.array([i for i, *_ in at], pa.int64()))
+        first = LATE + t["block"][0].as_py() * block
+        cols = {"sequence_id": pa.array([first + k for _, k, _ in at], pa.int64()), "offset": pa.array([o for *_, o in at], pa.int64())}
+        return pa.table([cols[c] if c in cols else t[c] for c in NAMES], NAMES)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    pieces = written(texts.mapInArrow(run, f"{SCHEMA}, part long, nth long"), "pieces")
+    left = pieces.where("part is not null")
+    first, blocks = 0, []
+    for r in left.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        blocks.append((r.part, first))
+        first += r.n
+    firsts = spark.createDataFrame(blocks, "part long, first long")
+    late = left.join(F.broadcast(firsts), "part").withColumn("block", F.expr(f"(first + nth) div {block}"))
+    return pieces.where("part is null").select(*NAMES).union(late.groupBy("block").applyInArrow(deal, SCHEMA))

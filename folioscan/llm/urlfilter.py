@@ -35,6 +35,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def node_of(url: Column) -> Column:
+    """Hash of what a url names: A-Z of scheme and host lower-cased, without its fragment."""
+    plain = F.regexp_extract(url, r"(?s)^([^:/?#]*://[^/?#]*)?([^#]*)", 1), F.regexp_extract(url, r"(?s)^([^:/?#]*://[^/?#]*)?([^#]*)", 2)
+    return F.xxhash64(F.concat(F.translate(plain[0], _UPPER, _LOWER), plain[1]))
+
+
 def fitted(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -81,7 +87,6 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """(src, dst): all canonical links and refreshes in the pages' markup, as absolute
     urls; only pages that name one leave the JVM."""
     ship(pages.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [(u, t) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for t in targets(u, h)]
@@ -98,23 +103,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects
     overruled.  A page without a rule is blocked if any url that redirects or
     canonical links (all of them in ``html``, resolved against the page's url, and
     ``redirects`` with columns src, dst, taken as absolute) connect to it is blocked by a rule and no url of that set is allowed by one;
-    otherwise it is allowed.  Urls are connected by their hash in rounds that
-    shuffle ids alone; only urls with links enter them.
+    otherwise it is allowed.  Urls are connected by their hash (see ``node_of``: hosts in
+    any case and fragments don't part them) in rounds that shuffle ids alone; only urls with links enter them.
 
     Null urls and urls without ``://`` have empty host and path, fit no rule and
-    are allowed; repeated rows are judged each; other columns are ignored.
+    are allowed; repeated rows and pages of one url are judged each; null and empty markup has no
+    links; other columns, of whatever name, are ignored; an empty table gives no rows.
     """
     links = written(page_links(pages, url_col, html_col), "links")
     if redirects is not None:
         links = links.union(redirects.select("src", "dst"))
-    ids = links.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
+    ids = links.select(node_of(F.col("src")).alias("a"), node_of(F.col("dst")).alias("b"))
     comp = connected_components(ids, "a", "b")
     urls = links.select("src").union(links.select("dst")).distinct()
     rule = lambda c: fitted(host_of(c), path_of(c), rules)
-    known = urls.select(F.xxhash64("src").alias("node"), rule(F.col("src")).verdict.alias("v")).join(comp, "node")
+    known = urls.select(node_of(F.col("src")).alias("node"), rule(F.col("src")).verdict.alias("v")).join(comp, "node")
     decided = known.groupBy("component").agg(F.bool_or(F.coalesce(F.col("v") == "block", F.lit(False))).alias("blocks"), F.bool_or(F.coalesce(F.col("v") == "allow", F.lit(False))).alias("allows"))
     aliased = comp.join(decided, "component").select("node", "component", (F.col("blocks") & ~F.col("allows")).alias("alias_block"))
     url = F.col(url_col)
-    own = pages.select(F.col(id_col).alias("page_id"), F.xxhash64(url).alias("node"), host_of(url).alias("host"), path_of(url).alias("path"), rule(url).alias("fit"))
+    own = pages.select(F.col(id_col).alias("page_id"), node_of(url).alias("node"), host_of(url).alias("host"), path_of(url).alias("path"), rule(url).alias("fit"))
     method = F.when(F.coalesce(F.col("alias_block"), F.lit(False)), "block").otherwise("allow")
     return own.join(aliased, "node", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), "component")
