@@ -7,15 +7,16 @@ book.  Vectors of texts are kept in a cache for some days, by a key of model and
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.operators import adapters, publish
-from folioscan.shared import file_system, written_text
+from folioscan.shared import file_system, written, written_text
 
 PAGE_LEAST, CHUNK_LEAST, PREVIEW, CACHE_DAYS = 50, 20, 200, 7
 CACHE = "cache_key string, embedding array<float>, cached_at timestamp"
@@ -61,7 +62,7 @@ def cached(spark: SparkSession, path: str, now: Column, days: int = CACHE_DAYS)
     fs, where = file_system(spark, path)
     if not fs.exists(where):
         return spark.createDataFrame([], CACHE).select("cache_key", "embedding")
-    fresh = spark.read.schema(CACHE).parquet(path).where(F.col("cached_at") > now - F.expr(f"interval {days} days"))
+    fresh = spark.read.schema(CACHE).option("recursiveFileLookup", True).parquet(path).where(F.col("cached_at") > now - F.expr(f"interval {days} days"))
     return fresh.groupBy("cache_key").agg(F.max_by("embedding", "cached_at").alias("embedding"))
 
 
@@ -71,10 +72,9 @@ def fill_cache(rows: DataFrame, path: str, model: Model, now: Column, days: int
     spark = rows.sparkSession
     known = cached(spark, path, now, days).where(F.size("embedding") == model.dimension)
     new = adapters.missing_vectors(rows.select("cache_key", "text").dropDuplicates(["cache_key"]), known)
-    seen = Observation()
-    out = adapters.embed(new, model.make).select("cache_key", "embedding", now.cast("timestamp").alias("cached_at"))
-    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-    return seen.get["n"]
+    at = f"{path}/{uuid.uuid4().hex}"
+    adapters.embed(new, model.make).select("cache_key", "embedding", now.cast("timestamp").alias("cached_at")).write.parquet(at)
+    return spark.read.schema(CACHE).parquet(at).count()
 
 
 def build(rows: DataFrame, root: str, cache: str, model: Model, payload: list[str], least: int, now: Column | None = None) -> Report:
@@ -82,8 +82,9 @@ def build(rows: DataFrame, root: str, cache: str, model: Model, payload: list[st
 
     Rows whose stripped text has fewer than ``least`` characters, or that have none, are skipped.  Only texts
     that the cache lacks reach the model; a second run asks for none.  Points of ids that the collection has are
-    replaced, others of the same books stay, and a book's points are published together.  Kept and
-    skipped rows are counted while they are written.  A null book_stem has no place in a collection: such rows are skipped.
+    replaced, others of the same books stay, and a book's points are published together.  Rows are written once,
+    the skipped ones without text and vector, so that counts are read from that table.  A null book_stem has no
+    place in a collection: such rows are skipped.
     """
     spark, now = rows.sparkSession, now if now is not None else F.current_timestamp()
     action = open_collection(spark, root, model.dimension)
@@ -91,17 +92,17 @@ def build(rows: DataFrame, root: str, cache: str, model: Model, payload: list[st
     fit = F.coalesce((F.length(text) >= least) & F.col("book_stem").isNotNull(), F.lit(False))
     r = rows.select("point_id", *payload, text.alias("text"), fit.alias("fit"), T.cache_key(model.name, text).alias("cache_key"))
     computed = fill_cache(r.where("fit"), cache, model, now)
-    seen = Observation()
-    counted = r.observe(seen, F.count_if("fit").alias("kept"), F.count_if(~F.col("fit")).alias("skipped")).where("fit")
     vectors = cached(spark, cache, now).where(F.size("embedding") == model.dimension)
-    points = counted.join(vectors, "cache_key").select("point_id", "embedding", F.substring("text", 1, PREVIEW).alias("text_preview"), *payload)
-    version, has = publish.stage(root, {"new": points})
-    new = spark.read.schema(points.schema).parquet(f"{root}/data/{version}/new").drop("__book") if has else points.limit(0)
+    preview = F.when(F.col("fit"), F.substring("text", 1, PREVIEW)).alias("text_preview")
+    staged = written(r.join(vectors, "cache_key", "left").select("point_id", F.when(F.col("fit"), F.col("embedding")).alias("embedding"), preview, *payload, "fit"), "points")
+    count = {x.fit: x.n for x in staged.groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()}
+    new = staged.where("fit").drop("fit")
     new = new.groupBy("point_id").agg(F.max(F.struct(*new.columns)).alias("p")).select("p.*")  # a page given twice is one point
-    old = publish.read(spark, root, "points", points.schema, list(has))
+    books = [x.book_stem for x in staged.where("fit").select("book_stem").distinct().collect()]
+    old = publish.read(spark, root, "points", new.schema, books)
     publish.publish(spark, root, {"points": old.join(new.select("point_id"), "point_id", "left_anti").select(*new.columns).unionByName(new)})
     publish.swept(spark, root)
-    return Report(action, seen.get["kept"], seen.get["skipped"], computed)
+    return Report(action, count.get(True, 0), count.get(False, 0), computed)
 
 
 def pages(rows: DataFrame, books: DataFrame, root: str, cache: str, model: Model, now: Column | None = None) -> Report:
