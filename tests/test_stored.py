@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators import dense, index, knn, publish
+from folioscan.operators import dense, index, knn, lexical, publish
+from folioscan.operators.postings import Postings
 
 CHUNKS, IMAGES = "book_stem string, n int", "book_stem string, path string"
 
@@ -141,3 +142,36 @@ def test_fewer_pairs_are_scored_as_vectors_grow(spark):
         want = dense.top_k(dense.scores(q, df, ["label"]), 5, ["q_id"], "vec_id").select("q_id", "rank", "vec_id")
         assert sorted(map(tuple, found.hits.select("q_id", "rank", "vec_id").collect())) == sorted(map(tuple, want.collect()))
     assert shares[1] < shares[0] and shares[1] < 0.1
+
+
+def scores(df):
+    return {(r.q_id, r.book, r.page): round(r.score, 9) for r in df.collect()}
+
+
+def test_postings_follow_pages_that_come_and_go(spark, plan_of):
+    rng = random.Random(5)
+    say = lambda: " ".join(rng.choices(["the", "The", "river", "town", "of", "a", "mill", "bridge"], k=rng.randint(0, 30)))
+    rows = [(b, p, say()) for b in ("x", "y", "z") for p in range(1, 13)] + [("x", 13, None), ("w", 1, "")]
+    pages = spark.createDataFrame(rows, "book string, page int, text string")
+    asked = spark.createDataFrame([(1, "x", "the river the"), (2, "y", "a town of mills"), (3, "z", "bridge"), (4, "x", None), (5, "none", "river"), (6, "w", "the")], "q_id int, book string, q_text string")
+    p = Postings(spark, "test_postings", 4)
+    p.drop()
+    p.add(pages.where("page <= 6"))
+    assert scores(p.search(asked)) == scores(lexical.bm25(pages.where("page <= 6"), asked)) != {}
+    p.add(pages.where("page > 6"))
+    assert scores(p.search(asked)) == scores(lexical.bm25(pages, asked))
+    plan = plan_of(p.search(asked))
+    assert plan.count("Exchange hashpartitioning(book#") <= 2 and "SelectedBucketsCount" in plan and "Bucketed: true" in plan
+    for scan in ("test_postings_postings", "test_postings_terms"):
+        at = plan.index(f"{scan}[")
+        assert "Exchange" not in plan[plan.rindex("HashAggregate", 0, at) : at]
+    p.remove(pages.where("page % 2 = 0"))
+    p.remove(spark.createDataFrame([("x", 99), ("q", 1)], "book string, page int"))
+    left = pages.where("page % 2 = 1")
+    assert scores(p.search(asked)) == scores(lexical.bm25(left, asked))
+    p.remove(left.where("book = 'z'"))
+    q = p.compact("test_postings_new")
+    want = scores(lexical.bm25(left.where("book <> 'z'"), asked))
+    assert scores(p.search(asked)) == scores(q.search(asked)) == want
+    assert q._net().count() == spark.table("test_postings_new_postings").count() < spark.table("test_postings_postings").count()
+    p.drop(), q.drop()
