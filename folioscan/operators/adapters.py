@@ -82,7 +82,7 @@ def ask_json(rows: DataFrame, make: Callable[[], Chat] | None, schema: str, prom
     return a.select(*rows.columns, F.col("__j.whole").alias("answer"), F.col("__j.salvaged").alias("salvaged"), F.coalesce("error", F.when(nothing, bad)).alias("error"))
 
 
-def _shown(images: DataFrame, most: int) -> DataFrame:
+def shown(images: DataFrame, most: int) -> DataFrame:
     """book, images: the first page images of each book in order.  images: book, page, image_b64."""
     first = images.selectExpr("*", "row_number() over (partition by book order by page) as nth").where(F.col("nth") <= most)
     return first.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "image_b64"))), lambda x: x["image_b64"]).alias("images"))
@@ -92,7 +92,7 @@ def identify_subjects(images: DataFrame, books: DataFrame, make: Callable[[], Ch
     """book, subject, part, class_number: what a model says of the first pages' images.  The
     prompt is JSON of ``images`` and ``question``.  A book without images, or whose call
     fails, is Unknown."""
-    p = _shown(images, most).withColumn("prompt", F.to_json(F.struct("images", F.lit(question).alias("question"))))
+    p = shown(images, most).withColumn("prompt", F.to_json(F.struct("images", F.lit(question).alias("question"))))
     said = ask(p.select("book", "prompt"), make).withColumn("i", T.identity(F.col("reply")))
     unknown = F.struct(F.lit("Unknown").alias("subject"), F.lit(None).cast("string").alias("part"), F.lit("Unknown").alias("class_number"))
     known = said.select("book", F.when(F.col("error").isNull(), F.col("i")).alias("i"))
@@ -104,7 +104,7 @@ def extract_contents(pages: DataFrame, images: DataFrame, make: Callable[[], Cha
     pages (book, page, text) and their first images.  Texts are joined in order and cut to
     ``chars``.  A cut reply gives its complete chapters; a failed call gives none and its error."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n\n")
-    t = pages.groupBy("book").agg(F.substring(T.strip(text), 1, chars).alias("toc_text")).join(_shown(images, most), "book", "left")
+    t = pages.groupBy("book").agg(F.substring(T.strip(text), 1, chars).alias("toc_text")).join(shown(images, most), "book", "left")
     p = t.select("book", F.to_json(F.struct("images", F.concat(F.lit(question), "toc_text").alias("question"))).alias("prompt"))
     chapter = schemas.CHAPTER.simpleString()
     a = ask_json(p, make, f"chapters array<{chapter}>")

@@ -21,9 +21,9 @@ def needs_fix(subject: Column, class_number: Column, part: Column) -> Column:
 
 
 def manifest_status(manifests: DataFrame) -> DataFrame:
-    """status: no_pdfs, ok or patched, with Roman numbers as digits."""
+    """status: ok, or else no_pdfs or patched, with Roman numbers as digits."""
     fix = needs_fix(F.col("subject"), F.col("class_number"), F.col("part"))
-    return manifests.withColumns({"status": F.when(F.col("n_pages") == 0, "no_pdfs").when(fix, "patched").otherwise("ok"), "class_fixed": T.roman_to_arabic(F.col("class_number")), "part_fixed": T.roman_to_arabic(F.col("part"))})
+    return manifests.withColumns({"status": F.when(~fix, "ok").when(F.col("n_pages") == 0, "no_pdfs").otherwise("patched"), "class_fixed": T.roman_to_arabic(F.col("class_number")), "part_fixed": T.roman_to_arabic(F.col("part"))})
 
 
 def alignment_issues(map_: DataFrame) -> DataFrame:

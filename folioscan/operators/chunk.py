@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
+from folioscan.operators import scan
 
 
 def topic_ranges(chapters: DataFrame, topics: DataFrame) -> DataFrame:
@@ -40,9 +41,11 @@ def boundary_pages(chunks: DataFrame) -> DataFrame:
     return chunks.where("covered").groupBy("book", "chapter", "page").agg(F.count(F.lit(1)).alias("topics")).where("topics > 1")
 
 
-def last_of_name(topics: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
-    """Of repeated names the last counts."""
-    return topics.groupBy(*keys).agg(F.max_by(value, pos).alias(value))
+def topics_by_name(chapters: DataFrame, toc: DataFrame) -> DataFrame:
+    """chapters (book, chapter_name) with the topics of the contents' chapter of that name, both trimmed; of
+    repeated names the last counts, a name that the contents lack has no topics.  toc: book, chapter_name, pos, topics."""
+    last = toc.groupBy("book", T.strip(F.coalesce("chapter_name", F.lit(""))).alias("__name")).agg(F.max_by("topics", "pos").alias("topics"))
+    return chapters.withColumn("__name", T.strip(F.coalesce("chapter_name", F.lit("")))).join(last, ["book", "__name"], "left").drop("__name")
 
 
 def flat_chunks(pages: DataFrame, target: int = 400, least: int = 80, overlap: float = 0.15) -> DataFrame:
@@ -96,5 +99,5 @@ def back_links(linked: DataFrame) -> DataFrame:
 
 
 def carry_forward(rows: DataFrame, by: str, order: str, col: str, out: str) -> DataFrame:
-    """The last value seen up to each row."""
-    return rows.selectExpr("*", f"last({col}, true) over (partition by {by} order by {order} rows between unbounded preceding and current row) as {out}")
+    """The last value seen up to each row, whatever share of the rows its key has (see ``scan.carried``)."""
+    return scan.carried(rows, by, [c.strip() for c in order.split(",")], col, out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.operators import store
+
 from folioscan.functions import text as T
 from folioscan.operators.chunk import back_links, link_images
 
@@ -30,10 +32,18 @@ def media_type(path: Column) -> Column:
     return F.when(F.lower(path).endswith(".png"), "image/png").otherwise("image/jpeg")
 
 
-def image_response(images: DataFrame, image_id: str) -> DataFrame:
-    """status, media_type, image_data of one image; no row means 404."""
-    data = F.col("image_data")
-    return images.where(F.col("image_id") == image_id).select(F.when(data.isNotNull(), 200).otherwise(404).alias("status"), media_type(F.col("image_path")).alias("media_type"), data)
+def image_response(images: DataFrame, asked: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """image_id, status, media_type, image_data of each asked id: the stored bytes, else those of the image's file
+    below its book's folder (files: book_stem, path, content, see ``store.below_book``), else 404.  Stored
+    bytes are PNG by their extension or else JPEG, files what their extension says."""
+    i = asked.select("image_id").distinct().join(images, "image_id", "left").withColumn("stored", F.when(F.octet_length("image_data") > 0, F.col("image_data")))
+    if files is not None:
+        f = files.select("book_stem", store.below_book(F.col("path"), F.col("book_stem")).alias("image_path"), F.col("path").alias("at"), "content").groupBy("book_stem", "image_path").agg(F.min_by("content", "at").alias("file"))
+        i = i.join(f, ["book_stem", "image_path"], "left")
+    else:
+        i = i.withColumn("file", F.lit(None).cast("binary"))
+    data = F.coalesce("stored", "file")
+    return i.select("image_id", F.when(data.isNotNull(), 200).otherwise(404).alias("status"), F.when(data.isNotNull(), media_type(F.coalesce("image_path", F.lit("")))).alias("media_type"), data.alias("image_data"))
 
 
 def merge_scores(text_hits: DataFrame, vector_scores: DataFrame, extra: int = 5) -> DataFrame:

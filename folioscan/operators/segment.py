@@ -2,7 +2,8 @@
 
 What a block is (answer key, exercise heading, chapter number, topic number) is
 decided by built-in expressions for all rows at once; only the order-dependent
-part, which segment a block belongs to, is a fold over one book's rows.
+part, which segment a block belongs to, is a fold over one book's rows.  No text goes through it:
+it sees what blocks are, and says of which blocks a segment consists; their texts are joined to that.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import text as T
 from folioscan.operators import headings
 
-_OUT = "book string, seg int, chapter string, topic string, topic_name string, kind string, page_start int, page_end int, pages array<int>, content string"
+_OUT = "book string, seg int, chapter string, topic string, topic_name string, kind string, page_start int, page_end int, pages array<int>, parts array<long>"
 # Kinds of layout blocks.
 NOISE = ["header", "footer", "page_number", "page_footnote"]
 FIGURES = ["image", "chart", "table"]
@@ -32,21 +33,27 @@ class Segment:
     name: str
     kind: str
     pages: list[int] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
+    parts: list[int] = field(default_factory=list)
 
-    def add(self, page: int, text: str = "") -> None:
+    def add(self, page: int, *parts: int) -> None:
         if page not in self.pages:
             self.pages.append(page)
-        if text.strip():
-            self.parts.append(text)
+        self.parts += parts
 
 
 def _table(book: str, segments: list[Segment]) -> pd.DataFrame:
-    kept = [s for s in segments if "".join(s.parts).strip()]
-    rows = [(book, i, s.chapter, s.topic, s.name, s.kind, s.pages[0] if s.pages else None, s.pages[-1] if s.pages else None, s.pages, "\n".join(s.parts).strip()) for i, s in enumerate(kept, 1)]
+    kept = [s for s in segments if s.parts]
+    rows = [(book, i, s.chapter, s.topic, s.name, s.kind, s.pages[0] if s.pages else None, s.pages[-1] if s.pages else None, s.pages, s.parts) for i, s in enumerate(kept, 1)]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
+def _told(segments: DataFrame, texts: DataFrame) -> DataFrame:
+    """Segments with their content: the texts (book, at, text) of their parts, in order."""
+    placed = segments.select("book", "seg", F.posexplode("parts").alias("nth", "at")).join(texts, ["book", "at"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "\n")
+    return segments.drop("parts").join(placed.groupBy("book", "seg").agg(T.strip(text).alias("content")), ["book", "seg"])
+
+
 def classify(blocks: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """Adds what each block is: role, chapter number said, topic number said."""
     b = blocks.join(skip, ["book", "page"], "left_anti") if skip is not None else blocks
@@ -60,7 +67,7 @@ def classify(blocks: DataFrame, skip: DataFrame | None = None) -> DataFrame:
         .when(text.rlike(r"(?i)^Example\s+(\d+)[.\s]"), "example").otherwise("body")
     )
     return b.select(
-        "book", "pos", "page", F.coalesce("level", F.lit(0)).alias("level"), role.alias("role"), F.when(role == "inline", inline).otherwise(text).alias("text"),
+        "book", F.col("pos").cast("long").alias("pos"), "page", F.coalesce("level", F.lit(0)).alias("level"), role.alias("role"), F.when(role == "inline", inline).otherwise(text).alias("text"),
         F.regexp_extract(text, T.CHAPTER_NUMBER, 1).alias("said_chapter"), T.strip(F.regexp_replace(text, T.CHAPTER_NUMBER, "")).alias("rest"),
         F.regexp_replace(topic, r"\s", "").alias("said_topic"), text.rlike(T.UNIT_HEADER).alias("unit"),
     )
@@ -79,10 +86,10 @@ class BlockFold:
         self.exercises = self.answers = False
         self.hit_page, self.spoilt = -1, set()
 
-    def open(self, chapter: str, topic: str, name: str, kind: str, page: int, text: str = "") -> None:
+    def open(self, chapter: str, topic: str, name: str, kind: str, page: int, *parts: int) -> None:
         self.close()
         self.now = Segment(chapter, topic, name, kind)
-        self.now.add(page, text)
+        self.now.add(page, *parts)
 
     def close(self) -> None:
         if self.now:
@@ -92,8 +99,7 @@ class BlockFold:
     def starts(self, b) -> str | None:
         """The chapter whose beginning this block is."""
         fresh = lambda c: c and c not in self.seen and c != self.chapter
-        flat = "\n" not in b.text
-        if flat and b.said_chapter and b.said_chapter in self.chapters and fresh(b.said_chapter):
+        if b.flat and b.said_chapter and b.said_chapter in self.chapters and fresh(b.said_chapter):
             return b.said_chapter if b.rest else None
         if b.near_chapter:
             return b.near_chapter if fresh(b.near_chapter) else None
@@ -107,8 +113,8 @@ class BlockFold:
 
     def block(self, b) -> None:
         if b.role in ("noise", "figure", "inline"):
-            if self.now and b.role != "noise" and (b.role == "figure" or b.text):
-                self.now.add(b.page, b.text if b.role == "inline" else "")
+            if self.now and b.role != "noise" and (b.role == "figure" or b.given):
+                self.now.add(b.page, *([b.pos] if b.role == "inline" and b.solid else []))
             return
         if b.role == "answers":
             self.close()
@@ -123,7 +129,7 @@ class BlockFold:
             was = self.now
             self.exercises, self.waiting = True, None
             if was:
-                self.open(was.chapter, f"ex_{was.chapter}", b.text, "exercise", b.page)
+                self.open(was.chapter, f"ex_{was.chapter}", b.title, "exercise", b.page)
             return
         if start and not (b.said_topic or b.unit):
             if b.page == self.hit_page:  # an index of several chapters: none of them begins here
@@ -138,7 +144,7 @@ class BlockFold:
                 self.enter(self.waiting, b.page)
                 return
             self.waiting = None
-        if "\n" not in b.text and b.said_chapter in self.chapters and not b.rest and b.said_chapter not in self.seen:
+        if b.flat and b.said_chapter in self.chapters and not b.rest and b.said_chapter not in self.seen:
             self.waiting = b.said_chapter
             return
         self.waiting = None
@@ -149,25 +155,24 @@ class BlockFold:
             t = b.near_topic
             if t not in self.topics:
                 if self.now:
-                    self.now.add(b.page, b.text)
+                    self.now.add(b.page, b.pos)
                 return
             chapter, name = self.topics[t]
             if chapter != self.chapter:
                 self.seen.add(chapter)
                 self.chapter, self.exercises = chapter, False
-            self.open(chapter, t, f"Exercise {t}" if self.exercises else name, "exercise" if self.exercises else "content", b.page, b.text)
+            self.open(chapter, t, f"Exercise {t}" if self.exercises else name, "exercise" if self.exercises else "content", b.page, b.pos)
             return
-        said = b.text.split()
         if b.role == "example" and not self.exercises:
-            number = said[1] if len(said) > 1 else "0"
+            number = b.second or "0"
             if self.now:
-                self.open(self.now.chapter, "ex_" + re.sub(r"[^0-9.]", "", number), f"Example {number}", "example", b.page, b.text)
+                self.open(self.now.chapter, "ex_" + re.sub(r"[^0-9.]", "", number), f"Example {number}", "example", b.page, b.pos)
         elif self.exercises and self.now and b.said_topic:
-            self.open(self.chapter or self.now.chapter, b.said_topic, f"Exercise {b.said_topic}", "exercise", b.page, b.text)
+            self.open(self.chapter or self.now.chapter, b.said_topic, f"Exercise {b.said_topic}", "exercise", b.page, b.pos)
         elif self.now:
-            self.now.add(b.page, b.text)
+            self.now.add(b.page, b.pos)
         elif self.chapter in self.chapters:
-            self.open(self.chapter, f"{self.chapter}.0", "Introduction", "content", b.page, b.text)
+            self.open(self.chapter, f"{self.chapter}.0", "Introduction", "content", b.page, b.pos)
 
 
 def _contents(toc: pd.DataFrame) -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
@@ -203,7 +208,13 @@ def block_segments(blocks: DataFrame, toc: DataFrame, skip: DataFrame | None = N
         f.close()
         return _table(key[0], f.done)
 
-    return c.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT)
+    facts = {
+        "flat": ~F.contains("text", F.lit("\n")), "rest": F.col("rest") != "", "given": F.col("text") != "", "solid": T.strip("text") != "",
+        "title": F.when(F.col("role") == "exercise", F.col("text")).otherwise(""), "second": F.coalesce(F.try_element_at(T.words(F.col("text")), F.lit(2)), F.lit("")),
+    }
+    narrow = c.select("book", "pos", "page", "level", "role", "said_chapter", "said_topic", "unit", "near_chapter", "near_topic", *[v.alias(k) for k, v in facts.items()])
+    found = narrow.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT)
+    return _told(found, c.select("book", F.col("pos").alias("at"), "text"))
 
 
 def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
@@ -212,7 +223,8 @@ def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
     example = F.regexp_extract("line", T.EXAMPLE_HEADING, 0) != ""
     role = F.when(F.col("line").rlike(T.ANSWERS_HEADING), "answers").when(F.col("line").rlike(T.EXERCISE_HEADING) | F.col("line").rlike(T.INTEXT_HEADING), "exercise").when(example, "example").otherwise("body")
     number = lambda rx: F.when(F.col("line").rlike(rx), F.concat_ws(".", F.regexp_extract("line", rx, 1), F.regexp_extract("line", rx, 2)))
-    marked = line.select("book", "page", "pos", "line", role.alias("role"), number(T.EXAMPLE_HEADING).alias("example"), number(T.TOPIC_HEADING).alias("topic"))
+    line = line.withColumn("at", F.shiftleft(F.col("page").cast("long"), 32) + F.col("pos"))
+    marked = line.select("book", "page", "at", (T.strip("line") != "").alias("solid"), role.alias("role"), number(T.EXAMPLE_HEADING).alias("example"), number(T.TOPIC_HEADING).alias("topic"))
 
     def run(key: tuple, rows: pd.DataFrame, toc: pd.DataFrame) -> pd.DataFrame:
         chapters, topics = _contents(toc)
@@ -220,16 +232,14 @@ def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
         carried: Segment | None = None
         chapter, mode = None, "content"
 
-        def put(s: Segment | None, page: int, text: list[str]) -> None:
-            if s is None or not text:
+        def put(s: Segment | None, page: int, lines: list[tuple[int, bool]]) -> None:
+            if s is None or not lines:
                 return
-            if done and done[-1].topic == s.topic:
-                done[-1].add(page, "\n".join(text))
-            else:
+            if not done or done[-1].topic != s.topic:
                 done.append(Segment(s.chapter, s.topic, s.name, s.kind))
-                done[-1].add(page, "\n".join(text))
+            done[-1].add(page, *([at for at, _ in lines] if any(solid for _, solid in lines) else []))
 
-        for page, group in rows.sort_values(["page", "pos"]).groupby("page"):
+        for page, group in rows.sort_values("at").groupby("page"):
             now, text, skipping = None, [], False
             for r in group.itertuples():
                 fresh = None
@@ -258,13 +268,14 @@ def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
                         carried = fresh
                 if fresh:
                     put(now, page, text)
-                    now, text = fresh, [r.line]
+                    now, text = fresh, [(r.at, r.solid)]
                 else:
-                    text.append(r.line)
+                    text.append((r.at, r.solid))
             put(now or (carried and Segment(carried.chapter, carried.topic, carried.name, mode)), page, text)
         return _table(key[0], done)
 
-    return marked.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT)
+    found = marked.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT)
+    return _told(found, line.select("book", "at", F.col("line").alias("text")))
 
 
 def windows(segments: DataFrame, target: int = 400, least: int = 80, overlap: float = 0.15, images: DataFrame | None = None, chapters: DataFrame | None = None, mode: str = "mineru") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.operators import adapters, align, checks, knowledge, layout, store
+from folioscan.operators import adapters, align, checks, chunk, knowledge, layout, store
+from folioscan.plans import books
 from folioscan.plans.queries import _CK, _FIG, _dot, _images, _label_scores, query
 from folioscan.plans.standins import Inputs
 from folioscan.sources import tables
@@ -63,16 +64,23 @@ def page_base64(t: Inputs) -> DataFrame:
     return tables.page_images(d).withColumnRenamed("path", "doc_id")
 
 
-@query("select image_id, case when fig is not null then 200 else 404 end as status, case when page % 2 = 0 then 'image/png' else 'image/jpeg' end as media_type from (select image_id, page, nullif(regexp_extract(caption, '(?i)figure (\\d+)', 1), '') as fig from im) where image_id = '8'")
+@query("""select image_id, case when fig is not null or page % 5 = 1 then 200 else 404 end as status, case when fig is null and page % 5 <> 1 then null when page % 2 = 0 then 'image/png' else 'image/jpeg' end as media_type,
+    coalesce(fig, case when page % 5 = 1 then concat('file ', image_id) end) as data from (select image_id, page, nullif(regexp_extract(caption, '(?i)figure (\\d+)', 1), '') as fig from im) where cast(image_id as int) % 50 = 0
+    union all select concat('none', p_partkey), 404, null, null from part where p_partkey % 50 = 0""")
 def image_response(t: Inputs) -> DataFrame:
-    i = t("im").select("image_id", F.concat(F.lit("p"), F.when(F.col("page") % 2 == 0, ".PNG").otherwise(".jpg")).alias("image_path"), T.falsy(F.regexp_extract("caption", r"(?i)figure (\d+)", 1)).cast("binary").alias("image_data"))
-    return knowledge.image_response(i, "8").select(F.lit("8").alias("image_id"), "status", "media_type")
+    """Every fiftieth image, and as many that are not there: stored bytes, else those of a file."""
+    i = t("im").select("image_id", F.col("book").alias("book_stem"), F.concat(F.lit("img/p"), "image_id", F.when(F.col("page") % 2 == 0, ".PNG").otherwise(".jpg")).alias("image_path"), T.falsy(F.regexp_extract("caption", r"(?i)figure (\d+)", 1)).cast("binary").alias("image_data"), "page")
+    files = i.where("page % 5 = 1").select("book_stem", F.concat(F.lit("/in/"), "book_stem", F.lit("/"), "image_path").alias("path"), F.concat(F.lit("file "), "image_id").cast("binary").alias("content"))
+    fifty = t("part").where("p_partkey % 50 = 0")
+    asked = fifty.select(F.col("p_partkey").cast("string").alias("image_id")).union(fifty.select(F.concat(F.lit("none"), "p_partkey")))
+    return knowledge.image_response(i.drop("page"), asked, files).select("image_id", "status", "media_type", F.col("image_data").cast("string").alias("data"))
 
 
-@query("select image_id, caption is not null as has_data from im where book = 'src3' and page between 5 and 20")
+@query("""with n as (select book, cast(count(*) as int) as total from pg group by book) select im.book, image_id, caption is not null as has_data from im join n on n.book = im.book where page between 5 and total""")
 def image_listing(t: Inputs) -> DataFrame:
-    """Presence without the bytes, in a page range of a book."""
-    return t("im").where((F.col("book") == "src3") & F.col("page").between(5, 20)).select("image_id", F.col("caption").isNotNull().alias("has_data"))
+    """Presence without the bytes, in a page range of each book."""
+    n = t("pg").groupBy("book").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    return t("im").join(n, "book").where(F.col("page").between(F.lit(5), F.col("total"))).select("book", "image_id", F.col("caption").isNotNull().alias("has_data"))
 
 
 @query("select book, subject from mf where contains(lower(subject), 'ring')")
@@ -97,18 +105,18 @@ def text_and_vector_hits(t: Inputs) -> DataFrame:
     return knowledge.merge_scores(s.where("page % 9 = 0").select("book", "page"), s).select("book", "page", F.round("score", 9).alias("score"), "found_by")
 
 
-@query("select image_id, min(s) as source from (select image_id, 1 as s from im where page <= 10 union all select image_id, 2 as s from im where page between 8 and 15) group by image_id")
+@query("select image_id, min(s) as source from (select image_id, 1 as s from im where page % 3 < 2 union all select image_id, 2 as s from im where page % 3 > 0) group by image_id")
 def image_union(t: Inputs) -> DataFrame:
     """Union by id: the first source of each image counts."""
     i = t("im")
-    both = i.where("page <= 10").withColumn("source", F.lit(1)).unionByName(i.where("page between 8 and 15").withColumn("source", F.lit(2)))
+    both = i.where("page % 3 < 2").withColumn("source", F.lit(1)).unionByName(i.where("page % 3 > 0").withColumn("source", F.lit(2)))
     return both.groupBy("image_id").agg(F.min("source").alias("source"))
 
 
-@query("(select distinct book, page, 'missing' as kind from pg where page <= 60 except select distinct book, page, 'missing' from im) union all (select distinct book, page, 'extra' as kind from im except select distinct book, page, 'extra' from pg)")
+@query("(select distinct book, page, 'missing' as kind from pg except select distinct book, page, 'missing' from im) union all (select distinct book, page, 'extra' as kind from im except select distinct book, page, 'extra' from pg)")
 def page_set_difference(t: Inputs) -> DataFrame:
     want, have = t("pg").select("book", "page").distinct(), t("im").select("book", "page").distinct()
-    return want.where("page <= 60").exceptAll(have).withColumn("kind", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("kind", F.lit("extra")))
+    return want.exceptAll(have).withColumn("kind", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("kind", F.lit("extra")))
 
 
 @query("select event_type as mapping_method, count(*) as n from events group by event_type")
@@ -164,9 +172,9 @@ def vector_dimension(t: Inputs) -> DataFrame:
     return store.check_dimension(t("embeddings"), 64).agg(F.count(F.lit(1)).alias("bad"))
 
 
-@query(f"select image_id, fig_number, page from (select image_id, page, nullif(regexp_extract(caption, '{_FIG}', 1), '') as fig_number from im) where image_id in ('1', '2', '8', '11', '16')")
+@query(f"select image_id, fig_number, page from (select image_id, page, nullif(regexp_extract(caption, '{_FIG}', 1), '') as fig_number from im) where cast(image_id as int) % 50 = 0")
 def images_by_id(t: Inputs) -> DataFrame:
-    return _images(t).where(F.col("image_id").isin("1", "2", "8", "11", "16")).select("image_id", "fig_number", "page")
+    return _images(t).where(F.col("image_id").cast("int") % 50 == 0).select("image_id", "fig_number", "page")
 
 
 @query("select q, count(*) as hits, count(distinct book) as books, min(rank) as best from ht group by q")
@@ -174,3 +182,35 @@ def hit_summary(t: Inputs) -> DataFrame:
     return t("ht").groupBy("q").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("book").alias("books"), F.min("rank").alias("best"))
 
 
+
+
+@query("""with t as (select book, chapter, trim(case when chapter % 6 = 5 then 'Part x' when chapter % 2 = 0 then concat(' Part ', chapter, ' ') else concat('Part ', chapter) end) as name, count(*) as n, max(pos) as pos from tp group by book, chapter),
+    l as (select book, name, max_by(n, chapter) as n from t group by book, name) select ch.book, ch.chapter, cast(l.n as int) as topics from ch left join l on l.book = ch.book and l.name = case when ch.chapter % 6 = 5 then 'Part x' else concat('Part ', ch.chapter) end""")
+def topics_by_name(t: Inputs) -> DataFrame:
+    """Topics of chapters that only share a name with the contents, with spaces around it and repeated."""
+    n = F.col("chapter")
+    name = lambda pad: F.when(n % 6 == 5, "Part x").otherwise(F.concat(F.when(n % 2 == 0, pad).otherwise(""), F.lit("Part "), n.cast("string"), F.when(n % 2 == 0, pad).otherwise("")))
+    toc = t("tp").groupBy("book", "chapter").agg(F.collect_list("topic").alias("topics")).select("book", name(" ").alias("chapter_name"), n.alias("pos"), "topics")
+    return chunk.topics_by_name(t("ch").select("book", "chapter", name("").alias("chapter_name")), toc).select("book", "chapter", F.when(F.col("topics").isNotNull(), F.size("topics")).alias("topics"))
+
+
+@query("select book as book_stem, page as page_number, md5(case when doc_id % 7 = 0 then concat('again: ', text) else text end) as text_md5, doc_id % 7 = 0 as extracted from pg")
+def resumed_pages(t: Inputs) -> DataFrame:
+    """A resumed book: every seventh page lacks its text and is extracted (here: with a mark), the others are not touched."""
+    p = t("pg").select(F.col("book").alias("book_stem"), F.col("page").alias("page_number"), "doc_id", F.col("text").alias("native"))
+    texts = p.where("doc_id % 7 <> 0").select("book_stem", "page_number", F.col("native").alias("text"))
+    out = tables.completed(texts, p, F.concat(F.lit("again: "), "native"))
+    return out.select("book_stem", "page_number", F.md5(F.col("text").cast("binary")).alias("text_md5"), "extracted")
+
+
+@query()
+def two_phase_books(t: Inputs) -> DataFrame:
+    """Conversations as layout blocks of books: pages, contents pages and images first, then chunks, knowledge
+    bases and chapter files of all books at once."""
+    b = t("conversations").selectExpr("cast(conv_id as string) as book_stem", "cast(turn as int) as pos", "cast(floor(turn / 3.0) as int) + 1 as page_number", "case when turn % 5 = 4 then 'image' else 'text' end as type",
+        "case when turn % 4 = 0 then 2 end as text_level", "case when turn = 0 then 'Contents' when turn % 4 = 0 then concat('1.', cast(turn / 4 as int), ' Heading') else text end as text", "concat('i', turn) as img_path", "array(concat('Figure ', turn)) as image_caption", "cast(null as string) as code_body")
+    toc = b.select(F.col("book_stem").alias("book")).distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(8)))).select("book", F.lit("1").alias("chapter"), F.lit("Talk of all things").alias("chapter_name"), F.concat(F.lit("1."), "n").alias("topic"), F.concat(F.lit("Heading "), "n").alias("topic_name"))
+    pages, contents, images = books.extracted(b, ["CONTENTS"])
+    chunks, base, files = books.chunked(b, toc, contents.where("page < 1"), images)
+    n = base.select("book", "total_chunks", "total_images")
+    return n.join(files.select("book", "chapter_file"), "book", "left")

@@ -477,7 +477,7 @@ _BAD = "({0} is null or upper(trim({0})) in ('UNKNOWN', 'NONE', 'NULL', ''))"
 _ISR = "coalesce(upper(trim({0})) in (" + ", ".join(f"'{r}'" for r in T.ROMAN) + "), false)"
 
 
-@query(f"select book, case when n_pages = 0 then 'no_pdfs' when {_BAD.format('subject')} or {_BAD.format('class_number')} or {_ISR.format('class_number')} or {_ISR.format('part')} then 'patched' else 'ok' end as status from mf")
+@query(f"select book, case when not ({_BAD.format('subject')} or {_BAD.format('class_number')} or {_ISR.format('class_number')} or {_ISR.format('part')}) then 'ok' when n_pages = 0 then 'no_pdfs' else 'patched' end as status from mf")
 def validate_manifest(t: Inputs) -> DataFrame:
     return checks.manifest_status(t("mf")).select("book", "status")
 

@@ -6,7 +6,13 @@ document for a page, every ten pages for a chapter, parts for figures.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscan.operators import scan
+from folioscan.shared import written
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -60,8 +66,20 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
             return table(self.spark, self.dir, name)
+        if name == "pg":
+            return self._pages()
         return self.sql(SQL[name])
 
+    @functools.cached_property
+    def _numbers(self) -> str:
+        """Where the page numbers of SQL["pg"] are, made range by range: a source may have a third of all documents."""
+        d = self("documents").select("source", "doc_id")
+        return written(scan.ranked(d, "source", ["doc_id"], "page").select("source", "doc_id", F.col("page").cast("int").alias("page")), "pages").written_to
+
+    def _pages(self) -> DataFrame:
+        d, n = self("documents"), self.spark.read.parquet(self._numbers).withColumnRenamed("doc_id", "of").withColumnRenamed("source", "book")
+        return d.join(n, (F.col("doc_id") == F.col("of")) & F.col("source").eqNullSafe(F.col("book"))).select("book", "page", "doc_id", "lang", "text")
+
     def sql(self, text: str) -> DataFrame:
         import re
 

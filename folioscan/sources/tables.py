@@ -51,9 +51,11 @@ def keywords(spark: SparkSession, path: str | None = None, most: int = 100_000)
     return [r.k for r in found]
 
 
-def text_or_ocr(native: Column, ocr: Column) -> Column:
-    """Recognised text only where a page has no text of its own."""
-    return F.coalesce(T.falsy(native), ocr)
+def text_or_ocr(native: Column, ocr: Column, failure: Column | None = None) -> Column:
+    """Recognised text only where a page has no text of its own; where recognition failed, a
+    text that says so, so that no page is empty for that reason."""
+    said = F.concat(F.lit("[OCR failed: "), failure, F.lit("]")) if failure is not None else F.lit(None).cast("string")
+    return F.coalesce(T.falsy(T.strip(native)), said, ocr)
 
 
 def page_of_layout(blocks: DataFrame) -> DataFrame:
@@ -81,10 +83,15 @@ def blocks_to_pages(blocks: DataFrame) -> DataFrame:
     return grouped.agg(F.array_join(F.filter(F.transform(ordered, lambda x: x["piece"]), lambda x: x != ""), "\n\n").alias("text"))
 
 
-def images_of_blocks(blocks: DataFrame) -> DataFrame:
-    """book_stem, page_number, image_path, caption (the first or null), number on its page."""
+def images_of_blocks(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """book_stem, page_number, image_path, caption (the first or null), number on its page.  With ``files`` (book_stem,
+    path below the book's folder) a path is that of the layout output, below the book's folder, if that file is there; else as told."""
     caption = F.try_element_at("image_caption", F.lit(1))
     rows = blocks.where("type = 'image'").select("book_stem", "page_number", "pos", F.col("img_path").alias("image_path"), caption.alias("caption"))
+    if files is not None:
+        there = files.select("book_stem", F.col("path").alias("__full")).distinct()
+        rows = rows.withColumn("__full", F.concat(F.lit("mineru_output/"), "book_stem", F.lit("/txt/"), "image_path"))
+        rows = rows.join(there.withColumn("__there", F.lit(True)), ["book_stem", "__full"], "left").withColumn("image_path", F.when(F.col("__there"), F.col("__full")).otherwise(F.col("image_path"))).drop("__full", "__there")
     return rows.selectExpr("*", "row_number() over (partition by book_stem, page_number order by pos) as image_seq")
 
 
@@ -140,3 +147,12 @@ def split_pages(files: DataFrame, make=None) -> DataFrame:
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table of an external database; its driver must be on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def completed(texts: DataFrame, pages: DataFrame, extract: Column) -> DataFrame:
+    """book_stem, page_number, text, extracted: the texts that a book has, and those of its other pages, which
+    alone are extracted (``extract``, of columns of pages).  texts: book_stem, page_number, text; pages: book_stem, page_number and
+    what extract reads."""
+    key = ["book_stem", "page_number"]
+    new = pages.join(texts.select(*key), key, "left_anti").select(*key, extract.alias("text"), F.lit(True).alias("extracted"))
+    return texts.select(*key, "text", F.lit(False).alias("extracted")).unionByName(new)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan import schemas
-from folioscan.operators import adapters, align, checks, chunk, dense, layout, lexical, outputs, retrieve, segment, store
+from folioscan.operators import scan, adapters, align, checks, chunk, dense, layout, lexical, outputs, retrieve, segment, store
 from folioscan.plans import books
 from folioscan.sources import tables
 from folioscan.streaming import incremental
@@ -245,8 +245,8 @@ def test_header(spark):
 
 
 def test_manifest_status(spark):
-    df = spark.createDataFrame([("a", "Bio", "XII", None, 3), ("b", "unknown", "12", None, 3), ("c", "Bio", "12", "II", 3), ("d", "Bio", "12", None, 3), ("e", "Bio", "12", None, 0)], "book string, subject string, class_number string, part string, n_pages int")
-    assert [r.status for r in checks.manifest_status(df).orderBy("book").collect()] == ["patched", "patched", "patched", "ok", "no_pdfs"]
+    df = spark.createDataFrame([("a", "Bio", "XII", None, 3), ("b", "unknown", "12", None, 3), ("c", "Bio", "12", "II", 3), ("d", "Bio", "12", None, 3), ("e", "Bio", "12", None, 0), ("f", "Bio", "IX", None, 0)], "book string, subject string, class_number string, part string, n_pages int")
+    assert [r.status for r in checks.manifest_status(df).orderBy("book").collect()] == ["patched", "patched", "patched", "ok", "ok", "no_pdfs"]
 
 
 def test_alignment_issues(spark):
@@ -444,11 +444,47 @@ def test_stream_merge(spark, tmp_path):
         sink(spark.createDataFrame([(2, 5 + epoch, f"b{epoch}")], schema), epoch)
     (tmp_path / "out" / "v9" / "bucket=0").mkdir(parents=True)  # one that is still being written
     assert rows(incremental.newest_version(spark, out).select("k", "v")) == [(1, "A"), (2, "b3"), (3, "c")]
-    assert all(len(v) <= 2 for v in incremental._versions(spark, out).values())
+    assert all(len(v) <= 2 for v in incremental._versions(spark, out)[0].values())
     with pytest.raises(FileNotFoundError):
         incremental.newest_version(spark, str(tmp_path / "none"))
 
 
+def test_stream_with_a_new_checkpoint_goes_on_from_the_table(spark, tmp_path):
+    out, schema = str(tmp_path / "out"), "k int, at int, v string"
+    sink = incremental.latest_merge(out, ["k"], "at", 4)
+    kind = spark.createDataFrame([], schema).schema
+    for n, data in enumerate(([(1, 1, "a"), (2, 1, "b")], [(1, 2, "A"), (3, 1, "c")], [(1, 1, "late"), (2, 9, "B")])):
+        src = str(tmp_path / f"in{n}")
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(src)
+        incremental.run_available(spark, src, kind, sink, str(tmp_path / f"cp{n}")).awaitTermination()  # each counts from 0
+    assert rows(incremental.newest_version(spark, out).select("k", "v")) == [(1, "A"), (2, "B"), (3, "c")]
+    _, last, tags = incremental._versions(spark, out)
+    assert last == 2 and len(tags) == 3
+
+
+def test_ordered_passes_split_a_key(spark, plan_of):
+    rng = random.Random(2)
+    data = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), k, rng.choice([None, None, None, k])) for k in range(3000)]
+    df = spark.createDataFrame(data, "book string, page int, own int").repartition(7)
+    last, want, number = {}, {}, {}
+    for b, p, o in data:
+        last[b] = last.get(b) if o is None else o
+        number[b] = number.get(b, 0) + 1
+        want[p] = b, o, last[b], number[b]
+    got = {r.page: (r.book, r.own, r.last) for r in scan.carried(df, "book", ["page"], "own", "last").collect()}
+    assert got == {p: w[:3] for p, w in want.items()}
+    out = scan.ranked(df, "book", ["page"], "nth")
+    assert {r.page: r.nth for r in out.collect()} == {p: w[3] for p, w in want.items()} and out.columns == ["book", "page", "own", "nth"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = scan._dealt(df, "book", ["page"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dealt.where("book = 'hot'").select("__dealt").distinct().count() > 1
+    assert "hashpartitioning(book#" not in plan_of(out).replace("hashpartitioning(__dealt", "")
+    assert scan.carried(df.limit(0), "book", ["page"], "own", "last").count() == 0
+
+
 def test_schemas_parse_numbers_and_words(spark):
     js = '{"chapters":[{"chapter_number":1,"chapter_name":"A","start_page":"iv","topics":null}]}'
     c = spark.createDataFrame([(js,)], "j string").select(F.from_json("j", schemas.TOC).alias("t")).first().t.chapters[0]
