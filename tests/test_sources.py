@@ -6,9 +6,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import documents, repair
+from folioscan.operators import chunk, documents, knowledge, repair
 from folioscan.shared import settings
-from folioscan.sources import pages
+from folioscan.sources import pages, tables
 from folioscan.streaming import embedding
 
 
@@ -143,3 +143,24 @@ def test_texts_are_embedded_once(spark, tmp_path):
     n = len(run([(8, "fourth text")], 1000, again, f"{out}2")[0])
     time.sleep(2)
     assert len(run([(9, "fourth text")], 1000, again, f"{out}2")[0]) == n + 1 == 8  # its time was over
+
+
+def test_texts_images_and_names_that_are_missing(spark):
+    df = spark.createDataFrame([(1, "own", "read", None), (2, " \n", "read", None), (3, None, None, "no engine"), (4, "", None, None)], "n int, native string, ocr string, failure string")
+    said = {r.n: r.t for r in df.select("n", tables.text_or_ocr(F.col("native"), F.col("ocr"), F.col("failure")).alias("t")).collect()}
+    assert said == {1: "own", 2: "read", 3: "[OCR failed: no engine]", 4: None}
+    have = spark.createDataFrame([("a", 1, "kept"), ("a", 3, "")], "book_stem string, page_number int, text string")
+    every = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "book_stem string, page_number int, native string")
+    assert sorted(tuple(r) for r in tables.completed(have, every, F.upper("native")).collect()) == [("a", 1, "kept", False), ("a", 2, "Y", True), ("a", 3, "", False), ("b", 1, "Z", True)]
+    blocks = spark.createDataFrame([("a", 1, 0, "image", "images/x.jpg", ["c"]), ("a", 1, 1, "image", "images/y.jpg", []), ("a", 1, 2, "text", None, None)], "book_stem string, page_number int, pos int, type string, img_path string, image_caption array<string>")
+    files = spark.createDataFrame([("a", "mineru_output/a/txt/images/x.jpg")] * 2, "book_stem string, path string")
+    assert [(r.image_path, r.caption, r.image_seq) for r in tables.images_of_blocks(blocks, files).orderBy("pos").collect()] == [("mineru_output/a/txt/images/x.jpg", "c", 1), ("images/y.jpg", None, 2)]
+    toc = spark.createDataFrame([("a", " Motion ", 1, ["1.1"]), ("a", "Motion", 2, ["2.1", "2.2"]), ("b", "Light", 1, ["9"])], "book string, chapter_name string, pos int, topics array<string>")
+    chapters = spark.createDataFrame([("a", "Motion  "), ("a", "Light"), ("a", None)], "book string, chapter_name string")
+    assert {r.chapter_name: r.topics for r in chunk.topics_by_name(chapters, toc).collect()} == {"Motion  ": ["2.1", "2.2"], "Light": None, None: None}
+    images = spark.createDataFrame([("1", "a", "img/p.PNG", bytearray(b"db")), ("2", "a", "img/q.png", None), ("3", "a", None, None), ("4", "a", "img/r.gif", bytearray(b""))], "image_id string, book_stem string, image_path string, image_data binary")
+    there = spark.createDataFrame([("a", "/w/a/img/q.png", bytearray(b"file")), ("a", "/w/a/img/p.PNG", bytearray(b"old"))], "book_stem string, path string, content binary")
+    asked = spark.createDataFrame([("1",), ("2",), ("3",), ("4",), ("9",), ("1",)], "image_id string")
+    got = {r.image_id: (r.status, r.media_type, r.image_data) for r in knowledge.image_response(images, asked, there).collect()}
+    assert got == {"1": (200, "image/png", b"db"), "2": (200, "image/png", b"file"), "3": (404, None, None), "4": (404, None, None), "9": (404, None, None)}
+    assert {r.image_id: r.status for r in knowledge.image_response(images, asked).collect()}["2"] == 404
