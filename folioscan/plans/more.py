@@ -208,7 +208,7 @@ def two_phase_books(t: Inputs) -> DataFrame:
     """Conversations as layout blocks of books: pages, contents pages and images first, then chunks, knowledge
     bases and chapter files of all books at once."""
     b = t("conversations").selectExpr("cast(conv_id as string) as book_stem", "cast(turn as int) as pos", "cast(floor(turn / 3.0) as int) + 1 as page_number", "case when turn % 5 = 4 then 'image' else 'text' end as type",
-        "case when turn % 4 = 0 then 2 end as text_level", "case when turn = 0 then 'Contents' when turn % 4 = 0 then concat('1.', cast(turn / 4 as int), ' Heading') else text end as text", "concat('i', turn) as img_path", "array(concat('Figure ', turn)) as image_caption", "cast(null as string) as code_body")
+        "case when turn % 4 = 1 then 2 end as text_level", "case when turn = 0 then 'Contents' when turn % 4 = 1 then concat('1.', cast(floor(turn / 4.0) as int) + 1, ' Heading') else text end as text", "concat('i', turn) as img_path", "array(concat('Figure ', turn)) as image_caption", "cast(null as string) as code_body")
     toc = b.select(F.col("book_stem").alias("book")).distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(8)))).select("book", F.lit("1").alias("chapter"), F.lit("Talk of all things").alias("chapter_name"), F.concat(F.lit("1."), "n").alias("topic"), F.concat(F.lit("Heading "), "n").alias("topic_name"))
     pages, contents, images = books.extracted(b, ["CONTENTS"])
     chunks, base, files = books.chunked(b, toc, contents.where("page < 1"), images)
