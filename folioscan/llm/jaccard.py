@@ -17,11 +17,11 @@ from folioscan.llm.common import Scratch, broadcast_if_small, written
 from folioscan.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 80
-BAND, SUBS, SPARE = 1.25, 3, 35
+BAND, SUBS, SPARE = 1.25, 4, 35
 #: A key of more than COLD classes can be dropped; what is left of one is compared pair by pair up to WARM classes.
 COLD, WARM, BROADCAST_ROWS = 12, 32, 1_000_000
 STREAM_SHINGLES, STREAMS_A_TASK, SEND_KEYS, MERGE_ROWS = 2_000_000, 64, 250_000, 250_000
-BLOCK_BYTES, PRUNINGS, GROUP_BITS, KEY_BYTES = 8 << 20, 2, 10, 5
+BLOCK_BYTES, PRUNINGS, GROUP_BITS, KEY_BYTES, TAG_BYTES = 8 << 20, 2, 10, 5, 6
 SHARED = np.int64(-1 << 63)
 _M, _GROUP, _ODD = (1 << 64) - 1, np.uint64((1 << GROUP_BITS) - 1), np.uint64(1 << GROUP_BITS)
 
@@ -76,8 +76,8 @@ def class_of(s: np.ndarray) -> int:
         return int(textscan.mix(np.array([s.sum() + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64))[0].astype(np.int64))
 
 
-def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Keys of which any set linked to s (but not equal) has some too, and a tag: the
+def keys_of(s: np.ndarray, percent: int, odd: int | None = None) -> tuple[np.ndarray, int]:
+    """Keys (``odd``: of odd bands, 1, or of even ones, 0, alone) of which any set linked to s (but not equal) has some too, and a tag: the
     set's size, and in how many groups of an even and of an odd band a linked set
     meets it at least, in 16 bits each.
 
@@ -91,7 +91,7 @@ def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     out, tag = [], len(s) << 32
     for band, low, high in bands_of(len(s), percent):
         groups, spare = scheme(low, high, percent)
-        if not groups:
+        if not groups or odd not in (None, band & 1):
             continue
         parts = groups * SUBS
         at = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -101,8 +101,8 @@ def keys_of(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         h = textscan.mix(textscan.mix(seed) + sketch).reshape(groups, SUBS)
         key = textscan.mix(h.sum(1, keepdims=True) - h + np.arange(SUBS, dtype=np.uint64))
         key = key & ~(_GROUP | _ODD) | (np.arange(groups, dtype=np.uint64) & _GROUP)[:, None] | np.uint64((band & 1) << GROUP_BITS)
-        odd = (sketch != 0).reshape(groups, SUBS)
-        left = odd.sum(1, keepdims=True) - odd > 0
+        some = (sketch != 0).reshape(groups, SUBS)
+        left = some.sum(1, keepdims=True) - some > 0
         dull = int((~left.all(1)).sum())
         if dull > spare:
             left[:] = True
@@ -150,17 +150,29 @@ def _joined(key: np.ndarray, cls: np.ndarray, tag: np.ndarray) -> tuple[list[np.
     return [k[at], c[at], np.where(shared, t[at] | SHARED, t[at] & ~SHARED)], [k[other], c[other], t[other] & ~SHARED]
 
 
-def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partitions: int) -> DataFrame:
-    """(key, cls, tag) of all classes that have a key in common with another one;
-    rows may be repeated.
+def _wire(x: np.ndarray, size: int) -> bytes:
+    """The lowest ``size`` bytes of each number."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _unwired(x: bytes, size: int) -> np.ndarray:
+    eight = np.zeros((len(x) // size, 8), np.uint8)
+    eight[:, :size] = np.frombuffer(x, np.uint8).reshape(-1, size)
+    return eight.view(np.uint64).ravel()
+
+
+def _shared_keys(rows: DataFrame, width: int, percent: int, odd: int, streams: int, partitions: int) -> DataFrame:
+    """(key, cls, tag) of all classes that have a key of an odd (1) or even (0) band in
+    common with another one; rows may be repeated.
 
     Equal keys that meet in one batch are joined there and go on as one row. Rows
-    go to ``streams`` by key, packed (KEY_BYTES of the key, class and tag once for
-    their keys); a task takes its streams one after the other, sorted by Spark, and
+    go to ``streams`` by key, packed (KEY_BYTES of the key, class and TAG_BYTES of the
+    tag, which has one half in use, once for their keys); a task takes its streams one after the other, sorted by Spark, and
     keeps one class per key of the stream at hand, so its memory follows the number
     of distinct keys in a stream and neither the input nor a key's documents."""
     names, ends = ["part", "keys", "cls", "tags", "counts"], ["key", "cls", "tag"]
-    low = np.uint64((1 << 8 * KEY_BYTES) - 1)
+    low, at = np.uint64((1 << 8 * KEY_BYTES) - 1), np.uint64(0 if odd else 16)
+    size, half = np.uint64(32), np.uint64(16)
 
     def named(key: np.ndarray, stream: np.ndarray | int) -> np.ndarray:
         return (key & low | np.asarray(stream).astype(np.uint64) << np.uint64(8 * KEY_BYTES)).view(np.int64)
@@ -177,17 +189,19 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
                 for x, y in zip(cut[:-1], cut[1:]):
                     run = np.flatnonzero(np.concatenate([[True], (c[x + 1 : y] != c[x : y - 1]) | (t[x + 1 : y] != t[x : y - 1]), [True]]))
                     part.append(int(to[x]) << 1 | done)
-                    out[0].append(np.ascontiguousarray(key[x:y].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes())
+                    out[0].append(_wire(key[x:y], KEY_BYTES))
                     out[1].append(c[x:y][run[:-1]].tobytes())
-                    out[2].append(t[x:y][run[:-1]].tobytes())
-                    out[3].append(np.diff(run).astype(np.uint16 if y - x < 65536 else np.uint32).tobytes())
+                    few = t[x:y][run[:-1]].view(np.uint64)
+                    out[2].append(_wire(few >> size << half | few >> at & np.uint64(0xFFFF), TAG_BYTES))
+                    times = np.diff(run)
+                    out[3].append(times.astype(np.min_scalar_type(int(times.max()))).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names)
 
         held: list[list[np.ndarray]] = [[], [], []]
         for b in batches:
             for s in _sets(b, width):
                 if len(s):
-                    k, t = keys_of(s, percent)
+                    k, t = keys_of(s, percent, odd)
                     for x, y in zip(held, (k, np.full(len(k), class_of(s), np.int64), np.full(len(k), t, np.int64))):
                         x.append(y)
             if sum(map(len, held[0])) >= SEND_KEYS:
@@ -218,11 +232,10 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
 
         for b in batches:
             for part, k, c, t, n in zip(*(x.to_pylist() for x in b.columns)):
-                few = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
-                eight = np.zeros((len(few), 8), np.uint8)
-                eight[:, :KEY_BYTES] = few
-                times = np.frombuffer(n, np.uint16 if len(few) < 65536 else np.uint32)
-                rows = [eight.view(np.uint64).ravel(), np.repeat(np.frombuffer(c, np.int64), times), np.repeat(np.frombuffer(t, np.int64), times)]
+                few = _unwired(t, TAG_BYTES)
+                tags = (few >> half << size | (few & np.uint64(0xFFFF)) << at).view(np.int64)
+                times = np.frombuffer(n, f"u{len(n) // len(tags)}")
+                rows = [_unwired(k, KEY_BYTES), np.repeat(np.frombuffer(c, np.int64), times), np.repeat(tags, times)]
                 if part & 1:
                     yield table(rows, part >> 1)
                     continue
@@ -230,7 +243,7 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, streams: int, partit
                     yield from close()
                     now = part >> 1
                 held.append(rows)
-                waiting += len(few)
+                waiting += len(rows[0])
                 if waiting >= MERGE_ROWS:
                     yield table(merge(), now)
         yield from close()
@@ -510,13 +523,17 @@ def _classified(docs: DataFrame, width: int, percent: int, id_col: str, text_col
         classes = tables.written(classes.withColumn("rep", F.col("least" if unique else "cls")), "classes")
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         streams = max(least, -(-(classes.agg(F.sum("n")).first()[0] or 0) // STREAM_SHINGLES))
-        shared = tables.written(_shared_keys(rows, width, percent, streams, max(least, -(-streams // STREAMS_A_TASK))), "keys", batch)
-        once = shared.repartition("key").groupBy("key", "cls").agg(F.first("tag").alias("tag"))
-        buckets = tables.written(_bucketed(once, COLD), "buckets")
-        tables.drop(shared)
-        warm = tables.written(_bucketed(_without_hottest(buckets.where(F.col("w") > COLD), percent).repartition("key"), WARM), "warm")
-        pairs = tables.written(_pairs(buckets.where(F.col("w") <= COLD).union(warm.where(F.col("w") <= WARM)), percent), "candidates")
-        tables.drop(buckets)
+        partitions, candidates, hot = max(least, -(-streams // STREAMS_A_TASK)), [], []
+        for odd in (0, 1):  # a linked pair has enough keys in common in one of the two, so each goes by itself and holds half of the disk
+            shared = tables.written(_shared_keys(rows, width, percent, odd, streams, partitions), "keys", batch)
+            once = shared.repartition("key").groupBy("key", "cls").agg(F.first("tag").alias("tag"))
+            buckets = tables.written(_bucketed(once, COLD), "buckets")
+            tables.drop(shared)
+            warm = tables.written(_bucketed(_without_hottest(buckets.where(F.col("w") > COLD), percent).repartition("key"), WARM), "warm")
+            candidates.append(tables.written(_pairs(buckets.where(F.col("w") <= COLD).union(warm.where(F.col("w") <= WARM)), percent), "candidates"))
+            tables.drop(buckets)
+            hot.append(tables.written(warm.where(F.col("w") > WARM).select("key", "w", F.col("members")[0].cls.alias("cls")), "hot"))
+            tables.drop(warm)
 
         def fetched(reps: DataFrame, whole: bool) -> DataFrame:
             reps = tables.written(reps.distinct() if unique else reps.distinct().join(classes, "rep").select("rep", "least"), "reps")
@@ -529,8 +546,10 @@ def _classified(docs: DataFrame, width: int, percent: int, id_col: str, text_col
         side = lambda t, c, name: t.select(F.col("rep").alias(c), F.col("words").alias(f"{name}{c}"))
         ends = lambda t: t.select(F.col("a").alias("rep")).union(t.select("b"))
         of = lambda c: classes.select(F.col("cls").alias(c), F.col("rep").alias("r" + c), F.col("n").alias("n" + c))
+        pairs = candidates[0].union(candidates[1]).distinct()
         pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb")
         pairs = tables.written(pairs, "pairs")
+        tables.drop(*candidates)
         folds = fetched(ends(pairs), whole=False)
         near = tables.written(_near(pairs.join(side(folds, "a", "f"), "a").join(side(folds, "b", "f"), "b"), percent), "near", batch)
         tables.drop(folds)
@@ -538,8 +557,8 @@ def _classified(docs: DataFrame, width: int, percent: int, id_col: str, text_col
         links = tables.written(_verified(near.join(side(held, "a", "h"), "a").join(side(held, "b", "h"), "b"), percent), "links", (256, "4m"))
         tables.drop(held)
 
-        stars = tables.written(_stars(warm.where(F.col("w") > WARM).select("key", "w", F.col("members")[0].cls.alias("cls"))), "stars")
-        tables.drop(warm)
+        stars = tables.written(_stars(hot[0].union(hot[1])), "stars")
+        tables.drop(*hot)
         stars = tables.written(stars.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), "stars")
         if not stars.isEmpty():
             held = fetched(ends(stars), whole=True)
@@ -560,8 +579,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
     ``width``-word shingles have 100 * common >= percent * union are linked.
 
     Equal sets are one class, found by hash.  Keys of parity sketches (keys_of)
-    are joined within a batch before they are shuffled, and leave only classes
-    that share one (_shared_keys).  Each set drops some of the keys that most
+    are joined within a batch before they are shuffled, those of even bands first and
+    those of odd ones after them, and leave only classes that share one (_shared_keys).  Each set drops some of the keys that most
     classes share (_without_hottest).  Keys of few classes then give the pairs that
     have as many in common as linked sets must, and larger ones, which are left where
     many sets are much alike, are contracted around leading sets before anything is

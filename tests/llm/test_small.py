@@ -259,6 +259,39 @@ def test_keys_meet_for_all_linked_sets():
             assert any(needed(odd) and groups(odd) >= needed(odd) for odd in (0, 1))
 
 
+def test_keys_are_exchanged_one_parity_at_a_time(spark, monkeypatch):
+    """The pipeline's join stage held the keys of both bands of every set at once."""
+    held = []
+
+    class Watched(jaccard.Scratch):
+        def written(self, df, name="table", *batch):
+            out = super().written(df, name, *batch)
+            self.tables[out.written_to].called = name
+            if name == "keys":
+                held.append((sorted({r.key >> jaccard.GROUP_BITS & 1 for r in out.select("key").collect()}), [x.called for x in self.tables.values()]))
+            return out
+
+    monkeypatch.setattr(jaccard, "Scratch", Watched)
+    rng = random.Random(3)
+    rows = []
+    for _ in range(12):
+        w = rng.choices([f"w{i}" for i in range(900)], k=rng.choice([40, 150, 500]))
+        rows += [(len(rows) + k, " ".join(w[k:])) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert [odd for odd, _ in held] == [[0], [1]]
+    assert all(names.count("keys") == 1 and "buckets" not in names and "warm" not in names for _, names in held)
+
+
+@pytest.mark.parametrize("odd", [0, 1])
+def test_keys_of_a_parity_are_those_of_both(odd):
+    s = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 300, dtype=np.uint64))
+    (both, tag), (own, part) = jaccard.keys_of(s, 80), jaccard.keys_of(s, 80, odd)
+    assert np.array_equal(both[(both >> np.uint64(10) & np.uint64(1)) == odd], own) and len(own)
+    assert part == tag & ~(0xFFFF << (16 if odd else 0))
+
+
 def test_components_edges(docs, empty):
     got = [tuple(r) for r in jaccard.components(docs, 3, 90).collect()]
     by = {r[0]: r for r in got if r[0] is not None}
