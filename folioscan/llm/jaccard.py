@@ -150,6 +150,25 @@ def _joined(key: np.ndarray, cls: np.ndarray, tag: np.ndarray) -> tuple[list[np.
     return [k[at], c[at], np.where(shared, t[at] | SHARED, t[at] & ~SHARED)], [k[other], c[other], t[other] & ~SHARED]
 
 
+def _absorbed(lead: list[np.ndarray], rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Leading rows (one for each key, ascending) with rows (key, cls, tag) joined to them, and rows of
+    other classes.  Only the new rows are sorted, known keys are marked in place and the columns
+    grow one by one, so beside the leading rows stand one more column and what the new rows take."""
+    (k, c, t), other = _joined(*rows)
+    at = np.searchsorted(lead[0], k)
+    known = np.flatnonzero(at < len(lead[0]))
+    known = known[lead[0][at[known]] == k[known]]
+    differs = lead[1][at[known]] != c[known]
+    lead[2][at[known][differs | (t[known] < 0)]] |= SHARED
+    also = known[differs]
+    other = [np.concatenate(x) for x in zip(other, (k[also], c[also], t[also] & ~SHARED))]
+    new = np.ones(len(k), bool)
+    new[known] = False
+    for i, x in enumerate((k, c, t)):
+        lead[i] = np.insert(lead[i], at[new], x[new])
+    return lead, other
+
+
 def _wire(x: np.ndarray, size: int) -> bytes:
     """The lowest ``size`` bytes of each number."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
@@ -211,24 +230,27 @@ def _shared_keys(rows: DataFrame, width: int, percent: int, odd: int, streams: i
             yield emit(*held)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, waiting = -1, [], 0
+        now, lead, held, waiting = -1, [], [], 0
 
         def table(e: list[np.ndarray], stream: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (named(e[0], stream), *e[1:])], ends)
 
         def merge() -> list[np.ndarray]:
-            nonlocal held, waiting
-            lead, other = _joined(*(np.concatenate(x) for x in zip(*held)))
-            held, waiting = [lead], 0
+            nonlocal lead, held, waiting
+            rows = [np.concatenate(x) for x in zip(*held)]
+            held, waiting = [], 0
+            lead, other = _absorbed(lead, rows) if lead else _joined(*rows)
             return other
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held
+            nonlocal lead
             if held:
                 yield table(merge(), now)
-                shared = held[0][2] < 0
-                yield table([held[0][0][shared], held[0][1][shared], held[0][2][shared] & ~SHARED], now)
-                held = []
+            shared = np.flatnonzero(lead[2] < 0) if lead else []
+            for x in range(0, len(shared), MERGE_ROWS):
+                at = shared[x : x + MERGE_ROWS]
+                yield table([lead[0][at], lead[1][at], lead[2][at] & ~SHARED], now)
+            lead = []
 
         for b in batches:
             for part, k, c, t, n in zip(*(x.to_pylist() for x in b.columns)):

@@ -4,8 +4,9 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -284,6 +285,45 @@ def test_keys_are_exchanged_one_parity_at_a_time(spark, monkeypatch):
     assert all(names.count("keys") == 1 and "buckets" not in names and "warm" not in names for _, names in held)
 
 
+def test_a_stream_of_keys_is_joined_in_little_memory():
+    """A stream's keys were sorted again and again with all that had come before, in copies of seven times its table."""
+    steps = []
+
+    class Rows:
+        def mapInArrow(self, f, schema):
+            steps.append(f)
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+    jaccard._shared_keys(Rows(), 5, 80, 0, 2, 2)
+    rng = np.random.default_rng(2)
+    own = np.unique(rng.integers(0, 1 << 40, 1_400_000, dtype=np.uint64))
+    hot, names = own[:2000], ["part", "keys", "cls", "tags", "counts"]
+    sent = [(stream, cls, np.concatenate([own[cls::56], hot[cls % 7 :: 7]])) for stream in (0, 1) for cls in range(56)]
+
+    def batches():
+        for stream, cls, keys in sent:
+            row = (stream << 1, jaccard._wire(keys, jaccard.KEY_BYTES), np.int64(cls).tobytes(), jaccard._wire(np.array([9 << 16 | 3]), jaccard.TAG_BYTES), np.array([len(keys)], np.uint16).tobytes())
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row))])
+
+    tracemalloc.start()
+    try:
+        got = {tuple(r) for b in steps[1](batches()) for r in zip(*(x.to_pylist() for x in b.columns))}
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    classes = defaultdict(set)
+    for stream, cls, keys in sent:
+        for k in keys[np.isin(keys, hot)].tolist():
+            classes[stream << 40 | k].add(cls)
+    assert got == {(k, c, 9 << 32 | 3 << 16) for k, cs in classes.items() if len(cs) > 1 for c in cs}
+    assert most < 80 * len(own)
+
+
 @pytest.mark.parametrize("odd", [0, 1])
 def test_keys_of_a_parity_are_those_of_both(odd):
     s = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 300, dtype=np.uint64))
