@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.operators import scan
+from folioscan.shared import written
 
 
 def topic_ranges(chapters: DataFrame, topics: DataFrame) -> DataFrame:
@@ -63,6 +64,7 @@ def chapter_chunks(pages: DataFrame, chapters: DataFrame, target: int = 400, lea
     alone or after the word chapter and a number (pages naming several chapters count only where no other
     does) and ends before the next; the last runs to the end.  Pages up to the last of ``skipped``
     (book, page), those of the contents, start none.  chapters: book, chapter, name."""
+    pages = written(pages.select("book", "page", "text"), "pages")  # read for names, for lengths and for windows
     text = F.transform(T.solid_lines(F.coalesce("text", F.lit(""))), lambda x: F.array(x, T.strip(F.regexp_extract(x, CHAPTER_TITLE, 1))))
     line = F.explode(F.array_distinct(F.transform(F.flatten(text), F.upper))).alias("line")
     said = pages
@@ -73,11 +75,32 @@ def chapter_chunks(pages: DataFrame, chapters: DataFrame, target: int = 400, lea
     starts = named.selectExpr("*", "row_number() over (partition by book, chapter order by many, page) as rn").where("rn = 1")
     last = pages.groupBy("book").agg(F.max("page").alias("last"))
     ranges = starts.join(last, "book").selectExpr("book", "chapter", "page as first_page", "coalesce(lead(page) over (partition by book order by page, chapter), last + 1) as next_page")
-    placed = ranges.where("next_page > first_page").select("book", "chapter", "first_page", F.explode(F.expr("sequence(first_page, next_page - 1)")).alias("page")).join(pages, ["book", "page"])
-    ordered = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
-    whole = placed.groupBy("book", "chapter", "first_page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), F.max("page").alias("last_page"))
-    w = whole.select("book", "chapter", "first_page", "last_page", F.posexplode(T.word_windows(F.col("text"), target, least, overlap)).alias("i", "content"))
-    return w.select("book", "chapter", "first_page", "last_page", (F.col("i") + 1).alias("seq"), "content")
+    placed = ranges.where("next_page > first_page").select("book", "chapter", "first_page", F.explode(F.expr("sequence(first_page, next_page - 1)")).alias("page"))
+    return _windows_across(placed, pages, target, least, overlap)
+
+
+def _windows_across(placed: DataFrame, pages: DataFrame, target: int, least: int, overlap: float) -> DataFrame:
+    """The word windows (``text.word_windows``) of each chapter's pages in order, without a row or a task that
+    holds a chapter: each page gives its share of the windows it has words of.  placed: book, chapter, first_page, page."""
+    step = T.window_step(target, overlap)
+    said = pages.select("book", "page", T.words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("n", F.size("w").cast("long"))
+    sizes = placed.select(F.struct("book", "chapter", "first_page").alias("key"), "book", "page").join(said.groupBy("book", "page").agg(F.sum("n").alias("n")), ["book", "page"])
+    at = scan.summed(sizes, "key", ["page"], "n", "at")
+    whole = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max("page").alias("last_page"))
+    at = at.drop("n").join(whole.withColumn("k", F.floor((F.col("all") - 1) / step).cast("long") + 1), "key")
+    # Rows of one page, should there be several, follow one another in the order of their words.
+    one = said.selectExpr("*", "coalesce(sum(n) over (partition by book, page order by w rows between unbounded preceding and 1 preceding), 0) as off").where("n > 0")
+    p = one.join(at, ["book", "page"]).withColumn("at", F.col("at") + F.col("off"))
+    of = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("at") - target) / step).cast("long") + 1), F.floor((F.col("at") + F.col("n") - 1) / step).cast("long"))
+    p = p.withColumn("i", F.explode(of))
+    start = F.greatest(F.col("i") * step - F.col("at"), F.lit(0).cast("long"))
+    size = F.least(F.col("i") * step + target - F.col("at"), F.col("n")) - start
+    short = (F.col("k") > 1) & (F.col("all") - (F.col("k") - 1) * step < least)
+    into = F.when(short & (F.col("i") == F.col("k") - 1), F.col("i") - 1).otherwise(F.col("i"))
+    piece = F.struct("i", (F.col("at") + start).alias("at"), F.array_join(F.slice("w", (start + 1).cast("int"), size.cast("int")), " ").alias("said"))
+    p = p.select("key", "last_page", (into + 1).cast("int").alias("seq"), piece.alias("piece"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["said"]), " ")
+    return p.groupBy("key", "last_page", "seq").agg(content.alias("content")).select("key.*", "last_page", "seq", "content")
 
 
 def mode(blocks: F.Column, topics: F.Column, heading_hits: F.Column, chapters: F.Column) -> F.Column:

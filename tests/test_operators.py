@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan import schemas
+from folioscan.functions import text as T
 from folioscan.operators import scan, adapters, align, checks, chunk, dense, layout, lexical, outputs, retrieve, segment, store
 from folioscan.plans import books
 from folioscan.sources import tables
@@ -104,6 +105,32 @@ def test_chapters_with_their_number_on_a_line(spark):
     assert [(r.first_page, r.last_page) for r in chunk.chapter_chunks(alone, c, skipped=skipped).collect()] == [(3, 3)]
 
 
+def test_windows_of_a_chapter_are_made_page_by_page(spark, plan_of):
+    """Those of the chapter's whole text, pages without words and pages of several windows too; no row gets a chapter's text."""
+    r = random.Random(5)
+    sizes = {"a": [3, 0, 1200, 5, 333, 80, 400], "b": [340], "c": [*[17] * 60, 0], "d": [0, 0], "e": [400, 19], "f": [1, 399, 20]}
+    pages, names, texts, at = [], [], {}, {}
+    for book, ns in sizes.items():
+        said = [" \n".join(f"{book}{r.random():.6f}" for _ in range(n)) for n in ns]
+        said[0] = f"Start\n{said[0]}"
+        pages += [(book, k + 1, t) for k, t in enumerate(said)]
+        texts[book] = "\n".join(said)
+    pages += [("g", 1, "Start\nb"), ("g", 1, "a b"), ("g", 2, None)]
+    texts["g"] = "Start\nb\na b"
+    p = spark.createDataFrame(pages, "book string, page int, text string")
+    c = chunk.chapter_chunks(p, spark.createDataFrame([(b, None, "start") for b in [*sizes, "g"]], "book string, chapter string, name string"))
+    whole = spark.createDataFrame(list(texts.items()), "book string, text string").select("book", F.posexplode(T.word_windows("text")).alias("i", "content"))
+    want = {(x.book, x.i + 1): sorted(x.content.split()) if x.book == "g" else x.content for x in whole.collect()}
+    assert {(x.book, x.seq): sorted(x.content.split()) if x.book == "g" else x.content for x in c.collect()} == want and len(want) > 10
+    assert {(x.book, x.last_page) for x in c.collect()} == {*((b, len(ns)) for b, ns in sizes.items()), ("g", 2)}
+
+
+def test_sums_before_each_row(spark):
+    df = spark.createDataFrame([(k, i, i % 5) for k in ("a", None) for i in range(50)], "k string, i int, v int").repartition(4)
+    got = {(x.k, x.i): x.s for x in scan.summed(df, "k", ["i"], "v", "s").collect()}
+    assert got == {(k, i): sum(j % 5 for j in range(i)) for k in ("a", None) for i in range(50)}
+
+
 def plain_picks(chapters, resolver=None):
     """chapters: for each [(hybrid, total, negative, page)], toc page, pages of the book."""
 
