@@ -251,6 +251,26 @@ def test_image_chain(spark):
     assert got == [(1, "a", 1), (1, "b", 2), (1, "r", 2), (2, "c", 3), (4, "a", 1), (4, "b", 2), (4, "d", 2), (4, "r", 2)]
 
 
+def test_images_found_twice_count_once(spark):
+    """Repeated ids, null ids, and captions that are sub-parts of an image with a number: all are matches first."""
+    im = [("a", "B", 3, "Fig 1.2 x", "1.2"), ("a", "B", 3, "(a)", None), ("a", "B", 3, None, None), (None, "B", 3, None, None), (None, "B", 3, "(b)", None), ("m", "B", 3, "(c)", "1.2"), ("n", "B", 3, "(c)", "7"), ("p", "B", None, None, None), ("u", None, 3, None, None)]
+    im = spark.createDataFrame(im, "image_id string, book string, page int, caption string, fig_number string")
+    hits = spark.createDataFrame([(1, "B", 9, 1, "fig 1.2"), (2, "B", 3, 1, "fig 5.5")], "q int, book string, page int, rank int, text string")
+    got = sorted((r.q, str(r.image_id), r.source) for r in retrieve.images_for(im, hits).collect())
+    assert got == [(1, "None", 2), (1, "a", 1), (1, "m", 1), (1, "n", 2), *[(2, "None", 3)] * 2, *[(2, "a", 3)] * 3, (2, "m", 3), (2, "n", 3)]
+    assert sorted((r.q, str(r.image_id), r.page) for r in retrieve.sub_parts(im, hits).collect()) == [*[(1, "None", 3)] * 2, *[(1, "a", 3)] * 2, (1, "m", 3), (1, "n", 3)]
+
+
+def test_pairs_of_questions_and_images_are_not_shuffled(spark, plan_of):
+    """No exchange and no aggregate stands above the joins that give the pairs."""
+    im = spark.range(2000).selectExpr("cast(id as string) as image_id", "'B' as book", "cast(id div 2 % 4 as int) as page", "if(id % 2 = 0, 'Fig 1.2', '(a)') as caption", "if(id % 2 = 0, '1.2', null) as fig_number").localCheckpoint()
+    hits = spark.range(20).selectExpr("cast(id as int) as q", "'B' as book", "1 as page", "1 as rank", "'fig 1.2' as text").localCheckpoint()
+    for df, n in ((retrieve.sub_parts(im, hits), 20_000), (retrieve.images_for(im, hits), 40_000)):
+        assert df.count() == n
+        plan = plan_of(df)
+        assert plan.index("Join") < plan.index("Exchange hashpartitioning") and "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_keywords(spark, tmp_path):
     (tmp_path / "k.txt").write_text(" contents \n# no\n\nIndex\n")
     assert tables.keywords(spark, str(tmp_path / "k.txt")) == ["CONTENTS", "INDEX"]
