@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,20 @@ def test_follow_up_questions(spark):
     assert got == ["what is a cell", "what is a cell and a b c d", "one two three four five six", "hi"]
 
 
+def test_words_that_no_query_says_are_not_moved(spark, plan_of, monkeypatch):
+    """Pages' words are counted where they are read; with few and with many words of queries scores are the same."""
+    pages = spark.createDataFrame([("b", i, " ".join(f"w{i * k % 7}" for k in range(i % 5 * 3))) for i in range(30)] + [("b", 30, None), ("c", 1, "w1 w1 W2")], "book string, page int, text string")
+    asked = spark.createDataFrame([(1, "b", "w1 w2 w2 none"), (2, "c", "w2 w9"), (3, "z", "w1")], "q_id int, book string, q_text string")
+    found = lexical.bm25(pages, asked)
+    plan = plan_of(found)
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*page", plan)) == 1 and "BroadcastHashJoin" in plan
+    few = {(r.q_id, r.page): round(r.score, 9) for r in found.collect()}
+    monkeypatch.setattr(lexical, "SMALL", 0)
+    assert {(r.q_id, r.page): round(r.score, 9) for r in lexical.bm25(pages, asked).collect()} == few and (2, 1) in few and len(few) > 10
+    w = spark.createDataFrame([(["b", "a", "b", "é", "a", "b"],), ([],), (["x"],)], "w array<string>")
+    assert [{x.term: x.tf for x in r.c} for r in w.select(lexical.counted(F.col("w")).alias("c")).collect()] == [{"a": 2, "b": 3, "é": 1}, {}, {"x": 1}]
+
+
 def test_image_chain(spark):
     im = spark.createDataFrame([("a", "B", 3, "Fig 1.2 x", "1.2"), ("b", "B", 3, "(a)", None), ("r", "B", 3, "(ii)", None), ("s", "B", 3, " (a)", None), ("t", "B", 3, "(a)\n", None), ("c", "B", 4, None, None), ("d", "C", 3, None, None), ("e", "D", 9, "Fig 1.2", "1.2")], "image_id string, book string, page int, caption string, fig_number string")
     hits = spark.createDataFrame([(1, "B", 4, 1, "see fig 1.2 here"), (2, "B", 4, 1, "see nothing"), (2, "C", 3, 2, "nor here"), (3, "Z", 1, 1, "fig 1.2"), (4, "C", 3, 1, "fig 1.2"), (4, "B", 7, 2, "x")], "q int, book string, page int, rank int, text string")
