@@ -81,16 +81,26 @@ def topic_matches(rows: DataFrame, topics: DataFrame, least: float = TOPIC_LEAST
     return exact.unionByName(scored.groupBy("id").agg(F.min_by("topic", F.struct(-F.col("score"), "nth")).alias("topic")))
 
 
+def kind(c: Column) -> Column:
+    """A text's characters in order, all digits as one: what two texts of these kinds have in common is at most what the kinds have."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.translate(c, "123456789", "0" * 9), ""), lambda x: x != "")), "")
+
+
 def chapter_pairs(rows: DataFrame, chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, chapter) of texts that hold a long name, pairs of the others that may be alike: id, least, form, said, chapter, name, nth)."""
+    """((id, chapter) of texts that hold a long name, pairs of the others that may be alike: id, least, form, said, chapter, name, nth).
+
+    Kinds of texts meet kinds of names first, so that headings and chapters that differ in their numbers
+    alone are not compared one by one where none can be alike; a text that holds a name has all of its characters."""
     raw = F.regexp_replace(T.strip("text"), r"(?iU)^chapter\s+\w+\s*", "")
     forms = F.array_sort(F.array_distinct(F.array(F.upper(raw), F.upper(undoubled(raw)))))
-    r = rows.where("text is not null").select("id", "book", "least", F.posexplode(forms).alias("form", "said"))
-    c = numbered(chapters)[0].select("book", "chapter", F.upper(F.coalesce("chapter_name", F.lit(""))).alias("name"), "nth").where("name <> ''")
-    p = r.withColumn("said_bag", bag(F.col("said"))).join(c.withColumn("name_bag", bag(F.col("name"))), "book")
-    held = p.where((F.length("name") >= LONG_NAME) & F.contains("said", F.col("name"))).groupBy("id").agg(F.min_by("chapter", F.struct("form", "nth")).alias("chapter"))
+    r = rows.where("text is not null").select("id", "book", "least", F.posexplode(forms).alias("form", "said")).withColumn("said_kind", kind(F.col("said")))
+    c = numbered(chapters)[0].select("book", "chapter", F.upper(F.coalesce("chapter_name", F.lit(""))).alias("name"), "nth").where("name <> ''").withColumn("name_kind", kind(F.col("name")))
     size = F.size("name_bag")
     may = (most("said_bag", "name_bag") >= F.col("least")) | (size >= SHORT_NAME) & (F.size(F.array_intersect("said_bag", "name_bag")) >= WINDOW_LEAST * size)
+    said, named = r.select("book", "least", "said_kind").distinct(), c.select("book", "name_kind").distinct()
+    kinds = said.withColumn("said_bag", bag(F.col("said_kind"))).join(named.withColumn("name_bag", bag(F.col("name_kind"))), "book").where(may).drop("said_bag", "name_bag")
+    p = r.join(kinds, ["book", "least", "said_kind"]).join(c, ["book", "name_kind"]).drop("said_kind", "name_kind").withColumns({"said_bag": bag(F.col("said")), "name_bag": bag(F.col("name"))})
+    held = p.where((F.length("name") >= LONG_NAME) & F.contains("said", F.col("name"))).groupBy("id").agg(F.min_by("chapter", F.struct("form", "nth")).alias("chapter"))
     return held, p.where(may).join(held.select("id"), "id", "left_anti").drop("book", "said_bag", "name_bag")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import time
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -174,3 +175,29 @@ def test_title_match():
     for _ in range(300):
         name, lines = word() + word(), [word() for _ in range(rng.randint(0, 20))]
         assert fuzzy.title_match(name, lines) == max([fuzzy.ratio(name, x) for x in [*lines[:12], " ".join(lines)[:400]]])
+
+
+def test_kinds_of_texts_leave_no_pair_out(spark):
+    """Digits count as one character in kinds, which only bounds what is compared; headings of one kind meet few names."""
+    r = random.Random(3)
+    heads = [(i, "b", r.choice(["Part {} of the book", "part {}", "1.{} Heading", "{} {}", "Cells {}"]).replace("{}", str(r.randrange(2000))), r.choice([0.62, 0.72])) for i in range(60)]
+    names = [("b", str(i), t) for i, t in enumerate([*(f"Part {k} of the book" for k in range(40)), *(f"Cell {k}" for k in range(20)), "1234", "heading", "of the booK 7"])]
+    rows, toc = spark.createDataFrame(heads, "id int, book string, text string, least double"), spark.createDataFrame(names, "book string, chapter string, chapter_name string")
+    held, pairs = headings.chapter_pairs(rows, toc)
+    got = {(x.id, x.chapter) for x in pairs.collect()} | {(x.id, None) for x in held.collect()}
+
+    def may(said: str, name: str, least: float) -> bool:
+        common = sum((Counter(said) & Counter(name)).values())
+        return 2 * common / (len(said) + len(name)) >= least or len(name) >= 5 and common >= 0.82 * len(name)
+
+    want = set()
+    for (i, _, text, least), once in zip(heads, one(spark, headings.undoubled, *[h[2] for h in heads])):
+        forms = {text.upper(), once.upper()}
+        if any(len(n) >= 12 and n.upper() in f for f in forms for _, _, n in names):
+            want.add((i, None))
+        else:
+            want |= {(i, c) for _, c, n in names if any(may(f, n.upper(), least) for f in forms)}
+    assert got == want and len(want) > 100
+    many = spark.range(1000).selectExpr("cast(id as int) as id", "'b' as book", "concat('1.', id, ' Heading 1.', id) as text", "0.72D as least")
+    toc = spark.range(1000).selectExpr("'b' as book", "cast(id as string) as chapter", "concat('Part ', id, ' of the book') as chapter_name")
+    assert headings.chapter_pairs(many, toc)[1].count() == 0
