@@ -8,6 +8,7 @@ it sees what blocks are, and says of which blocks a segment consists; their text
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -16,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
-from folioscan.operators import headings
+from folioscan.operators import headings, scan
+from folioscan.shared import broadcast_if_small, written
 
 _OUT = "book string, seg int, chapter string, topic string, topic_name string, kind string, page_start int, page_end int, pages array<int>, parts array<long>"
+#: Segments whose numbers of chunks are sent to all tasks at most.
+SMALL = 500_000
 # Kinds of layout blocks.
 NOISE = ["header", "footer", "page_number", "page_footnote"]
 FIGURES = ["image", "chart", "table"]
@@ -32,24 +36,22 @@ class Segment:
     topic: str
     name: str
     kind: str
-    pages: list[int] = field(default_factory=list)
+    pages: dict[int, None] = field(default_factory=dict)
     parts: list[int] = field(default_factory=list)
 
     def add(self, page: int, *parts: int) -> None:
-        if page not in self.pages:
-            self.pages.append(page)
+        self.pages[page] = None
         self.parts += parts
 
 
 def _table(book: str, segments: list[Segment]) -> pd.DataFrame:
     kept = [s for s in segments if s.parts]
-    rows = [(book, i, s.chapter, s.topic, s.name, s.kind, s.pages[0] if s.pages else None, s.pages[-1] if s.pages else None, s.pages, s.parts) for i, s in enumerate(kept, 1)]
+    rows = [(book, i, s.chapter, s.topic, s.name, s.kind, pages[0], pages[-1], pages, s.parts) for i, s in enumerate(kept, 1) if (pages := list(s.pages))]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
-def _told(segments: DataFrame, texts: DataFrame) -> DataFrame:
-    """Segments with their content: the texts (book, at, text) of their parts, in order."""
-    placed = segments.select("book", "seg", F.posexplode("parts").alias("nth", "at")).join(texts, ["book", "at"])
+def _told(segments: DataFrame, placed: DataFrame) -> DataFrame:
+    """Segments with their content: the texts (book, seg, nth, text) of their parts, in order."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "\n")
     return segments.drop("parts").join(placed.groupBy("book", "seg").agg(T.strip(text).alias("content")), ["book", "seg"])
 
@@ -191,7 +193,7 @@ def block_segments(blocks: DataFrame, toc: DataFrame, skip: DataFrame | None = N
     """blocks: book, pos, page, type, level, text; toc: book, chapter, chapter_name,
     topic, topic_name.  Which chapter or topic a heading names is decided for all
     headings by joins; one book's rows then meet in one group."""
-    c = classify(blocks, skip).withColumn("id", F.struct("book", "pos"))
+    c = written(classify(blocks, skip), "blocks").withColumn("id", F.struct("book", "pos"))  # read for headings, for what blocks are and for texts
     flat = ~F.contains("text", F.lit("\n")) & (F.col("text") != "")
     near = c.where(flat & ((F.col("level") == 1) & (F.length("text") <= LONGEST[1]) | (F.col("level") == 2) & (F.length("text") <= LONGEST[2])))
     near = near.select("id", "book", "text", F.when(F.col("level") == 1, LEAST[1]).otherwise(LEAST[2]).alias("least"))
@@ -213,18 +215,39 @@ def block_segments(blocks: DataFrame, toc: DataFrame, skip: DataFrame | None = N
         "title": F.when(F.col("role") == "exercise", F.col("text")).otherwise(""), "second": F.coalesce(F.try_element_at(T.words(F.col("text")), F.lit(2)), F.lit("")),
     }
     narrow = c.select("book", "pos", "page", "level", "role", "said_chapter", "said_topic", "unit", "near_chapter", "near_topic", *[v.alias(k) for k, v in facts.items()])
-    found = narrow.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT)
-    return _told(found, c.select("book", F.col("pos").alias("at"), "text"))
+    found = written(narrow.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT), "segments")
+    return _told(found, found.select("book", "seg", F.posexplode("parts").alias("nth", "at")).join(c.select("book", F.col("pos").alias("at"), "text"), ["book", "at"]))
+
+
+#: What a line is, by the codes that the fold gets.
+BODY, ANSWERS, EXERCISE, EXAMPLE = range(4)
+
+
+def _marks(pages: DataFrame) -> DataFrame:
+    """(book, page, i, role, example, topic, solid, rest, rest_solid): the lines (i from 0) that may change the segment, and
+    before them one of i = -1 for each page, each with how many other lines follow it and whether those say anything."""
+
+    def marked(x: F.Column, i: F.Column) -> F.Column:
+        role = F.when(x.rlike(T.ANSWERS_HEADING), ANSWERS).when(x.rlike(T.EXERCISE_HEADING) | x.rlike(T.INTEXT_HEADING), EXERCISE).when(x.rlike(T.EXAMPLE_HEADING), EXAMPLE).otherwise(BODY)
+        number = lambda rx: F.when(x.rlike(rx), F.concat_ws(".", F.regexp_extract(x, rx, 1), F.regexp_extract(x, rx, 2)))
+        return F.struct(i.alias("i"), role.alias("role"), number(T.EXAMPLE_HEADING).alias("example"), number(T.TOPIC_HEADING).alias("topic"), _says(x).alias("solid"))
+
+    before = F.struct(F.lit(-1).alias("i"), F.lit(BODY).alias("role"), F.lit(None).cast("string").alias("example"), F.lit(None).cast("string").alias("topic"), F.lit(False).alias("solid"))
+    every = F.concat(F.array(before), F.filter(F.transform("lines", marked), lambda m: (m["role"] != BODY) | m["topic"].isNotNull()))
+    end = lambda ms, j: F.coalesce(F.get(ms, j + 1)["i"], F.size("lines"))
+    row = lambda m, n: F.struct(m["i"].alias("i"), m["role"].alias("role"), m["example"].alias("example"), m["topic"].alias("topic"), m["solid"].alias("solid"), n.alias("rest"), F.exists(F.slice("lines", m["i"] + 2, n), _says).alias("rest_solid"))
+    rows = T.once(every, lambda ms: F.transform(ms, lambda m, j: row(m, end(ms, j) - m["i"] - 1)))
+    return pages.select("book", "page", F.explode(rows).alias("m")).select("book", "page", "m.*").where("i >= 0 or rest > 0")
+
+
+def _says(line: F.Column) -> F.Column:
+    return line.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
-    """Segments from plain page text by the headings on its lines.  pages: book, page, text."""
-    line = pages.select("book", "page", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("pos", "line"))
-    example = F.regexp_extract("line", T.EXAMPLE_HEADING, 0) != ""
-    role = F.when(F.col("line").rlike(T.ANSWERS_HEADING), "answers").when(F.col("line").rlike(T.EXERCISE_HEADING) | F.col("line").rlike(T.INTEXT_HEADING), "exercise").when(example, "example").otherwise("body")
-    number = lambda rx: F.when(F.col("line").rlike(rx), F.concat_ws(".", F.regexp_extract("line", rx, 1), F.regexp_extract("line", rx, 2)))
-    line = line.withColumn("at", F.shiftleft(F.col("page").cast("long"), 32) + F.col("pos"))
-    marked = line.select("book", "page", "at", (T.strip("line") != "").alias("solid"), role.alias("role"), number(T.EXAMPLE_HEADING).alias("example"), number(T.TOPIC_HEADING).alias("topic"))
+    """Segments from plain page text by the headings on its lines.  pages: book, page, text.
+    The fold sees lines that may be headings, and of those between them how many they are."""
+    pages = written(pages.where("page is not null").select("book", "page", T.lines(F.coalesce("text", F.lit(""))).alias("lines")), "lines")
 
     def run(key: tuple, rows: pd.DataFrame, toc: pd.DataFrame) -> pd.DataFrame:
         chapters, topics = _contents(toc)
@@ -232,50 +255,56 @@ def line_segments(pages: DataFrame, toc: DataFrame) -> DataFrame:
         carried: Segment | None = None
         chapter, mode = None, "content"
 
-        def put(s: Segment | None, page: int, lines: list[tuple[int, bool]]) -> None:
+        def put(s: Segment | None, page: int, lines: list[tuple[int, int, bool]]) -> None:
+            """lines: first and last of lines that follow one another, and whether they say anything."""
             if s is None or not lines:
                 return
             if not done or done[-1].topic != s.topic:
                 done.append(Segment(s.chapter, s.topic, s.name, s.kind))
-            done[-1].add(page, *([at for at, _ in lines] if any(solid for _, solid in lines) else []))
+            at = page << 32
+            done[-1].add(page, *([at + i for a, b, _ in lines for i in (a, b)] if any(solid for _, _, solid in lines) else []))
 
-        for page, group in rows.sort_values("at").groupby("page"):
+        for page, group in itertools.groupby(rows.sort_values(["page", "i"]).itertuples(index=False), lambda r: r.page):
             now, text, skipping = None, [], False
-            for r in group.itertuples():
+            for r in group:
                 fresh = None
-                if r.role == "answers":
+                if r.i < 0:
+                    pass
+                elif r.role == ANSWERS:
                     put(now, page, text)
                     now, text, skipping = None, [] if now else text, True
-                    continue
-                if skipping:
-                    continue
-                if r.role == "exercise":
+                elif r.role == EXERCISE:
                     put(now, page, text)
                     text = [] if now else text
                     mode, now = "exercise", carried and Segment(carried.chapter, carried.topic, carried.name, "exercise")
-                    continue
-                if r.role == "example" and mode != "exercise":
-                    c = carried.chapter if carried else r.example.split(".")[0]
-                    mode, fresh = "example", Segment(c, f"ex{r.example}", f"Example {r.example}", "example")
-                elif r.topic in topics:
-                    c, name = topics[r.topic]
-                    if c != chapter:
-                        chapter, mode = c, "content"
-                    if mode == "exercise":
-                        fresh = Segment(carried.chapter if carried else c, r.topic, f"Exercise {r.topic}", "exercise")
-                    else:
-                        mode, fresh = "content", Segment(c, r.topic, name, "content")
-                        carried = fresh
-                if fresh:
-                    put(now, page, text)
-                    now, text = fresh, [(r.at, r.solid)]
                 else:
-                    text.append((r.at, r.solid))
+                    if r.role == EXAMPLE and mode != "exercise":
+                        c = carried.chapter if carried else r.example.split(".")[0]
+                        mode, fresh = "example", Segment(c, f"ex{r.example}", f"Example {r.example}", "example")
+                    elif r.topic in topics:
+                        c, name = topics[r.topic]
+                        if c != chapter:
+                            chapter, mode = c, "content"
+                        if mode == "exercise":
+                            fresh = Segment(carried.chapter if carried else c, r.topic, f"Exercise {r.topic}", "exercise")
+                        else:
+                            mode, fresh = "content", Segment(c, r.topic, name, "content")
+                            carried = fresh
+                    if fresh:
+                        put(now, page, text)
+                        now, text = fresh, []
+                    text.append((r.i, r.i, r.solid))
+                if skipping:
+                    break
+                if r.rest:
+                    text.append((r.i + 1, r.i + r.rest, r.rest_solid))
             put(now or (carried and Segment(carried.chapter, carried.topic, carried.name, mode)), page, text)
         return _table(key[0], done)
 
-    found = marked.groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT)
-    return _told(found, line.select("book", "at", F.col("line").alias("text")))
+    found = written(_marks(pages).groupBy("book").cogroup(_numbers(toc).groupBy("book")).applyInPandas(run, _OUT), "segments")
+    part = F.transform(F.sequence(F.lit(0), F.size("parts") - 2, F.lit(2)), lambda i: F.struct(F.get("parts", i).alias("first"), F.get("parts", i + 1).alias("last")))
+    placed = found.select("book", "seg", F.posexplode(part).alias("nth", "part")).select("book", "seg", "nth", F.shiftright("part.first", 32).cast("int").alias("page"), (F.col("part.first").bitwiseAND(0xFFFFFFFF) + 1).cast("int").alias("first"), (F.col("part.last") - F.col("part.first") + 1).cast("int").alias("n"))
+    return _told(found, placed.join(pages, ["book", "page"]).select("book", "seg", "nth", F.array_join(F.slice("lines", F.col("first"), F.col("n")), "\n").alias("text")))
 
 
 def windows(segments: DataFrame, target: int = 400, least: int = 80, overlap: float = 0.15, images: DataFrame | None = None, chapters: DataFrame | None = None, mode: str = "mineru") -> DataFrame:
@@ -294,8 +323,10 @@ def windows(segments: DataFrame, target: int = 400, least: int = 80, overlap: fl
     if chapters is not None:
         names = chapters.groupBy("book", "chapter").agg(F.max("chapter_name").alias("chapter_name"))
         s, name = s.join(names, ["book", "chapter"], "left"), F.col("chapter_name")
-    w = s.select("*", F.posexplode(T.word_windows(F.col("content"), target, least, overlap)).alias("part", "piece"))
-    n = w.selectExpr("*", "row_number() over (partition by book order by seg, part) as n")
+    s = written(s.drop("pages").withColumn("pieces", T.word_windows(F.col("content"), target, least, overlap)).drop("content"), "pieces")
+    before = written(scan.summed(s.select("book", "seg", F.size("pieces").cast("long").alias("m")), "book", ["seg"], "m", "before").drop("m"), "before")
+    w = s.join(broadcast_if_small(before, before.count(), SMALL), ["book", "seg"]).select("*", F.posexplode("pieces").alias("part", "piece"))
+    n = w.withColumn("n", (F.col("before") + F.col("part") + 1).cast("int"))
     cid = F.concat("book", F.lit("_ch"), "chapter", F.lit("_t"), "topic", F.lit("_"), F.lpad(F.col("n").cast("string"), 4, "0"))
     return n.select(
         "book", cid.alias("chunk_id"), "chapter", name.alias("chapter_name"), "topic", "topic_name", "kind", "page_start", "page_end", F.col("piece").alias("content"), F.size(T.words(F.col("piece"))).alias("word_count"),

@@ -259,6 +259,21 @@ def test_words_that_no_query_says_are_not_moved(spark, plan_of, monkeypatch):
     assert [{x.term: x.tf for x in r.c} for r in w.select(lexical.counted(F.col("w")).alias("c")).collect()] == [{"a": 2, "b": 3, "é": 1}, {}, {"x": 1}]
 
 
+def test_the_line_fold_sees_what_may_be_headings(spark):
+    """Of lines between them it gets how many they are and whether they say anything."""
+    pages = spark.createDataFrame([("b", 1, "a\n" * 500 + "1.2 Cells\n" + " \n" * 500), ("b", 2, "\n"), ("b", 3, "Example 1.1 x\nb"), ("b", 4, None)], "book string, page int, text string")
+    marks = segment._marks(pages.select("book", "page", T.lines(F.coalesce("text", F.lit(""))).alias("lines")))
+    got = [(r.page, r.i, r.role, r.topic, r.rest, r.rest_solid) for r in marks.orderBy("page", "i").collect()]
+    assert got == [(1, -1, 0, None, 500, True), (1, 500, 0, "1.2", 500, False), (2, -1, 0, None, 1, False), (3, 0, 3, None, 1, True), (4, -1, 0, None, 1, False)]
+
+
+def test_chunks_are_numbered_without_a_book_in_one_task(spark, plan_of):
+    s = spark.createDataFrame([("b", i, "1", "1.1", "n", "content", 1, 1, [1], " ".join(["w"] * n)) for i, n in enumerate((900, 3, 400, 0), 1)], "book string, seg int, chapter string, topic string, topic_name string, kind string, page_start int, page_end int, pages array<int>, content string")
+    w = segment.windows(s)
+    assert [(r.seq, r.chunk_id[-4:], r.word_count) for r in w.orderBy("seq").collect()] == [(1, "0001", 400), (2, "0002", 400), (3, "0003", 220), (4, "0004", 3), (5, "0005", 460)]
+    assert "Window" not in plan_of(w)
+
+
 def test_image_chain(spark):
     im = spark.createDataFrame([("a", "B", 3, "Fig 1.2 x", "1.2"), ("b", "B", 3, "(a)", None), ("r", "B", 3, "(ii)", None), ("s", "B", 3, " (a)", None), ("t", "B", 3, "(a)\n", None), ("c", "B", 4, None, None), ("d", "C", 3, None, None), ("e", "D", 9, "Fig 1.2", "1.2")], "image_id string, book string, page int, caption string, fig_number string")
     hits = spark.createDataFrame([(1, "B", 4, 1, "see fig 1.2 here"), (2, "B", 4, 1, "see nothing"), (2, "C", 3, 2, "nor here"), (3, "Z", 1, 1, "fig 1.2"), (4, "C", 3, 1, "fig 1.2"), (4, "B", 7, 2, "x")], "q int, book string, page int, rank int, text string")
