@@ -177,6 +177,15 @@ def test_title_match():
         assert fuzzy.title_match(name, lines) == max([fuzzy.ratio(name, x) for x in [*lines[:12], " ".join(lines)[:400]]])
 
 
+def test_an_opener_is_normalised_once(monkeypatch):
+    calls, plain = [], fuzzy.normalised
+    monkeypatch.setattr(fuzzy, "normalised", lambda text: calls.append(text) or plain(text))
+    page = fuzzy.Opener([f"Line {k} of a page" for k in range(20)])
+    assert page.match("") == page.match(None) == 0.0 and page.match("Line 3 of a page") == 1.0
+    best = [page.match(f"name {k} of a chapter") for k in range(40)]
+    assert len(calls) <= 13 + 42 and best[0] == fuzzy.title_match("name 0 of a chapter", [f"Line {k} of a page" for k in range(20)])
+
+
 def test_kinds_of_texts_leave_no_pair_out(spark):
     """Digits count as one character in kinds, which only bounds what is compared; headings of one kind meet few names."""
     r = random.Random(3)
