@@ -59,6 +59,11 @@ def test_no_crossed_joins(spark, plan_of, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_what_a_page_says_is_not_shuffled_for_each_chapter(spark, plan_of):
+    lines = plan_of(entry.queries()["align_fold"](spark, str(DATA))).splitlines()
+    assert not [b for a, b in zip(lines, lines[1:]) if "Exchange hashpartitioning(q_id" in a and "tokens" in b]
+
+
 def test_pushdown(spark, plan_of):
     plan = plan_of(entry.queries()["distinct_subjects"](spark, str(DATA)))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "ReadSchema: struct<lang:string,source:string>" in plan
